@@ -1,0 +1,7 @@
+"""The registered queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+FLAGSHIP = "stats_by_client"
