@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, exact_dedup, licenses, mixing
+from spanmill.llm import bpe, exact_dedup, licenses, minhash, mixing, quality
 from spanmill.session import table
 
 
@@ -20,9 +20,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_licenses, op4_exact_dedup, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_licenses, op4_exact_dedup, op5_minhash, op7_quality, op8_bpe)}
 ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL}
