@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, exact_dedup, licenses, minhash, mixing, quality
+from spanmill.llm import bpe, exact_dedup, licenses, minhash, mixing, quality, secrets, suffix_dedup
 from spanmill.session import table
 
 
@@ -24,6 +24,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_licenses, op4_exact_dedup, op5_minhash, op7_quality, op8_bpe)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op3_licenses, op4_exact_dedup, op5_minhash, op6_suffix_dedup, op7_quality, op8_bpe, op10_secrets)}
 ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL}
