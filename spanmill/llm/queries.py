@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, exact_dedup, licenses, minhash, mixing, quality, secrets, suffix_dedup
+from spanmill.llm import bpe, exact_dedup, html_extract, licenses, minhash, mixing, quality, secrets, suffix_dedup, toxicity
 from spanmill.session import table
 
 
@@ -12,6 +12,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_licenses, op4_exact_dedup, op5_minhash, op6_suffix_dedup, op7_quality, op8_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_licenses, op4_exact_dedup, op5_minhash, op6_suffix_dedup, op7_quality, op8_bpe, op9_html, op10_secrets)}
 ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL}
