@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that results depend on, or that suit any cluster; sizes stay with the cluster's owner.
 SETTINGS = {
@@ -45,3 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which broadcast_small() broadcasts; rows of keys and a few numbers stay under 20 MB.
+SMALL_ROWS = 100_000
+
+
+def broadcast_small(kept: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """kept (a computed table, see cut) with a broadcast hint if it is counted to have at most so many rows; else as it is."""
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
