@@ -17,6 +17,8 @@ DataFrame expressions only.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ TEMPLATES = {
     "warranty": "the software is provided as is without warranty of any kind express or implied",
 }
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-THRESHOLD = 0.8
+THRESHOLD = 0.85
 BLOCK_WORDS, BLOCK_STEP = 64, 32
 
 
@@ -48,8 +50,10 @@ def _array(words):
     return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
-def _regex(words) -> str:
-    return r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(re.escape(w) for w in words) + r")(?:$|[\x00-\x2F\x3A-\x60\x7B-\x7F])"
+def _any_word(low, text, words: list[str]):
+    """Whether text has one of words as a whole word. Plain searches in the lower-cased text go first: they rule most texts out."""
+    part = r"[0-9A-Za-z\x80-\x{10FFFF}]"
+    return F.exists(_array(words), lambda w: low.contains(w)) & text.rlike(f"(?i)(?<!{part})(?:{'|'.join(re.escape(w) for w in words)})(?!{part})")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -61,12 +65,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = {k: sorted(set(re.findall(r"[0-9a-z]+", v))) for k, v in templates.items()}
     need = {k: max(1, -int(-threshold * len(v) // 1)) for k, v in sets.items()}
     vocabulary = sorted({w for v in sets.values() for w in v})
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("_raw"), F.lower(raw).alias("_low"))
 
-    # Document frequencies of the template words, at most len(vocabulary) numbers: tests of whole texts, one pass.
-    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
-    seen = rows.select(F.explode(F.array_intersect(words, _array(vocabulary))).alias("w")).groupBy("w").count().collect()
+    # Document frequencies of the template words over all documents, at most len(vocabulary) numbers. Any one order is
+    # exact, so words between single spaces will do.
+    seen = rows.select(F.explode(F.array_intersect(F.split("_low", " "), _array(vocabulary))).alias("w")).groupBy("w").count().collect()
     found = {r["w"]: r["count"] for r in seen}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (found.get(w, 0), w)))}
     ordered = {k: sorted(rank[w] for w in v) for k, v in sets.items()}
@@ -75,12 +79,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_rank = sorted(rank, key=rank.get)
 
     starters = sorted({p.split()[0] for p in PHRASES})
-    hit = F.col("_text").rlike(_regex([p.split()[-1] for p in PHRASES]))
-    near = F.col("_text").rlike(_regex([by_rank[r] for r in rare]))
-    w = F.when(hit | near, words)
-    base = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), w.alias("_words"), hit.alias("_hit"), near.alias("_near"))
-    # A row's own number carries block results back, as ids may repeat; only rows with a rare template word have one.
-    base = base.withColumn("_row", F.when(F.col("_near"), F.monotonically_increasing_id()))
+    low, text = F.col("_low"), F.col("_raw")
+    hit = reduce(or_, [reduce(and_, [low.contains(w) for w in p.split()]) for p in PHRASES])
+    near = _any_word(low, text, [by_rank[r] for r in rare])
+    words = F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    # In steps, so that no expression is written out (and run) twice.
+    base = rows.select("doc_id", "_raw", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), hit.alias("_hit"), near.alias("_near"))
+    base = base.withColumn("_words", F.when(F.col("_hit") | F.col("_near"), words)).drop("_raw")
     places = F.filter(
         F.transform(
             F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.array_contains(_array(starters), F.element_at("_words", i + 1))),
@@ -89,6 +94,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda x: x["label"].isNotNull(),
     )
     scanned = base.withColumn("_places", F.when(F.col("_hit") & (F.size("_words") > 0), places))
+    # Kept once: counts of all rows, words of the few that have a rare template word. A row's number carries its block
+    # results back, as ids may repeat.
+    scanned = cut(scanned.select("doc_id", "n_words", "_places", F.when(F.col("_near"), F.col("_words")).alias("_words"), F.when(F.col("_near"), F.monotonically_increasing_id()).alias("_row")))
     near_rows = scanned.where("_row IS NOT NULL").select("_row", F.posexplode("_words").alias("_at", "_w"))
 
     ranks = docs.sparkSession.createDataFrame([(w, r) for w, r in rank.items()], "_w string, _rank int")
