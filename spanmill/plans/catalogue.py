@@ -1,7 +1,542 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanmill.functions import records as rc
+from spanmill.functions import text as tx
+from spanmill.functions import usage as us
+from spanmill.operators import blobs, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st
+from spanmill.plans import tables as tb
+from spanmill.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "stats_by_client"
+S, R, M = tb.SESSIONS_SQL, tb.RECORDS_SQL, tb.MESSAGES_SQL
+#: A fixed point of time for what depends on the clock.
+AS_OF = "2024-01-31T00:00:00Z"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _summed(spark, sf_dir):
+    return st.with_summary(tb.sessions(spark, sf_dir))
+
+
+# Statistics
+
+_FAILED = "(status = 'error' OR summary_status = 'error')"
+
+
+@query(f"WITH {S} SELECT count(*) AS sessions, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_create_tokens) AS BIGINT) AS cache_create_tokens, count(*) FILTER ({_FAILED}) AS errors FROM sessions")
+def stats_totals(spark, sf_dir):
+    return st.totals(_summed(spark, sf_dir))
+
+
+@query(f"WITH {S} SELECT date_key AS date, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM sessions WHERE date_key BETWEEN '2024-01-01' AND '2024-01-02' GROUP BY 1")
+def stats_daily(spark, sf_dir):
+    return st.by_day(st.in_dates(_summed(spark, sf_dir), "2024-01-01", "2024-01-02"))
+
+
+@query(f"WITH {S} SELECT client, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM sessions GROUP BY 1")
+def stats_by_client(spark, sf_dir):
+    return st.by(_summed(spark, sf_dir), "client", "client")
+
+
+@query(f"WITH {S} SELECT cwd AS project, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM sessions GROUP BY 1")
+def stats_by_project(spark, sf_dir):
+    return st.by(_summed(spark, sf_dir), "cwd", "project")
+
+
+@query(f"WITH {S} SELECT model, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM sessions GROUP BY 1")
+def stats_by_model(spark, sf_dir):
+    return st.by_model(_summed(spark, sf_dir))
+
+
+@query(f"WITH {S} SELECT count(*) AS sessions, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(total_tokens) AS BIGINT) AS tokens, count(*) FILTER (status = 'error' OR (status = 'active' AND summary_status = 'error')) AS errors FROM sessions")
+def session_aggregates(spark, sf_dir):
+    return st.session_aggregates(tb.sessions(spark, sf_dir))
+
+
+@query("WITH b AS (SELECT coalesce(nullif(source, ''), 'Unknown') AS agent, count(*) AS n FROM documents GROUP BY 1) SELECT regexp_replace(regexp_replace(lower(agent), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS key, min(agent) AS label, CAST(sum(n) AS BIGINT) AS sessions FROM b GROUP BY 1")
+def agent_buckets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("client"), F.lit(None).cast("string").alias("summary"))
+    return st.fold_buckets(st.agent_buckets(d), {})
+
+
+@query("SELECT regexp_replace(url, '\\?.*$', '') AS path, count(*) AS records FROM pages GROUP BY 1")
+def path_counts(spark, sf_dir):
+    return st.path_counts(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
+
+
+# Sessions and records
+
+_NEWEST = "ORDER BY updated_at DESC, started_at DESC, id DESC"
+
+
+@query(f"WITH {S} SELECT id, updated_at, record_count, status FROM sessions {_NEWEST} LIMIT 100")
+def sessions_page(spark, sf_dir):
+    return ss.page(tb.sessions(spark, sf_dir), 100).select("id", "updated_at", "record_count", "status")
+
+
+@query(f"WITH {S} SELECT id, updated_at, record_count, status FROM sessions {_NEWEST} LIMIT 25 OFFSET 50")
+def sessions_page_offset(spark, sf_dir):
+    return ss.page(tb.sessions(spark, sf_dir), 25, 50).select("id", "updated_at", "record_count", "status")
+
+
+@query(f"WITH {S} SELECT id, status FROM sessions WHERE status = 'error' OR (status = 'active' AND summary_status = 'error')")
+def sessions_filter_status(spark, sf_dir):
+    return ss.filter_sessions(tb.sessions(spark, sf_dir), ss.build_query(status="error")).select("id", "status")
+
+
+@query(f"WITH {S} SELECT id, status FROM sessions WHERE status = 'active' AND summary_status <> 'error'")
+def sessions_filter_active(spark, sf_dir):
+    return ss.filter_sessions(tb.sessions(spark, sf_dir), ss.build_query(status="active")).select("id", "status")
+
+
+@query(f"WITH {S} SELECT id, client, date_key FROM sessions WHERE lower(client) IN ('view', 'click') AND date_key = '2024-01-01'")
+def sessions_filter_agent(spark, sf_dir):
+    return ss.filter_sessions(tb.sessions(spark, sf_dir), ss.SessionQuery(date="2024-01-01", clients=("click", "view"))).select("id", "client", "date_key")
+
+
+@query(f"WITH {M}, s AS (SELECT DISTINCT session_id AS id FROM messages) SELECT id FROM s WHERE id IN (SELECT session_id FROM messages WHERE contains(lower(text), 'then')) OR contains(id, 'then')")
+def sessions_search(spark, sf_dir):
+    m = tb.messages(spark, sf_dir)
+    return ss.search(m.select(F.col("session_id").alias("id")).distinct(), "Then", m.select("session_id", F.col("text").alias("payload")))
+
+
+@query(f"WITH {S}, {R} SELECT session_id, record_index, timestamp, payload FROM records WHERE session_id = '7' ORDER BY record_index LIMIT 20 OFFSET 10")
+def records_page(spark, sf_dir):
+    return ss.record_page(tb.records(spark, sf_dir), "7", 20, 10).select("session_id", "record_index", "timestamp", "payload")
+
+
+@query(f"WITH {S}, {R} SELECT r.session_id, r.record_index, r.payload, s.started_at FROM records r JOIN sessions s ON r.session_id = s.id WHERE s.date_key = '2024-01-02'")
+def records_by_date(spark, sf_dir):
+    return ss.records_of_date(tb.records(spark, sf_dir), tb.sessions(spark, sf_dir), "2024-01-02").select("session_id", "record_index", "payload", "started_at")
+
+
+@query(f"WITH {S}, {R}, b AS (SELECT session_id, count(*) AS records, arg_min(payload, record_index) AS first_payload, arg_max(payload, record_index) AS l FROM records GROUP BY 1) SELECT session_id, records, first_payload, CASE WHEN l <> first_payload THEN l END AS last_payload FROM b")
+def boundary_records(spark, sf_dir):
+    return ss.boundaries(tb.records(spark, sf_dir))
+
+
+@query(f"WITH {S} SELECT DISTINCT date_key FROM sessions UNION SELECT '2024-01-31'")
+def list_dates(spark, sf_dir):
+    return ss.list_dates(tb.sessions(spark, sf_dir), "2024-01-31")
+
+
+@query(f"WITH {S}, old AS (SELECT * FROM sessions WHERE CAST(id AS BIGINT) % 5 <> 0), new AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN record_count + 1 ELSE record_count END AS record_count FROM sessions WHERE CAST(id AS BIGINT) % 7 <> 0) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.record_count <> n.record_count")
+def snapshot_changes(spark, sf_dir):
+    s, n = tb.sessions(spark, sf_dir), F.col("id").cast("long")
+    after = s.where(n % 7 != 0).withColumn("record_count", F.when(n % 3 == 0, F.col("record_count") + 1).otherwise(F.col("record_count")))
+    return ss.changes(ss.snapshot(s.where(n % 5 != 0)), ss.snapshot(after))
+
+
+_STALE = f"(status = 'active' AND epoch(TIMESTAMP '2024-01-31 00:00:00' - CAST(replace(updated_at, 'Z', '') AS TIMESTAMP)) >= 86400)"
+
+
+@query(f"WITH {S} SELECT id, CASE WHEN {_STALE} THEN CASE WHEN summary_status = 'error' THEN 'error' WHEN record_count = 0 THEN 'empty' ELSE 'complete' END ELSE status END AS status FROM sessions")
+def stale_sessions(spark, sf_dir):
+    return ss.finalize_stale(tb.sessions(spark, sf_dir), F.lit(AS_OF).cast("timestamp")).select("id", "status")
+
+
+@query(f"WITH {S} SELECT id FROM sessions WHERE NOT (status = 'active' AND NOT {_STALE}) ORDER BY started_at, id LIMIT (SELECT greatest(count(*) - 10, 0) FROM sessions)")
+def retention_victims(spark, sf_dir):
+    return ss.retention_victims(tb.sessions(spark, sf_dir), 10, F.lit(AS_OF).cast("timestamp"))
+
+
+@query(f"WITH {S} SELECT id, status FROM sessions WHERE CAST(id AS BIGINT) % 4 <> 0")
+def delete_sessions(spark, sf_dir):
+    s = tb.sessions(spark, sf_dir)
+    return ss.delete_sessions(s, s.where(F.col("id").cast("long") % 4 == 0).select("id"))[0].select("id", "status")
+
+
+# Messages
+
+_KEY = "content_hash, client, role"
+
+
+@query(f"WITH {M} SELECT {_KEY}, arg_min(session_id, seen_at) AS session_id, min(seen_at) AS first_at, max(seen_at) AS last_seen, count(*) AS copies FROM messages GROUP BY {_KEY}")
+def message_dedup(spark, sf_dir):
+    m = tb.messages(spark, sf_dir)
+    return kb.unique_messages(m, ["seen_at"]).select(*kb.KEY, "session_id", F.col("seen_at").alias("first_at"), "last_seen", "copies")
+
+
+@query("WITH m AS (SELECT sha256(coalesce(text, '')) AS content_hash, source AS client, lang AS role, CAST(doc_id % 50 AS VARCHAR) AS session_id, doc_id AS seen_at FROM documents) SELECT content_hash, client, role, session_id, min(seen_at) AS seen_at FROM m GROUP BY ALL")
+def occurrences(spark, sf_dir):
+    return kb.occurrences(_corpus(spark, sf_dir))
+
+
+def _corpus(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.col("source").alias("client"), F.col("lang").alias("role"), (F.col("doc_id") % 50).cast("string").alias("session_id"), F.col("doc_id").alias("seen_at"))
+
+
+_CORPUS = "m AS (SELECT sha256(coalesce(text, '')) AS content_hash, source AS client, lang AS role, CAST(doc_id % 50 AS VARCHAR) AS session_id, doc_id AS seen_at FROM documents)"
+
+
+@query(f"WITH {_CORPUS}, o AS (SELECT content_hash, client, role, session_id, min(seen_at) AS seen_at FROM m GROUP BY ALL), u AS (SELECT content_hash, client, role, arg_min(session_id, seen_at) AS rep, count(*) AS n FROM m GROUP BY ALL), l AS (SELECT * FROM o WHERE CAST(session_id AS BIGINT) >= 10), h AS (SELECT content_hash, client, role, arg_min(session_id, (seen_at, session_id)) AS heir FROM l GROUP BY ALL) SELECT u.content_hash, u.client, u.role, CASE WHEN CAST(rep AS BIGINT) < 10 THEN heir ELSE rep END AS session_id FROM u JOIN h USING (content_hash, client, role)")
+def survivor_reassign(spark, sf_dir):
+    m = _corpus(spark, sf_dir)
+    gone = m.where(F.col("session_id").cast("int") < 10).select("session_id").distinct()
+    return kb.delete_session(kb.unique_messages(m, ["seen_at"]), kb.occurrences(m), gone)[0].select(*kb.KEY, "session_id")
+
+
+@query(f"WITH {_CORPUS}, p AS (SELECT DISTINCT content_hash, client, role FROM m WHERE seen_at % 10 = 3) SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.content_hash = m.content_hash AND p.client = m.client AND p.role = m.role)")
+def purge_antijoin(spark, sf_dir):
+    m = _corpus(spark, sf_dir)
+    return kb.without_purged(m, m.where(F.col("seen_at") % 10 == 3))
+
+
+@query(f"WITH {S} SELECT id FROM sessions WHERE CAST(id AS BIGINT) % 3 <> 0 ORDER BY id LIMIT 30")
+def unprocessed_sessions(spark, sf_dir):
+    s = tb.sessions(spark, sf_dir).select("id")
+    return kb.unprocessed(s, s.where(F.col("id").cast("long") % 3 == 0).select(F.col("id").alias("session_id")), 30)
+
+
+@query("WITH v AS (SELECT source AS client, lang AS model, sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS session_count FROM documents GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY client, model ORDER BY first_seen, content_hash) AS version FROM v")
+def version_timeline(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("client"), F.col("lang").alias("model"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.col("doc_id").alias("seen_at"))
+    return kb.timeline(kb.versions(d))
+
+
+@query("WITH s AS (SELECT lang AS role, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'indexed' ELSE 'failed' END AS state, doc_id % 5 AS attempts FROM documents), q AS (SELECT role, CASE WHEN state = 'failed' AND attempts < 3 THEN 'pending' ELSE state END AS state FROM s) SELECT role, count(*) AS total, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'indexed') AS indexed, count(*) FILTER (state = 'failed') AS failed FROM q GROUP BY 1")
+def kb_stats(spark, sf_dir):
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rows = d.select(F.col("lang").alias("role"), F.when(n % 3 == 0, "pending").when(n % 3 == 1, "indexed").otherwise("failed").alias("state"), (n % 5).alias("attempts"))
+    return kb.index_stats(kb.requeue(rows))
+
+
+@query(f"WITH {M} SELECT session_id, max(client) AS client, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM messages GROUP BY 1 ORDER BY last_seen DESC, session_id DESC LIMIT 20")
+def recent_sessions(spark, sf_dir):
+    return kb.recent_sessions(tb.messages(spark, sf_dir), 20)
+
+
+@query(f"WITH {M} SELECT session_id, arg_min(text, seen_at) AS first_user FROM messages WHERE role = 'user' GROUP BY 1")
+def first_user_message(spark, sf_dir):
+    return kb.first_user_message(tb.messages(spark, sf_dir))
+
+
+@query(f"WITH {M}, b AS (SELECT session_id, role, text, seen_at, row_number() OVER (PARTITION BY session_id ORDER BY seen_at DESC) AS back FROM messages) SELECT session_id, role, text, row_number() OVER (PARTITION BY session_id ORDER BY back DESC) AS place FROM b WHERE back <= 3")
+def last_n_messages(spark, sf_dir):
+    return kb.last_messages(tb.messages(spark, sf_dir), 3).select("session_id", "role", "text", "place")
+
+
+@query(f"WITH {M}, t AS (SELECT session_id, max(client) AS client, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM messages GROUP BY 1 ORDER BY last_seen DESC, session_id DESC LIMIT 5), u AS (SELECT session_id, arg_min(text, seen_at) AS f FROM messages WHERE role = 'user' GROUP BY 1) SELECT t.*, CASE WHEN length(f) > 200 THEN substr(f, 1, 199) || '…' ELSE f END AS first_user FROM t LEFT JOIN u USING (session_id)")
+def recent_overview(spark, sf_dir):
+    m = tb.messages(spark, sf_dir)
+    return kb.recent_overview(m, m).drop("messages")
+
+
+@query(f"WITH {M} SELECT session_id, record_index, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\s+', ''), '\\s+$', '')) AS hash FROM messages")
+def message_content_hash(spark, sf_dir):
+    return tb.messages(spark, sf_dir).select("session_id", "record_index", tx.content_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS uses, CAST(max(strlen(text)) AS BIGINT) AS size_bytes FROM documents WHERE strlen(text) >= 512 GROUP BY 1")
+def blob_compaction(spark, sf_dir):
+    return blobs.text_blobs(table(spark, sf_dir, "documents"))
+
+
+# Retrieval
+
+QUERY, VECTOR_OF = "then there thing Snake_case élan", 7
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _probe(spark, sf_dir):
+    return _vectors(spark, sf_dir).where(F.col("id") == VECTOR_OF).first()["embedding"]
+
+
+def _bm25_sql(name: str, base: str, tfs: list[str]) -> str:
+    n = range(len(tfs))
+    idf = lambda i: f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END"
+    score = " + ".join(f"({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in n)
+    counted = ", ".join(f"{t} AS tf{i}" for i, t in enumerate(tfs))
+    stats = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in n)
+    return f"{name}_b AS ({base}), {name}_c AS (SELECT id, dl, {counted} FROM {name}_b), {name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {stats} FROM {name}_c), {name} AS (SELECT id, {score} AS score FROM {name}_c, {name}_s WHERE {' OR '.join(f'tf{i} > 0' for i in n)})"
+
+
+_FOLD = "translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_WORDS = f"SELECT doc_id AS id, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') AS w, len(regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+')) AS dl FROM documents"
+_PLAIN = [f"len(list_filter(w, lambda x: x = '{t}'))" for t in ("then", "there", "thing")]
+WORDS_SQL = _bm25_sql("words", _WORDS, [*_PLAIN, "CASE WHEN len(w) < 2 THEN 0 ELSE len(list_filter(range(1, len(w)), lambda i: w[i] = 'snake' AND w[i + 1] = 'case')) END", "len(list_filter(w, lambda x: x = 'lan'))"])
+_TRI = "SELECT doc_id AS id, lower(coalesce(text, '')) AS t, greatest(length(lower(coalesce(text, ''))) - 2, 0) AS dl FROM documents"
+TRI_SQL = _bm25_sql("tri", _TRI, [f"(length(t) - length(replace(t, '{q}', ''))) // {len(q)}" for q in ("then", "there", "thing", "snake_case", "lan")])
+VEC_SQL = f"q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = {VECTOR_OF}), vec AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(v[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS score FROM embeddings, q)"
+_TOP = lambda name: f"SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM {name} ORDER BY rank LIMIT 20"
+HYBRID_SQL = f"{VEC_SQL}, {TRI_SQL}, {WORDS_SQL}, ch AS (SELECT 0 AS c, * FROM ({_TOP('(SELECT * FROM vec WHERE score > 0)')}) UNION ALL SELECT 1, * FROM ({_TOP('tri')}) UNION ALL SELECT 2, * FROM ({_TOP('words')})), fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min(c * 1000 + rank) AS first FROM ch GROUP BY id ORDER BY round(score, 12) DESC, first LIMIT 20)"
+
+
+def _stable(channel: DataFrame) -> DataFrame:
+    return channel.withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {WORDS_SQL} SELECT id, round(score, 6) AS score FROM words")
+def bm25_words(spark, sf_dir):
+    return rt.bm25_words(_docs(spark, sf_dir), QUERY).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {TRI_SQL} SELECT id, round(score, 6) AS score FROM tri")
+def bm25_trigram(spark, sf_dir):
+    return rt.bm25_trigrams(_docs(spark, sf_dir), QUERY).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql('words', _WORDS, _PLAIN)} SELECT id, round(score, 6) AS score FROM words")
+def bm25_postings(spark, sf_dir):
+    return rt.bm25_postings(*rt.postings(_docs(spark, sf_dir)), ["then", "there", "thing"]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VEC_SQL} SELECT id, round(score, 6) AS score FROM vec WHERE score > 0 ORDER BY vec.score DESC, id LIMIT 20")
+def vector_topk(spark, sf_dir):
+    return rt.vector_topk(_vectors(spark, sf_dir), _probe(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+def _hybrid(spark, sf_dir):
+    docs, channels = _docs(spark, sf_dir), []
+    for name, c in (("vector", rt.vector_topk(_vectors(spark, sf_dir), _probe(spark, sf_dir))), ("trigram", rt.bm25_trigrams(docs, QUERY)), ("words", rt.bm25_words(docs, QUERY))):
+        channels.append((name, rt.ranked(_stable(c)), 1.0))
+    return rt.rrf(channels)
+
+
+@query(f"WITH {HYBRID_SQL} SELECT id, round(score, 9) AS score FROM fused")
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("id", F.round("score", 9).alias("score"))
+
+
+_GROUPED = "top AS (SELECT source, doc_id AS id, round(n_chars / 1000.0, 3) AS score FROM documents)"
+
+
+@query(f"WITH {_GROUPED}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS place, max(score) OVER (PARTITION BY source) AS group_score FROM top) SELECT * FROM r WHERE place <= 3")
+def top3_per_group(spark, sf_dir):
+    hits = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.round(F.col("n_chars") / 1000.0, 3).alias("score"))
+    return rt.top_per_group(hits, "source")
+
+
+@query(f"WITH {HYBRID_SQL} SELECT id FROM fused WHERE score > (SELECT max(score) FROM fused) - 0.005 OR score = (SELECT max(score) FROM fused)")
+def rel_delta_floor(spark, sf_dir):
+    return rt.relative_floor(_hybrid(spark, sf_dir), 0.005).select("id")
+
+
+@query("WITH h AS (SELECT doc_id AS id, source AS kind, lang AS title, sha256(coalesce(text, '')) AS text, CAST(n_chars AS DOUBLE) AS score, doc_id AS last_seen, 1 AS session_count FROM documents) SELECT id, kind, title, CAST(sum(session_count) OVER w AS BIGINT) AS session_count FROM h WINDOW w AS (PARTITION BY kind, title, text) QUALIFY row_number() OVER (PARTITION BY kind, title, text ORDER BY score DESC, last_seen DESC, id) = 1")
+def dedup_across(spark, sf_dir):
+    h = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kind"), F.col("lang").alias("title"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.col("n_chars").cast("double").alias("score"), F.col("doc_id").alias("last_seen"), F.lit(1).alias("session_count"))
+    return rt.merge_across(h).select("id", "kind", "title", "session_count")
+
+
+@query("SELECT doc_id AS id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), ['then', 'there', 'thing'])) / 3.0, 6) AS score FROM documents")
+def rerank_lexical(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", F.round(rt.overlap_score(F.col("text"), "Then there THING"), 6).alias("score"))
+
+
+@query()
+def search_grouped(spark, sf_dir):
+    return rt.search(_docs(spark, sf_dir), _vectors(spark, sf_dir), QUERY, _probe(spark, sf_dir), "source", min_score=0.1)
+
+
+# Usage, paths, texts
+
+_DIALECTS = "CASE event_id % 5 WHEN 0 THEN '{\"prompt_tokens\":' || k || ',\"completion_tokens\":3,\"cached_tokens\":2}' WHEN 1 THEN '{\"input_tokens\":' || k || ',\"output_tokens\":7,\"cache_read_input_tokens\":4,\"input_tokens_details\":{\"cached_tokens\":9}}' WHEN 2 THEN '{\"promptTokenCount\":' || k || ',\"candidatesTokenCount\":5,\"totalTokenCount\":11}' WHEN 3 THEN '{\"input_tokens\":0,\"prompt_tokens\":' || k || ',\"output_tokens\":null,\"prompt_tokens_details\":{\"cached_tokens\":1}}' ELSE '{\"inputTokens\":' || k || ',\"outputTokens\":6,\"cacheReadInputTokens\":8,\"cacheWriteInputTokens\":9}' END"
+
+
+def _usages(spark, sf_dir):
+    return tb.events(spark, sf_dir).select("event_id", F.expr(_DIALECTS.replace("k ||", "cast(k as string) ||")).alias("usage"))
+
+
+_U = f"e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events), u AS (SELECT event_id, CAST(k AS BIGINT) AS k, event_id % 5 AS d FROM e)"
+_U_SQL = f"{_U}, n AS (SELECT event_id, k AS input_tokens, CASE d WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 5 WHEN 4 THEN 6 END AS output_tokens, CASE d WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 3 THEN 1 WHEN 4 THEN 8 END AS cache_read, CASE d WHEN 4 THEN 9 END AS cache_create, CASE d WHEN 2 THEN 11 END AS total_tokens, d FROM u)"
+
+
+@query(f"WITH {_U_SQL} SELECT event_id, CASE WHEN input_tokens = 0 AND d NOT IN (1, 3) THEN CAST(NULL AS BIGINT) ELSE input_tokens END AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, CAST(total_tokens AS BIGINT) AS total_tokens, CAST(cache_read AS BIGINT) AS cache_read_input_tokens, CAST(cache_create AS BIGINT) AS cache_creation_input_tokens FROM n")
+def usage_normalize(spark, sf_dir):
+    return _usages(spark, sf_dir).select("event_id", us.usage_struct(F.col("usage")).alias("u")).select("event_id", "u.*")
+
+
+@query(f"WITH {_U_SQL}, t AS (SELECT *, d IN (0, 3) AS inside FROM n) SELECT CAST(sum(input_tokens) AS BIGINT) AS input, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output, CAST(sum(input_tokens + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, CAST(floor(sum(coalesce(cache_read, 0)) * 100.0 / sum(CASE WHEN inside THEN input_tokens ELSE input_tokens + coalesce(cache_read, 0) + coalesce(cache_create, 0) END) + 0.5) AS BIGINT) AS cache_hit_percent FROM t")
+def cache_hit_rate(spark, sf_dir):
+    u = _usages(spark, sf_dir).select(us.usage_struct(F.col("usage")).alias("u"), us.cache_in_input(F.col("usage")).alias("cache_inside"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return st.viewer_totals(u.select(zero("u.input_tokens").alias("input"), zero("u.output_tokens").alias("output"), zero("u.cache_read_input_tokens").alias("cache_read"), zero("u.cache_creation_input_tokens").alias("cache_create"), "cache_inside"))
+
+
+@query("SELECT page_id, regexp_replace(url, '\\?.*$', '') AS path, regexp_extract(url, '/models?/([^:?/]+)', 1) AS model FROM pages")
+def path_and_model(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.path_only(F.col("url")).alias("path"), tx.model_in_path(F.col("url")).alias("model"))
+
+
+_PATHS = "CASE event_id % 6 WHEN 0 THEN '/v1/messages' WHEN 1 THEN '/v1/models' WHEN 2 THEN '/oauth/token' WHEN 3 THEN '/v1/chat/completions?x=1' WHEN 4 THEN '/v1/models/m1' ELSE '/other' END"
+_STATUSES = "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END"
+
+
+@query(f"WITH p AS (SELECT event_id, event_id % 6 AS d, {_STATUSES} AS status FROM events) SELECT event_id, CASE WHEN d IN (0, 3) THEN 0 WHEN d IN (1, 2, 4) THEN 2 ELSE 1 END AS tier, status >= 400 AND d NOT IN (1, 2, 4) AS error, status >= 400 AND d IN (1, 2, 4) AS auxiliary_error, status < 400 AND d NOT IN (1, 2, 4) AS success FROM p")
+def record_predicates(spark, sf_dir):
+    e = tb.events(spark, sf_dir).select("event_id", F.expr(_PATHS).alias("path"), F.expr(_STATUSES).alias("status"))
+    p, s = F.col("path"), F.col("status")
+    return e.select("event_id", tx.path_tier(p).alias("tier"), tx.is_error(p, s, F.lit(None).cast("string")).alias("error"), tx.is_auxiliary_error(p, s).alias("auxiliary_error"), tx.is_primary_success(p, s).alias("success"))
+
+
+@query("WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{85}\\x{A0}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 219)) || '...' END AS preview FROM f")
+def preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text"), 220).alias("preview"))
+
+
+@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS matches FROM documents WHERE contains(lower(text), 'the')")
+def match_counts(spark, sf_dir):
+    return st.match_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), ["The"]).select("doc_id", "matches")
+
+
+@query("SELECT regexp_replace(lower(event_type), '[^a-z0-9]+', '-', 'g') AS key, count(*) AS n FROM events GROUP BY 1")
+def agent_keys(spark, sf_dir):
+    return tb.events(spark, sf_dir).groupBy(tx.slug(F.col("event_type")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Lineage
+
+
+def _entries(spark, sf_dir):
+    return tb.records(spark, sf_dir).select(F.col("session_id").alias("scope"), F.col("record_index").alias("idx"), "ts", "event_type", F.get_json_object("payload", "$.k").cast("long").alias("k"))
+
+
+@query(f"WITH {S}, {R}, g AS (SELECT session_id AS scope, record_index AS idx, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session_id ORDER BY record_index)) AS gap FROM records) SELECT scope, idx, CASE WHEN gap / 1e6 >= 60 THEN round(gap / 1e6, 6) END AS gap FROM g")
+def time_gaps(spark, sf_dir):
+    return ln.time_gaps(_entries(spark, sf_dir)).select("scope", "idx", F.round("gap", 6).alias("gap"))
+
+
+@query(f"WITH {S}, {R} SELECT session_id AS scope, record_index AS idx, CASE WHEN event_type <> 'error' THEN CAST(count(*) FILTER (event_type <> 'error') OVER (PARTITION BY session_id ORDER BY record_index) AS BIGINT) END AS turn FROM records")
+def display_turns(spark, sf_dir):
+    return ln.display_turns(_entries(spark, sf_dir), F.col("event_type") != "error").select("scope", "idx", "turn")
+
+
+@query(f"WITH {S}, {R}, p AS (SELECT session_id AS scope, record_index AS idx, lag(record_index) OVER (PARTITION BY session_id, event_type ORDER BY record_index) AS parent FROM records) SELECT * FROM p WHERE parent IS NOT NULL")
+def prev_same_key(spark, sf_dir):
+    return ln.before_with_same(_entries(spark, sf_dir), "event_type")
+
+
+@query(f"WITH {S}, {R}, k AS (SELECT session_id AS scope, record_index AS idx, event_type, lag(event_type) OVER (PARTITION BY session_id ORDER BY record_index) AS prev FROM records) SELECT scope, idx, CAST(sum(CASE WHEN prev IS NULL OR prev <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY idx) AS BIGINT) AS \"group\" FROM k")
+def session_islands(spark, sf_dir):
+    return ln.islands(_entries(spark, sf_dir), "event_type").select("scope", "idx", "group")
+
+
+_RUNS = "x AS (SELECT scope, idx, CASE WHEN idx % 4 = 0 THEN [0] ELSE list_transform(range(0, idx % 4 + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE (i * 7 + idx // 8) % 3 END) END AS p FROM r0)"
+
+
+def _prints(spark, sf_dir):
+    i = F.col("idx")
+    made = F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda n: F.when(n == 0, F.lit(0)).otherwise((n * 7 + F.floor(i / 8)) % 3).cast("string"))
+    return _entries(spark, sf_dir).where("idx < 40").withColumn("prints", made)
+
+
+@query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records WHERE record_index < 40), {_RUNS}, m AS (SELECT b.scope, b.idx, a.idx AS p, len(a.p) AS n FROM x b JOIN x a ON a.scope = b.scope AND a.idx < b.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_max(p, (n, p)) AS parent FROM m GROUP BY 1, 2")
+def prefix_parent(spark, sf_dir):
+    return ln.prefix_parent(_prints(spark, sf_dir))
+
+
+@query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records WHERE record_index < 40), {_RUNS}, m AS (SELECT a.scope, a.idx, b.idx AS c, len(b.p) AS n FROM x a JOIN x b ON a.scope = b.scope AND b.idx > a.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_min(c, (n, c)) AS child FROM m GROUP BY 1, 2")
+def prefix_child(spark, sf_dir):
+    return ln.prefix_child(_prints(spark, sf_dir))
+
+
+@query("WITH RECURSIVE l AS (SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN event_id - 1 - event_id % 3 END AS parent FROM events), c AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth FROM l WHERE parent IS NULL OR parent NOT IN (SELECT id FROM l) UNION ALL SELECT l.id, c.root, c.depth + 1 FROM l JOIN c ON l.parent = c.id) SELECT * FROM c")
+def response_chain(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    return ln.chains(e.withColumn("parent", F.when(F.col("id") % 10 != 0, F.col("id") - 1 - F.col("id") % 3)))
+
+
+@query("WITH a AS (SELECT user_id AS scope, CAST(json_extract_string(props, '$.k') AS BIGINT) AS call_id, event_id AS at_, event_type FROM events), c AS (SELECT scope, call_id, at_ AS call_at, row_number() OVER (PARTITION BY scope, call_id ORDER BY at_) AS n FROM a WHERE event_type = 'view'), r AS (SELECT scope, call_id, at_ AS result_at, row_number() OVER (PARTITION BY scope, call_id ORDER BY at_) AS n FROM a WHERE event_type = 'click') SELECT scope, call_id, call_at, result_at FROM c FULL JOIN r USING (scope, call_id, n)")
+def tool_pairing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("scope"), F.get_json_object("props", "$.k").cast("long").alias("call_id"), F.col("event_id").alias("at"), "event_type")
+    return ln.pair_calls(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'click'").drop("event_type"))
+
+
+# Records made from conversations: rows only, as SQL cannot read them the same way
+
+
+def _conversation_records(spark, sf_dir) -> DataFrame:
+    """A messages-API record for each assistant turn, with the turns before it as its request."""
+    c = table(spark, sf_dir, "conversations")
+    so_far = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)))
+    asked = c.withColumn("_m", F.transform(so_far, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).where("role = 'assistant'")
+    body = F.struct(F.lit("m1").alias("model"), F.filter("_m", lambda x: x["role"] != "system").alias("messages"), F.lit("# Style\nBe brief.").alias("system"))
+    answer = F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"), F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage"))
+    payload = F.to_json(F.struct(F.col("turn"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.struct(F.lit("POST").alias("method"), F.lit("/v1/messages").alias("path"), body.alias("body")).alias("request"), F.struct(F.lit(200).alias("status"), answer.alias("body")).alias("response")))
+    return asked.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("record_index"), payload.alias("payload"))
+
+
+_ASSISTANT = f"WITH {M} SELECT session_id, record_index, 'm1' AS model, 'anthropic' AS provider, CAST(length(text) AS BIGINT) AS input_tokens, text AS response_text FROM messages WHERE role = 'assistant'"
+
+
+@query(_ASSISTANT)
+def describe_records(spark, sf_dir):
+    d = rc.described(_conversation_records(spark, sf_dir))
+    return d.select("session_id", "record_index", "model", "provider", F.col("usage.input_tokens").alias("input_tokens"), "response_text")
+
+
+@query(f"WITH {M} SELECT session_id, count(*) AS record_count, CAST(sum(length(text)) AS BIGINT) AS input_tokens, CAST(sum(record_index) AS BIGINT) AS output_tokens, 'm1' AS model, 'complete' AS status FROM messages WHERE role = 'assistant' GROUP BY 1")
+def session_summaries(spark, sf_dir):
+    s = st.session_summaries(rc.described(_conversation_records(spark, sf_dir)))
+    return s.select("session_id", "record_count", "input_tokens", "output_tokens", "model", "status")
+
+
+@query()
+def extracted_messages(spark, sf_dir):
+    return rc.messages(_conversation_records(spark, sf_dir))
+
+
+@query()
+def prompt_snapshots(spark, sf_dir):
+    return rc.snapshots(_conversation_records(spark, sf_dir)).drop("tools")
+
+
+@query(_ASSISTANT.replace("SELECT session_id, record_index, 'm1' AS model, 'anthropic' AS provider, CAST(length(text) AS BIGINT) AS input_tokens, text AS response_text", "SELECT session_id, record_index"))
+def compact_roundtrip(spark, sf_dir):
+    records = _conversation_records(spark, sf_dir)
+    back = blobs.resolve_records(*blobs.compact_records(records))
+    same = back.join(records.withColumnRenamed("payload", "_p"), ["session_id", "record_index"]).where(F.try_parse_json("payload").cast("string") == F.try_parse_json("_p").cast("string"))
+    return same.select("session_id", "record_index")
+
+
+@query()
+def chunk_sections(spark, sf_dir):
+    return rc.sections(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, 'ref=x') THEN replace(url, 'ref=x', 'token=%5BREDACTED%5D') ELSE url END AS url FROM pages")
+def url_redact(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", rc.redact_json()(F.replace("url", F.lit("ref=x"), F.lit("token=x"))).alias("url"))
+
+
+@query(f"WITH {M}, e AS (SELECT session_id || '-' || record_index AS key, text FROM messages) SELECT key, length(text) AS chars FROM e")
+def sse_fold(spark, sf_dir):
+    from spanmill.streaming.jobs import fold_batch
+
+    m = tb.messages(spark, sf_dir).select(F.concat_ws("-", "session_id", F.col("record_index").cast("string")).alias("request_id"), "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    delta = lambda part: F.to_json(F.struct(F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), part.alias("text")).alias("delta")))
+    steps = F.array(
+        F.struct(F.lit(0).alias("seq"), F.lit("message_start").alias("event"), F.lit('{"message":{"content":[]}}').alias("data")),
+        F.struct(F.lit(1).alias("seq"), F.lit("content_block_delta").alias("event"), delta(F.substring("text", F.lit(1), half)).alias("data")),
+        F.struct(F.lit(2).alias("seq"), F.lit("content_block_delta").alias("event"), delta(F.substring("text", half + 1, F.length("text"))).alias("data")),
+    )
+    folded = fold_batch(m.select("request_id", F.explode(steps).alias("s")).select("request_id", "s.*"))
+    return folded.select("key", F.length(F.get_json_object("document", "$.content[0].text")).cast("long").alias("chars"))

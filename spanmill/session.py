@@ -55,3 +55,14 @@ SMALL_ROWS = 100_000
 def broadcast_small(kept: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """kept (a computed table, see cut) with a broadcast hint if it is counted to have at most so many rows; else as it is."""
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+#: Bytes of an Arrow batch that operators over whole texts ask for: long texts then stay few at a time in a worker.
+TEXT_BATCH_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession, most: int = TEXT_BATCH_BYTES) -> None:
+    """Bound the session's Arrow batches by bytes, unless they are bound lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
+        spark.conf.set(key, str(most))
