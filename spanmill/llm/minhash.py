@@ -8,10 +8,10 @@ stops as soon as its next point is later than every component's: long documents
 each shingle.
 
 Rows of equal words are one representative. Representatives that agree in a band of the signature meet in a bucket.
-Each is verified by exact multiset overlap against its bucket's smallest id, links are joined to classes, and buckets
-that still hold several classes have their remaining pairs verified too, except those that the triangle inequality of
-the Jaccard distance rules out. So no link between bucket members is lost, and a large group of copies costs a
-verification for each member and bucket.
+Each is verified by exact multiset overlap against its bucket's smallest id, and links are joined to classes. Where a
+bucket still holds several classes, those outside its largest one are held against all its members by counting shared
+shingles in an inverted index, block by block, without writing pairs out. So no link between bucket members is lost
+that would join two classes, and a large group of copies costs a verification for each member and bucket.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import cut, shared_dir
+from spanmill.session import cut, shared_dir, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,6 +36,8 @@ BANDS, BAND_ROWS = 20, 4
 SIZE = BANDS * BAND_ROWS
 #: Words handled at once, and words whose hashes a worker keeps.
 CHUNK_WORDS, CHUNK_DOCS, KEPT_WORDS = 300_000, 4096, 400_000
+#: Documents of a block where classes of one bucket are compared.
+BLOCK_DOCS = 1000
 
 _U = np.uint64
 
@@ -75,7 +78,7 @@ def shingles(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     h = np.zeros(len(words), dtype=_U)
     for k in range(SHINGLE):
         part = np.zeros(len(words), dtype=_U)
-        part[: len(words) - k] = words[k:]
+        part[: max(0, len(words) - k)] = words[k:]
         h = mix(h * _U(0x9E3779B97F4A7C15) + np.where(left > k, part, _U(k + 1)))
     keys = np.sort((owner[start].astype(_U) << _U(52)) | (h[start] >> _U(12)))  # one plain sort; 52 bits tell a document's shingles apart
     new = np.ones(len(keys), dtype=bool)
@@ -175,6 +178,68 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
 
 
+def tokens_of(text: str, known: WordHashes) -> np.ndarray:
+    """Distinct tokens of a document, sorted: its shingles with their copies numbered, which makes a multiset a set."""
+    _, h, w = shingles([[known[x] for x in WORD.findall(text)]])
+    copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return np.sort(mix(np.repeat(h, w) + copy.astype(_U)))
+
+
+def block_links(probes: list[np.ndarray], built: list[np.ndarray], probe_labels: np.ndarray, labels: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
+    """(probe, built, similarity): for each probe its most similar document of each other label that reaches the similarity.
+
+    An inverted index of the built documents counts the overlaps; pairs are not written out.
+    """
+    sizes = np.array([len(t) for t in built])
+    flat, owner = np.concatenate(built), np.repeat(np.arange(len(built)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found = []
+    for i, tokens in enumerate(probes):
+        lo, hi = np.searchsorted(flat, tokens), np.searchsorted(flat, tokens, side="right")
+        counts = hi - lo
+        total = int(counts.sum())
+        if not total:
+            continue
+        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(total)
+        both = np.bincount(owner[at], minlength=len(built))
+        sim = both / (len(tokens) + sizes - both)
+        hits = np.flatnonzero((sim >= similarity) & (labels != probe_labels[i]))
+        best: dict[int, int] = {}
+        for j in hits[np.argsort(-sim[hits], kind="stable")].tolist():
+            best.setdefault(int(labels[j]), j)
+        found += [(i, j, float(sim[j])) for j in best.values()]
+    return found
+
+
+def mixed_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, sim) between documents of different labels in the same bucket, from rows (bucket, doc_id, label): enough
+    of them to join every two classes that any pair of a bucket links.
+
+    Documents of a bucket's most frequent label are looked up, the others look up. Both sides are dealt into blocks of
+    about BLOCK_DOCS documents, so no task holds a large bucket.
+    """
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_major"), F.sum("_n").alias("_all"))
+    dealt = rows.join(cut(sizes), "bucket").withColumn("_parts", F.ceil(F.col("_all") / BLOCK_DOCS).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_parts") - 1)
+    built = dealt.select("bucket", F.col("_mine").alias("_j"), F.explode(every).alias("_i"), "doc_id", "label", F.lit(False).alias("probe"))
+    probes = dealt.where("label <> _major").select("bucket", F.explode(every).alias("_j"), F.col("_mine").alias("_i"), "doc_id", "label", F.lit(True).alias("probe"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, seen = WordHashes(), {}
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            if doc not in seen:
+                seen[doc] = tokens_of(text, known)
+        ask, has = pdf[pdf["probe"]], pdf[~pdf["probe"]]
+        if not len(ask) or not len(has):
+            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
+        p, q = ask["doc_id"].to_numpy(), has["doc_id"].to_numpy()
+        found = block_links([seen[d] for d in p], [seen[d] for d in q], ask["label"].to_numpy(), has["label"].to_numpy(), similarity)
+        return pd.DataFrame([(min(p[i], q[j]), max(p[i], q[j]), s) for i, j, s in found], columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
+
+    return built.unionByName(probes).join(texts, "doc_id").groupBy("bucket", "_i", "_j").applyInPandas(run, "a long, b long, sim double").dropDuplicates(["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node that links lead to) of links (a, b); labels jump, so chains halve in a round."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -197,6 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id have no class and are kept. Other columns are not read, whatever their names. No rows give no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     signed = cut(signatures(docs, id_col, text_col))
     copies = signed.where("words IS NOT NULL AND doc_id IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     dealt = cut(copies.select("rep", F.explode("bands").alias("bucket")))
@@ -214,10 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets of several classes: pairs of different classes that have not met yet and may be similar.
     classed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", F.coalesce("label", "b").alias("label"))
     mixed = classed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high AND _n > 2").select("bucket")
-    rest = classed.join(mixed, "bucket").where("a <> b").join(checked, ["a", "b"]).select("bucket", "b", "label", "sim")
-    left, right = rest.select("bucket", F.col("b").alias("a"), F.col("label").alias("_la"), F.col("sim").alias("_sa")), rest.select("bucket", "b", F.col("label").alias("_lb"), F.col("sim").alias("_sb"))
-    more = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & (F.abs(F.col("_sa") - F.col("_sb")) <= 1 - similarity + 1e-9)).select("a", "b").distinct()
-    late = cut(verify(more.join(checked, ["a", "b"], "left_anti"), texts)).where(F.col("sim") >= similarity)
+    late = cut(mixed_links(classed.join(mixed, "bucket").select("bucket", F.col("b").alias("doc_id"), "label"), texts, similarity))
     if not late.isEmpty():
         links = links.unionByName(late)
         labels = components(links)
