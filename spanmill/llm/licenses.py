@@ -89,7 +89,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = F.filter(
         F.transform(
             F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.array_contains(_array(starters), F.element_at("_words", i + 1))),
-            lambda i: F.struct(i.alias("at"), F.element_at(F.filter(F.array(*[F.struct(F.array(*[F.lit(x) for x in p.split()]).alias("p"), F.lit(label).alias("label")) for p, label in PHRASES.items()]), lambda p: F.slice("_words", i + 1, F.size(p["p"])) == p["p"]), 1)["label"].alias("label")),
+            lambda i: F.struct(i.alias("at"), F.get(F.filter(F.array(*[F.struct(F.array(*[F.lit(x) for x in p.split()]).alias("p"), F.lit(label).alias("label")) for p, label in PHRASES.items()]), lambda p: F.slice("_words", i + 1, F.size(p["p"])) == p["p"]), 0)["label"].alias("label")),
         ),
         lambda x: x["label"].isNotNull(),
     )
