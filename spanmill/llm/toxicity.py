@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.session import text_batches
+
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STEP = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 12
@@ -46,7 +48,7 @@ def gram_ids(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the word's end
     for n in GRAMS:
         h = np.full(len(codes), n, dtype=np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(codes))):
             h[: len(codes) - k] = (h[: len(codes) - k] ^ codes[k:]) * np.uint64(0x100000001B3)
         h ^= h >> np.uint64(29)
         yield (h[left >= n] % np.uint64(GRAM_BUCKETS)).astype(np.int64), np.maximum(sizes - n + 1, 0)
@@ -320,6 +322,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     network stays as it was initialised. Columns other than id and text are not read, whatever their names. No rows
     give no rows.
     """
+    text_batches(docs.sparkSession)
     net = net or train_network([tuple(r) for r in training_sample(docs, labels, id_col, text_col).select("doc_id", "text", "toxic").collect()])
     model = docs.sparkSession.sparkContext.broadcast(net)  # vectors of at most MAX_VOCABULARY words and GRAM_BUCKETS n-grams
     id_type = docs.schema[id_col].dataType.simpleString()
