@@ -134,7 +134,7 @@ def session_groups(entries: DataFrame) -> DataFrame:
                 g = last[0]
             else:
                 g = i
-            groups[i], last = g, (g, row.user_text or (last[1] if last else ""), row.user_at)
+            groups[i], last = g, (g, row.user_text, row.user_at) if row.user_text or last is None else (g, *last[1:])
             starts.setdefault(g, i)
         for i, row in enumerate(pdf.itertuples()):
             if row.is_title:
