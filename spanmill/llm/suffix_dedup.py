@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.session import shared_dir
+from spanmill.session import cut, shared_dir, text_batches
 
 LENGTH, GRAM = 200, 50
 BEFORE = LENGTH - GRAM
@@ -272,7 +272,8 @@ def covered(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], n), pa.repeat(batch.column(1)[i], n), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(dg.view(np.int64))], names=["doc", "tag", "at", "h", "dg"])
 
     places = _stored(docs.mapInArrow(sample, "doc long, tag int, at int, h long, dg long"), "samples")
-    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("dg") != F.max("dg")).alias("mixed")).where("_n > 1").select("h", "mixed")
+    # Computed first: against a plain table, Spark can split the partition of a hot hash; against an aggregate it cannot.
+    twice = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("dg") != F.max("dg")).alias("mixed")).where("_n > 1").select("h", "mixed"))
     shared = _stored(places.join(twice, "h"), "shared-samples")
     _let_go(spark, places)
 
@@ -337,6 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents of their own (told apart by a hash of their text), so an exact copy of a row is a repeat of it. Rows
     without an id are handled likewise. Other columns are not read, whatever their names. No rows give no rows.
     """
+    text_batches(docs.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(F.col(text_col)).alias("tag"), raw.alias("raw"))
