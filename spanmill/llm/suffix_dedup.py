@@ -11,6 +11,7 @@ LENGTH - GRAM bytes before and LENGTH after its start, is its context.
    (one for each distance to the sample, ordered by the LENGTH bytes that follow), these are scanned for neighbours
    that agree in LENGTH bytes, then merge-scanned against the levels present. A batch becomes a level, and levels of
    equal size merge, so a level is copied a logarithmic number of times.
+   A hash with more than HOT_CONTEXTS distinct contexts is matched by distributed counts of its strings instead.
 4. A document's covered intervals are united and cut out.
 
 Only hashes of samples and the contexts of step 3 are shuffled by content; whole texts are shuffled by id alone.
@@ -35,6 +36,8 @@ LENGTH, GRAM = 200, 50
 BEFORE = LENGTH - GRAM
 #: Contexts of a batch, and group size up to which pairs are compared directly.
 BATCH, FEW = 1024, 48
+#: Distinct contexts of one hash beyond which they are matched by counting their strings across tasks, not in one index.
+HOT_CONTEXTS = 50_000
 NO_ID = -(2**63)
 _U = np.uint64
 _BYTES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.int64).astype(_U)
@@ -225,6 +228,17 @@ def match_contexts(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, i
     return [(int(h), LENGTH - int(low)) if h >= 0 else (-1, -1) for low, h in zip(family.low, family.high)]
 
 
+def hot_matches(contexts: DataFrame) -> DataFrame:
+    """What match_contexts finds, for hashes of too many distinct contexts for one task: every string of LENGTH bytes of a
+    context is counted by hash, distance and the hashes of its two parts, combined before the shuffle."""
+    distance = F.sequence(F.lit(0), F.least(F.length("before"), F.lit(BEFORE)))
+    strings = contexts.select("h", "dg", F.explode(distance).alias("t"), "before", "after").where(F.length("after") >= LENGTH - F.col("t"))
+    keyed = strings.select("h", "dg", "t", F.xxhash64(F.substring("before", F.lit(1), F.col("t"))).alias("_x"), F.xxhash64(F.substring("after", F.lit(1), LENGTH - F.col("t"))).alias("_y"))
+    twice = cut(keyed.groupBy("h", "t", "_x", "_y").count().where("count > 1").drop("count"))
+    found = keyed.join(twice, ["h", "t", "_x", "_y"]).groupBy("h", "dg").agg(F.max("t").alias("a"), (LENGTH - F.min("t")).alias("b"))
+    return found.select("h", "dg", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+
+
 def unite(spans: np.ndarray, n: int) -> np.ndarray:
     """Maximal intervals of spans (rows of start, end), clipped to [0, n); touching ones join."""
     spans = np.clip(spans, 0, n)
@@ -277,22 +291,23 @@ def covered(docs: DataFrame) -> DataFrame:
     shared = _stored(places.join(twice, "h"), "shared-samples")
     _let_go(spark, places)
 
-    contexts = shared.where("mixed").groupBy("h", "dg").agg(F.min(F.struct("doc", "tag", "at")).alias("_first"), (F.count(F.lit(1)) == 1).alias("single"))
-    open_hashes = contexts.groupBy("h").agg(F.max("single").alias("_open")).where("_open").select("h")
-    wanted = contexts.join(open_hashes, "h").select("h", "dg", "_first.*").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "h", "dg")).alias("wanted"))
+    contexts = cut(shared.where("mixed").groupBy("h", "dg").agg(F.min(F.struct("doc", "tag", "at")).alias("_first"), (F.count(F.lit(1)) == 1).alias("single")))
+    open_hashes = cut(contexts.groupBy("h").agg(F.max("single").alias("_open"), (F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot")).where("_open").select("h", "hot"))
+    wanted = contexts.join(open_hashes, "h").select("h", "dg", "hot", "_first.*").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "h", "dg", "hot")).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, dg, lefts, rights = [], [], [], []
+            h, dg, hot, lefts, rights = [], [], [], [], []
             for raw, items in zip(batch.column(0), batch.column(1)):
                 raw = raw.as_py()
                 for x in items.as_py():
                     at = x["at"]
                     h.append(x["h"])
                     dg.append(x["dg"])
+                    hot.append(x["hot"])
                     lefts.append(raw[max(0, at - BEFORE) : at][::-1])
                     rights.append(raw[at : at + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(dg, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["h", "dg", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(dg, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), pa.array(hot, pa.bool_())], names=["h", "dg", "before", "after", "hot"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(h, held):
@@ -319,12 +334,19 @@ def covered(docs: DataFrame) -> DataFrame:
         cols = list(zip(*out)) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["h", "dg", "a", "b"])
 
-    texts = docs.join(wanted, ["doc", "tag"]).select("raw", "wanted").mapInArrow(cut_out, "h long, dg long, before binary, after binary")
-    matched = _stored(texts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(index, "h long, dg long, a int, b int"), "matches")
+    texts = docs.join(wanted, ["doc", "tag"]).select("raw", "wanted").mapInArrow(cut_out, "h long, dg long, before binary, after binary, hot boolean")
+    if not open_hashes.where("hot").isEmpty():
+        texts = _stored(texts, "contexts")
+        by_window = _stored(hot_matches(texts.where("hot")), "hot-matches")
+        texts = texts.where("NOT hot")
+    else:
+        by_window = None
+    matched = _stored(texts.drop("hot").repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(index, "h long, dg long, a int, b int"), "matches")
     _let_go(spark)
+    matched = matched if by_window is None else matched.unionByName(by_window)
 
     digests = contexts.where("NOT single").select("h", "dg", F.lit(BEFORE).alias("a"), F.lit(LENGTH).alias("b"))
-    reach = matched.unionByName(digests).groupBy("h", "dg").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    reach = cut(matched.unionByName(digests).groupBy("h", "dg").agg(F.max("a").alias("a"), F.max("b").alias("b")))
     by_match = shared.where("mixed").join(reach, ["h", "dg"])
     whole = shared.where("NOT mixed").withColumns({"a": F.lit(BEFORE), "b": F.lit(LENGTH)})
     spans = whole.select("doc", "tag", "at", "a", "b").unionByName(by_match.select("doc", "tag", "at", "a", "b"))

@@ -149,10 +149,11 @@ def brute_repeats(raws, length=200):
     return out
 
 
-@pytest.mark.parametrize("few", [48, 2])
-def test_repeats(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "hot"), [(48, 50_000), (2, 50_000), (2, 3)])
+def test_repeats(spark, monkeypatch, few, hot):
     texts = corpus(6)
     monkeypatch.setattr(suffix_dedup, "FEW", few)
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH", 3)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()}
     assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
