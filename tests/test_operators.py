@@ -221,3 +221,23 @@ def test_described_sessions(spark):
     shown = rc.snapshots(df).first()
     assert shown["model"] == "a"
     assert rc.messages(df).where("role = 'user'").count() == 2
+
+
+def test_appends_and_lookups(spark, seed):
+    from spanmill.sources.sinks import log_lines
+
+    records = spark.createDataFrame([("a", 0, None, "t0", "first needle"), ("a", 1, None, "t1", "second"), ("b", 0, None, "t0", "only")], "session_id string, record_index long, turn long, timestamp string, payload string")
+    fresh = spark.createDataFrame([("a", "t3", "third"), ("a", "t2", "next"), ("new", "t1", "zero")], "session_id string, timestamp string, payload string")
+    grown = {(r["session_id"], r["record_index"]): r["payload"] for r in ss.append_records(records, fresh).collect()}
+    assert grown[("a", 2)] == "next" and grown[("a", 3)] == "third" and grown[("new", 0)] == "zero" and len(grown) == 6
+    assert {r["session_id"]: (r["first_payload"], r["last_payload"]) for r in ss.boundaries(records).collect()} == {"a": ("first needle", "second"), "b": ("only", None)}
+    assert ss.find_app_session(seed.withColumn("client", F.lit("codexapp")), records, "needle").first()["id"] == "a"
+    assert [r["record_index"] for r in ss.record_page(records, "a", 1, 1).collect()] == [1]
+    with pytest.raises(ValueError):
+        ss.records_of_date(records, seed, "yesterday")
+    assert ss.records_of_date(records, seed, "2026-08-04").count() == 2
+    assert ss.non_partial(spark.createDataFrame([("xcodexZappYpartialx",), ("fine",), (None,)], "payload string")).count() == 1
+    logs = spark.createDataFrame([("a", 1, "t", "i", "x")], "session_id string, line_no long, logged_at string, level string, message string")
+    more = log_lines(logs, spark.createDataFrame([("a", "u", "i", "y")], "session_id string, logged_at string, level string, message string"))
+    assert [(r["line_no"], r["message"]) for r in ss.logs_of(more, "a").collect()] == [(1, "x"), (2, "y")]
+    assert st.match_address(st.match_counts(spark.createDataFrame([(1, "aXa"), (2, "b"), (3, "a")], "id long, text string"), ["A"]), 2, "id").first()["id"] == 3
