@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import cut
+from spanmill.session import broadcast_small, cut, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -163,7 +163,7 @@ def _judge(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
                 d2[at] = distances(np.array(pdf["x"].iloc[at].to_list(), dtype=np.float64).reshape(-1, P), mean, cov)
             yield pdf.drop(columns="m").assign(d2=d2)
 
-    joined = stats.join(params, ["lang", "source"])
+    joined = stats.join(broadcast_small(params), ["lang", "source"])
     order = [*stats.columns, "m"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", d2 double"
     return joined.select(*order).mapInPandas(run, schema)
@@ -193,13 +193,15 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the base rules alone decide. Rows that repeat an id are judged each on their own; other columns are not read.
     No rows give no rows.
     """
+    text_batches(docs.sparkSession)
     stats = cut(measured(docs, id_col, text_col, lang_col, source_col))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     good = stats.where(~F.col("base_failed")).select("lang", "source", "doc_id", "n_words", "x")
-    counts = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
-    chunked = good.join(counts.where(F.col("rows") > chunk_rows), ["lang", "source"], "left")
-    chunk = F.pmod(F.xxhash64("doc_id", "n_words", "x"), F.ceil(F.coalesce("rows", F.lit(1)) / chunk_rows))
+    counts = cut(good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")))
+    # A shuffle by group alone would satisfy the grouping by chunk below and bring a hot group to one task.
+    chunked = good.join(broadcast_small(counts), ["lang", "source"])
+    chunk = F.pmod(F.xxhash64("doc_id", "n_words", "x"), F.ceil(F.col("rows") / chunk_rows))
     halves = chunked.select("lang", "source", chunk.alias("_chunk"), "x").groupBy("lang", "source", "_chunk").applyInPandas(_chunk, "lang string, source string, m array<double>")
     params = cut(_with_fallback(_gather(halves, ["lang", "source"]), counts, min_rows))
     for _ in range(2):
