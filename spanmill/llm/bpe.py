@@ -19,6 +19,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from spanmill.session import text_batches
+
 #: Fixed value: how byte-level tokenizers split a text into pieces.
 SPLIT = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 256
@@ -150,6 +152,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
+    text_batches(spark)
     file = path or default_path()
     spark.sparkContext.addFile(file)
     name = file.rsplit("/", 1)[-1]
