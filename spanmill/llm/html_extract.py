@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import shared_dir
+from spanmill.session import broadcast_small, cut, shared_dir, text_batches
 
 #: Elements without content, ones whose content is no markup, and ones that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +51,10 @@ MIN_PAGES, SHARE = 5, 0.5
 MIN_CHARS = 3
 
 
+#: Hosts with templates up to which their lists are broadcast; beyond, pages meet them by a join that Spark may split.
+MAX_HOSTS = 20_000
+
+
 class Node:
     __slots__ = ("tag", "names", "role", "kids", "hash", "chars")
 
@@ -196,7 +200,7 @@ def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = F
             flush()
             continue
         if item is not node and (is_part(item) and not (inside and _is_heading(item)) or (not inside and item.hash in template)):
-            if item.tag in BLOCK or item.tag in DROPPED:
+            if item.tag in BLOCK or item.tag == "template":
                 flush()
             continue
         if item.tag in BLOCK:
@@ -239,6 +243,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     repeat an id are pages of their own. Other columns are not read, whatever their names. No rows give no rows.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +265,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     totals = counts.where("h IS NULL").select("host", F.col("count").alias("pages"))
     template = counts.where("h IS NOT NULL").join(totals, "host").where(F.col("count") >= share * F.col("pages"))
     # At most 1 / share subtrees a page position can pass the share, so a host's list is bounded by the size of a page.
-    lists = template.groupBy("host").agg(F.collect_list("h").alias("template"))
+    lists = cut(template.groupBy("host").agg(F.collect_list("h").alias("template")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, set())
@@ -276,4 +281,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    return rows.join(lists, "host", "left").select("page_id", "url", "html", "template").mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
+    return rows.join(broadcast_small(lists, MAX_HOSTS), "host", "left").select("page_id", "url", "html", "template").mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
