@@ -23,7 +23,7 @@ SEED = 20240229
 #: Words of budget that the dynamic program covers; larger rests first shrink by whole documents.
 DP_WORDS = 1 << 16
 #: Rows of one hash bucket, on average: ranks are counted within buckets, so no task orders a whole hot length.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 #: A plan of so many rows (under 100 bytes each) is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 400_000
 
