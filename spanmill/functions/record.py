@@ -677,3 +677,43 @@ def images(value: Any) -> list[str]:
                 found.append(f"data:{v['inlineData'].get('mimeType') or 'image/png'};base64,{v['inlineData']['data']}")
             todo = [x for k, x in v.items() if k in ("content", "parts", "output") and isinstance(x, (list, dict))] + todo
     return list(dict.fromkeys(found))
+
+
+def user_input(record: dict, last: bool = True) -> tuple[str, int, int]:
+    """Text and place of the last (or first) message that a user typed, and the number of messages; ('', -1, n) if there is none."""
+    said = messages(record)
+    order = range(len(said) - 1, -1, -1) if last else range(len(said))
+    found = ((clean_content(said[i].get("content"), viewer=True), i) for i in order if said[i].get("role") == "user")
+    text, at = next(((t, i) for t, i in found if t), ("", -1))
+    return text, at, len(said)
+
+
+def app_session(record: dict) -> str:
+    """The desktop app's session id, from metadata or a header."""
+    body = unwrap(request_body(record))
+    named = [dig(body, "metadata", "codex_app_session_id"), *[v for k, v in (dig(record, "request", "headers") or {}).items() if k.lower() in ("x-codex-app-session-id", "codex-app-session-id")]]
+    return next((n for n in named if isinstance(n, str) and n), "")
+
+
+def prompt_in_payload(text: str) -> str:
+    """A prompt that is itself JSON with the text under a usual key."""
+    inner = parse(text) if text.lstrip()[:1] == "{" else None
+    return next((inner[k].strip() for k in ("prompt", "request", "instruction", "message", "query", "text", "title") if isinstance(dig(inner, k), str) and inner[k].strip()), text)
+
+
+def unique_tools(found: list[dict]) -> list[dict]:
+    """Tools by name, the first of each."""
+    out: dict[str, dict] = {}
+    for t in found:
+        out.setdefault(t["name"], t)
+    return list(out.values())
+
+
+def display_name(tool: Any) -> str:
+    return next((n for n in (dig(tool, "name"), dig(tool, "function", "name"), dig(tool, "id"), dig(tool, "type")) if isinstance(n, str) and n), "")
+
+
+def embedder_identity(name: str) -> str:
+    """org/name of an embedding model given by name or by its folder in a model cache."""
+    m = re.search(r"models--([^/\\]+?)--([^/\\]+)", name)
+    return f"{m[1]}/{m[2]}" if m else name

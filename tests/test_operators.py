@@ -6,12 +6,8 @@ from pyspark.sql import functions as F
 from spanmill.functions import record as rec
 from spanmill.functions import records as rc
 from spanmill.operators import blobs, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st
-from spanmill.schemas import MESSAGES, SESSIONS, schema
-
-
-def sessions(spark, rows):
-    names = [f.name for f in schema(SESSIONS)]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SESSIONS)
+from spanmill.schemas import MESSAGES
+from tests_support import entries, sessions
 
 
 @pytest.fixture(scope="module")
@@ -123,10 +119,6 @@ def test_retrieval(spark):
     assert [r["id"] for r in rt.relative_floor(hits, 0.3).collect()] == [1]
 
 
-def entries(spark, rows):
-    return spark.createDataFrame([("s", i, r.get("rid", ""), r.get("prev", ""), r.get("thread", ""), r.get("model", "m"), r.get("main", True), r["p"]) for i, r in enumerate(rows)], "scope string, idx long, response_id string, previous_id string, thread string, model string, is_main boolean, prints array<string>")
-
-
 def brute_prefix(rows):
     out = {}
     for i, r in enumerate(rows):
