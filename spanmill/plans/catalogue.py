@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanmill.functions import records as rc
 from spanmill.functions import text as tx
 from spanmill.functions import usage as us
-from spanmill.operators import blobs, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st
+from spanmill.operators import api, blobs, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st, viewer as vw
 from spanmill.plans import tables as tb
 from spanmill.session import table
 
@@ -540,3 +540,66 @@ def sse_fold(spark, sf_dir):
     )
     folded = fold_batch(m.select("request_id", F.explode(steps).alias("s")).select("request_id", "s.*"))
     return folded.select("key", F.length(F.get_json_object("document", "$.content[0].text")).cast("long").alias("chars"))
+
+
+# Service views
+
+
+@query(f"WITH {M} SELECT session_id, count(*) AS api_calls, CAST(sum(length(text)) AS BIGINT) AS input_tokens, CAST(sum(record_index) AS BIGINT) AS output_tokens, false AS has_error, 'complete' AS status FROM messages WHERE role = 'assistant' GROUP BY 1")
+def run_totals(spark, sf_dir):
+    t = api.run_totals(rc.described(_conversation_records(spark, sf_dir)))
+    return t.select("session_id", "api_calls", "input_tokens", "output_tokens", "has_error", "status")
+
+
+@query(f"WITH {S}, a AS (SELECT CAST(range AS VARCHAR) AS id FROM range(0, 400, 3)) SELECT a.id, CASE WHEN s.id IS NULL THEN 'missing' WHEN s.status = 'active' OR a.id = '9' THEN 'active' ELSE 'deletable' END AS fate FROM a LEFT JOIN sessions s ON a.id = s.id")
+def delete_fates(spark, sf_dir):
+    return api.delete_view(tb.sessions(spark, sf_dir), [str(i) for i in range(0, 400, 3)], live=["9"])
+
+
+@query(f"WITH {S} SELECT id, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN greatest(record_count, 60) ELSE record_count END AS record_count, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'active' ELSE status END AS status, CAST(id AS BIGINT) % 6 = 0 AS live FROM sessions")
+def live_overlay(spark, sf_dir):
+    s = tb.sessions(spark, sf_dir)
+    return api.with_live(s, s.where(F.col("id").cast("long") % 6 == 0).select("id", F.lit(60).cast("long").alias("live_count"))).select("id", "record_count", "status", "live")
+
+
+@query(f"WITH {S} SELECT id, input_tokens, output_tokens, total_tokens, model, status = 'error' OR summary_status = 'error' AS failed FROM sessions")
+def cached_summaries(spark, sf_dir):
+    return api.cached_summary(tb.sessions(spark, sf_dir)).select("id", "input_tokens", "output_tokens", "total_tokens", "model", "failed")
+
+
+@query(f"WITH p AS (SELECT event_id, event_id % 6 AS d FROM events) SELECT event_id, d IN (0, 1, 3, 4) AS capture, d IN (0, 3) AS turn, d = 2 AS skip FROM p")
+def capture_rules(spark, sf_dir):
+    e = tb.events(spark, sf_dir).select("event_id", F.expr(_PATHS).alias("path"))
+    p, none = F.col("path"), F.lit(None).cast("string")
+    return e.select("event_id", vw.capture_only(p, none).alias("capture"), vw.is_display_turn(p).alias("turn"), vw.skip_record(F.lit("h"), p, none, none, F.lit("GET"), prefixes=["/oauth"]).alias("skip"))
+
+
+@query(f"WITH {S}, {R} SELECT session_id, record_index, record_index + 1 AS number FROM records")
+def turn_numbers(spark, sf_dir):
+    return vw.turn_numbers(tb.records(spark, sf_dir)).select("session_id", "record_index", F.col("number").cast("long").alias("number"))
+
+
+@query(f"WITH {M}, s AS (SELECT session_id, record_index, text FROM messages WHERE role = 'assistant') SELECT session_id, record_index FROM s WHERE contains(lower(text), 'the ')")
+def viewer_search(spark, sf_dir):
+    r = _conversation_records(spark, sf_dir)
+    d = rc.described(r).join(r, ["session_id", "record_index"])
+    return vw.filter_records(d.withColumns({"payload": F.lit(""), "latest_user": F.lit("")}), paths=["/v1/messages"], search="the ").select("session_id", "record_index")
+
+
+@query(f"WITH {M} SELECT session_id, record_index AS turn_index_of, CAST(1 AS BIGINT) AS turns FROM messages WHERE role = 'assistant'")
+def expanded_turns(spark, sf_dir):
+    t = vw.turns(_conversation_records(spark, sf_dir))
+    return t.select("session_id", F.get_json_object("payload", "$.turn").cast("long").alias("turn_index_of"), F.lit(1).cast("long").alias("turns"))
+
+
+@query(f"WITH {M}, f AS (SELECT session_id, record_index, role, text FROM messages) SELECT session_id, record_index, role FROM f WHERE role = 'assistant' AND length(trim(text)) >= 20 AND length(text) <= 2000")
+def indexed_answers(spark, sf_dir):
+    m = rc.messages(_conversation_records(spark, sf_dir)).where("role = 'assistant'")
+    whole = m.groupBy("session_id", "record_index").agg(F.max("message_index").alias("_n")).where("_n = 0")
+    return m.join(whole, ["session_id", "record_index"]).select("session_id", "record_index", "role")
+
+
+@query("SELECT doc_id, sha256(text) AS hash, strlen(text) AS size_bytes FROM documents")
+def payload_hashes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.octet_length("text").cast("long").alias("size_bytes"))
