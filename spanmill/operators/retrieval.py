@@ -1,7 +1,7 @@
 """Hybrid retrieval: two keyword channels (BM25 over words and over character trigrams), vectors, rank fusion, reranking.
 
 ``docs`` has id and text, ``vectors`` id and embedding. Corpus figures (documents, average length, document
-frequencies) are one aggregated row, broadcast; documents stay where they are until the top rows are known.
+frequencies) are one aggregated row, a scalar subquery; documents stay where they are until the top rows are known.
 """
 
 from __future__ import annotations
@@ -41,13 +41,13 @@ def _idf(n: Column, df: Column) -> Column:
 
 def _bm25(counted: DataFrame, terms: int) -> DataFrame:
     """From id, dl and tf0..tfN: score of the documents that have a term."""
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"_df{i}") for i in range(terms)])
-    hits = counted.where(" OR ".join(f"tf{i} > 0" for i in range(terms)))
+    row = F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), F.array(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(terms)]).alias("df"))
+    hits = counted.where(" OR ".join(f"tf{i} > 0" for i in range(terms))).withColumn("_s", counted.agg(row.alias("s")).scalar())
     score = F.lit(0.0)
     for i in range(terms):
         tf = F.col(f"tf{i}")
-        score = score + _idf(F.col("_n"), F.col(f"_df{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-    return hits.join(F.broadcast(stats)).select("id", score.alias("score"))
+        score = score + _idf(F.col("_s.n"), F.col("_s.df")[i]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_s.avg")))
+    return hits.select("id", score.alias("score"))
 
 
 def bm25_words(docs: DataFrame, query: str, unicode_words: bool = False) -> DataFrame:
@@ -90,11 +90,11 @@ def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bm25_postings(index: DataFrame, lengths: DataFrame, terms: Sequence[str]) -> DataFrame:
     """id, score from a stored index: only the query terms' postings are read."""
-    stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).alias("s"))
     mine = index.where(F.col("term").isin(*terms))
     df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    hits = mine.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))
-    part = _idf(F.col("_n"), F.col("_df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
+    hits = mine.join(F.broadcast(df), "term").join(lengths, "id").withColumn("_s", stats.scalar())
+    part = _idf(F.col("_s.n"), F.col("_df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_s.avg")))
     return hits.groupBy("id").agg(F.sum(part).alias("score"))
 
 
