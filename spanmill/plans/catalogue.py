@@ -210,7 +210,7 @@ def unprocessed_sessions(spark, sf_dir):
 @query("WITH v AS (SELECT source AS client, lang AS model, sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS session_count FROM documents GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY client, model ORDER BY first_seen, content_hash) AS version FROM v")
 def version_timeline(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("client"), F.col("lang").alias("model"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.col("doc_id").alias("seen_at"))
-    return kb.timeline(kb.versions(d))
+    return kb.timeline(kb.versions(d)).withColumn("version", F.col("version").cast("long"))
 
 
 @query("WITH s AS (SELECT lang AS role, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'indexed' ELSE 'failed' END AS state, doc_id % 5 AS attempts FROM documents), q AS (SELECT role, CASE WHEN state = 'failed' AND attempts < 3 THEN 'pending' ELSE state END AS state FROM s) SELECT role, count(*) AS total, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'indexed') AS indexed, count(*) FILTER (state = 'failed') AS failed FROM q GROUP BY 1")
@@ -232,7 +232,7 @@ def first_user_message(spark, sf_dir):
 
 @query(f"WITH {M}, b AS (SELECT session_id, role, text, seen_at, row_number() OVER (PARTITION BY session_id ORDER BY seen_at DESC) AS back FROM messages) SELECT session_id, role, text, row_number() OVER (PARTITION BY session_id ORDER BY back DESC) AS place FROM b WHERE back <= 3")
 def last_n_messages(spark, sf_dir):
-    return kb.last_messages(tb.messages(spark, sf_dir), 3).select("session_id", "role", "text", "place")
+    return kb.last_messages(tb.messages(spark, sf_dir), 3).select("session_id", "role", "text", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {M}, t AS (SELECT session_id, max(client) AS client, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM messages GROUP BY 1 ORDER BY last_seen DESC, session_id DESC LIMIT 5), u AS (SELECT session_id, arg_min(text, seen_at) AS f FROM messages WHERE role = 'user' GROUP BY 1) SELECT t.*, CASE WHEN length(f) > 200 THEN substr(f, 1, 199) || '…' ELSE f END AS first_user FROM t LEFT JOIN u USING (session_id)")
@@ -330,7 +330,7 @@ _GROUPED = "top AS (SELECT source, doc_id AS id, round(n_chars / 1000.0, 3) AS s
 @query(f"WITH {_GROUPED}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS place, max(score) OVER (PARTITION BY source) AS group_score FROM top) SELECT * FROM r WHERE place <= 3")
 def top3_per_group(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.round(F.col("n_chars") / 1000.0, 3).alias("score"))
-    return rt.top_per_group(hits, "source")
+    return rt.top_per_group(hits, "source").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT id FROM fused WHERE score > (SELECT max(score) FROM fused) - 0.005 OR score = (SELECT max(score) FROM fused)")
