@@ -29,6 +29,13 @@ def query_tokens(query: str, unicode_words: bool = False) -> list[str]:
     return list(dict.fromkeys(re.findall(pattern, query)))
 
 
+def index_tokens(query: str, unicode_words: bool = False) -> list[str]:
+    """Tokens that an index looks up: none if the query holds a bare AND or OR, which no index can read between the ORs that
+    join tokens."""
+    tokens = query_tokens(query, unicode_words)
+    return [] if {"AND", "OR"} & set(tokens) else tokens
+
+
 def match_expression(query: str) -> str:
     """The query as a keyword index would take it; empty if nothing is left."""
     return " OR ".join(query_tokens(query))
@@ -52,7 +59,7 @@ def _bm25(counted: DataFrame, terms: int) -> DataFrame:
 
 def bm25_words(docs: DataFrame, query: str, unicode_words: bool = False) -> DataFrame:
     """id, score by words: lower case, accents folded, _ separates (a query token with one is a phrase of its parts)."""
-    phrases = [p for t in query_tokens(query, unicode_words) if (p := _fold(t))]
+    phrases = [p for t in index_tokens(query, unicode_words) if (p := _fold(t))]
     phrases = list(dict.fromkeys(map(tuple, phrases)))
     if not phrases:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
@@ -73,7 +80,7 @@ def _fold(token: str) -> list[str]:
 def bm25_trigrams(docs: DataFrame, query: str, unicode_words: bool = False) -> DataFrame:
     """id, score by substrings of three characters and more, case folded; shorter tokens match nothing. A document's
     length is its number of trigrams, a token's frequency its occurrences, overlapping ones too."""
-    terms = list(dict.fromkeys(t.lower() for t in query_tokens(query, unicode_words) if len(t) >= 3))
+    terms = list(dict.fromkeys(t.lower() for t in index_tokens(query, unicode_words) if len(t) >= 3))
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     low = docs.select("id", F.explode(F.array(F.lower(F.coalesce("text", F.lit(""))))).alias("_t"))

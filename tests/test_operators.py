@@ -91,6 +91,7 @@ def test_retrieval(spark):
     assert {r["id"] for r in rt.bm25_words(docs, "shell sandbox").collect()} == {1, 3}
     assert rt.bm25_words(docs, "snake_case").count() == 1 and rt.bm25_words(docs, "elan").count() == 1 and rt.bm25_words(docs, "élan").count() == 0
     assert rt.bm25_trigrams(docs, "elan").count() == 0 and rt.bm25_trigrams(docs, "sh").count() == 0 and rt.bm25_trigrams(docs, "hell").count() == 2
+    assert rt.bm25_words(docs, "shell AND prose").count() == 0 and rt.bm25_words(docs, "shell and").count() == 2
     overlapping = rt.bm25_trigrams(docs, "aaa").first()["score"]
     n, dl, avg, tf = 4, 24, (26 + 17 + 24 + 0) / 4, 2
     import math
