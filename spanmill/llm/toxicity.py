@@ -54,6 +54,17 @@ def gram_ids(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (h[left >= n] % np.uint64(GRAM_BUCKETS)).astype(np.int64), np.maximum(sizes - n + 1, 0)
 
 
+def sum_rows(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """n rows, each the sum of those of rows that at sends there."""
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def windows(n: int) -> np.ndarray:
     """Starts of the windows that cover n words; texts without words have one empty window."""
     return np.arange(0, max(1, n - WINDOW + STEP), STEP) if n > WINDOW else np.zeros(1, dtype=np.int64)
@@ -166,7 +177,7 @@ class BiGru:
         dx = np.zeros_like(x)
         for k, cols in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
             u, n = p[f"u{k}"], p[f"n{k}"]
-            gu, gn, dtable = np.zeros_like(u), np.zeros_like(n), np.zeros((len(words), 3 * HIDDEN), dtype=f4)
+            gu, gn, dgates = np.zeros_like(u), np.zeros_like(n), np.empty((*ids.shape, 3 * HIDDEN), dtype=f4)
             dh = np.zeros((len(flat), HIDDEN), dtype=f4)
             for i, h, z, r, new in reversed(held[k]):
                 dh = dh + dstates[:, i, cols]
@@ -179,17 +190,15 @@ class BiGru:
                 gn += (r * h).T @ dn
                 gu += h.T @ dzr
                 dh = stay + go * z + drh * r + dzr @ u.T
-                np.add.at(dtable, ids[:, i], np.concatenate([dzr, dn], axis=1))
+                dgates[:, i] = np.concatenate([dzr, dn], axis=1)
+            dtable = sum_rows(len(words), ids.reshape(-1), dgates.reshape(-1, 3 * HIDDEN))
             g |= {f"u{k}": gu, f"n{k}": gn, f"x{k}": x.T @ dtable, f"bx{k}": dtable.sum(axis=0)}
             dx += dtable @ p[f"x{k}"].T
         wid = np.array([self.vocabulary.get(w, 0) for w in words])
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], wid, dx[:, :WORD_DIM])
+        g["word"] = sum_rows(len(p["word"]), wid, dx[:, :WORD_DIM])
         parts = list(gram_ids(words))
         each = dx[:, WORD_DIM:] / sum(sizes for _, sizes in parts)[:, None]
-        g["char"] = np.zeros_like(p["char"])
-        for ids, sizes in parts:
-            np.add.at(g["char"], ids, np.repeat(each, sizes, axis=0))
+        g["char"] = sum_rows(GRAM_BUCKETS, np.concatenate([ids for ids, _ in parts]), np.concatenate([np.repeat(each, sizes, axis=0) for _, sizes in parts]))
         return g
 
     def train(self, texts: list[list[str]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> None:
