@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import cut, shared_dir, text_batches
+from spanmill.session import broadcast_small, cut, delete_path, shared_dir, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SIMILARITY = 5, 0.8
@@ -220,7 +220,7 @@ def mixed_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     about BLOCK_DOCS documents, so no task holds a large bucket.
     """
     sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_major"), F.sum("_n").alias("_all"))
-    dealt = rows.join(cut(sizes), "bucket").withColumn("_parts", F.ceil(F.col("_all") / BLOCK_DOCS).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
+    dealt = rows.join(broadcast_small(cut(sizes)), "bucket").withColumn("_parts", F.ceil(F.col("_all") / BLOCK_DOCS).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("_parts") - 1)
     built = dealt.select("bucket", F.col("_mine").alias("_j"), F.explode(every).alias("_i"), "doc_id", "label", F.lit(False).alias("probe"))
     probes = dealt.where("label <> _major").select("bucket", F.explode(every).alias("_j"), F.col("_mine").alias("_i"), "doc_id", "label", F.lit(True).alias("probe"))
@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(signatures(docs, id_col, text_col))
     copies = signed.where("words IS NOT NULL AND doc_id IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     dealt = cut(copies.select("rep", F.explode("bands").alias("bucket")))
-    buckets = dealt.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a")
+    # Computed before the join, which Spark can then split where a bucket is large.
+    buckets = cut(dealt.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a"))
     members = cut(dealt.join(buckets, "bucket").select("bucket", "a", F.col("rep").alias("b")))
 
     where = f"{shared_dir(spark)}/near-texts-{uuid.uuid4().hex}"
@@ -280,7 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets of several classes: pairs of different classes that have not met yet and may be similar.
     classed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", F.coalesce("label", "b").alias("label"))
     mixed = classed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high AND _n > 2").select("bucket")
+    mixed = broadcast_small(cut(mixed))
     late = cut(mixed_links(classed.join(mixed, "bucket").select("bucket", F.col("b").alias("doc_id"), "label"), texts, similarity))
+    delete_path(spark, where)
     if not late.isEmpty():
         links = links.unionByName(late)
         labels = components(links)
