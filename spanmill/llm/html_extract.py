@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import broadcast_small, cut, shared_dir, text_batches
+from spanmill.session import broadcast_small, cut, delete_path, shared_dir, text_batches
 
 #: Elements without content, ones whose content is no markup, and ones that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,6 +267,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     # At most 1 / share subtrees a page position can pass the share, so a host's list is bounded by the size of a page.
     lists = cut(template.groupBy("host").agg(F.collect_list("h").alias("template")))
 
+    delete_path(spark, path)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, set())
         for batch in batches:
