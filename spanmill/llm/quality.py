@@ -33,7 +33,7 @@ P = len(STATS)
 FLOOR = np.array([0.06, 0.25, 0.30, 0.12, 0.12, 0.20])
 #: Squared distance beyond which a document is an outlier: chi-square with P degrees of freedom, upper tail 1e-12.
 CUTOFF = 66.0
-CHUNK_ROWS, MIN_ROWS = 4000, 200
+CHUNK_ROWS, MIN_ROWS = 1000, 200
 MOMENTS = 1 + P + P * (P + 1) // 2
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -152,8 +152,8 @@ def _gather(frame: DataFrame, keys: list[str], col: str = "m") -> DataFrame:
     return frame.groupBy(*keys).agg(*_sums(col)).select(*keys, F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("m"))
 
 
-def _judge(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
-    """stats with d2 by their group's estimate and, for a further step, the moments of rows within cutoff."""
+def _judge(stats: DataFrame, params: DataFrame) -> DataFrame:
+    """stats with d2, the squared distance by their group's estimate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -169,11 +169,19 @@ def _judge(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
     return joined.select(*order).mapInPandas(run, schema)
 
 
-def _within(judged: DataFrame, cutoff: float) -> DataFrame:
-    x = [F.element_at("x", i + 1) for i in range(P)]
-    parts = [F.lit(1.0), *x, *[x[i] * x[j] for i, j in PAIRS]]
-    sums = [F.sum(F.when(F.col("d2") <= cutoff, v)).alias(f"_m{i}") for i, v in enumerate(parts)]
-    return judged.groupBy("lang", "source").agg(*sums).select("lang", "source", F.array(*[F.coalesce(f"_m{i}", F.lit(0.0)) for i in range(MOMENTS)]).alias("m"))
+def _within(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
+    """The moments of each group's rows within cutoff of its estimate, summed where the rows are before they are shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for (lang, source), at in pdf.groupby(["lang", "source"], dropna=False).indices.items():
+                x = np.array(pdf["x"].iloc[at].to_list(), dtype=np.float64).reshape(-1, P)
+                out.append((lang, source, moments(x[distances(x, *estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64))) <= cutoff])))
+            yield pd.DataFrame(out, columns=["lang", "source", "m"])
+
+    joined = stats.join(broadcast_small(params), ["lang", "source"]).select("lang", "source", "x", "m")
+    return _gather(joined.mapInPandas(run, "lang string, source string, m array<double>"), ["lang", "source"])
 
 
 def _with_fallback(groups: DataFrame, counts: DataFrame, min_rows: int) -> DataFrame:
@@ -181,8 +189,8 @@ def _with_fallback(groups: DataFrame, counts: DataFrame, min_rows: int) -> DataF
     by_lang = _gather(groups, ["lang"]).withColumnRenamed("m", "_ml")
     overall = groups.groupBy().agg(*_sums("m")).select(F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("_mo"))
     lang_rows = counts.groupBy("lang").agg(F.sum("rows").alias("_lang_rows"))
-    own = counts.join(groups, ["lang", "source"]).join(by_lang, "lang").join(lang_rows, "lang").join(F.broadcast(overall))
-    return own.select("lang", "source", F.when(F.col("rows") >= min_rows, F.col("m")).when(F.col("_lang_rows") >= min_rows, F.col("_ml")).otherwise(F.col("_mo")).alias("m"))
+    own = counts.join(groups, ["lang", "source"]).join(by_lang, "lang").join(lang_rows, "lang")
+    return own.select("lang", "source", F.when(F.col("rows") >= min_rows, F.col("m")).when(F.col("_lang_rows") >= min_rows, F.col("_ml")).otherwise(overall.scalar()).alias("m"))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_rows: int = MIN_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -205,10 +213,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     halves = chunked.select("lang", "source", chunk.alias("_chunk"), "x").groupBy("lang", "source", "_chunk").applyInPandas(_chunk, "lang string, source string, m array<double>")
     params = cut(_with_fallback(_gather(halves, ["lang", "source"]), counts, min_rows))
     for _ in range(2):
-        params = cut(_with_fallback(_within(_judge(good, params, cutoff), cutoff / 2), counts, min_rows))
+        params = cut(_with_fallback(_within(good, params, cutoff / 2), counts, min_rows))
     fields = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keyed = stats.select("lang", "source", *fields, "base_failed", "x")
-    passed = _judge(keyed.where(~F.col("base_failed")), params, cutoff)
+    passed = _judge(keyed.where(~F.col("base_failed")), params)
     rest = keyed.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return passed.unionByName(rest).select(*fields, "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"))
 
