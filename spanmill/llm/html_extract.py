@@ -1,9 +1,10 @@
 """Main text of web pages: site template removal, then structural rules.
 
 Every element subtree of a page is hashed (tag, attributes that name its part of the page, and all it holds). Spark
-counts, for each host, on how many pages a subtree occurs; those on many of a host's pages are template and go, with
-all they hold. The article itself is no template: what lies in a page's main element stays, however many pages repeat
-it. Rules remove the parts that need no second page to be known: menus, headers, footers, sidebars, notices, adverts,
+counts, for each host, on how many different pages a subtree occurs; those on many of a host's pages are template and
+go, with all they hold, inside the main element as well. The article itself is no template: main elements are not
+counted, what they hold counts once for all pages that have an equal one, and an article of which hardly anything
+would remain stays whole. Rules remove the parts that need no second page to be known: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments of readers, by tag, role and the words of class and id.
 """
 
@@ -51,6 +52,10 @@ MIN_PAGES, SHARE = 5, 0.5
 MIN_CHARS = 3
 
 
+#: Inside a main element templates hold so many; of a main element's text so large a part remains, or all of it stays.
+MIN_INNER_CHARS, MIN_REMAINS = 8, 0.1
+
+
 #: Hosts with templates up to which their lists are broadcast; beyond, pages meet them by a join that Spark may split.
 MAX_HOSTS = 20_000
 
@@ -199,7 +204,7 @@ def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = F
         if done:
             flush()
             continue
-        if item is not node and (is_part(item) and not (inside and _is_heading(item)) or (not inside and item.hash in template)):
+        if item is not node and (is_part(item) and not (inside and _is_heading(item)) or item.hash in template):
             if item.tag in BLOCK or item.tag == "template":
                 flush()
             continue
@@ -211,24 +216,39 @@ def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = F
     return out
 
 
+def main_blocks(node: Node, template: frozenset | set) -> list[str]:
+    """Blocks of a main element without template, or all if that is nearly all: copies of an article that differ little."""
+    all_of_it = blocks(node, inside=True)
+    left = blocks(node, template, inside=True) if template else all_of_it
+    return left if sum(map(len, left)) >= MIN_REMAINS * sum(map(len, all_of_it)) else all_of_it
+
+
 def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
     mains = main_nodes(root)
     if mains:
-        return " ".join(x for m in mains for x in blocks(m, template, inside=True))
+        return " ".join(x for m in mains for x in main_blocks(m, template))
     return " ".join(blocks(root, template))
 
 
-def subtrees(root: Node) -> set[int]:
-    """Hashes of the subtrees outside the main element that hold text."""
-    keep = {id(n) for n in main_nodes(root)}
-    found, todo = set(), list(root.kids)
+def subtrees(root: Node) -> set[tuple[int, int]]:
+    """Hashes of the subtrees that hold text, each with that of what it is found in: the page or, inside one, the main
+    element. Main elements are left out, and what rules remove inside them anyway."""
+    mains = main_nodes(root)
+    found: set[tuple[int, int]] = set()
+    keep = {id(n) for n in mains}
+    todo: list = [(k, root.hash, MIN_CHARS, False) for k in root.kids]
     while todo:
-        node = todo.pop()
-        if not isinstance(node, Node) or id(node) in keep:
+        node, within, least, inside = todo.pop()
+        if not isinstance(node, Node):
+            continue
+        if id(node) in keep:
+            todo += [(k, node.hash, MIN_INNER_CHARS, True) for k in node.kids]
+            continue
+        if inside and is_part(node) and not _is_heading(node):
             continue
-        if node.chars >= MIN_CHARS and node.tag not in ("html", "body"):
-            found.add(node.hash)
-        todo += node.kids
+        if node.chars >= least and node.tag not in ("html", "body"):
+            found.add((node.hash, within))
+        todo += [(k, within, least, inside) for k in node.kids]
     return found
 
 
@@ -248,17 +268,19 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, places = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 root = parse(page.as_py() or "")
                 digest(root)
-                hs = [h - 2**64 if h >= 2**63 else h for h in subtrees(root)] + [None]
-                found += hs
+                hs = [*subtrees(root), (None, root.hash)]
+                found += [h if h is None or h < 2**63 else h - 2**64 for h, _ in hs]
+                places += [w if w < 2**63 else w - 2**64 for _, w in hs]
                 hosts += [host] * len(hs)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(places, pa.int64())], names=["host", "h", "place"])
 
-    # A row for each subtree of a page and one (null) for the page itself; counts combine before the shuffle.
-    counts = rows.select("host", "html").mapInArrow(hashes, "host string, h long").groupBy("host", "h").count().where((F.col("count") >= min_pages) | F.col("h").isNull())
+    # A row for each subtree of a page and one (null) for the page itself; equal pages or main elements count once.
+    places = rows.select("host", "html").mapInArrow(hashes, "host string, h long, place long").distinct()
+    counts = places.groupBy("host", "h").count().where((F.col("count") >= min_pages) | F.col("h").isNull())
     path = f"{shared_dir(spark)}/subtrees-{uuid.uuid4().hex}"
     counts.write.parquet(path)
     counts = spark.read.parquet(path)
