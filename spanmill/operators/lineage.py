@@ -39,11 +39,15 @@ def prefix_parent(entries: DataFrame) -> DataFrame:
 
 
 def prefix_child(entries: DataFrame) -> DataFrame:
-    """scope, idx, child: the later entry of the fewest messages that begin with this one's; among equals the earliest."""
+    """scope, idx, child: the later entry of the fewest messages that begin with this one's; among equals the earliest.
+
+    Linear in messages, as prefix_parent: a window over the entries with a prefix, latest first, no pairs.
+    """
     hashed = entries.select("scope", "idx", prefix_hashes(F.col("prints")).alias("_h"))
-    mine = hashed.where(F.size("_h") > 0).select("scope", "idx", F.size("_h").alias("_len"), F.element_at("_h", -1).alias("_key"))
-    others = hashed.select("scope", F.col("idx").alias("_c"), F.size("_h").alias("_n"), F.posexplode("_h").alias("_i", "_key")).withColumn("_len", F.col("_i") + 1)
-    return mine.join(others, ["scope", "_len", "_key"]).where("_c > idx").groupBy("scope", "idx").agg(F.min_by("_c", F.struct("_n", "_c")).alias("child"))
+    prefixes = hashed.select("scope", "idx", F.size("_h").alias("_n"), F.posexplode("_h").alias("_i", "_key")).withColumn("_len", F.col("_i") + 1)
+    later = Window.partitionBy("scope", "_len", "_key").orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, -1)
+    found = prefixes.withColumn("_best", F.min(F.struct("_n", F.col("idx").alias("child"))).over(later))
+    return found.where("_len = _n AND _best IS NOT NULL").groupBy("scope", "idx").agg(F.min("_best.child").alias("child"))
 
 
 def by_response(entries: DataFrame) -> DataFrame:

@@ -440,20 +440,33 @@ def session_islands(spark, sf_dir):
 _RUNS = "x AS (SELECT scope, idx, CASE WHEN idx % 4 = 0 THEN [0] ELSE list_transform(range(0, idx % 4 + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE (i * 7 + idx // 8) % 3 END) END AS p FROM r0)"
 
 
-def _prints(spark, sf_dir):
+def _prints(entries):
     i = F.col("idx")
     made = F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda n: F.when(n == 0, F.lit(0)).otherwise((n * 7 + F.floor(i / 8)) % 3).cast("string"))
-    return _entries(spark, sf_dir).where("idx < 40").withColumn("prints", made)
+    return entries.withColumn("prints", made)
 
 
 @query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records WHERE record_index < 40), {_RUNS}, m AS (SELECT b.scope, b.idx, a.idx AS p, len(a.p) AS n FROM x b JOIN x a ON a.scope = b.scope AND a.idx < b.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_max(p, (n, p)) AS parent FROM m GROUP BY 1, 2")
 def prefix_parent(spark, sf_dir):
-    return ln.prefix_parent(_prints(spark, sf_dir))
+    return ln.prefix_parent(_prints(_entries(spark, sf_dir).where("idx < 40")))
 
 
 @query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records WHERE record_index < 40), {_RUNS}, m AS (SELECT a.scope, a.idx, b.idx AS c, len(b.p) AS n FROM x a JOIN x b ON a.scope = b.scope AND b.idx > a.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_min(c, (n, c)) AS child FROM m GROUP BY 1, 2")
 def prefix_child(spark, sf_dir):
-    return ln.prefix_child(_prints(spark, sf_dir))
+    return ln.prefix_child(_prints(_entries(spark, sf_dir).where("idx < 40")))
+
+
+# Over all records; the SQL of the two before is a self-join, which holds the first 40 of a session against the operators
+
+
+@query()
+def prefix_parent_all(spark, sf_dir):
+    return ln.prefix_parent(_prints(_entries(spark, sf_dir)))
+
+
+@query()
+def prefix_child_all(spark, sf_dir):
+    return ln.prefix_child(_prints(_entries(spark, sf_dir)))
 
 
 @query("WITH RECURSIVE l AS (SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN event_id - 1 - event_id % 3 END AS parent FROM events), c AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth FROM l WHERE parent IS NULL OR parent NOT IN (SELECT id FROM l) UNION ALL SELECT l.id, c.root, c.depth + 1 FROM l JOIN c ON l.parent = c.id) SELECT * FROM c")

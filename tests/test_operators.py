@@ -129,6 +129,25 @@ def brute_prefix(rows):
     return out
 
 
+def test_prefixes_of_all_records(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from spanmill.plans import catalogue
+
+    n = 90
+    made = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), 1, "view", 1.5, '{"k": 1}') for i in range(n)]
+    spark.createDataFrame(made, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    p = [[0 if k == 0 else (k * 7 + i // 8) % 3 for k in range(i % 4 + 1)] for i in range(n)]
+    parent, child = {}, {}
+    for i in range(n):
+        before = [(len(p[j]), j) for j in range(i) if p[i][: len(p[j])] == p[j]]
+        after = [(len(p[j]), j) for j in range(i + 1, n) if p[j][: len(p[i])] == p[i]]
+        parent |= {i: max(before)[1]} if before else {}
+        child |= {i: min(after)[1]} if after else {}
+    assert {r["idx"]: r["parent"] for r in catalogue.QUERIES["prefix_parent_all"](spark, str(tmp_path)).collect()} == parent
+    assert {r["idx"]: r["child"] for r in catalogue.QUERIES["prefix_child_all"](spark, str(tmp_path)).collect()} == child
+
+
 def test_lineage(spark):
     rows = [{"p": ["a"]}, {"p": ["a", "b"]}, {"p": ["x"]}, {"p": ["a", "b", "c"]}, {"p": ["a", "b"]}, {"p": []}, {"p": ["x", "y"], "prev": "r1", "rid": "r2"}, {"p": ["q"], "thread": "t"}, {"p": ["z"], "thread": "t", "model": "n"}, {"p": ["only"], "model": "k"}]
     e = entries(spark, rows)
