@@ -1,8 +1,9 @@
 r"""Secret scans: patterns, then a character convolutional network over every other candidate in its context.
 
 Base findings come from three patterns and always stay. Candidates are the remaining tokens that could be secrets:
-runs of 16 to 512 characters of [A-Za-z0-9+/_.=-] with a digit among them or both cases mixed. Each is read with LEFT
-characters before and RIGHT after it, and a network of two convolutions, max pooling and a dense layer, written in
+runs of at least 16 characters of [A-Za-z0-9+/_.=-] outside base findings, with a digit among them or both cases mixed.
+Each is read with LEFT characters before and RIGHT after it, TOKEN characters at a time: a longer one in overlapping
+windows, of which the highest score counts. A network of two convolutions, max pooling and a dense layer, written in
 numpy, says how likely it is a secret. It is trained on labelled findings made from a seed (keys, tokens, connection
 strings against identifiers, hashes of builds, paths, versions, words); a held-out half calibrates its scores
 (Platt scaling) and sets the threshold: the largest that keeps RECALL of the held-out secrets.
@@ -34,11 +35,13 @@ ASSIGN = re.compile("(" + "|".join(_any_case(k) for k in KEYWORDS) + r""")["']?\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 #: Characters that the network reads of a candidate, and around it.
 LEFT, TOKEN, RIGHT = 24, 48, 8
 WIDTH = LEFT + TOKEN + RIGHT
-MAX_CANDIDATE = 512
+#: Places between the windows of a long candidate.
+WINDOW_STEP = 24
 RECALL, TRAIN_EXAMPLES, SEED = 0.98, 6000, 11
 CHANNELS, KERNEL, EMBED = 24, 5, 12
 
@@ -55,18 +58,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that may be secrets and overlap no base finding."""
-    found = []
+    """Tokens that may be secrets: runs of any length, or their pieces outside base findings."""
+    found, taken, k = [], [], 0
+    for start, _, end in sorted(base):
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        t = m[0]
-        if b - a > MAX_CANDIDATE or not (any(c.isdigit() for c in t) or (t != t.lower() and t[1:] != t[1:].lower() and t != t.upper())):
-            continue
-        if not any(a < end and start < b for start, _, end in base):
-            found.append((a, b))
+        at, stop = m.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        i = k
+        while at < stop:
+            start, end = taken[i] if i < len(taken) and taken[i][0] < stop else (stop, stop)
+            t = text[at:start] if start > at else ""
+            if len(t) >= LEAST and (any(c.isdigit() for c in t) or (t != t.lower() and t[1:] != t[1:].lower() and t != t.upper())):
+                found.append((at, start))
+            at, i = end, i + 1
+        k = max(k, i - 1)
     return found
 
 
+def window_spans(a: int, b: int) -> list[tuple[int, int]]:
+    """The candidate from its start, and overlapping windows over the rest of one of more than TOKEN characters."""
+    rest = range(a + WINDOW_STEP, b - TOKEN, WINDOW_STEP)
+    return [(a, b), *[(s, s + TOKEN) for s in rest], *([(b - TOKEN, b)] if b - a > TOKEN else [])]
+
+
 def code_points(text: str, start: int, end: int) -> np.ndarray:
     """One example: context, token and context as character classes; 0 pads, 1 stands for all non-ASCII."""
     out = np.zeros(WIDTH, dtype=np.uint8)
@@ -228,12 +247,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base = base_spans(text)
                 found.append((base, list(base)))
                 for a, b in candidates(text, base):
-                    wanted.append(code_points(text, a, b))
-                    where.append((i, a, b))
+                    for start, end in window_spans(a, b):
+                        wanted.append(code_points(text, start, end))
+                        where.append((i, a, b))
             if wanted:
-                for (i, a, b), p in zip(where, cnn.score(np.stack(wanted))):
-                    if p >= cnn.threshold:
-                        found[i][1].append((a, 3, b))
+                hits = {at for at, p in zip(where, cnn.score(np.stack(wanted))) if p >= cnn.threshold}
+                for i, a, b in hits:
+                    found[i][1].append((a, 3, b))
             counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(3)]
             shas = [hashlib.sha256(join_spans(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays(
