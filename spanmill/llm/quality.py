@@ -7,7 +7,9 @@ chunks' halves add up to the group's first estimate. Two concentration steps ove
 distributed aggregation. A document whose squared Mahalanobis distance exceeds the chi-square cutoff is rejected.
 
 Groups with fewer than MIN_ROWS rows take the estimate of their language, and those of all documents if that is small
-as well. FLOOR keeps a statistic that hardly varies among a group's documents from making every small deviation an outlier.
+as well. FLOOR keeps a statistic that hardly varies among a group's documents from making every small deviation an outlier; it is
+small enough that each statistic can reject by itself. The scatter of a part of the rows is multiplied by what makes it
+consistent for normal rows.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 STATS = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "bang_rate")
 P = len(STATS)
 #: Standard deviations that a statistic has at least, on its transformed scale.
-FLOOR = np.array([0.06, 0.25, 0.30, 0.12, 0.12, 0.20])
-#: Squared distance beyond which a document is an outlier: chi-square with P degrees of freedom, upper tail 1e-12.
-CUTOFF = 66.0
+FLOOR = np.array([0.06, 0.25, 0.24, 0.096, 0.12, 0.20])
+#: Squared distance beyond which a document is an outlier: chi-square with P degrees of freedom, upper tail 1e-6.
+CUTOFF = 38.26
+#: Squared distance up to which rows enter the estimates again: upper tail 1e-5. Half of all rows lie within MEDIAN.
+WITHIN, MEDIAN = 33.0, 5.348
 CHUNK_ROWS, MIN_ROWS = 1000, 200
 MOMENTS = 1 + P + P * (P + 1) // 2
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -110,13 +114,19 @@ def moments(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(x)], x.sum(0), [(x[:, i] * x[:, j]).sum() for i, j in PAIRS]])
 
 
-def estimate(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and scatter (with the floor) from summed moments."""
+def consistency(cutoff: float) -> float:
+    """What the scatter of normal rows within a squared distance is to be multiplied with to be that of all of them (P is even)."""
+    terms = [math.exp(-cutoff / 2) * (cutoff / 2) ** k / math.factorial(k) for k in range(P // 2 + 1)]
+    return (1 - sum(terms[:-1])) / (1 - sum(terms))
+
+
+def estimate(m: np.ndarray, within: float = MEDIAN) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter (made consistent for rows within a squared distance, with the floor) from summed moments."""
     n = max(m[0], 1.0)
     mean, cov = m[1 : 1 + P] / n, np.zeros((P, P))
     for v, (i, j) in zip(m[1 + P :] / n, PAIRS):
         cov[i, j] = cov[j, i] = v - mean[i] * mean[j]
-    return mean, cov + np.diag(FLOOR**2)
+    return mean, consistency(within) * cov + np.diag(FLOOR**2)
 
 
 def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -152,14 +162,14 @@ def _gather(frame: DataFrame, keys: list[str], col: str = "m") -> DataFrame:
     return frame.groupBy(*keys).agg(*_sums(col)).select(*keys, F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("m"))
 
 
-def _judge(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """stats with d2, the squared distance by their group's estimate."""
+def _judge(stats: DataFrame, params: DataFrame, within: float) -> DataFrame:
+    """stats with d2, the squared distance by their group's estimate from rows within a squared distance."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             d2 = np.zeros(len(pdf))
             for _, at in pdf.groupby(["lang", "source"], dropna=False).indices.items():
-                mean, cov = estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64))
+                mean, cov = estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64), within)
                 d2[at] = distances(np.array(pdf["x"].iloc[at].to_list(), dtype=np.float64).reshape(-1, P), mean, cov)
             yield pdf.drop(columns="m").assign(d2=d2)
 
@@ -169,15 +179,15 @@ def _judge(stats: DataFrame, params: DataFrame) -> DataFrame:
     return joined.select(*order).mapInPandas(run, schema)
 
 
-def _within(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
-    """The moments of each group's rows within cutoff of its estimate, summed where the rows are before they are shuffled."""
+def _within(stats: DataFrame, params: DataFrame, before: float) -> DataFrame:
+    """The moments of each group's rows within WITHIN of its estimate (from rows within before), summed where the rows are before they are shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for (lang, source), at in pdf.groupby(["lang", "source"], dropna=False).indices.items():
                 x = np.array(pdf["x"].iloc[at].to_list(), dtype=np.float64).reshape(-1, P)
-                out.append((lang, source, moments(x[distances(x, *estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64))) <= cutoff])))
+                out.append((lang, source, moments(x[distances(x, *estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64), before)) <= WITHIN])))
             yield pd.DataFrame(out, columns=["lang", "source", "m"])
 
     joined = stats.join(broadcast_small(params), ["lang", "source"]).select("lang", "source", "x", "m")
@@ -212,11 +222,11 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunk = F.pmod(F.xxhash64("doc_id", "n_words", "x"), F.ceil(F.col("rows") / chunk_rows))
     halves = chunked.select("lang", "source", chunk.alias("_chunk"), "x").groupBy("lang", "source", "_chunk").applyInPandas(_chunk, "lang string, source string, m array<double>")
     params = cut(_with_fallback(_gather(halves, ["lang", "source"]), counts, min_rows))
-    for _ in range(2):
-        params = cut(_with_fallback(_within(good, params, cutoff / 2), counts, min_rows))
+    for before in (MEDIAN, WITHIN):
+        params = cut(_with_fallback(_within(good, params, before), counts, min_rows))
     fields = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keyed = stats.select("lang", "source", *fields, "base_failed", "x")
-    passed = _judge(keyed.where(~F.col("base_failed")), params)
+    passed = _judge(keyed.where(~F.col("base_failed")), params, WITHIN)
     rest = keyed.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return passed.unionByName(rest).select(*fields, "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"))
 

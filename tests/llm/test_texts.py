@@ -159,6 +159,21 @@ def test_quality(spark):
     assert quality.judge_quality(table(spark, [(1, None, None, None)])).first()["kept"] is False
 
 
+def test_each_statistic_rejects_alone(spark):
+    r = random.Random(7)
+    rows = documents(600)
+    fresh = lambda n: [f"{r.choice('bcdfg')}{r.choice('aeiou')}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(n)]
+    words = fresh(300)
+    lone = {
+        9001: " ".join(fresh(2000)) + "\nRead more" * 31,
+        9002: " ".join(words[:156] + 2 * words[156:228]),
+        9003: " ".join(w.upper() if k % 2 else w for k, w in enumerate(words)),
+    }
+    got = {x["doc_id"]: x for x in quality.judge_quality(table(spark, rows + [(i, t, "en", "s1") for i, t in lone.items()]), min_rows=50, chunk_rows=100).collect()}
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in lone), {i: got[i] for i in lone}
+    assert all(got[i]["kept"] or got[i]["base_failed"] for i, *_ in rows)
+
+
 def test_repeat_words():
     assert quality.count_repeats("a b c a b c".split()) == 6
     assert quality.count_repeats("a a a a".split()) == 4
