@@ -46,8 +46,10 @@ CLOSES_P = BLOCK - {"br", "button", "caption", "option", "optgroup", "legend", "
 SCOPE = frozenset("table td th ul ol dl article section div main body html nav aside header footer blockquote form button".split())
 SPACE = re.compile(r"\s+")
 
-#: A subtree is template if it occurs on MIN_PAGES pages of a host at least, and on SHARE of them.
+#: A subtree is template if it occurs on MIN_PAGES pages of a host at least, and on the square root of their number if it
+#: is a part of a page (one of WHOLE) with MIN_INNER_CHARS characters; others, as words within a line, on SHARE of them.
 MIN_PAGES, SHARE = 5, 0.5
+WHOLE = frozenset("address aside blockquote center details dialog dir div dl fieldset figure footer form header hgroup menu nav ol p pre section table ul".split())
 #: Template subtrees hold so many characters at least: single words recur by chance.
 MIN_CHARS = 3
 
@@ -230,11 +232,11 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
     return " ".join(blocks(root, template))
 
 
-def subtrees(root: Node) -> set[tuple[int, int]]:
-    """Hashes of the subtrees that hold text, each with that of what it is found in: the page or, inside one, the main
-    element. Main elements are left out, and what rules remove inside them anyway."""
+def subtrees(root: Node) -> set[tuple[int, int, bool]]:
+    """Hashes of the subtrees that hold text, each with that of what it is found in (the page or, inside one, the main
+    element) and whether it is a whole part of the page. Main elements are left out, and what rules remove inside them anyway."""
     mains = main_nodes(root)
-    found: set[tuple[int, int]] = set()
+    found: set[tuple[int, int, bool]] = set()
     keep = {id(n) for n in mains}
     todo: list = [(k, root.hash, MIN_CHARS, False) for k in root.kids]
     while todo:
@@ -247,7 +249,7 @@ def subtrees(root: Node) -> set[tuple[int, int]]:
         if inside and is_part(node) and not _is_heading(node):
             continue
         if node.chars >= least and node.tag not in ("html", "body"):
-            found.add((node.hash, within))
+            found.add((node.hash, within, node.tag in WHOLE and node.chars >= MIN_INNER_CHARS))
         todo += [(k, within, least, inside) for k in node.kids]
     return found
 
@@ -268,25 +270,26 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found, places = [], [], []
+            hosts, found, places, wholes = [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 root = parse(page.as_py() or "")
                 digest(root)
-                hs = [*subtrees(root), (None, root.hash)]
-                found += [h if h is None or h < 2**63 else h - 2**64 for h, _ in hs]
-                places += [w if w < 2**63 else w - 2**64 for _, w in hs]
+                hs = [*subtrees(root), (None, root.hash, True)]
+                found += [h if h is None or h < 2**63 else h - 2**64 for h, _, _ in hs]
+                places += [w if w < 2**63 else w - 2**64 for _, w, _ in hs]
+                wholes += [x for _, _, x in hs]
                 hosts += [host] * len(hs)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(places, pa.int64())], names=["host", "h", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(places, pa.int64()), pa.array(wholes, pa.bool_())], names=["host", "h", "place", "whole"])
 
     # A row for each subtree of a page and one (null) for the page itself; equal pages or main elements count once.
-    places = rows.select("host", "html").mapInArrow(hashes, "host string, h long, place long").distinct()
-    counts = places.groupBy("host", "h").count().where((F.col("count") >= min_pages) | F.col("h").isNull())
+    places = rows.select("host", "html").mapInArrow(hashes, "host string, h long, place long, whole boolean").distinct()
+    counts = places.groupBy("host", "h", "whole").count().where((F.col("count") >= min_pages) | F.col("h").isNull())
     path = f"{shared_dir(spark)}/subtrees-{uuid.uuid4().hex}"
     counts.write.parquet(path)
     counts = spark.read.parquet(path)
     totals = counts.where("h IS NULL").select("host", F.col("count").alias("pages"))
-    template = counts.where("h IS NOT NULL").join(totals, "host").where(F.col("count") >= share * F.col("pages"))
-    # At most 1 / share subtrees a page position can pass the share, so a host's list is bounded by the size of a page.
+    template = counts.where("h IS NOT NULL").join(totals, "host").where(F.col("count") >= F.when(F.col("whole"), F.least(F.sqrt("pages"), share * F.col("pages"))).otherwise(share * F.col("pages")))
+    # At most the square root of its pages' number can pass at a page position, so a host's list grows slowly with them.
     lists = cut(template.groupBy("host").agg(F.collect_list("h").alias("template")))
 
     delete_path(spark, path)
