@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from spanmill.session import cut
 
@@ -64,9 +65,22 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier id has; columns as in docs."""
-    dropped = dedup_exact(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped_id")), "left_anti")
+    """docs with one row of each text, that of the smallest id; columns as in docs.
+
+    The verdict is on the row, by id and digest of the text, so other rows of a dropped row's id stay, and so do rows
+    without an id. Of rows that repeat both, the smallest by text and the other columns that can be ordered stays.
+    """
+    verdicts = cut(dedup_exact(docs, id_col, text_col))
+    key = [F.col("_row_id").eqNullSafe(F.col("_id")), F.col("_row_sha") == F.col("_sha")]
+    named = lambda v: v.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumns({"_row_id": F.col(id_col), "_row_sha": sha256_hex(normalise(F.col(text_col)))})
+    left = keyed.join(named(verdicts.where(~F.col("kept"))), key, "left_anti")
+    again = cut(named(verdicts.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    order = [text_col, *[f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name != text_col]]
+    one = left.join(again, key, "left_semi").groupBy("_row_id", "_row_sha").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("_one"))
+    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
 
 
 OP4_SQL = r"""

@@ -231,7 +231,13 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return passed.unionByName(rest).select(*fields, "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """docs without what judge_quality rejects; columns as in docs."""
-    bad = judge_quality(docs, id_col, **cols).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """docs without what judge_quality rejects; columns as in docs.
+
+    The verdict is on the row: rows are judged under a key of id, language, source and text, all that a verdict depends
+    on, so other rows of a rejected row's id stay, and so do rows without an id.
+    """
+    fields = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(source_col).alias("s")))
+    keyed = docs.withColumn("_row_key", F.sha2(F.concat(fields, F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))), 256))
+    bad = judge_quality(keyed, "_row_key", text_col, lang_col, source_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_row_key"))
+    return keyed.join(bad, "_row_key", "left_anti").select(*docs.columns)

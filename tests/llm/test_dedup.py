@@ -57,6 +57,12 @@ def test_exact_odd_rows(spark):
     assert exact_dedup.dedup_exact(table(spark, [])).count() == 0
 
 
+def test_keep_first_drops_rows_not_ids(spark):
+    ids, texts = [None, None, None, 3, 5, 5, 7, 7, None], ["a", "own", "other", "a", "a", "b", "c", "c", "other"]
+    kept = exact_dedup.keep_first(table(spark, texts, ids))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("3", "a"), ("5", "b"), ("7", "c"), ("None", "other"), ("None", "own")]
+
+
 def bag(text):
     w = WORDS.findall(text or "")
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None

@@ -159,6 +159,12 @@ def test_quality(spark):
     assert quality.judge_quality(table(spark, [(1, None, None, None)])).first()["kept"] is False
 
 
+def test_keep_good_drops_rows_not_ids(spark):
+    good = [" ".join(f"{w}{k}" for w in "abcdefghij" for k in range(20 + n)) for n in range(3)]
+    rows = [(None, good[0], "en", "s"), (None, "too short", "en", "s"), (5, good[1], "en", "s"), (5, "short", "en", "s"), (None, good[2], None, None)]
+    assert sorted(r["text"] for r in quality.keep_good(table(spark, rows)).collect()) == sorted(good)
+
+
 def test_each_statistic_rejects_alone(spark):
     r = random.Random(7)
     rows = documents(600)
