@@ -608,8 +608,7 @@ def expanded_turns(spark, sf_dir):
 @query(f"WITH {M}, f AS (SELECT session_id, record_index, role, text FROM messages) SELECT session_id, record_index, role FROM f WHERE role = 'assistant' AND length(trim(text)) >= 20 AND length(text) <= 2000")
 def indexed_answers(spark, sf_dir):
     m = rc.messages(_conversation_records(spark, sf_dir)).where("role = 'assistant'")
-    whole = m.groupBy("session_id", "record_index").agg(F.max("message_index").alias("_n")).where("_n = 0")
-    return m.join(whole, ["session_id", "record_index"]).select("session_id", "record_index", "role")
+    return m.select("session_id", "record_index", "role").distinct()  # a row for each answer, whatever its number of pieces
 
 
 @query("SELECT doc_id, sha256(text) AS hash, strlen(text) AS size_bytes FROM documents")

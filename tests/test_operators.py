@@ -148,6 +148,15 @@ def test_prefixes_of_all_records(spark, tmp_path):
     assert {r["idx"]: r["child"] for r in catalogue.QUERIES["prefix_child_all"](spark, str(tmp_path)).collect()} == child
 
 
+def test_indexed_answers_keeps_long_ones(spark, tmp_path):
+    from spanmill.plans import catalogue
+
+    long = "A sentence of a long answer, number. " * 200
+    spark.createDataFrame([(1, 0, "user", "what is it?"), (1, 1, "assistant", long), (1, 2, "assistant", long[:100])], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalogue.QUERIES["indexed_answers"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("1", 1, "assistant"), ("1", 2, "assistant")]
+
+
 def test_lineage(spark):
     rows = [{"p": ["a"]}, {"p": ["a", "b"]}, {"p": ["x"]}, {"p": ["a", "b", "c"]}, {"p": ["a", "b"]}, {"p": []}, {"p": ["x", "y"], "prev": "r1", "rid": "r2"}, {"p": ["q"], "thread": "t"}, {"p": ["z"], "thread": "t", "model": "n"}, {"p": ["only"], "model": "k"}]
     e = entries(spark, rows)
