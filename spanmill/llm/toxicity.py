@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is a row of words, scored in overlapping windows of WINDOW words, one starting every STEP words; the text's
+A text is a row of words (of long ones, as in scripts without spaces, overlapping parts), scored in overlapping windows of WINDOW words, one starting every STEP words; the text's
 score is that of its worst window. A word enters as its own vector (words of the training sample that occur in
 MIN_DOCS documents) beside the mean vector of its character n-grams, so forms never seen before are read by their
 letters. Two recurrent passes, one from each side, meet in an attention layer whose weighted mean decides.
@@ -32,19 +32,23 @@ MIN_DOCS, MAX_VOCABULARY = 4, 8000
 TRAIN_TOXIC, TRAIN_OTHER = 900, 1500
 TOXIC_WINDOWS, OTHER_WINDOWS, EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 24, 6, 3, 150, 48, 1e-2, 5
 HELD_OUT, THRESHOLD = 2, 0.3
-#: Longest part of a word that is read, in characters; and words whose vectors a worker keeps.
-WORD_CHARS, KEPT_WORDS, CHUNK_WINDOWS = 40, 120_000, 4096
+#: Characters of a word; a longer one is read in parts, one starting every PART_STEP characters. Words whose vectors a worker keeps.
+WORD_CHARS, PART_STEP, KEPT_WORDS, CHUNK_WINDOWS = 40, 20, 120_000, 4096
 f4 = np.float32
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Words in text order; one of more than WORD_CHARS characters as overlapping parts that cover it, each a word."""
+    words = WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= WORD_CHARS:
+        return words
+    return [w[i : i + WORD_CHARS] for w in words for i in range(0, max(1, len(w) - WORD_CHARS + PART_STEP), PART_STEP)]
 
 
 def gram_ids(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length in GRAMS: the buckets of the n-grams of <word>, word after word, and how many each word has."""
-    sizes = np.array([min(len(w), WORD_CHARS) + 2 for w in words], dtype=np.int64)
-    codes = np.frombuffer("".join([f"<{w[:WORD_CHARS]}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the word's end
     for n in GRAMS:
         h = np.full(len(codes), n, dtype=np.uint64)

@@ -344,6 +344,18 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(table(spark, []), labels, net=toxicity.BiGru(["a"])).count() == 0
 
 
+def test_long_words_are_read_whole():
+    net = toxicity.BiGru(["aa"], seed=3)
+    plain, toxic = "話" * 100, "話" * 70 + "stupid" + "話" * 24
+    a, b = toxicity.Scorer(net).worst([toxicity.words_of(plain), toxicity.words_of(toxic)])
+    assert a != b
+    assert any("stupid" in w for w in toxicity.words_of(toxic))
+    for n in (40, 41, 60, 61, 399):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        parts = toxicity.words_of(word)
+        assert set("".join(parts)) == set(word) and max(map(len, parts)) <= toxicity.WORD_CHARS
+
+
 def test_gradients():
     net = toxicity.BiGru(["aa", "bb"], seed=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
