@@ -2,13 +2,14 @@
 
 Three stages, each comparing whole normalised texts, never digests alone:
 
-1. every task combines the equal texts it has read (map-side aggregation by digest *and* text),
-2. digest groups are merged; a digest with very many rows is dealt over ``salts`` sub-groups, so no
-   task gets all copies of one text,
-3. the winners of a salted digest's sub-groups are combined, again by text.
-
-Rows then find their winner by digest. A digest that stands for two different texts (possible only
-with a broken or shortened digest) is detected and its rows are matched by whole text instead.
+1. every task combines the equal texts it has read (map-side aggregation by digest *and* text): a text leaves a task once,
+2. tasks are dealt over ``salts`` sub-groups, and a digest's local winners are merged within each sub-group, so a text
+   that every task holds arrives in ``salts`` places with a share of the tasks' winners,
+3. the winners of a digest's sub-groups, at most ``salts`` of a text, are combined, again by text.
+
+Every digest goes this way, however many rows it has; nothing has to be known of the hot ones beforehand. Rows then find
+their winner by digest. A digest that stands for two different texts (possible only with a broken or shortened digest)
+is detected and its rows are matched by whole text instead.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql.types import AtomicType
 
 from spanmill.session import cut
 
-#: Broadcast bound: at most so many digests (33 bytes each) are salted.
-MAX_HOT_DIGESTS = 1000
+#: Sub-groups of a digest. With T tasks a sub-group merges at most T / SALTS winners of a text, the last stage SALTS.
+SALTS = 64
 
 
 def normalise(text: Column) -> Column:
@@ -32,24 +33,19 @@ def sha256_hex(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex, hot_rows: int = 1000, salts: int = 64) -> DataFrame:
+def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex, salts: int = SALTS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null texts count as empty and equal to each other. Rows without an id never win over rows with one (keep_id is
-    null only if the whole group has none). Rows that repeat an id and its text all count in group_size and share
-    one verdict. Other columns are not read, whatever their names. No rows give no rows.
+    Null texts count as empty and equal to each other. Texts of any length are compared whole. Rows without an id never
+    win over rows with one (keep_id is null only if the whole group has none). Ties: rows that repeat an id and its text
+    all count in group_size and share one verdict. Other columns are not read, whatever their names. No rows give no rows.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("_norm")).withColumn("_key", digest(F.col("_norm")))
     ids = cut(keyed.select("doc_id", "_key", *([] if digest is sha256_hex else [sha256_hex(F.col("_norm")).alias("_sha")])))
-    hot = ids.groupBy("_key").count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), "_key").limit(MAX_HOT_DIGESTS).select(F.col("_key"), F.lit(True).alias("_hot"))
-    dealt = keyed.join(F.broadcast(hot), "_key", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)))
-    merged = dealt.groupBy("_key", "_salt", "_hot", "_norm").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    # An unsalted group is whole already: its text stays behind and its first id keeps it apart from any other.
-    winners = cut(
-        merged.groupBy("_key", F.when(F.col("_hot"), F.col("_norm")).alias("_hot_text"), F.when(F.col("_hot").isNull(), F.coalesce(F.col("_first").cast("string"), F.xxhash64("_norm").cast("string"))).alias("_alone"))
-        .agg(F.min("_first").alias("keep_id"), F.sum("_rows").alias("group_size"))
-        .select("_key", "keep_id", "group_size")
-    )
+    # The salt is that of the task, so the partial aggregate before the shuffle leaves one row of a text in each task.
+    salted = keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    merged = salted.groupBy("_key", "_salt", "_norm").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    winners = cut(merged.groupBy("_key", "_norm").agg(F.min("_first").alias("keep_id"), F.sum("_rows").alias("group_size")).select("_key", "keep_id", "group_size"))
     ambiguous = winners.groupBy("_key").count().where("count > 1").select("_key")
     plain = ids
     if not ambiguous.isEmpty():  # by whole text for these
@@ -68,7 +64,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each text, that of the smallest id; columns as in docs.
 
     The verdict is on the row, by id and digest of the text, so other rows of a dropped row's id stay, and so do rows
-    without an id. Of rows that repeat both, the smallest by text and the other columns that can be ordered stays.
+    without an id. Null texts count as empty, of which one row stays; texts of any length are read whole. Ties: of rows
+    that repeat id and text, the smallest by text and the other columns that can be ordered stays. Extra columns are kept,
+    whatever their names. No rows give no rows.
     """
     verdicts = cut(dedup_exact(docs, id_col, text_col))
     key = [F.col("_row_id").eqNullSafe(F.col("_id")), F.col("_row_sha") == F.col("_sha")]
