@@ -76,6 +76,23 @@ def test_mix_hot_length(spark, monkeypatch):
     assert all(abs(total[s] - want[s]) <= 6 for s in total)
 
 
+def test_mix_takes_parts_of_repeated_rows(spark):
+    """Half of the rows share an id, others have none: taken words come near the target all the same, and reruns agree."""
+    rows = [(7, "one two three", "en", "a")] * 500 + [(1000 + i, "one two three", "en", "a") for i in range(300)] + [(None, "one two three", "en", "a")] * 200
+    rows += [(5000 + i, "w " * 4, "en", "b") for i in range(200)]
+    runs = []
+    for parts in (1, 7):
+        got = mixing.mix(table(spark, rows).repartition(parts)).collect()
+        assert len(got) == len(rows)
+        for n in (3000, 800):
+            mine = [r for r in got if r["source_size"] == n]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+        runs.append(sorted((str(r["doc_id"]), r["taken"]) for r in got))
+    assert runs[0] == runs[1]
+    applied = collections.Counter(r["doc_id"] for r in mixing.apply_mix(table(spark, rows)).collect())
+    assert applied[7] == sum(n for i, n in runs[0] if i == "7") // 3 and applied[None] == sum(n for i, n in runs[0] if i == "None") // 3
+
+
 def test_fit_counts():
     r = random.Random(1)
     for _ in range(200):
@@ -86,8 +103,10 @@ def test_fit_counts():
         assert (n >= 0).all() and (n <= counts).all()
         full = mixing.fit_counts(sizes, counts, 10**9)
         assert (full == counts).all()
-        got = int((n * sizes).sum())
-        assert got <= budget
+        sums = {0}
+        for z, c in zip(sizes.tolist(), counts.tolist()):
+            sums = {x + k * z for x in sums for k in range(c + 1)}
+        assert int((n * sizes).sum()) == max(x for x in sums if x <= budget)
     exact = mixing.fit_counts(np.array([3, 5, 7]), np.array([100, 100, 100]), 701)
     assert int((exact * [3, 5, 7]).sum()) == 701
 
