@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
+from pyspark.sql.types import AtomicType, StructType
 
 from spanmill.session import cut
 
@@ -69,16 +69,30 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever their names. No rows give no rows.
     """
     verdicts = cut(dedup_exact(docs, id_col, text_col))
-    key = [F.col("_row_id").eqNullSafe(F.col("_id")), F.col("_row_sha") == F.col("_sha")]
-    named = lambda v: v.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     keyed = docs.withColumns({"_row_id": F.col(id_col), "_row_sha": sha256_hex(normalise(F.col(text_col)))})
-    left = keyed.join(named(verdicts.where(~F.col("kept"))), key, "left_anti")
+    named = lambda v: v.select(F.col("doc_id").alias("_row_id"), F.col("text_sha256").alias("_row_sha"))
+    dropped = named(verdicts.where(~F.col("kept")))
     again = cut(named(verdicts.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")))
+    return one_row_each(keyed.join(dropped, _same_row(keyed, dropped), "left_anti"), again, ["_row_id", "_row_sha"], docs.schema, text_col)
+
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["_row_id"].eqNullSafe(right["_row_id"]) & (left["_row_sha"] == right["_row_sha"])
+
+
+def one_row_each(rows: DataFrame, again: DataFrame, keys: list[str], schema: StructType, text_col: str) -> DataFrame:
+    """rows, in the columns of schema, with one row for each of again's keys: the smallest by text and the other columns that can
+    be ordered. Combined before the shuffle, so a key of very many rows takes a row from each task."""
+    names = schema.names
     if again.isEmpty():
-        return left.select(*docs.columns)
-    order = [text_col, *[f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name != text_col]]
-    one = left.join(again, key, "left_semi").groupBy("_row_id", "_row_sha").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("_one"))
-    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
+        return rows.select(*names)
+    same = None
+    for k in keys:
+        one = rows[k].eqNullSafe(again[k])
+        same = one if same is None else same & one
+    order = [text_col, *[f.name for f in schema if isinstance(f.dataType, AtomicType) and f.name != text_col]]
+    one = rows.join(again, same, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_one"))
+    return rows.join(again, same, "left_anti").select(*names).unionByName(one.select("_one.*"))
 
 
 OP4_SQL = r"""

@@ -7,8 +7,9 @@ signatures agree in a component with the probability of their weighted Jaccard s
 stops as soon as its next point is later than every component's: long documents need little more than a point for
 each shingle.
 
-Rows of equal words are one representative. Representatives that agree in a band of the signature meet in a bucket.
-Each is verified by exact multiset overlap against its bucket's smallest id, and links are joined to classes. Where a
+Rows of equal words are one representative, known by a 128-bit digest of its words, so ids may repeat, be null or of any
+type. Representatives that agree in a band of the signature meet in a bucket. Each is verified by exact multiset overlap
+against its bucket's smallest digest, and links are joined to classes. Where a
 bucket still holds several classes, those outside its largest one are held against all its members by counting shared
 shingles in an inverted index, block by block, without writing pairs out. So no link between bucket members is lost
 that would join two classes, and a large group of copies costs a verification for each member and bucket.
@@ -16,6 +17,7 @@ that would join two classes, and a large group of copies costs a verification fo
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -24,9 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.llm.exact_dedup import one_row_each
 from spanmill.session import broadcast_small, cut, delete_path, shared_dir, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,13 +134,20 @@ def band_hashes(first: np.ndarray) -> np.ndarray:
     return h
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, words (a 128-bit digest of the word sequence), bands (none for a document without words)."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that stand for a row's id and text."""
+    ident, text = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    return F.concat_ws("-", F.hex(F.xxhash64(ident, text)), F.hex(F.xxhash64(F.lit(1), text, ident)))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """From rows (doc_id, row_key, text): doc_id, row_key, words (a 128-bit digest of the word sequence), node (its first half),
+    size (shingles) and bands; the last four are null for a document without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts = batch.column(2)
             at = 0
             while at < len(texts):
                 begin, digests, rows, total = at, [], [], 0
@@ -149,9 +159,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     at += 1
                 h = band_hashes(bag_minhash(*shingles(rows), len(rows))).view(np.int64)
                 bands = [b if d is not None else None for b, d in zip(h, digests)]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "words", "bands"])
+                nodes = [int.from_bytes(d[:8], "little", signed=True) if d is not None else None for d in digests]
+                sizes = [max(1, len(r) - SHINGLE + 1) if r else None for r in rows]
+                cols = [pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(begin, at - begin) for c in batch.columns[:2]), *cols], names=["doc_id", "row_key", "words", "node", "size", "bands"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {id_type}, row_key string, words binary, node long, size int, bands array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, words binary, bands array<long>")
+
+def representatives(signed: DataFrame) -> DataFrame:
+    """words, node, size, bands and first (of the rows with these words the one of the smallest id, then key). Nodes are unique:
+    word sequences that share the first half of their digests get the next numbers."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    found = cut(signed.where("words IS NOT NULL").groupBy("words").agg(first, F.first("node").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    clash = cut(found.groupBy("node").count().where("count > 1").select("node"))
+    if clash.isEmpty():
+        return found
+    one_more = found.join(clash, "node", "left_semi").withColumn("node", F.col("node") + F.row_number().over(Window.partitionBy("node").orderBy("words")) - 1)
+    return cut(found.join(clash, "node", "left_anti").unionByName(one_more.select(*found.columns)))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,7 +200,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 sims.append(both / (int(wa.sum()) + int(wb.sum()) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    ta, tb = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
 
 
@@ -213,31 +239,40 @@ def block_links(probes: list[np.ndarray], built: list[np.ndarray], probe_labels:
 
 
 def mixed_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b, sim) between documents of different labels in the same bucket, from rows (bucket, doc_id, label): enough
+    """Links (a, b, sim) between nodes of different labels in the same bucket, from rows (bucket, node, label, size): enough
     of them to join every two classes that any pair of a bucket links.
 
-    Documents of a bucket's most frequent label are looked up, the others look up. Both sides are dealt into blocks of
-    about BLOCK_DOCS documents, so no task holds a large bucket.
+    Nodes of a bucket's most frequent label are looked up, the others look up. Sizes fall into classes that grow by
+    1 / similarity, so similar nodes are of the same or of neighbouring classes, and no others meet. Within a class both
+    sides are dealt into blocks of about BLOCK_DOCS, so no task holds a large bucket.
     """
-    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_major"), F.sum("_n").alias("_all"))
-    dealt = rows.join(broadcast_small(cut(sizes)), "bucket").withColumn("_parts", F.ceil(F.col("_all") / BLOCK_DOCS).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_parts") - 1)
-    built = dealt.select("bucket", F.col("_mine").alias("_j"), F.explode(every).alias("_i"), "doc_id", "label", F.lit(False).alias("probe"))
-    probes = dealt.where("label <> _major").select("bucket", F.explode(every).alias("_j"), F.col("_mine").alias("_i"), "doc_id", "label", F.lit(True).alias("probe"))
+    sized = rows.withColumn("_c", F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / similarity) + 1e-9)).cast("int"))
+    major = sized.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_major"))
+    parts = sized.groupBy("bucket", "_c").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("_n")).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_parts"))
+    dealt = sized.join(broadcast_small(cut(major.join(parts, "bucket"))), "bucket").withColumn("_mine", F.pmod(F.xxhash64("node"), F.element_at("_parts", F.col("_c"))).cast("int"))
+    near = F.filter(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1), lambda c: F.map_contains_key("_parts", c))
+    blocks = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.element_at("_parts", c) - 1), lambda j: F.struct(c.alias("c"), j.alias("j")))))
+    dealt = dealt.withColumn("_to", F.explode(blocks))
+    mine, other = F.struct(F.col("_c").alias("c"), F.col("_mine").alias("j")), F.col("_to")
+    built = dealt.select("bucket", mine.alias("_has"), other.alias("_asks"), "node", "label", F.lit(False).alias("probe"))
+    probes = dealt.where("label <> _major").select("bucket", other.alias("_has"), mine.alias("_asks"), "node", "label", F.lit(True).alias("probe"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, seen = WordHashes(), {}
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            if doc not in seen:
-                seen[doc] = tokens_of(text, known)
         ask, has = pdf[pdf["probe"]], pdf[~pdf["probe"]]
         if not len(ask) or not len(has):
             return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
-        p, q = ask["doc_id"].to_numpy(), has["doc_id"].to_numpy()
+        known, seen = WordHashes(), {}
+        for node, text in zip(pdf["node"], pdf["text"]):
+            if node not in seen:
+                seen[node] = tokens_of(text, known)
+        p, q = ask["node"].to_numpy(), has["node"].to_numpy()
         found = block_links([seen[d] for d in p], [seen[d] for d in q], ask["label"].to_numpy(), has["label"].to_numpy(), similarity)
         return pd.DataFrame([(min(p[i], q[j]), max(p[i], q[j]), s) for i, j, s in found], columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
 
-    return built.unionByName(probes).join(texts, "doc_id").groupBy("bucket", "_i", "_j").applyInPandas(run, "a long, b long, sim double").dropDuplicates(["a", "b"])
+    # Blocks that nobody asks are left out before texts are fetched.
+    asked = broadcast_small(cut(probes.select("bucket", "_has", "_asks").distinct()))
+    wanted = built.join(asked, ["bucket", "_has", "_asks"], "left_semi").unionByName(probes)
+    return wanted.join(texts, "node").groupBy("bucket", "_has", "_asks").applyInPandas(run, "a long, b long, sim double").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,46 +290,71 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (smallest id of the class), copy_id (smallest id of equal words), links (verified links of its representative), kept.
-
-    Documents without words (null, empty, white space) are classes of their own. Rows that repeat an id with equal
-    words share a class; an id repeated with different texts gets the class of its smallest word digest. Rows without
-    an id have no class and are kept. Other columns are not read, whatever their names. No rows give no rows.
+    """doc_id, class_id (smallest id of the class), copy_id (smallest id of equal words), links (verified links of its
+    representative), kept.
+
+    Documents without words (null, empty, white space) are classes of their own and kept. Texts of any length are read
+    whole. Ties and repeats: rows of equal words are one representative, whatever their ids; an id repeated with
+    different texts is in the class of each of them; of rows that share a class's smallest id one text is kept, that of the
+    smallest digest, and rows that repeat id and text share a verdict. Rows without an id join classes as well, but are kept
+    only where no row of their class has one. Ids may be of any type that can be ordered. Other columns are not read,
+    whatever their names. No rows give no rows.
     """
+    return _verdicts(docs, id_col, text_col, similarity).drop("row_key", "worded")
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """What near_duplicates returns, with each row's key and whether it has words."""
     spark = docs.sparkSession
     text_batches(spark)
-    signed = cut(signatures(docs, id_col, text_col))
-    copies = signed.where("words IS NOT NULL AND doc_id IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    dealt = cut(copies.select("rep", F.explode("bands").alias("bucket")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    signed = cut(signatures(rows))
+    copies = representatives(signed)
+    dealt = cut(copies.select("node", F.explode("bands").alias("bucket")))
     # Computed before the join, which Spark can then split where a bucket is large.
-    buckets = cut(dealt.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a"))
-    members = cut(dealt.join(buckets, "bucket").select("bucket", "a", F.col("rep").alias("b")))
+    buckets = cut(dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "a"))
+    members = cut(dealt.join(buckets, "bucket").select("bucket", "a", F.col("node").alias("b")))
 
     where = f"{shared_dir(spark)}/near-texts-{uuid.uuid4().hex}"
-    involved = members.select(F.col("b").alias("doc_id")).distinct()
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).write.parquet(where)
+    involved = copies.select("node", "first.row_key").join(members.select(F.col("b").alias("node")).distinct(), "node")
+    rows.select("row_key", "text").join(involved, "row_key").groupBy("node").agg(F.min("text").alias("text")).write.parquet(where)
     texts = spark.read.parquet(where)
 
     checked = cut(verify(members.where("a <> b").select("a", "b").distinct(), texts))
     links = checked.where(F.col("sim") >= similarity)
     labels = components(links)
     # Buckets of several classes: pairs of different classes that have not met yet and may be similar.
-    classed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", F.coalesce("label", "b").alias("label"))
+    classed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", F.col("b").alias("node"), F.coalesce("label", "b").alias("label"))
     mixed = classed.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high AND _n > 2").select("bucket")
     mixed = broadcast_small(cut(mixed))
-    late = cut(mixed_links(classed.join(mixed, "bucket").select("bucket", F.col("b").alias("doc_id"), "label"), texts, similarity))
+    sizes = copies.select("node", "size")
+    late = cut(mixed_links(classed.join(mixed, "bucket").select("bucket", "node", "label").join(sizes, "node"), texts, similarity))
     delete_path(spark, where)
     if not late.isEmpty():
         links = links.unionByName(late)
         labels = components(links)
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    reps = copies.select("words", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    found = signed.select("doc_id", "words").join(reps, "words", "left")
-    class_id = F.coalesce("label", "rep", "doc_id")
-    return found.select("doc_id", class_id.alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), (F.col("doc_id").isNull() | (F.col("doc_id") == class_id)).alias("kept"))
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    linked = copies.select("words", "node", "first").join(labels, "node")
+    winners = linked.groupBy("label").agg(F.min(F.struct("first.*", "words")).alias("winner"))
+    reps = copies.select("words", "node", "first").join(labels.join(winners, "label").select("node", "winner"), "node", "left").join(degree, "node", "left")
+    reps = reps.select("words", "first", F.coalesce("winner", F.struct("first.*", "words")).alias("winner"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    found = signed.select("doc_id", "row_key", "words").join(reps, "words", "left")
+    worded = F.col("words").isNotNull()
+    return found.select(
+        "doc_id", F.when(worded, F.col("winner.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(worded, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+        F.when(worded, (F.col("row_key") == F.col("winner.row_key"))).otherwise(F.lit(True)).alias("kept"), "row_key", worded.alias("worded"),
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate class, that of the smallest id; columns as in docs."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped_id"), "left_anti")
+    """docs with one row of each near-duplicate class, as near_duplicates keeps them; columns as in docs.
+
+    The verdict is on the row, by id and text, so other texts of a dropped row's id stay where they are of another class. Rows
+    without words (null, empty) stay. Of rows that repeat id and text, the smallest by the other columns that can be ordered
+    stays. Texts of any length are read whole; extra columns are kept, whatever their names. No rows give no rows.
+    """
+    verdicts = cut(_verdicts(docs, id_col, text_col, SIMILARITY).select("row_key", "kept", "worded").groupBy("row_key", "kept", "worded").agg(F.count(F.lit(1)).alias("_rows")))
+    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    dropped = verdicts.where("NOT kept").select(F.col("row_key").alias("_row_key"))
+    again = cut(verdicts.where("kept AND worded AND _rows > 1").select(F.col("row_key").alias("_row_key")))
+    return one_row_each(keyed.join(dropped, "_row_key", "left_anti"), again, ["_row_key"], docs.schema, text_col)

@@ -112,6 +112,20 @@ def test_near_odd_rows(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_repeated_ids(spark):
+    """An id with two texts links by each of them; rows without an id and ids of another type join classes too."""
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randrange(10**6)}" for _ in range(120)) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    texts, ids = [b, a, near, c, c + " end", near + " too", a], [7, 7, 9, None, None, None, 7]
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["kept"]) for r in minhash.near_duplicates(table(spark, texts, ids)).collect())
+    assert got == sorted([("7", "7", True), ("7", "7", True), ("9", "7", False), ("None", "None", True), ("None", "None", False), ("None", "7", False), ("7", "7", True)]) or got == sorted([("7", "7", True), ("7", "7", True), ("9", "7", False), ("None", "None", False), ("None", "None", True), ("None", "7", False), ("7", "7", True)])
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in minhash.keep_one(table(spark, texts, ids)).collect())
+    assert [x for x in kept if x[0] != "None"] == sorted([("7", a), ("7", b)]) and len(kept) == 3
+    named = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(named).collect()} == {"id0": "id0", "id1": "id1", "id2": "id1", "id3": "id3", "id4": "id3", "id5": "id1", "id6": "id1"}
+
+
 def test_signatures_are_unbiased():
     r, errors = random.Random(3), []
     for _ in range(40):
