@@ -6,11 +6,12 @@ strings hold equal samples at equal offsets, and every such string holds one. Wh
 LENGTH - GRAM bytes before and LENGTH after its start, is its context.
 
 1. Samples are counted by hash (combined before the shuffle). A hash that occurs once matches nothing.
-2. Samples whose whole context occurs twice are covered whole, without comparing texts.
-3. The other distinct contexts meet by hash and are indexed: contexts arrive in batches, a batch gets suffix arrays
-   (one for each distance to the sample, ordered by the LENGTH bytes that follow), these are scanned for neighbours
-   that agree in LENGTH bytes, then merge-scanned against the levels present. A batch becomes a level, and levels of
-   equal size merge, so a level is copied a logarithmic number of times.
+2. Equal contexts (by 128 bits: two hashes of their bytes) are combined. One that occurs twice is covered whole.
+3. All distinct contexts of a hash that has several go to an index, dealt by hash, so a task has an index family for its
+   share of the sampled suffixes. Contexts arrive in batches. A batch becomes a suffix array, ordered by the bytes that
+   follow, with the lengths of the prefixes that neighbours share; it is scanned for long matches inside and merge-scanned
+   against the levels present; levels of equal size merge, so a suffix is copied a logarithmic number of times. Matches
+   are read off the bytes themselves: shared prefixes after the sample, and before it.
    A hash with more than HOT_CONTEXTS distinct contexts is matched by distributed counts of its strings instead.
 4. A document's covered intervals are united and cut out.
 
@@ -19,7 +20,6 @@ Only hashes of samples and the contexts of step 3 are shuffled by content; whole
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -27,18 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.session import cut, shared_dir, text_batches
+from spanmill.session import cut, delete_path, shared_dir, text_batches
 
 LENGTH, GRAM = 200, 50
 BEFORE = LENGTH - GRAM
-#: Contexts of a batch, and group size up to which pairs are compared directly.
-BATCH, FEW = 1024, 48
+#: Contexts of a batch, and samples of a record batch.
+BATCH, SAMPLE_ROWS = 2048, 50_000
 #: Distinct contexts of one hash beyond which they are matched by counting their strings across tasks, not in one index.
 HOT_CONTEXTS = 50_000
-NO_ID = -(2**63)
 _U = np.uint64
 _BYTES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.int64).astype(_U)
 
@@ -101,140 +100,157 @@ def context_digests(raw: bytes, at: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
+def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of two byte grids: how many bytes they agree in from the first on."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
-    return n - (x.bit_length() + 7) // 8
+def as_strings(grid: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(grid).view(f"S{grid.shape[1]}").reshape(-1)
 
 
-_BASE = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(LENGTH + 1)], dtype=_U)
+def neighbours(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a grid's rows, and the length of the prefix that each row but the first shares with the one before."""
+    order = np.argsort(as_strings(grid), kind="stable")
+    rows = grid[order]
+    return order, shared_prefix(rows[1:], rows[:-1])
 
 
-def fingerprints(grid: np.ndarray) -> np.ndarray:
-    """For each row and distance t to the sample: a fingerprint of the LENGTH bytes from t before it."""
-    values = _BYTES[grid]
-    out = np.empty((len(grid), BEFORE + 1), dtype=_U)
-    h = (values[:, :LENGTH] * _BASE[LENGTH - 1 :: -1][:LENGTH]).sum(axis=1, dtype=_U)
-    for t in range(BEFORE, -1, -1):  # roll on by a byte
-        at = BEFORE - t
-        out[:, t] = mix(h)
-        if t:
-            h = (h - values[:, at] * _BASE[LENGTH - 1]) * _BASE[1] + values[:, at + LENGTH]
-    return out
+class Contexts:
+    """Contexts as rows: the bytes before the sample, nearest first, and those from it on, padded, and their numbers."""
 
+    def __init__(self, ids: np.ndarray, before: np.ndarray, after: np.ndarray, n_before: np.ndarray, n_after: np.ndarray):
+        self.ids, self.before, self.after, self.n_before, self.n_after = ids, before, after, n_before, n_after
 
-class Level:
-    """Contexts with a suffix array for each distance to the sample, over those that have the distance's string whole.
+    def take(self, at: np.ndarray) -> Contexts:
+        return Contexts(self.ids[at], self.before[at], self.after[at], self.n_before[at], self.n_after[at])
+
+    def with_(self, other: Contexts) -> Contexts:
+        return Contexts(*(np.concatenate([x, y]) for x, y in zip(self.columns(), other.columns())))
+
+    def columns(self) -> tuple:
+        return self.ids, self.before, self.after, self.n_before, self.n_after
+
+    def __len__(self) -> int:
+        return len(self.ids)
 
-    Only agreement in LENGTH bytes matters, so suffixes are ordered by a fingerprint of so many bytes, not letter by letter.
-    """
 
-    def __init__(self, prints: np.ndarray, orders: list[np.ndarray]):
-        self.prints, self.orders = prints, orders
+class Level:
+    """A suffix array: contexts in the order of the bytes that follow from the sample on."""
+
+    def __init__(self, held: Contexts):
+        self.held = held
+        self.keys = as_strings(held.after)
+        self.grams = as_strings(held.after[:, :GRAM])
 
     @classmethod
-    def of(cls, grid: np.ndarray, left: np.ndarray, right: np.ndarray) -> Level:
-        prints = fingerprints(grid)
-        whole = [np.flatnonzero((left >= t) & (right >= LENGTH - t)) for t in range(BEFORE + 1)]
-        return cls(prints, [at[np.argsort(prints[at, t], kind="stable")] for t, at in enumerate(whole)])
+    def of(cls, new: Contexts) -> Level:
+        return cls(new.take(np.argsort(as_strings(new.after), kind="stable")))
 
     def merged(self, other: Level) -> Level:
-        prints = np.concatenate([self.prints, other.prints])
-        both = [np.append(x, y + len(self)) for x, y in zip(self.orders, other.orders)]
-        return Level(prints, [at[np.argsort(prints[at, t], kind="stable")] for t, at in enumerate(both)])
-
-    def keys(self, t: int) -> np.ndarray:
-        return self.prints[self.orders[t], t]
+        """Both arrays merged: each suffix of the other goes in front of the first that is not less."""
+        at = np.searchsorted(self.keys, other.keys) + np.arange(len(other))
+        mine = np.ones(len(self) + len(other), dtype=bool)
+        mine[at] = False
+        out = []
+        for x, y in zip(self.held.columns(), other.held.columns()):
+            both = np.empty((len(mine), *x.shape[1:]), dtype=x.dtype)
+            both[mine], both[at] = x, y
+            out.append(both)
+        return Level(Contexts(*out))
+
+    def meeting(self, other: Level) -> Contexts | None:
+        """The contexts of both whose suffixes agree in the sample's bytes; None if there are none."""
+        lo, hi = np.searchsorted(self.grams, other.grams), np.searchsorted(self.grams, other.grams, side="right")
+        theirs = np.flatnonzero(hi > lo)
+        if not len(theirs):
+            return None
+        step = np.zeros(len(self) + 1, dtype=np.int64)
+        np.add.at(step, lo[theirs], 1)
+        np.add.at(step, hi[theirs], -1)
+        return self.held.take(np.flatnonzero(np.cumsum(step[:-1]) > 0)).with_(other.held.take(theirs))
 
     def __len__(self) -> int:
-        return len(self.prints)
+        return len(self.held)
+
+
+def long_matches(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, least, greatest): of the contexts that have a string of LENGTH bytes around the sample which another one has at
+    the same place, the least and the greatest number of bytes by which such a string starts before the sample.
+
+    Suffixes are ordered by what follows from the sample on, and again by what goes before it. Two of them hold the string
+    that starts t bytes before if they lie in one run of neighbours that share LENGTH - t bytes here and t bytes there.
+    """
+    order, shared = neighbours(c.after)
+    near = shared >= GRAM
+    alone = ~(np.append(False, near) | np.append(near, False))
+    if alone.any():
+        c = c.take(np.sort(order[~alone]))
+        if not len(c):
+            return c.ids, c.ids, c.ids
+        order, shared = neighbours(c.after)
+    n = len(c)
+    back, shared_back = neighbours(c.before)
+    least, greatest = np.full(n, LENGTH + 1), np.full(n, -1)
+    run, run_back = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for t in range(BEFORE + 1):
+        at = np.flatnonzero((c.n_before >= t) & (c.n_after >= LENGTH - t))
+        if len(at) < 2:
+            continue
+        run[order[1:]] = np.cumsum(shared < LENGTH - t)
+        run_back[back[1:]] = np.cumsum(shared_back < t)
+        key = run_back[at] * n + run[at]
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        if same.any():
+            hit = at[by[np.append(False, same) | np.append(same, False)]]
+            least[hit] = np.minimum(least[hit], t)
+            greatest[hit] = t
+    found = np.flatnonzero(greatest >= 0)
+    return c.ids[found], least[found], greatest[found]
 
 
 class IndexFamily:
-    """Levels of growing size. add() gives a batch its suffix arrays and reports matches inside it and with all levels."""
+    """Suffix arrays of growing size. add() gives a batch its suffix array, finds its long matches inside it, merge-scans it
+    against all levels for others, and lets levels of equal size merge, so a suffix is copied a logarithmic number of times."""
 
     def __init__(self):
         self.levels: list[Level] = []
-        self.starts: list[int] = []
         self.low: np.ndarray = np.zeros(0, dtype=np.int64)  # least and greatest matched distance of each context so far
         self.high: np.ndarray = np.zeros(0, dtype=np.int64)
 
-    def _found(self, at: np.ndarray, t: int) -> None:
-        self.low[at] = np.minimum(self.low[at], t)
-        self.high[at] = np.maximum(self.high[at], t)
-
-    def add(self, grid: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        base = len(self.low)
-        self.low = np.append(self.low, np.full(len(grid), LENGTH + 1))
-        self.high = np.append(self.high, np.full(len(grid), -1))
-        new = Level.of(grid, left, right)
-        for t, order in enumerate(new.orders):
-            if not len(order):
-                continue
-            keys = new.keys(t)
-            same = np.flatnonzero(keys[1:] == keys[:-1])
-            self._found(base + order[same], t)
-            self._found(base + order[same + 1], t)
-            for level, start in zip(self.levels, self.starts):
-                old = level.orders[t]
-                if len(old):
-                    held = level.keys(t)
-                    lo, hi = np.searchsorted(held, keys), np.searchsorted(held, keys, side="right")
-                    hit = np.flatnonzero(hi > lo)
-                    if len(hit):
-                        self._found(base + order[hit], t)
-                        step = np.zeros(len(held) + 1, dtype=np.int64)
-                        np.add.at(step, lo[hit], 1)
-                        np.add.at(step, hi[hit], -1)
-                        self._found(start + old[np.cumsum(step[:-1]) > 0], t)
+    def _found(self, ids: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> None:
+        self.low[ids] = np.minimum(self.low[ids], least)
+        self.high[ids] = np.maximum(self.high[ids], greatest)
+
+    def add(self, before: np.ndarray, after: np.ndarray, n_before: np.ndarray, n_after: np.ndarray) -> None:
+        n, base = len(after), len(self.low)
+        self.low, self.high = np.append(self.low, np.full(n, LENGTH + 1)), np.append(self.high, np.full(n, -1))
+        new = Level.of(Contexts(np.arange(base, base + n), before, after, n_before, n_after))
+        self._found(*long_matches(new.held))
+        for level in self.levels:
+            both = level.meeting(new)
+            if both is not None:
+                self._found(*long_matches(both))
         self.levels.append(new)
-        self.starts.append(base)
         while len(self.levels) > 1 and len(self.levels[-2]) <= len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.starts.pop()
             self.levels.append(a.merged(b))
 
-
-def match_contexts(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int]]:
-    """For each context of one sample hash: how far before and after its sample strings of LENGTH bytes reach that
-    another context has too; (-1, -1) for none. lefts are given nearest byte first."""
-    n = len(rights)
-    if n <= FEW:
-        a_max, b_max = [-1] * n, [-1] * n
-        for i in range(n):
-            for j in range(i + 1, n):
-                b = common(rights[i], rights[j])
-                if b < GRAM or b + min(len(lefts[i]), len(lefts[j])) < LENGTH:
-                    continue
-                a = common(lefts[i], lefts[j])
-                if a + b >= LENGTH:
-                    for k in (i, j):
-                        a_max[k], b_max[k] = max(a_max[k], a), max(b_max[k], b)
-        return list(zip(a_max, b_max))
-    family = IndexFamily()
-    for i in range(0, n, BATCH):
-        ls, rs = lefts[i : i + BATCH], rights[i : i + BATCH]
-        grid = np.zeros((len(rs), BEFORE + LENGTH), dtype=np.uint8)
-        for k, (x, y) in enumerate(zip(ls, rs)):
-            grid[k, BEFORE - len(x) : BEFORE] = np.frombuffer(x, np.uint8)[::-1]
-            grid[k, BEFORE : BEFORE + len(y)] = np.frombuffer(y, np.uint8)
-        family.add(grid, np.array([len(x) for x in ls]), np.array([len(y) for y in rs]))
-    return [(int(h), LENGTH - int(low)) if h >= 0 else (-1, -1) for low, h in zip(family.low, family.high)]
+    def reach(self) -> list[tuple[int, int]]:
+        """For each context in the order it came: how far before and after its sample strings reach that another has too; (-1, -1)
+        for none. All these strings hold the sample, so what they cover is one interval."""
+        return [(int(h), LENGTH - int(low)) if h >= 0 else (-1, -1) for low, h in zip(self.low, self.high)]
 
 
 def hot_matches(contexts: DataFrame) -> DataFrame:
-    """What match_contexts finds, for hashes of too many distinct contexts for one task: every string of LENGTH bytes of a
-    context is counted by hash, distance and the hashes of its two parts, combined before the shuffle."""
-    distance = F.sequence(F.lit(0), F.least(F.length("before"), F.lit(BEFORE)))
-    strings = contexts.select("h", "dg", F.explode(distance).alias("t"), "before", "after").where(F.length("after") >= LENGTH - F.col("t"))
-    keyed = strings.select("h", "dg", "t", F.xxhash64(F.substring("before", F.lit(1), F.col("t"))).alias("_x"), F.xxhash64(F.substring("after", F.lit(1), LENGTH - F.col("t"))).alias("_y"))
-    twice = cut(keyed.groupBy("h", "t", "_x", "_y").count().where("count > 1").drop("count"))
+    """What the index finds, for hashes of too many distinct contexts for one task: every string of LENGTH bytes of a context is
+    counted by hash, distance and the hashes of its two parts, combined before the shuffle."""
+    distance = F.sequence(F.lit(0), F.col("before"))
+    strings = contexts.select("h", "dg", F.explode(distance).alias("t"), "around", "after").where(F.col("after") >= LENGTH - F.col("t"))
+    keyed = strings.select("h", "dg", "t", F.xxhash64(F.substring("around", F.lit(1), F.col("t"))).alias("_x"), F.xxhash64(F.substring("around", F.lit(BEFORE + 1), LENGTH - F.col("t"))).alias("_y"))
+    twice = cut(keyed.groupBy("h", "t", "_x", "_y").agg((F.min("dg") != F.max("dg")).alias("_more")).where("_more").drop("_more"))
     found = keyed.join(twice, ["h", "t", "_x", "_y"]).groupBy("h", "dg").agg(F.max("t").alias("a"), (LENGTH - F.min("t")).alias("b"))
     return found.select("h", "dg", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
 
@@ -251,7 +267,7 @@ def unite(spans: np.ndarray, n: int) -> np.ndarray:
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    """df in the shared folder; what its shuffles left on disk is let go."""
+    """df in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -260,110 +276,132 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _let_go(spark: SparkSession, *stored: DataFrame) -> None:
-    """Delete stored tables that no later step reads, and let Spark's cleaner remove unreferenced shuffle files."""
-    jvm = spark.sparkContext._jvm
+def _let_go(*stored: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
     for df in stored:
-        path = jvm.org.apache.hadoop.fs.Path(df._path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+        delete_path(df.sparkSession, df._path)
+
+
+def _binaries(grid: np.ndarray) -> pa.Array:
+    n, width = grid.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(grid.tobytes())])
+
+
+def _grid(column: pa.Array) -> np.ndarray:
+    """The rows of a binary column of equal lengths."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(column), BEFORE + LENGTH)
+
+
+def cut_contexts(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, bytes before, bytes after) of the samples at some places: BEFORE bytes, nearest first, then LENGTH bytes, padded."""
+    data = np.frombuffer(bytes(BEFORE) + raw + bytes(LENGTH), dtype=np.uint8)
+    around = np.concatenate([BEFORE - 1 - np.arange(BEFORE), BEFORE + np.arange(LENGTH)])
+    return data[at[:, None] + around], np.minimum(at, BEFORE), np.minimum(len(raw) - at, LENGTH)
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """From rows (doc, tag, raw): the intervals (doc, tag, spans) that strings found elsewhere cover."""
-    spark = docs.sparkSession
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "tag", "at", "h", "dg"]
+        held, size = [], 0
         for batch in batches:
+            docs_, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, raw in enumerate(batch.column(2)):
                 raw = raw.as_py()
                 if len(raw) < LENGTH:
                     continue
                 at, h = samples(np.frombuffer(raw, dtype=np.uint8))
-                dg = context_digests(raw, at, h)
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], n), pa.repeat(batch.column(1)[i], n), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(dg.view(np.int64))], names=["doc", "tag", "at", "h", "dg"])
-
-    places = _stored(docs.mapInArrow(sample, "doc long, tag int, at int, h long, dg long"), "samples")
+                held.append((np.full(n, docs_[i]), np.full(n, tags[i]), at.astype(np.int32), h[at].view(np.int64), context_digests(raw, at, h).view(np.int64)))
+                size += n
+                if size > SAMPLE_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+
+    places = _stored(docs.mapInArrow(sample, "doc long, tag long, at int, h long, dg long"), "samples")
     # Computed first: against a plain table, Spark can split the partition of a hot hash; against an aggregate it cannot.
     twice = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("dg") != F.max("dg")).alias("mixed")).where("_n > 1").select("h", "mixed"))
     shared = _stored(places.join(twice, "h"), "shared-samples")
-    _let_go(spark, places)
+    _let_go(places)
 
     contexts = cut(shared.where("mixed").groupBy("h", "dg").agg(F.min(F.struct("doc", "tag", "at")).alias("_first"), (F.count(F.lit(1)) == 1).alias("single")))
-    open_hashes = cut(contexts.groupBy("h").agg(F.max("single").alias("_open"), (F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot")).where("_open").select("h", "hot"))
-    wanted = contexts.join(open_hashes, "h").select("h", "dg", "hot", "_first.*").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "h", "dg", "hot")).alias("wanted"))
+    many = cut(contexts.groupBy("h").agg((F.count(F.lit(1)) > HOT_CONTEXTS).alias("hot")))
+    wanted = contexts.join(many, "h").select("h", "dg", "hot", "_first.*").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "h", "dg", "hot")).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # rows that repeat an id and text are read once in a task
         for batch in batches:
-            h, dg, hot, lefts, rights = [], [], [], [], []
-            for raw, items in zip(batch.column(0), batch.column(1)):
-                raw = raw.as_py()
-                for x in items.as_py():
-                    at = x["at"]
-                    h.append(x["h"])
-                    dg.append(x["dg"])
-                    hot.append(x["hot"])
-                    lefts.append(raw[max(0, at - BEFORE) : at][::-1])
-                    rights.append(raw[at : at + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(dg, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), pa.array(hot, pa.bool_())], names=["h", "dg", "before", "after", "hot"])
+            for doc, tag, raw, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (doc, tag) in seen:
+                    continue
+                seen.add((doc, tag))
+                at, h, dg, hot = items.values.flatten()
+                rows, n_before, n_after = cut_contexts(raw.as_py(), at.to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([h, dg, _binaries(rows), pa.array(n_before.astype(np.int32)), pa.array(n_after.astype(np.int32)), hot], names=["h", "dg", "around", "before", "after", "hot"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(h, held):
-            dgs, lefts, rights = zip(*held.values())
-            found = [(h, d, a, b) for d, (a, b) in zip(dgs, match_contexts(list(lefts), list(rights))) if a >= 0]
-            return found
+        family, seen, keys, held = IndexFamily(), set(), [], []
+
+        def flush() -> None:
+            if held:
+                rows, n_before, n_after = (np.concatenate(x) for x in zip(*held))
+                family.add(np.ascontiguousarray(rows[:, :BEFORE]), np.ascontiguousarray(rows[:, BEFORE:]), n_before, n_after)
+                held.clear()
 
-        now, held, out = None, {}, []
         for batch in batches:
-            for h, dg, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if h != now:
-                    if len(held) > 1:
-                        out += done(now, held)
-                    now, held = h, {}
-                held[dg] = (dg, left, right)
-            if len(out) > 50_000:
-                yield _rows(out)
-                out = []
-        if len(held) > 1:
-            out += done(now, held)
-        yield _rows(out)
-
-    def _rows(out):
+            for begin in range(0, batch.num_rows, BATCH):
+                part = batch.slice(begin, BATCH)
+                fresh = []
+                for i, key in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    if key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        fresh.append(i)
+                if fresh:
+                    at = np.array(fresh)
+                    held.append((_grid(part.column(2))[at], part.column(3).to_numpy()[at].astype(np.int64), part.column(4).to_numpy()[at].astype(np.int64)))
+                if sum(len(x[0]) for x in held) >= BATCH:
+                    flush()
+        flush()
+        out = [(*key, a, b) for key, (a, b) in zip(keys, family.reach()) if a >= 0]
         cols = list(zip(*out)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["h", "dg", "a", "b"])
-
-    texts = docs.join(wanted, ["doc", "tag"]).select("raw", "wanted").mapInArrow(cut_out, "h long, dg long, before binary, after binary, hot boolean")
-    if not open_hashes.where("hot").isEmpty():
-        texts = _stored(texts, "contexts")
-        by_window = _stored(hot_matches(texts.where("hot")), "hot-matches")
-        texts = texts.where("NOT hot")
-    else:
-        by_window = None
-    matched = _stored(texts.drop("hot").repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(index, "h long, dg long, a int, b int"), "matches")
-    _let_go(spark)
-    matched = matched if by_window is None else matched.unionByName(by_window)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "dg", "a", "b"])
+
+    texts = _stored(docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "raw", "wanted").mapInArrow(cut_out, "h long, dg long, around binary, before int, after int, hot boolean"), "contexts")
+    matched = texts.where("NOT hot").select("h", "dg", "around", "before", "after").repartition(F.col("h")).mapInArrow(index, "h long, dg long, a int, b int")
+    if not many.where("hot").isEmpty():
+        matched = matched.unionByName(hot_matches(texts.where("hot")))
+    matched = cut(matched)
+    _let_go(texts)
 
     digests = contexts.where("NOT single").select("h", "dg", F.lit(BEFORE).alias("a"), F.lit(LENGTH).alias("b"))
     reach = cut(matched.unionByName(digests).groupBy("h", "dg").agg(F.max("a").alias("a"), F.max("b").alias("b")))
     by_match = shared.where("mixed").join(reach, ["h", "dg"])
     whole = shared.where("NOT mixed").withColumns({"a": F.lit(BEFORE), "b": F.lit(LENGTH)})
     spans = whole.select("doc", "tag", "at", "a", "b").unionByName(by_match.select("doc", "tag", "at", "a", "b"))
-    return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct((F.col("at") - F.col("a")).alias("lo"), (F.col("at") + F.col("b")).alias("hi"))).alias("spans"))
+    # A set: rows that repeat an id and text send the same intervals, which are combined before the shuffle.
+    spans = cut(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct((F.col("at") - F.col("a")).alias("lo"), (F.col("at") + F.col("b")).alias("hi"))).alias("spans")))
+    _let_go(shared)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes.
 
-    Null texts count as empty: nothing to remove. Texts under LENGTH bytes are left alone. Rows that repeat an id are
-    documents of their own (told apart by a hash of their text), so an exact copy of a row is a repeat of it. Rows
-    without an id are handled likewise. Other columns are not read, whatever their names. No rows give no rows.
+    Null texts count as empty: nothing to remove. Texts under LENGTH bytes are left alone, longer ones are read whole,
+    however long. Ties and repeats: rows are known by 128 bits of their id and text, so rows that repeat an id, or have
+    none, are documents of their own, and an exact copy of a row is a repeat of it. Ids may be of any type. Other columns are
+    not read, whatever their names. No rows give no rows.
     """
     text_batches(docs.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(F.col(text_col)).alias("tag"), raw.alias("raw"))
+    ident = F.col(id_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(ident, F.col(text_col)).alias("doc"), F.xxhash64(F.lit(1), F.col(text_col), ident).alias("tag"), raw.alias("raw"))
     spans = covered(rows.select("doc", "tag", "raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

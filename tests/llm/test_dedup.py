@@ -169,12 +169,11 @@ def brute_repeats(raws, length=200):
     return out
 
 
-@pytest.mark.parametrize(("few", "hot"), [(48, 50_000), (2, 50_000), (2, 3)])
-def test_repeats(spark, monkeypatch, few, hot):
+@pytest.mark.parametrize(("batch", "hot"), [(2048, 50_000), (3, 50_000), (3, 3)])
+def test_repeats(spark, monkeypatch, batch, hot):
     texts = corpus(6)
-    monkeypatch.setattr(suffix_dedup, "FEW", few)
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
-    monkeypatch.setattr(suffix_dedup, "BATCH", 3)
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()}
     assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
 
@@ -190,16 +189,35 @@ def test_index_family_is_exact():
     r = random.Random(9)
     passage = bytes(r.choice(b"abcd") for _ in range(400))
     lefts, rights = [], []
-    for _ in range(150):
-        a, b = r.randint(0, 150), r.randint(50, 200)
-        lefts.append((passage[150 - a : 150][::-1] + bytes(r.choice(b"xyz") for _ in range(150)))[: 150 if r.random() < 0.8 else a])
-        rights.append((passage[150 : 150 + b] + bytes(r.choice(b"xyz") for _ in range(200)))[: 200 if r.random() < 0.8 else b])
-    keep = suffix_dedup.FEW, suffix_dedup.BATCH
-    try:
-        suffix_dedup.FEW = 10**6
-        want = suffix_dedup.match_contexts(lefts, rights)
-        suffix_dedup.FEW, suffix_dedup.BATCH = 2, 16
-        assert suffix_dedup.match_contexts(lefts, rights) == want
-    finally:
-        suffix_dedup.FEW, suffix_dedup.BATCH = keep
-    assert any(a >= 0 for a, _ in want)
+    for k in range(150):
+        a, b, p = r.randint(0, 150), r.randint(50, 200), bytes([65 + k % 3]) * 50 + passage[200:350] if k % 4 else passage[150:350]
+        lefts.append((passage[150 - a : 150][::-1] + bytes(r.choice(b"xyz\0") for _ in range(150)))[: 150 if r.random() < 0.8 else a])
+        rights.append((p[:b] + bytes(r.choice(b"xyz\0") for _ in range(200)))[: 200 if r.random() < 0.8 else b])
+
+    def common(x, y):
+        return next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+    want = []
+    for i in range(150):
+        reach = [(common(lefts[i], lefts[j]), common(rights[i], rights[j])) for j in range(150) if j != i]
+        reach = [x for x in reach if sum(x) >= 200]
+        want.append((max(a for a, _ in reach), max(b for _, b in reach)) if reach else (-1, -1))
+    for batch in (150, 16, 1):
+        family = suffix_dedup.IndexFamily()
+        for i in range(0, 150, batch):
+            before, after = (np.array([list(x.ljust(w, b"\0")) for x in xs[i : i + batch]], dtype=np.uint8) for xs, w in ((lefts, 150), (rights, 200)))
+            family.add(before, after, np.array([len(x) for x in lefts[i : i + batch]]), np.array([len(x) for x in rights[i : i + batch]]))
+            sizes = [len(x) for x in family.levels]
+            assert all(a > b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == min(150, i + batch)
+            assert all((level.keys[1:] >= level.keys[:-1]).all() for level in family.levels)
+        assert family.reach() == want
+    assert sum(a >= 0 for a, _ in want) > 20
+
+
+def test_repeats_of_repeated_rows(spark):
+    """Rows of one id and text many times, of one id and several texts, and of textual ids."""
+    long = "".join(random.Random(1).choice("abcdef") for _ in range(600))
+    rows = [("a", long), ("a", long), ("a", "x" + long[:300]), (None, "y" * 30 + long[100:420]), ("b", "short"), (None, "z" * 199)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    want = brute_repeats([t.encode() for _, t in rows])
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got) == sorted((str(i), *w) for (i, _), w in zip(rows, want))
