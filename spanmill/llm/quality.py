@@ -1,27 +1,34 @@
 """Quality rules: fixed rules, then robust multivariate outliers.
 
 Documents of a language and source are compared by a vector of transformed statistics. Location and scatter come from
-minimum-covariance-determinant estimates: each group is dealt into chunks of about CHUNK_ROWS rows by a hash of the id,
-every chunk runs concentration steps to the half of its rows with the smallest determinant, and the moments of all
-chunks' halves add up to the group's first estimate. Two concentration steps over all rows of the group follow, each a
-distributed aggregation. A document whose squared Mahalanobis distance exceeds the chi-square cutoff is rejected.
-
-Groups with fewer than MIN_ROWS rows take the estimate of their language, and those of all documents if that is small
-as well. FLOOR keeps a statistic that hardly varies among a group's documents from making every small deviation an outlier; it is
-small enough that each statistic can reject by itself. The scatter of a part of the rows is multiplied by what makes it
-consistent for normal rows.
+minimum-covariance-determinant estimates, in three parts:
+
+1. each group is dealt into chunks of about CHUNK_ROWS rows by a hash; in a chunk, concentration steps from several starts
+   (medians, and random small subsets) run until the determinant no longer falls, and the half of the best start enters
+   the group's first estimate by its moments;
+2. concentration steps over all rows: the half of a group's rows nearest to its estimate, by the median of their
+   distances, gives the next one, until no group's determinant falls any more. A step is one pass over the statistics, its
+   sums are combined where the rows are;
+3. one reweighting: rows within a chi-square quantile give the final estimate.
+
+The scatter of a part of the rows is multiplied by what makes it consistent for normal rows. Every estimate is drawn
+towards that of the group's language, and this one towards that of all documents, with the weight of PRIOR_ROWS rows: a
+small group rests on its language, a large one on itself, without a switch between them. FLOOR keeps a statistic that
+hardly varies among a group's documents from making every small deviation an outlier; it is small enough that each
+statistic can reject by itself. A document whose squared Mahalanobis distance exceeds the chi-square cutoff is rejected.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.session import broadcast_small, cut, text_batches
@@ -37,7 +44,10 @@ FLOOR = np.array([0.06, 0.25, 0.24, 0.096, 0.12, 0.20])
 CUTOFF = 38.26
 #: Squared distance up to which rows enter the estimates again: upper tail 1e-5. Half of all rows lie within MEDIAN.
 WITHIN, MEDIAN = 33.0, 5.348
-CHUNK_ROWS, MIN_ROWS = 1000, 200
+#: Rows of a chunk; rows that a language's estimate counts for in its sources' ones, and that of all in a language's.
+CHUNK_ROWS, PRIOR_ROWS = 1000, 100.0
+#: Random starts of a chunk beside the medians'; passes over all rows at most, and the fall of log determinants that ends them.
+STARTS, PASSES, LEAST_FALL = 8, 12, 1e-3
 MOMENTS = 1 + P + P * (P + 1) // 2
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -120,13 +130,31 @@ def consistency(cutoff: float) -> float:
     return (1 - sum(terms[:-1])) / (1 - sum(terms))
 
 
-def estimate(m: np.ndarray, within: float = MEDIAN) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and scatter (made consistent for rows within a squared distance, with the floor) from summed moments."""
+def centre(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, mean and scatter of summed moments."""
     n = max(m[0], 1.0)
     mean, cov = m[1 : 1 + P] / n, np.zeros((P, P))
     for v, (i, j) in zip(m[1 + P :] / n, PAIRS):
         cov[i, j] = cov[j, i] = v - mean[i] * mean[j]
-    return mean, consistency(within) * cov + np.diag(FLOOR**2)
+    return m[0], mean, cov
+
+
+def drawn(own: tuple, towards: tuple, rows: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """own (rows, mean, scatter) averaged with so many rows of another's mean and scatter."""
+    (n, mean, cov), (_, other, scatter) = own, towards
+    if n + rows <= 0:
+        return own
+    return n + rows, (n * mean + rows * other) / (n + rows), (n * cov + rows * scatter) / (n + rows)
+
+
+def estimate(m: np.ndarray, within: float = MEDIAN) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter (made consistent for rows within a squared distance, with the floor) from summed moments."""
+    _, mean, cov = centre(m)
+    return mean, finished(cov, within)
+
+
+def finished(cov: np.ndarray, within: float) -> np.ndarray:
+    return consistency(within) * cov + np.diag(FLOOR**2)
 
 
 def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -134,19 +162,34 @@ def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
 
 
-def concentrate(x: np.ndarray, steps: int = 12) -> np.ndarray:
-    """Moments of the half of x with the smallest determinant that concentration steps reach from the median's nearest half."""
-    h = (len(x) + P + 1) // 2 if len(x) > P + 1 else len(x)
-    scale = np.maximum(1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0), FLOOR)
-    half = np.argsort((((x - np.median(x, axis=0)) / scale) ** 2).sum(1), kind="stable")[:h]
-    best = None
-    for _ in range(steps):
+def settle(x: np.ndarray, half: np.ndarray) -> tuple[float, np.ndarray]:
+    """Concentration steps from a subset of rows until the determinant no longer falls: its logarithm and the rows reached."""
+    h = half_of(len(x))
+    best = math.inf
+    while True:
         mean, cov = estimate(moments(x[half]))
-        det = np.linalg.slogdet(cov)[1]
-        if best is not None and det >= best - 1e-9:
-            break
-        best, half = det, np.argsort(distances(x, mean, cov), kind="stable")[:h]
-    return moments(x[half])
+        det = float(np.linalg.slogdet(cov)[1])
+        if det >= best - 1e-9:
+            return best, held
+        if len(half) == h:
+            best, held = det, half
+        half = np.argsort(distances(x, mean, cov), kind="stable")[:h]
+
+
+def half_of(n: int) -> int:
+    return (n + P + 1) // 2 if n > P + 1 else n
+
+
+def concentrate(x: np.ndarray, starts: int = STARTS) -> np.ndarray:
+    """Moments of the half of x with the smallest determinant that concentration steps reach from any start: the rows nearest
+    to the medians, and random subsets of P + 1 rows (from a fixed seed)."""
+    h = half_of(len(x))
+    scale = np.maximum(1.4826 * np.median(np.abs(x - np.median(x, axis=0)), axis=0), FLOOR)
+    begin = [np.argsort((((x - np.median(x, axis=0)) / scale) ** 2).sum(1), kind="stable")[:h]]
+    if len(x) > P + 1:
+        g = np.random.default_rng(len(x))
+        begin += [g.choice(len(x), P + 1, replace=False) for _ in range(starts)]
+    return moments(x[min((settle(x, half) for half in begin), key=lambda found: found[0])[1]])
 
 
 def _chunk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,54 +205,75 @@ def _gather(frame: DataFrame, keys: list[str], col: str = "m") -> DataFrame:
     return frame.groupBy(*keys).agg(*_sums(col)).select(*keys, F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("m"))
 
 
-def _judge(stats: DataFrame, params: DataFrame, within: float) -> DataFrame:
-    """stats with d2, the squared distance by their group's estimate from rows within a squared distance."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d2 = np.zeros(len(pdf))
-            for _, at in pdf.groupby(["lang", "source"], dropna=False).indices.items():
-                mean, cov = estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64), within)
-                d2[at] = distances(np.array(pdf["x"].iloc[at].to_list(), dtype=np.float64).reshape(-1, P), mean, cov)
-            yield pdf.drop(columns="m").assign(d2=d2)
-
-    joined = stats.join(broadcast_small(params), ["lang", "source"])
-    order = [*stats.columns, "m"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", d2 double"
-    return joined.select(*order).mapInPandas(run, schema)
-
+def _judge(stats: DataFrame, params: DataFrame) -> DataFrame:
+    """stats with d2, the squared distance by their group's estimate."""
+    joined = stats.join(broadcast_small(params.select("lang", "source", "mean", "inverse")), ["lang", "source"])
+    d = [F.element_at("x", i + 1) - F.element_at("mean", i + 1) for i in range(P)]
+    terms = [F.element_at("inverse", k + 1) * d[i] * d[j] for k, (i, j) in enumerate(PAIRS)]
+    return joined.withColumn("d2", sum(terms[1:], terms[0])).drop("mean", "inverse")
+
+
+def _inner(stats: DataFrame, params: DataFrame, within: float | None) -> DataFrame:
+    """The moments of each group's rows near its estimate, summed where the rows are before they are shuffled: of those within a
+    squared distance, or without one of the nearer half."""
+    judged = _judge(stats, params)
+    if within is None:
+        # Halves by counts of distances in fine bins, which add up; a bin spans 0.1 % of its distance.
+        judged = judged.withColumn("_bin", F.round(F.log1p("d2") * 1000).cast("int"))
+        bins = judged.groupBy("lang", "source", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy("lang", "source")
+        upto = bins.withColumns({"_upto": F.sum("_n").over(w.orderBy("_bin")), "_all": F.sum("_n").over(w)})
+        half = cut(upto.where(f"_upto >= least(_all, ceil((_all + {P + 1}) / 2.0))").groupBy("lang", "source").agg(F.min("_bin").alias("_edge")))
+        judged = judged.join(broadcast_small(half), ["lang", "source"]).where("_bin <= _edge")
+    else:
+        judged = judged.where(F.col("d2") <= within)
 
-def _within(stats: DataFrame, params: DataFrame, before: float) -> DataFrame:
-    """The moments of each group's rows within WITHIN of its estimate (from rows within before), summed where the rows are before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            langs, sources = (batch.column(i).dictionary_encode() for i in (0, 1))
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, P)
+            codes = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            first = np.flatnonzero(np.append(True, codes[order[1:]] != codes[order[:-1]])) if len(codes) else []
+            for at in np.split(order, first[1:]) if len(codes) else []:
+                key = (langs[int(at[0])].as_py(), sources[int(at[0])].as_py())
+                sums[key] = sums.get(key, 0) + moments(x[at])
+        keys = list(sums)
+        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([sums[k].tolist() for k in keys], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "m"])
+
+    return _gather(judged.select("lang", "source", "x").mapInArrow(run, "lang string, source string, m array<double>"), ["lang", "source"])
+
+
+def _drawn(groups: DataFrame, prior_rows: float, within: float) -> DataFrame:
+    """lang, source, and the estimate from the moments of each group, with prior_rows rows of its language's and in those as many
+    of all: det (logarithm of the scatter's determinant), mean, and inverse (of the scatter, its upper half, pairs doubled)."""
+    by_lang = _gather(groups, ["lang"]).withColumnRenamed("m", "_ml")
+    overall = groups.groupBy().agg(*_sums("m")).select(F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("_mo"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for (lang, source), at in pdf.groupby(["lang", "source"], dropna=False).indices.items():
-                x = np.array(pdf["x"].iloc[at].to_list(), dtype=np.float64).reshape(-1, P)
-                out.append((lang, source, moments(x[distances(x, *estimate(np.asarray(pdf["m"].iloc[at[0]], dtype=np.float64), before)) <= WITHIN])))
-            yield pd.DataFrame(out, columns=["lang", "source", "m"])
+            found = []
+            for m, ml, mo in zip(pdf["m"], pdf["_ml"], pdf["_mo"]):
+                _, mean, cov = drawn(centre(np.asarray(m)), drawn(centre(np.asarray(ml)), centre(np.asarray(mo)), prior_rows), prior_rows)
+                found.append((mean, finished(cov, within)))
+            inverses = [np.linalg.inv(cov) for _, cov in found]
+            upper = [[float(v[i, j]) * (1 if i == j else 2) for i, j in PAIRS] for v in inverses]
+            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "det": [float(np.linalg.slogdet(cov)[1]) for _, cov in found], "mean": [mean for mean, _ in found], "inverse": upper})
 
-    joined = stats.join(broadcast_small(params), ["lang", "source"]).select("lang", "source", "x", "m")
-    return _gather(joined.mapInPandas(run, "lang string, source string, m array<double>"), ["lang", "source"])
+    joined = groups.join(by_lang, "lang").select("lang", "source", "m", "_ml", overall.scalar().alias("_mo"))
+    return joined.mapInPandas(run, "lang string, source string, det double, mean array<double>, inverse array<double>")
 
 
-def _with_fallback(groups: DataFrame, counts: DataFrame, min_rows: int) -> DataFrame:
-    """Moments of each group, or of its language, or of all, whichever first has min_rows rows behind it."""
-    by_lang = _gather(groups, ["lang"]).withColumnRenamed("m", "_ml")
-    overall = groups.groupBy().agg(*_sums("m")).select(F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("_mo"))
-    lang_rows = counts.groupBy("lang").agg(F.sum("rows").alias("_lang_rows"))
-    own = counts.join(groups, ["lang", "source"]).join(by_lang, "lang").join(lang_rows, "lang")
-    return own.select("lang", "source", F.when(F.col("rows") >= min_rows, F.col("m")).when(F.col("_lang_rows") >= min_rows, F.col("_ml")).otherwise(overall.scalar()).alias("m"))
-
-
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_rows: int = MIN_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, prior_rows: float = PRIOR_ROWS, chunk_rows: int = CHUNK_ROWS, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (squared Mahalanobis).
 
     Null texts have no words and fail the base rules. Null languages and sources form groups of their own, with the
     empty string. Documents that fail the base rules stay out of the estimates. With no document to estimate from,
-    the base rules alone decide. Rows that repeat an id are judged each on their own; other columns are not read.
-    No rows give no rows.
+    the base rules alone decide. Texts of any length are read whole. Ties: rows at the same distance are on the same side of
+    every bound. Rows that repeat an id are judged each on their own; other columns are not read. No rows give no rows.
+    A warning says so if the concentration steps have not settled after so many passes.
     """
     text_batches(docs.sparkSession)
     stats = cut(measured(docs, id_col, text_col, lang_col, source_col))
@@ -221,12 +285,21 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunked = good.join(broadcast_small(counts), ["lang", "source"])
     chunk = F.pmod(F.xxhash64("doc_id", "n_words", "x"), F.ceil(F.col("rows") / chunk_rows))
     halves = chunked.select("lang", "source", chunk.alias("_chunk"), "x").groupBy("lang", "source", "_chunk").applyInPandas(_chunk, "lang string, source string, m array<double>")
-    params = cut(_with_fallback(_gather(halves, ["lang", "source"]), counts, min_rows))
-    for before in (MEDIAN, WITHIN):
-        params = cut(_with_fallback(_within(good, params, before), counts, min_rows))
+    params = cut(_drawn(_gather(halves, ["lang", "source"]), prior_rows, MEDIAN))
+    vectors = good.select("lang", "source", "x")
+    for _ in range(passes):
+        after = cut(_drawn(_inner(vectors, params, None), prior_rows, MEDIAN))
+        old = params.select("lang", "source", F.col("det").alias("_det"))
+        fall = after.join(old, ["lang", "source"]).agg(F.max(F.col("_det") - F.col("det"))).first()[0]
+        if fall is None or fall <= LEAST_FALL:
+            break
+        params = after
+    else:
+        warnings.warn(f"concentration steps have not settled after {passes} passes: determinants still fall by {fall:.4f}", stacklevel=2)
+    params = cut(_drawn(_inner(vectors, params, WITHIN), prior_rows, WITHIN))
     fields = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keyed = stats.select("lang", "source", *fields, "base_failed", "x")
-    passed = _judge(keyed.where(~F.col("base_failed")), params, WITHIN)
+    passed = _judge(keyed.where(~F.col("base_failed")), params)
     rest = keyed.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return passed.unionByName(rest).select(*fields, "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"))
 
@@ -235,7 +308,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """docs without what judge_quality rejects; columns as in docs.
 
     The verdict is on the row: rows are judged under a key of id, language, source and text, all that a verdict depends
-    on, so other rows of a rejected row's id stay, and so do rows without an id.
+    on, so other rows of a rejected row's id stay, and so do rows without an id. Null texts go, texts of any length are read
+    whole, rows that repeat all these share a verdict. Extra columns are kept, whatever their names. No rows give no rows.
     """
     fields = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(source_col).alias("s")))
     keyed = docs.withColumn("_row_key", F.sha2(F.concat(fields, F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))), 256))

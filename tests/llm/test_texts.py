@@ -155,7 +155,7 @@ def brute_containment(words):
 def test_quality(spark):
     rows = documents(900)
     shout = [(5000 + i, "BUY!! NOW!! " + " ".join(w.upper() + "!!" for w in t.split()), "en", "s1") for i, t, *_ in rows[:40] if len(t.split()) > 60]
-    got = {r["doc_id"]: r for r in quality.judge_quality(table(spark, rows + shout), min_rows=50, chunk_rows=100).collect()}
+    got = {r["doc_id"]: r for r in quality.judge_quality(table(spark, rows + shout), chunk_rows=100).collect()}
     assert len(got) == len(rows + shout)
     for i, t, *_ in rows + shout:
         words = SPACE.findall(t or "")
@@ -194,11 +194,53 @@ def test_each_statistic_rejects_alone(spark):
         9002: " ".join(words[:156] + 2 * words[156:228]),
         9003: " ".join(w.upper() if k % 2 else w for k, w in enumerate(words)),
     }
-    got = {x["doc_id"]: x for x in quality.judge_quality(table(spark, rows + [(i, t, "en", "s1") for i, t in lone.items()]), min_rows=50, chunk_rows=100).collect()}
+    got = {x["doc_id"]: x for x in quality.judge_quality(table(spark, rows + [(i, t, "en", "s1") for i, t in lone.items()]), chunk_rows=100).collect()}
     assert not any(got[i]["base_failed"] or got[i]["kept"] for i in lone), {i: got[i] for i in lone}
     assert all(got[i]["kept"] or got[i]["base_failed"] for i, *_ in rows)
 
 
+def plain_mcd(x, g):
+    """Centre and scatter of the half of x with the least determinant, of 200 random starts, reweighted once."""
+    h, best = (len(x) + quality.P + 1) // 2, None
+    fit = lambda rows, within: (rows.mean(0), quality.consistency(within) * np.cov(rows.T, bias=True) + np.diag(quality.FLOOR**2))
+    away = lambda centre, scatter: ((x - centre) @ np.linalg.inv(scatter) * (x - centre)).sum(1)
+    for _ in range(200):
+        rows = x[g.choice(len(x), quality.P + 1, replace=False)]
+        for _ in range(30):
+            rows = x[np.argsort(away(*fit(rows, quality.MEDIAN)))[:h]]
+        det = np.linalg.det(fit(rows, quality.MEDIAN)[1])
+        if best is None or det < best[0]:
+            best = det, rows
+    inner = x[away(*fit(best[1], quality.MEDIAN)) <= quality.WITHIN]
+    return away(*fit(inner, quality.WITHIN))
+
+
+def test_quality_agrees_with_a_plain_estimate(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(r.randint(2, 8)))
+    rows = []
+    for i in range(500):
+        words = [word() for _ in range(r.choice((60, 120, 200)))]
+        odd, share = r.choice(("plain", "plain", "plain", "plain", "upper", "bang", "symbols")), r.random()
+        words = [w if odd == "plain" or r.random() > share else w.upper() if odd == "upper" else w + "!" if odd == "bang" else w + "#$" for w in words]
+        rows.append((i, " ".join(words), "en", "s"))
+    x = np.array([quality.measure(t)[5] for _, t, *_ in rows])
+    want = plain_mcd(x, np.random.default_rng(1))
+    for chunk_rows in (1000, 100):
+        got = {q["doc_id"]: q for q in quality.judge_quality(table(spark, rows), prior_rows=0.0, chunk_rows=chunk_rows).collect()}
+        sure = [i for i in range(500) if not 0.8 < want[i] / quality.CUTOFF < 1.25 and not got[i]["base_failed"]]
+        assert len(sure) > 450 and 20 < sum(not got[i]["kept"] for i in sure) < 200
+        assert all(got[i]["kept"] == (want[i] <= quality.CUTOFF) for i in sure)
+
+
+def test_small_groups_rest_on_their_language(spark):
+    """A source of three shouting documents is judged by its language, without a least size from which groups count."""
+    rows = documents(400)
+    shout = [(9000 + i, " ".join(w.upper() + "!" for w in t.split()), "en", "tiny") for i, t, *_ in rows if len((t or "").split()) > 60][:3]
+    got = {q["doc_id"]: q["kept"] for q in quality.judge_quality(table(spark, rows + shout)).collect()}
+    assert not any(got[i] for i, *_ in shout)
+
+
 def test_repeat_words():
     assert quality.count_repeats("a b c a b c".split()) == 6
     assert quality.count_repeats("a a a a".split()) == 4
