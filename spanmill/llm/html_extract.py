@@ -58,8 +58,9 @@ MIN_CHARS = 3
 MIN_INNER_CHARS, MIN_REMAINS = 8, 0.1
 
 
-#: Hosts with templates up to which their lists are broadcast; beyond, pages meet them by a join that Spark may split.
-MAX_HOSTS = 20_000
+#: Template subtrees of all hosts (8 bytes each) up to which their lists are broadcast; beyond, pages meet them by a join that
+#: Spark may split.
+MAX_LISTED = 2_000_000
 
 
 class Node:
@@ -261,8 +262,10 @@ def host_of(url):
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars.
 
-    Null html counts as empty: no text. Pages without a host (null or odd urls) share one host of no name. Pages that
-    repeat an id are pages of their own. Other columns are not read, whatever their names. No rows give no rows.
+    Null html counts as empty: no text. Pages of any length are read whole. Pages without a host (null or odd urls) share one
+    host of no name. Pages that repeat an id are pages of their own; pages with equal html count once for the templates.
+    Ties: a subtree on exactly the least number of pages is template. Other columns are not read, whatever their names. No
+    rows give no rows.
     """
     spark = pages.sparkSession
     text_batches(spark)
@@ -308,4 +311,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    return rows.join(broadcast_small(lists, MAX_HOSTS), "host", "left").select("page_id", "url", "html", "template").mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
+    listed = lists.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
+    lists = broadcast_small(lists) if listed <= MAX_LISTED else lists
+    return rows.join(lists, "host", "left").select("page_id", "url", "html", "template").mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
