@@ -1,11 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is a row of words (of long ones, as in scripts without spaces, overlapping parts), scored in overlapping windows of WINDOW words, one starting every STEP words; the text's
-score is that of its worst window. A word enters as its own vector (words of the training sample that occur in
+A text is a row of words (of long ones, as in scripts without spaces, overlapping parts), scored in overlapping windows
+of WINDOW words, one starting every STEP words; the text's score is that of its worst window. A word enters as its own vector (words of the training sample that occur in
 MIN_DOCS documents) beside the mean vector of its character n-grams, so forms never seen before are read by their
 letters. Two recurrent passes, one from each side, meet in an attention layer whose weighted mean decides.
 
-Training: labels belong to texts, not windows, so a text's logit is the soft maximum of its windows' logits. The
+Training: labels belong to texts, not windows, so a text's logit is the soft maximum of all its windows' logits. The
 labelled rows whose crc32 leaves 2 modulo 4 are held out. Of the others, at most TRAIN_TOXIC and TRAIN_OTHER rows, in
 the order of a hash of their ids, are the training sample; every fifth of them calibrates the scores instead.
 """
@@ -29,8 +29,9 @@ WINDOW, STEP = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 12
 GRAMS, GRAM_BUCKETS = (3, 4, 5), 16384
 MIN_DOCS, MAX_VOCABULARY = 4, 8000
-TRAIN_TOXIC, TRAIN_OTHER = 900, 1500
-TOXIC_WINDOWS, OTHER_WINDOWS, EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 24, 6, 3, 150, 48, 1e-2, 5
+#: Bounds of the training sample, in labelled rows; of its words and n-grams the network keeps vectors of so many.
+TRAIN_TOXIC, TRAIN_OTHER = 700, 1100
+EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 3, 110, 32, 1e-2, 5
 HELD_OUT, THRESHOLD = 2, 0.3
 #: Characters of a word; a longer one is read in parts, one starting every PART_STEP characters. Words whose vectors a worker keeps.
 WORD_CHARS, PART_STEP, KEPT_WORDS, CHUNK_WINDOWS = 40, 20, 120_000, 4096
@@ -217,11 +218,7 @@ class BiGru:
             for i in range(0, len(texts), BATCH):
                 rows = []
                 for j in order[i : i + BATCH]:
-                    starts = windows(len(texts[j]))
-                    most = TOXIC_WINDOWS if labels[j] else OTHER_WINDOWS
-                    if len(starts) > most:
-                        starts = g.choice(starts, most, replace=False)
-                    rows.append(([texts[j][s : s + WINDOW] for s in starts], labels[j]))
+                    rows.append(([texts[j][s : s + WINDOW] for s in windows(len(texts[j]))], labels[j]))
                 steps += 1
                 rate = RATE * min(1.0, steps / 10) * (1 - 0.9 * steps / count)
                 for k, d in self.step(rows, weights).items():
@@ -319,18 +316,22 @@ def train_network(rows: list[tuple[int, str | None, int]]) -> BiGru:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, toxic: at most TRAIN_TOXIC and TRAIN_OTHER labelled rows that are not held out, by a hash of their ids."""
+    """doc_id, text, toxic: at most TRAIN_TOXIC and TRAIN_OTHER labelled rows that are not held out, by a hash of their ids. Of the
+    rows that repeat an id one is taken, so the sample is no larger."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     picked = known.where("toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(TRAIN_OTHER))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("_h"), "text")).alias("_one")
+    return found.groupBy("doc_id", "toxic").agg(one).select("doc_id", "_one.text", "toxic")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: BiGru | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted.
 
-    Null and empty texts have one window without words and so a score as well. Rows without an id are not held out.
+    Null and empty texts have one window without words and so a score as well. Texts of any length are scored whole. Ties:
+    equal texts have equal scores. Rows without an id are not held out.
     Rows that repeat an id are scored each by their own text; labels that disagree count as toxic. Without labels the
     network stays as it was initialised. Columns other than id and text are not read, whatever their names. No rows
     give no rows.
