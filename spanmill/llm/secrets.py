@@ -1,12 +1,15 @@
-r"""Secret scans: patterns, then a character convolutional network over every other candidate in its context.
-
-Base findings come from three patterns and always stay. Candidates are the remaining tokens that could be secrets:
-runs of at least 16 characters of [A-Za-z0-9+/_.=-] outside base findings, with a digit among them or both cases mixed.
-Each is read with LEFT characters before and RIGHT after it, TOKEN characters at a time: a longer one in overlapping
-windows, of which the highest score counts. A network of two convolutions, max pooling and a dense layer, written in
-numpy, says how likely it is a secret. It is trained on labelled findings made from a seed (keys, tokens, connection
-strings against identifiers, hashes of builds, paths, versions, words); a held-out half calibrates its scores
-(Platt scaling) and sets the threshold: the largest that keeps RECALL of the held-out secrets.
+r"""Secret scans: patterns, and a character convolutional network over every candidate in its context.
+
+Base findings come from three patterns and always stay. Candidates are the values of the base findings and all runs of at
+least 16 characters of [A-Za-z0-9+/_.=-], or their pieces beside base findings. Each is read with LEFT characters before and
+RIGHT after it, TOKEN characters at a time: a longer one in overlapping windows, of which the highest score counts. A
+network of two convolutions, max pooling and a dense layer, written in numpy, says how likely it is a secret; what reaches
+its shape's threshold is a finding of the kind model.
+
+It is trained on labelled findings made from a seed: keys, tokens, passwords and connection strings, against identifiers,
+paths, versions, long words, numbers and placeholders. One half of them trains, a quarter calibrates the scores
+(Platt scaling), and the last quarter sets a threshold for each shape of a candidate (hex, digits, letters of one case, short,
+mixed): the largest that keeps RECALL of its secrets.
 """
 
 from __future__ import annotations
@@ -42,25 +45,32 @@ LEFT, TOKEN, RIGHT = 24, 48, 8
 WIDTH = LEFT + TOKEN + RIGHT
 #: Places between the windows of a long candidate.
 WINDOW_STEP = 24
-RECALL, TRAIN_EXAMPLES, SEED = 0.98, 6000, 11
+RECALL, TRAIN_EXAMPLES, SEED = 0.98, 8000, 11
+#: Shapes of a candidate with a threshold each; one with fewer held-out secrets takes that of all together.
+SHAPES, LEAST_SECRETS = ("hex", "digits", "letters", "short", "mixed"), 20
 CHANNELS, KERNEL, EMBED = 24, 5, 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three patterns, leftmost and non-overlapping for each kind."""
+    return [(start, kind, end) for start, kind, end, _ in base_findings(text)]
+
+
+def base_findings(text: str) -> list[tuple[int, int, int, int]]:
+    """base_spans with the place where the finding's value begins."""
     found = []
     if ":" in text or "=" in text:
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that may be secrets: runs of any length, or their pieces outside base findings."""
-    found, taken, k = [], [], 0
-    for start, _, end in sorted(base):
+def candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of all that may be a secret: the values of base findings, and runs or their pieces beside them."""
+    found, taken, k = {(value, end) for _, _, end, value in base}, [], 0
+    for start, _, end, _ in base:
         if taken and start <= taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], end)
         else:
@@ -72,12 +82,23 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         i = k
         while at < stop:
             start, end = taken[i] if i < len(taken) and taken[i][0] < stop else (stop, stop)
-            t = text[at:start] if start > at else ""
-            if len(t) >= LEAST and (any(c.isdigit() for c in t) or (t != t.lower() and t[1:] != t[1:].lower() and t != t.upper())):
-                found.append((at, start))
+            if start - at >= LEAST:
+                found.add((at, start))
             at, i = end, i + 1
         k = max(k, i - 1)
-    return found
+    return sorted(found)
+
+
+def shape_of(token: str) -> int:
+    """The place of a candidate's shape in SHAPES."""
+    core = re.sub(r"[+/_.=-]", "", token)
+    if len(token) < LEAST:
+        return 3
+    if core.isdigit() or not core:
+        return 1
+    if any(c.isdigit() for c in core) and not (set(core) - set("0123456789abcdef") and set(core) - set("0123456789ABCDEF")):
+        return 0
+    return 2 if core.isalpha() and (core[1:] == core[1:].lower() or core == core.upper()) else 4
 
 
 def window_spans(a: int, b: int) -> list[tuple[int, int]]:
@@ -96,30 +117,43 @@ def code_points(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
-def labelled_findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """n labelled examples, half of them secrets, from a seed: random keys in usual settings against look-alikes in prose."""
+SYLLABLES = "an re th ing er on es ti le de ou st ung keit sch ein ver lich ge che tion que oi elle ment la os ñe es ca do ra mi ble ly wh ed un für ch and ho".replace("ñ", "n").replace("ü", "u").split()
+
+
+def labelled_findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n labelled examples, half of them secrets, and their shapes, from a seed: random keys in usual settings against look-alikes in prose."""
     r = random.Random(seed)
-    alnum, b64, low = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alnum, b64 = low + up + dig, low + up + dig + "+/"
     rnd = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
-    word = lambda: "".join(r.choice(("an", "re", "th", "ing", "er", "on", "es", "ti", "le", "de", "ou", "st")) for _ in range(r.randint(1, 4)))
+    word = lambda a=1, b=4: "".join(r.choice(SYLLABLES) for _ in range(r.randint(a, b)))
+    words = lambda sep, a, b: sep.join(word() for _ in range(r.randint(a, b)))
+    hexes = lambda: rnd("0123456789abcdef" if r.random() < 0.8 else "0123456789ABCDEF", *r.choice(((32, 32), (40, 40), (64, 64), (24, 48))))
+    named = (" key=", ' secret: "', ' token = "', " API_KEY=", " password: ", ' passwd="', " auth_token=", " Bearer ", "Authorization: Basic ", " client_secret = '", " pwd=", ' TOKEN = "', " apikey: ")
+    bare = (" ", "\n", "(", "'", ": ", " = ")
     secret_kinds = (
-        lambda: rnd(alnum, 32, 64), lambda: rnd(b64, 38, 44) + "=" * r.randint(0, 2), lambda: "ghp_" + rnd(alnum, 36, 36), lambda: "sk-" + rnd(alnum, 32, 48), lambda: "xoxb-" + rnd(string.digits, 10, 12) + "-" + rnd(alnum, 24, 24),
-        lambda: "eyJ" + rnd(alnum, 20, 30) + "." + rnd(alnum + "_-", 30, 60) + "." + rnd(alnum + "_-", 30, 43), lambda: "AIza" + rnd(alnum + "_-", 35, 35), lambda: rnd(alnum + "_-", 24, 40),
+        lambda: (r.choice(named + bare), rnd(alnum, 24, 64)), lambda: (r.choice(named + bare), rnd(b64, 38, 44) + "=" * r.randint(0, 2)), lambda: (r.choice(named + bare), r.choice(("ghp_", "gho_", "npm_", "glpat-")) + rnd(alnum, 36, 36)),
+        lambda: (r.choice(named + bare), r.choice(("sk-", "sk_live_", "rk_test_")) + rnd(alnum, 24, 48)), lambda: (r.choice(named + bare), "xoxb-" + rnd(dig, 10, 12) + "-" + rnd(alnum, 24, 24)), lambda: (r.choice(named + bare), "AKIA" + rnd(up + dig, 16, 16)),
+        lambda: (r.choice(named + bare), "eyJ" + rnd(alnum, 20, 30) + "." + rnd(alnum + "_-", 30, 60) + "." + rnd(alnum + "_-", 30, 43)), lambda: (r.choice(named + bare), "AIza" + rnd(alnum + "_-", 35, 35)),
+        lambda: (r.choice(named + bare), hexes()), lambda: (r.choice(named), hexes()), lambda: (r.choice(named), rnd(alnum, 8, 15)), lambda: (r.choice(named), word(2, 3) + rnd(dig, 2, 4) + rnd(alnum, 0, 3)),
+        lambda: (r.choice(named + bare), rnd(up + "234567", 26, 52)), lambda: (r.choice(named), rnd(low, 20, 40)), lambda: (r.choice(named), rnd(dig, 8, 20)), lambda: (r.choice((" postgres://" + word() + ":", " mysql://root:", " https://" + word() + ":")), rnd(alnum, 16, 24)), lambda: ("-----BEGIN PRIVATE KEY-----\n", rnd(b64, 64, 64)),
     )
     plain_kinds = (
-        lambda: "-".join(word() for _ in range(r.randint(4, 7))), lambda: "/".join(word() for _ in range(r.randint(4, 7))) + r.choice((".html", ".py", "")), lambda: ".".join(word() for _ in range(3)) + f".v{r.randint(1, 30)}",
-        lambda: "_".join(word() for _ in range(4)) + f"_{r.randint(1, 999)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T10.20.{r.randint(10, 59)}", lambda: rnd(string.digits, 16, 24),
-        lambda: "".join(word() for _ in range(5)).capitalize() + str(r.randint(0, 9)), lambda: "".join(word().capitalize() for _ in range(r.randint(4, 7))), lambda: r.choice("=-._") * r.randint(16, 40) + str(r.randint(0, 9)), lambda: rnd(low, 16, 30) + str(r.randint(0, 99)),
+        lambda: (r.choice(bare), words("-", 4, 7)), lambda: (r.choice(bare), words("/", 4, 7) + r.choice((".html", ".py", ""))), lambda: (r.choice(bare), words(".", 3, 3) + f".v{r.randint(1, 30)}"), lambda: (r.choice(bare), words("_", 4, 4) + f"_{r.randint(1, 999)}"),
+        lambda: (r.choice(bare), f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T10.20.{r.randint(10, 59)}"), lambda: (r.choice(bare), rnd(dig, 16, 24)), lambda: (r.choice(bare), word(6, 10)), lambda: (r.choice(bare), word(6, 10).upper()), lambda: (". ", word(6, 10).capitalize()),
+        lambda: (r.choice(bare), word(5, 7).capitalize() + str(r.randint(0, 9))), lambda: (r.choice(bare), "".join(word().capitalize() for _ in range(r.randint(4, 7)))), lambda: (r.choice(bare), r.choice("=-._") * r.randint(16, 40) + r.choice(("", "1"))), lambda: (". ", word(2, 4) + "." + word(2, 4).capitalize()),
+        lambda: (r.choice((" token: ", " secret = ", " password: ", " token=")), word(3, 5)), lambda: (" ", word() + "." + rnd(dig, 1, 2)),
+        lambda: (r.choice(named), r.choice(("placeholder", "changeme", "your-key-here", "xxxxxxxxxxxx", "example-token", "undefined", "********".replace("*", "x"))) + r.choice(("", "-" + word(1, 2)))),
     )
-    x, y = np.zeros((n, WIDTH), dtype=np.uint8), np.zeros(n)
+    x, y, shapes = np.zeros((n, WIDTH), dtype=np.uint8), np.zeros(n), np.zeros(n, dtype=np.int64)
     for i in range(n):
         y[i] = i % 2
-        token = r.choice(secret_kinds if y[i] else plain_kinds)()
+        lead, token = r.choice(secret_kinds if y[i] else plain_kinds)()
         before = " ".join(word() for _ in range(r.randint(0, 4)))
-        lead = r.choice((" ", "\n", ": ", " = ", '="', " key=", " Bearer ", " auth: ", "(", "'")) if r.random() < 0.7 else " "
         text = before + lead + token + r.choice((" ", "\n", '"', ".", "", ")", "'")) + word()
         x[i] = code_points(text, len(before + lead), len(before + lead + token))
-    return x, y
+        shapes[i] = shape_of(token)
+    return x, y, shapes
 
 
 class CharCnn:
@@ -133,7 +167,8 @@ class CharCnn:
             "c2": g.normal(0, (2 / (KERNEL * CHANNELS)) ** 0.5, (KERNEL * CHANNELS, CHANNELS)).astype(f), "b2": np.zeros(CHANNELS, f), "d": g.normal(0, 0.2, CHANNELS).astype(f), "b": np.zeros(1, f),
         }
         self.scale = (1.0, 0.0)
-        self.threshold = 0.5
+        self.thresholds = np.full(len(SHAPES), 0.5)
+        self.recalls = np.full(len(SHAPES), np.nan)
 
     @staticmethod
     def _windows(x: np.ndarray) -> np.ndarray:
@@ -155,10 +190,10 @@ class CharCnn:
         z = pooled @ w["d"] + w["b"]
         return (z, (u1, a1, u2, top, pooled)) if keep else z
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 3e-3, seed: int = SEED) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 4e-3, seed: int = SEED) -> None:
         g = np.random.default_rng(seed)
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
-        step = 0
+        step, steps = 0, epochs * -(-len(x) // batch)
         for _ in range(epochs):
             order = g.permutation(len(x))
             for i in range(0, len(x), batch):
@@ -189,10 +224,10 @@ class CharCnn:
                     a, b = m[k]
                     a += 0.1 * (v - a)
                     b += 0.001 * (v * v - b)
-                    self.w[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                    self.w[k] -= rate * (1 - 0.95 * step / steps) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling by Newton steps on held-out examples; then the largest threshold that keeps the recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling by Newton steps on examples not trained on."""
         z = self.forward(x).astype(np.float64)
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -203,8 +238,15 @@ class CharCnn:
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
         self.scale = (float(a), float(b))
-        good = np.sort(self.score(x)[y == 1])
-        self.threshold = float(max(0.5, good[int((1 - recall) * len(good))]))
+
+    def constrain(self, x: np.ndarray, y: np.ndarray, shapes: np.ndarray, recall: float = RECALL) -> None:
+        """For each shape the largest threshold that keeps the recall, on examples used for nothing else."""
+        p = self.score(x)
+        least = lambda good: np.sort(good)[int((1 - recall) * len(good))]
+        for k in range(len(SHAPES)):
+            good = p[(y == 1) & (shapes == k)]
+            self.thresholds[k] = least(good if len(good) >= LEAST_SECRETS else p[y == 1])
+            self.recalls[k] = (good >= self.thresholds[k]).mean() if len(good) else np.nan
 
     def score(self, x: np.ndarray) -> np.ndarray:
         a, b = self.scale
@@ -214,13 +256,14 @@ class CharCnn:
 
 @lru_cache(maxsize=1)
 def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED) -> CharCnn:
-    """The network, trained on half of the labelled findings and calibrated on the other half."""
-    x, y = labelled_findings(examples, seed)
+    """The network, trained on half of the labelled findings, calibrated on a quarter, its thresholds set on the last quarter."""
+    x, y, shapes = labelled_findings(examples, seed)
     order = np.random.default_rng(seed).permutation(examples)
-    fit, held = order[: examples // 2], order[examples // 2 :]
+    fit, scale, held = order[: examples // 2], order[examples // 2 : examples * 3 // 4], order[examples * 3 // 4 :]
     net = CharCnn(seed)
     net.train(x[fit], y[fit])
-    net.calibrate(x[held], y[held])
+    net.calibrate(x[scale], y[scale])
+    net.constrain(x[held], y[held], shapes[held])
     return net
 
 
@@ -229,9 +272,10 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: CharCnn | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end of all findings, by start, in code points).
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end of all findings, by start, then kind, in code points).
 
-    Null texts count as empty: no spans, the hash of the empty string. Rows that repeat an id are scanned each on
+    A value that both a pattern and the network find has a span of each kind. Null texts count as empty: no spans, the hash of
+    the empty string. Texts and candidates of any length are read whole. Rows that repeat an id are scanned each on
     their own; other columns are not read, whatever their names. No rows give no rows.
     """
     text_batches(docs.sparkSession)
@@ -244,14 +288,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found, wanted, where = [], [], []
             for i, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
-                base = base_spans(text)
+                findings = base_findings(text)
+                base = [(start, kind, end) for start, kind, end, _ in findings]
                 found.append((base, list(base)))
-                for a, b in candidates(text, base):
+                for a, b in candidates(text, findings):
+                    least = cnn.thresholds[shape_of(text[a:b])]
                     for start, end in window_spans(a, b):
                         wanted.append(code_points(text, start, end))
-                        where.append((i, a, b))
+                        where.append((i, a, b, least))
             if wanted:
-                hits = {at for at, p in zip(where, cnn.score(np.stack(wanted))) if p >= cnn.threshold}
+                hits = {at[:3] for at, p in zip(where, cnn.score(np.stack(wanted))) if p >= at[3]}
                 for i, a, b in hits:
                     found[i][1].append((a, 3, b))
             counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(3)]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -324,6 +325,104 @@ def test_template_inside_articles(spark):
     assert all(got[200 + i] == "the same long story " * 9 + f"visit {i}" for i in range(12))
 
 
+class Tree(HTMLParser):
+    """Elements of well-formed pages: (tag, class, children and texts)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack = [("#", "", [])]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs).get("class", ""), [])
+        self.stack[-1][2].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def text_in(node):
+    return "".join(k if isinstance(k, str) else text_in(k) for k in node[2])
+
+
+def brute_pages(pages):
+    """Texts of (id, host, html) by counting subtrees of each host as values, without hashes; elements here are article, div, p, b."""
+    trees = [(i, host, page, Tree(page).stack[0]) for i, host, page in pages]
+    out = {}
+    for host in {h for _, h, _, _ in trees}:
+        mine = [(i, page, tree) for i, h, page, tree in trees if h == host]
+        seen = collections.defaultdict(set)  # subtree -> the different places (pages, or articles) that hold it
+
+        def visit(node, place, inside):
+            for k in node[2]:
+                if isinstance(k, str):
+                    continue
+                if k[0] == "article":
+                    visit(k, repr(k), True)
+                else:
+                    if len(re.sub(r"\s+", " ", text_in(k)).strip()) >= (8 if inside else 3):
+                        seen[repr(k)].add(place)
+                    visit(k, place, inside)
+
+        for _, page, tree in mine:
+            visit(tree, repr(tree), False)
+        n = len({repr(tree) for _, _, tree in mine})
+        template = set()
+        for key, places in seen.items():
+            whole = key[2:5] == "div" or key[2:3] == "p"
+            least = min(n**0.5, n / 2) if whole and len(text_in(eval(key))) >= 8 else n / 2
+            if len(places) >= 5 and len(places) >= least:
+                template.add(key)
+
+        def blocks(node, cut):
+            parts, run = [], ""
+            for k in node[2]:
+                if isinstance(k, str):
+                    run += k
+                elif repr(k) in cut:
+                    if k[0] != "b":
+                        parts, run = parts + [run], ""
+                elif k[0] == "b":
+                    run += " ".join(blocks(k, cut))
+                else:
+                    parts, run = parts + [run] + blocks(k, cut), ""
+            return [x for p in parts + [run] if (x := re.sub(r"\s+", " ", p).strip())]
+
+        for i, _, tree in mine:
+            articles = [k for k in tree[2][0][2] if not isinstance(k, str) and k[0] == "article"]
+            if articles:
+                all_of_it, left = blocks(articles[0], set()), blocks(articles[0], template)
+                out[i] = " ".join(left if sum(map(len, left)) >= 0.1 * sum(map(len, all_of_it)) else all_of_it)
+            else:
+                out[i] = " ".join(blocks(tree[2][0], template))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = {h: [text(r.randint(1, 9)) for _ in range(12)] for h in ("one.example", "two.example", "three.example")}
+    pages = []
+    for i in range(160):
+        host = r.choice(("one.example", "one.example", "two.example", "three.example"))
+        body = ""
+        for _ in range(r.randint(1, 6)):
+            part = r.choice(shared[host]) if r.random() < 0.5 else text(r.randint(2, 30))
+            body += r.choice((f"<p>{part}</p>", f'<div class="x{r.randint(1, 2)}"><p>{part}</p></div>', f"<p>{text(3)}<b>{part}</b></p>", f'<div class="q">{part}</div>'))
+        pages.append((i, host, f"<body>{f'<article>{body}</article><div>{r.choice(shared[host])}</div>' if r.random() < 0.6 else body}</body>"))
+    pages += [(1000 + k, *pages[k][1:]) for k in range(20)]
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, h, p in pages], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_extract.extract_pages(frame).collect()}
+    assert got == brute_pages(pages)
+    off = {x["page_id"]: x["text"] for x in html_extract.extract_pages(frame, min_pages=10**6).collect()}
+    assert sum(off[i] != got[i] for i in got) > 40
+
+
 def test_templates_of_several_layouts(spark):
     """Of three layouts of a host each loses its boilerplate; words of a sentence and pages without a host stay."""
     layout = ("<div class=a1><b>All our news</b> in one place</div>", "<div class=b1>Unser Archiv im Netz</div>", "<ul class=c1><li>Tous nos articles</ul>")
@@ -369,9 +468,19 @@ def test_secrets_in_long_runs(spark):
 
 def test_secret_network_on_unseen_findings():
     net = secrets.trained()
-    x, y = secrets.labelled_findings(1000, 77)
-    p = net.score(x) >= net.threshold
-    assert p[y == 1].mean() >= 0.95 and p[y == 0].mean() <= 0.02
+    x, y, shapes = secrets.labelled_findings(3000, 77)
+    hit = net.score(x) >= net.thresholds[shapes]
+    assert hit[y == 1].mean() >= 0.96 and hit[y == 0].mean() <= 0.04
+    for k in range(len(secrets.SHAPES)):
+        good = (y == 1) & (shapes == k)
+        assert good.sum() < 100 or hit[good].mean() >= 0.93, secrets.SHAPES[k]
+
+
+def test_secret_candidates_are_all_scored():
+    text = "password=hunter2hunter2 and thestrangelylongword " + "A" * 20 + " /one/two/three/four " + "0a" * 20
+    found = secrets.candidates(text, secrets.base_findings(text))
+    assert [text[a:b] for a, b in found] == ["hunter2hunter2", "thestrangelylongword", "A" * 20, "/one/two/three/four", "0a" * 20]
+    assert [secrets.SHAPES[secrets.shape_of(text[a:b])] for a, b in found] == ["short", "letters", "letters", "letters", "hex"]
 
 
 def labelled(n=700, seed=4):
