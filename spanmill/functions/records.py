@@ -52,6 +52,17 @@ def described(records: DataFrame) -> DataFrame:
     return records.select("session_id", F.col("record_index").cast("long").alias("record_index"), "payload").mapInPandas(run, DESCRIBED)
 
 
+def eventstream_rows(bodies: DataFrame, key: str = "request_id", text: str = "body") -> DataFrame:
+    """Event rows (request_id, seq, event, data) of stored binary event streams, named as the messages API does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(k, i, e["event"], json.dumps(e["data"], ensure_ascii=False)) for k, t in zip(pdf["key"], pdf["body"]) for i, e in enumerate(rec.eventstream(t))]
+            yield pd.DataFrame(out, columns=["request_id", "seq", "event", "data"])
+
+    return bodies.select(F.col(key).cast("string").alias("key"), F.col(text).alias("body")).mapInPandas(run, "request_id string, seq long, event string, data string")
+
+
 def messages(records: DataFrame) -> DataFrame:
     """The user and assistant messages of records that are worth indexing, long ones in pieces."""
     schema = "session_id string, record_index long, message_index long, model string, role string, timestamp string, content_hash string, text string"

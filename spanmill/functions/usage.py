@@ -25,20 +25,29 @@ def _number(usage: Column, path: str) -> Column:
     return F.get_json_object(usage, f"$.{path}").try_cast("long")
 
 
-def usage_column(usage: Column, name: str) -> Column:
-    """One shared count of JSON text. A zero or missing count yields to the first alias that is neither; else it stays as it is."""
-    if name == "cache_read_input_tokens":
-        return F.coalesce(_number(usage, name), *[_number(usage, p) for p in CACHE_READ])
-    if name == "cache_creation_input_tokens":
-        return F.coalesce(_number(usage, name), *[_number(usage, p) for p in CACHE_WRITE])
-    own = _number(usage, name)
-    some = [F.nullif(c, F.lit(0)) for c in (own, *[_number(usage, a) for a in ALIASES[name]])]
-    return F.coalesce(*some, own)
-
-
 def usage_struct(usage: Column) -> Column:
-    names = (*ALIASES, "cache_read_input_tokens", "cache_creation_input_tokens")
-    return F.struct(*[usage_column(usage, n).alias(n) for n in names])
+    """All shared counts of JSON text, which is parsed once."""
+    plain = dict.fromkeys([*ALIASES, *(a for others in ALIASES.values() for a in others), "cache_read_input_tokens", "cache_creation_input_tokens", *CACHE_READ, *CACHE_WRITE])
+    nested = dict.fromkeys(p.split(".")[0] for p in plain if "." in p)
+    fields = [f"{p} string" for p in plain if "." not in p] + [f"{n} struct<" + ",".join(f"{p.split('.')[1]}:string" for p in plain if p.startswith(f"{n}.")) + ">" for n in nested]
+
+    def counts(u: Column) -> Column:
+        def number(path: str) -> Column:
+            found = u
+            for part in path.split("."):
+                found = found[part]
+            return found.try_cast("long")
+
+        def named(name: str) -> Column:
+            own = number(name)
+            return F.coalesce(*[F.nullif(c, F.lit(0)) for c in (own, *map(number, ALIASES[name]))], own)
+
+        read = F.coalesce(number("cache_read_input_tokens"), *map(number, CACHE_READ))
+        write = F.coalesce(number("cache_creation_input_tokens"), *map(number, CACHE_WRITE))
+        return F.struct(*[named(n).alias(n) for n in ALIASES], read.alias("cache_read_input_tokens"), write.alias("cache_creation_input_tokens"))
+
+    # Through an array of one, so that the parsed text is a variable and not parsed anew for each count.
+    return F.get(F.transform(F.array(F.from_json(usage, ", ".join(fields))), counts), 0)
 
 
 def cache_in_input(usage: Column) -> Column:

@@ -84,10 +84,11 @@ def run_totals(described: DataFrame) -> DataFrame:
 
 def kb_search(docs: DataFrame, vectors: DataFrame, query: str, embedder: Callable = rt.hash_embedder, group: str = "client", client: str | None = None, kind: str | None = None, **options) -> DataFrame:
     """The search with the query embedded here, within one client or kind if asked."""
-    docs = docs if client is None else docs.where(F.col("client") == client)
-    docs = docs if kind is None else docs.where(F.col("kind") == kind)
-    vectors = vectors.join(docs.select("id"), "id", "left_semi")
-    return rt.search(docs, vectors, query, [float(x) for x in embedder([query])[0]], group, **options)
+    within = None
+    for column, value in (("client", client), ("kind", kind)):
+        if value is not None:
+            within = F.col(column) == value if within is None else within & (F.col(column) == value)
+    return rt.search(docs, vectors, query, [float(x) for x in embedder([query])[0]], group, within=within, **options)
 
 
 def kb_recall(messages: DataFrame, vectors: DataFrame, query: str, limit: int = 5, min_score: float | None = None, **options) -> DataFrame:

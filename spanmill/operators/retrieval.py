@@ -11,7 +11,8 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import text as tx
@@ -20,6 +21,8 @@ from spanmill.session import cut
 #: Fixed values.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, RECALL, REL_DELTA, RERANK_FLOOR, HITS_PER_GROUP = 60, 20, 0.05, 0.505, 3
+#: What tells chunks of different prompt versions apart, where docs have it.
+CHUNK_KEYS, EXPOSURE = ("kind", "title", "text"), ("last_seen", "session_count")
 CHANNELS = ("vector", "trigram", "words")
 
 
@@ -59,8 +62,7 @@ def _bm25(counted: DataFrame, terms: int) -> DataFrame:
 
 def bm25_words(docs: DataFrame, query: str, unicode_words: bool = False) -> DataFrame:
     """id, score by words: lower case, accents folded, _ separates (a query token with one is a phrase of its parts)."""
-    phrases = [p for t in index_tokens(query, unicode_words) if (p := _fold(t))]
-    phrases = list(dict.fromkeys(map(tuple, phrases)))
+    phrases = word_phrases(query, unicode_words)
     if not phrases:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     # Words between two blanks each, so that a phrase is a substring. Going through explode keeps the words from being
@@ -80,7 +82,7 @@ def _fold(token: str) -> list[str]:
 def bm25_trigrams(docs: DataFrame, query: str, unicode_words: bool = False) -> DataFrame:
     """id, score by substrings of three characters and more, case folded; shorter tokens match nothing. A document's
     length is its number of trigrams, a token's frequency its occurrences, overlapping ones too."""
-    terms = list(dict.fromkeys(t.lower() for t in index_tokens(query, unicode_words) if len(t) >= 3))
+    terms = trigram_terms(query, unicode_words)
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     low = docs.select("id", F.explode(F.array(F.lower(F.coalesce("text", F.lit(""))))).alias("_t"))
@@ -122,8 +124,9 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = RECALL) ->
 
 
 def ranked(channel: DataFrame, k: int = RECALL) -> DataFrame:
-    """The top k of (id, score) with rank from 1; ties by id."""
-    top = channel.orderBy(F.desc("score"), "id").limit(k)
+    """The top k of (id, score) with rank from 1. Scores count to nine decimals, so that sums in another order rank alike;
+    ties by id."""
+    top = channel.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
@@ -239,30 +242,151 @@ def top_per_group(hits: DataFrame, group: str, n: int = HITS_PER_GROUP) -> DataF
     return hits.withColumns({"place": F.row_number().over(w), "group_score": best}).where(F.col("place") <= n).orderBy(F.desc("group_score"), group, "place")
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], recall: int = RECALL, weights: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """id, score: the three channels fused; documents without a vector take part by keywords only."""
-    channels = [("vector", ranked(vector_topk(vectors, query_vector, recall), recall)), ("trigram", ranked(bm25_trigrams(docs, query), recall)), ("words", ranked(bm25_words(docs, query), recall))]
-    return rrf([(name, c, w) for (name, c), w in zip(channels, weights)], limit=recall)
+class Index:
+    """Stored postings of words and trigrams, each sorted by term, and what ranking needs of each document and of all."""
 
+    def __init__(self, folder: str, spark: SparkSession):
+        postings_ = spark.read.parquet(f"{folder}/postings")
+        self.words, self.trigrams = (postings_.where(F.col("kind") == kind).drop("kind") for kind in ("words", "trigrams"))
+        self.lengths, self.totals = spark.read.parquet(f"{folder}/lengths"), spark.read.parquet(f"{folder}/totals").first()
 
-def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], group: str, limit: int = 10, reranker: Callable | None = lexical_overlap, min_score: float | None = None, recall: int = RECALL, weights: Sequence[float] = (1.0, 1.0, 1.0), delta: float = REL_DELTA) -> DataFrame:
-    """The whole search: recall by fusion, rerank (or fall back to cosine), floor, and the best hits of each group.
 
-    docs needs id, text and the group's column; limit counts groups. A blank query finds nothing.
+def build_index(docs: DataFrame, folder: str, parts: int = 16) -> Index:
+    """Write the postings of docs (id, text) below folder, replacing what is there: a term's postings lie together, in files sorted
+    by term, so a query's terms are found by the files' statistics. Positions let phrases be checked from the postings alone. A
+    document is one row of work, its places are gathered where it is; only postings are shuffled, by ranges of terms."""
+    read = docs.select("id", tx.token_words(F.coalesce("text", F.lit(""))).alias("words"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            kinds, terms, owners, places = [], [], [], []
+            for i, (words, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for kind, tokens in (("words", words), ("trigrams", [low[k : k + 3] for k in range(len(low) - 2)])):
+                    held: dict[str, list[int]] = {}
+                    for at, term in enumerate(tokens):
+                        held.setdefault(term, []).append(at)
+                    kinds += [kind] * len(held)
+                    terms += held
+                    owners += [i] * len(held)
+                    places += held.values()
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(terms, pa.string()), batch.column(0).take(pa.array(owners, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["kind", "term", "id", "places"])
+
+    found = read.mapInArrow(run, f"kind string, term string, id {id_type}, places array<int>")
+    found.repartitionByRange(parts, "kind", "term").sortWithinPartitions("kind", "term", "id").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/postings")
+    read.select("id", F.size("words").alias("words"), F.greatest(F.length("low") - 2, F.lit(0)).alias("trigrams")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    spark = docs.sparkSession
+    held = spark.read.parquet(f"{folder}/lengths")
+    held.agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("words"), F.avg("trigrams").alias("trigrams")).write.mode("overwrite").parquet(f"{folder}/totals")
+    return Index(folder, spark)
+
+
+def _from_postings(index: Index, kind: str, phrases: Sequence[Sequence[str]]) -> DataFrame:
+    """id, score: each phrase is a row of terms that follow one another (words) or overlap (trigrams)."""
+    if not phrases or not index.totals["n"]:
+        return index.lengths.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    mine = index.words if kind == "words" else index.trigrams
+    terms = sorted({t for p in phrases for t in p})
+    # A document's places of each wanted term, beside one another: a phrase occurs where its terms' places, shifted back, meet.
+    rows = mine.where(F.col("term").isin(*terms)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_at"))
+    counts = []
+    for i, phrase in enumerate(phrases):
+        shifted = [_back(F.coalesce(F.element_at("_at", F.lit(t)), F.array().cast("array<int>")), k) for k, t in enumerate(phrase)]
+        met = shifted[0]
+        for s in shifted[1:]:
+            met = F.array_intersect(met, s)
+        counts.append(F.size(met).alias(f"tf{i}"))
+    found = cut(rows.select("id", *counts))
+    df = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).first()
+    hits = found.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(index.lengths.select("id", F.col(kind).alias("dl")), "id")
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        tf = F.col(f"tf{i}")
+        score = score + _idf(F.lit(float(index.totals["n"])), F.lit(float(df[i]))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.totals[kind]))))
+    return hits.select("id", score.alias("score"))
+
+
+def _back(places: Column, steps: int) -> Column:
+    return F.transform(places, lambda x: x - steps)
+
+
+def word_phrases(query: str, unicode_words: bool = False) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(tuple(p) for t in index_tokens(query, unicode_words) if (p := _fold(t))))
+
+
+def trigram_terms(query: str, unicode_words: bool = False) -> list[str]:
+    return list(dict.fromkeys(t.lower() for t in index_tokens(query, unicode_words) if len(t) >= 3))
+
+
+def indexed_words(index: Index, query: str, unicode_words: bool = False) -> DataFrame:
+    """What bm25_words finds, from stored postings."""
+    return _from_postings(index, "words", word_phrases(query, unicode_words))
+
+
+def indexed_trigrams(index: Index, query: str, unicode_words: bool = False) -> DataFrame:
+    """What bm25_trigrams finds, from stored postings: a token's trigrams in a row."""
+    return _from_postings(index, "trigrams", [tuple(t[i : i + 3] for i in range(len(t) - 2)) for t in trigram_terms(query, unicode_words)])
+
+
+def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], recall: int = RECALL, weights: Sequence[float] = (1.0, 1.0, 1.0), index: Index | None = None) -> DataFrame:
+    """id, score: the three channels fused; documents without a vector take part by keywords only. With an index, keywords are
+    looked up in its postings (of docs, which then are not read)."""
+    if index is None:
+        keywords = [("trigram", bm25_trigrams(docs, query)), ("words", bm25_words(docs, query))]
+    else:
+        ids = docs.select("id")
+        keywords = [("trigram", indexed_trigrams(index, query).join(ids, "id", "left_semi")), ("words", indexed_words(index, query).join(ids, "id", "left_semi"))]
+    channels = [("vector", vector_topk(vectors, query_vector, recall)), *keywords]
+    return rrf([(name, ranked(c, recall), w) for (name, c), w in zip(channels, weights)], limit=recall)
+
+
+def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], group: str, limit: int = 10, reranker: Callable | None = lexical_overlap, min_score: float | None = None, recall: int = RECALL, weights: Sequence[float] = (1.0, 1.0, 1.0), delta: float = REL_DELTA, fold: bool = True, within: Column | None = None, index: Index | None = None) -> DataFrame:
+    """The whole search: recall by fusion, fold of equal chunks, rerank (or fall back to cosine), floors, and the best hits of each
+    group: id, text, group, score, reranked, place, group_score, session_count (of the group, null where docs have none).
+
+    docs needs id, text and the group's column; limit counts groups. Where docs have kind, title, last_seen and session_count,
+    equal chunks of several groups are one hit before reranking: the best by cosine, then the newest; its group's session_count
+    takes in the others'. Reranked scores must exceed the floor; others must reach it (0 unless given) and, whether the reranker is
+    missing or fails, stay within delta of the best. within keeps candidates of some rows only: vectors are compared among
+    these, keywords rank over all docs. With an index (see build_index) only the query terms' postings are read. A blank query
+    finds nothing.
     """
+    names = ["id", "text", group, "score", "reranked", "place", "group_score", "session_count"]
+    counted = "session_count" in docs.columns
+    sessions = F.col("session_count").cast("long") if counted else F.lit(None).cast("long")
     if not query.strip():
-        return docs.where(F.lit(False)).select("id", "text", group, F.lit(0.0).alias("score"), F.lit(False).alias("reranked"), F.lit(0).alias("place"), F.lit(0.0).alias("group_score"))
-    top = hybrid_search(docs, vectors, query, query_vector, recall, weights).select("id", F.col("score").alias("fused"))
-    cos = vectors.select("id", cosine(F.col("embedding"), query_vector).alias("cosine"))
-    top = cut(top)  # at most recall rows: fused once, then looked up
-    held = docs.join(F.broadcast(top), "id").join(F.broadcast(cos.join(F.broadcast(top.select("id")), "id", "left_semi")), "id", "left").select("id", "text", group, "fused", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+        nothing = docs.where(F.lit(False)).withColumns({"score": F.lit(0.0), "reranked": F.lit(False), "place": F.lit(0), "group_score": F.lit(0.0)})
+        return nothing.withColumn("session_count", F.lit(None).cast("long")).select(*names)
+    wanted = docs if within is None else docs.where(within)
+    vectors = vectors if within is None else vectors.join(wanted.select("id"), "id", "left_semi")
+    top = cut(hybrid_search(docs, vectors, query, query_vector, recall, weights, index).select("id", F.col("score").alias("fused")))  # at most recall rows
+    cos = vectors.join(F.broadcast(top.select("id")), "id", "left_semi").select("id", cosine(F.col("embedding"), query_vector).alias("cosine"))
+    foldable = fold and counted and all(c in docs.columns for c in (*CHUNK_KEYS, *EXPOSURE))
+    own = [c for c in dict.fromkeys(("id", "text", group, *(CHUNK_KEYS + EXPOSURE if foldable else ()), *(("session_count",) if counted else ()))) if c in docs.columns]
+    held = wanted.select(*own).join(F.broadcast(top), "id").join(F.broadcast(cos), "id", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    held = held.withColumn("_own", sessions)
+    if foldable:
+        held = merge_across(held, CHUNK_KEYS, ("cosine", "last_seen")).withColumn("_bonus", F.col("session_count") - F.col("_own"))
+    else:
+        held = held.withColumn("_bonus", F.lit(0).cast("long"))
     scored = cut(rerank(held, query, reranker))
-    floor = F.lit(min_score) if min_score is not None else F.when(F.col("reranked"), F.lit(RERANK_FLOOR)).otherwise(F.lit(-1.0))
-    kept = scored.where(F.col("score") >= floor)
-    kept = relative_floor(kept, delta).unionByName(kept.where("false")) if reranker is None else kept
-    grouped = top_per_group(kept, group)
+    above = F.col("score") > F.lit(RERANK_FLOOR if min_score is None else min_score)
+    reach = F.col("score") >= F.lit(0.0 if min_score is None else min_score)
+    loose = relative_floor(scored.where(~F.col("reranked") & reach), delta)
+    kept = scored.where(F.col("reranked") & above).unionByName(loose)
+    exposure = F.max("_own").over(Window.partitionBy(group)) + F.sum("_bonus").over(Window.partitionBy(group))
+    grouped = top_per_group(kept.withColumn("session_count", exposure), group)
     best = grouped.groupBy(group).agg(F.max("group_score").alias("_g")).orderBy(F.desc("_g"), group).limit(limit)
-    return grouped.join(F.broadcast(best.select(group)), group, "left_semi").select("id", "text", group, "score", "reranked", "place", "group_score")
+    return grouped.join(F.broadcast(best.select(group)), group, "left_semi").select(*names)
+
+
+def search_messages(messages: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], role: str | None = None, client: str | None = None, **options) -> DataFrame:
+    """search over messages (id, session_id, role, client, text), of one role or client if asked: no folding, grouped by session."""
+    within = None
+    for column, value in (("role", role), ("client", client)):
+        if value:
+            within = F.col(column) == value if within is None else within & (F.col(column) == value)
+    return search(messages, vectors, query, query_vector, "session_id", fold=False, within=within, **options)
 
 
 def recall_memories(hits: DataFrame, limit: int = 5, min_score: float | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ record_count and summary are used here; ``records`` those of schemas.RECORDS. Ti
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,6 +233,60 @@ def delete_sessions(sessions: DataFrame, ids: DataFrame, *dependents: DataFrame)
     return sessions.join(gone, sessions["id"] == F.col("_id"), "left_anti"), left, report
 
 
+def delete_date(sessions: DataFrame, date: str, *dependents: DataFrame, protected: Sequence[str] = ()) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """delete_sessions for a day's sessions (or those without a day: legacy) that are neither active nor protected."""
+    import re
+
+    if date != "legacy" and not re.match(DATE, date):
+        raise ValueError(f"no date: {date!r}")
+    return delete_sessions(sessions, sessions.where(date_is(date) & deletable(protected)).select("id"), *dependents)
+
+
+def create_sessions(sessions: DataFrame, fresh: DataFrame) -> DataFrame:
+    """sessions with fresh ones (started_at, and what else is known of them): active, without records, of the day on which they
+    began; an id is made where none is given. Ids that are there already stay as they are."""
+    begun = tx.instant(F.col("started_at"))
+    made = fresh if "id" in fresh.columns else fresh.withColumn("id", F.lit(None).cast("string"))
+    made = made.withColumns({"id": F.coalesce("id", F.uuid()), "date_key": F.date_format(begun, "yyyy-MM-dd"), "updated_at": F.col("started_at"), "status": F.lit("active"), "record_count": F.lit(0).cast("long")})
+    return sessions.unionByName(made.join(sessions.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def _merged_json():
+    """A function of two columns of JSON objects: the second over the first, key by key; what is no object counts as empty."""
+    def objects(texts):
+        for text in texts:
+            try:
+                value = json.loads(text) if isinstance(text, str) else None
+            except ValueError:
+                value = None
+            yield value if isinstance(value, dict) else {}
+
+    def run(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(a | b, ensure_ascii=False) for a, b in zip(objects(old), objects(new))])
+
+    return F.pandas_udf(run, "string")
+
+
+def finalize_sessions(sessions: DataFrame, ends: DataFrame) -> DataFrame:
+    """sessions with what a run told at its end (id, ended_at, summary): its summary over the stored one, and the status that
+    follows from its api_calls and has_error; a run that told nothing is complete."""
+    told = ends.select("id", F.col("ended_at").alias("_at"), F.col("summary").alias("_told"), F.lit(True).alias("_ended"))
+    joined = sessions.join(told, "id", "left")
+    nothing = F.coalesce(F.trim("_told").isin("", "{}", "null"), F.lit(True))
+    calls, failed = F.get_json_object("_told", "$.api_calls").try_cast("long"), F.coalesce(F.get_json_object("_told", "$.has_error") == "true", F.lit(False))
+    status = F.when(nothing, "complete").otherwise(run_status(F.coalesce(calls, F.lit(0)), failed))
+    merged = F.when(nothing, F.col("summary")).otherwise(_merged_json()(F.col("summary"), F.col("_told")))
+    new = {"status": status, "summary": merged, "updated_at": F.coalesce("_at", "updated_at")}
+    return joined.withColumns({k: F.when(F.col("_ended"), v).otherwise(F.col(k)) for k, v in new.items()}).select(*sessions.columns)
+
+
+def store_summaries(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """sessions with summary, updated_at and status replaced where summaries (id, summary, updated_at, status) have them."""
+    told = summaries.select("id", *[F.col(c).alias(f"_{c}") for c in ("summary", "updated_at", "status")], F.lit(True).alias("_told"))
+    joined = sessions.join(told, "id", "left")
+    return joined.withColumns({c: F.when(F.col("_told"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("summary", "updated_at", "status")}).select(*sessions.columns)
+
+
 def deletable(protected: Sequence[str] = ()) -> Column:
     live = F.col("status") == "active"
     return ~(live | F.col("id").isin(*protected)) if protected else ~live

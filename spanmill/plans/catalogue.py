@@ -288,10 +288,6 @@ _TOP = lambda name: f"SELECT id, row_number() OVER (ORDER BY round(score, 9) DES
 HYBRID_SQL = f"{VEC_SQL}, {TRI_SQL}, {WORDS_SQL}, ch AS (SELECT 0 AS c, * FROM ({_TOP('(SELECT * FROM vec WHERE score > 0)')}) UNION ALL SELECT 1, * FROM ({_TOP('tri')}) UNION ALL SELECT 2, * FROM ({_TOP('words')})), fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min(c * 1000 + rank) AS first FROM ch GROUP BY id ORDER BY round(score, 12) DESC, first LIMIT 20)"
 
 
-def _stable(channel: DataFrame) -> DataFrame:
-    return channel.withColumn("score", F.round("score", 9))
-
-
 @query(f"WITH {WORDS_SQL} SELECT id, round(score, 6) AS score FROM words")
 def bm25_words(spark, sf_dir):
     return rt.bm25_words(_docs(spark, sf_dir), QUERY).select("id", F.round("score", 6).alias("score"))
@@ -313,10 +309,7 @@ def vector_topk(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir):
-    docs, channels = _docs(spark, sf_dir), []
-    for name, c in (("vector", rt.vector_topk(_vectors(spark, sf_dir), _probe(spark, sf_dir))), ("trigram", rt.bm25_trigrams(docs, QUERY)), ("words", rt.bm25_words(docs, QUERY))):
-        channels.append((name, rt.ranked(_stable(c)), 1.0))
-    return rt.rrf(channels)
+    return rt.hybrid_search(_docs(spark, sf_dir), _vectors(spark, sf_dir), QUERY, _probe(spark, sf_dir))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT id, round(score, 9) AS score FROM fused")
@@ -349,11 +342,6 @@ def rerank_lexical(spark, sf_dir):
     return _docs(spark, sf_dir).select("id", F.round(rt.overlap_score(F.col("text"), "Then there THING"), 6).alias("score"))
 
 
-@query()
-def search_grouped(spark, sf_dir):
-    return rt.search(_docs(spark, sf_dir), _vectors(spark, sf_dir), QUERY, _probe(spark, sf_dir), "source", min_score=0.1)
-
-
 # Usage, paths, texts
 
 _DIALECTS = "CASE event_id % 5 WHEN 0 THEN '{\"prompt_tokens\":' || k || ',\"completion_tokens\":3,\"cached_tokens\":2}' WHEN 1 THEN '{\"input_tokens\":' || k || ',\"output_tokens\":7,\"cache_read_input_tokens\":4,\"input_tokens_details\":{\"cached_tokens\":9}}' WHEN 2 THEN '{\"promptTokenCount\":' || k || ',\"candidatesTokenCount\":5,\"totalTokenCount\":11}' WHEN 3 THEN '{\"input_tokens\":0,\"prompt_tokens\":' || k || ',\"output_tokens\":null,\"prompt_tokens_details\":{\"cached_tokens\":1}}' ELSE '{\"inputTokens\":' || k || ',\"outputTokens\":6,\"cacheReadInputTokens\":8,\"cacheWriteInputTokens\":9}' END"
@@ -446,26 +434,13 @@ def _prints(entries):
     return entries.withColumn("prints", made)
 
 
-@query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records WHERE record_index < 40), {_RUNS}, m AS (SELECT b.scope, b.idx, a.idx AS p, len(a.p) AS n FROM x b JOIN x a ON a.scope = b.scope AND a.idx < b.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_max(p, (n, p)) AS parent FROM m GROUP BY 1, 2")
+@query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records), {_RUNS}, m AS (SELECT b.scope, b.idx, a.idx AS p, len(a.p) AS n FROM x b JOIN x a ON a.scope = b.scope AND a.idx < b.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_max(p, (n, p)) AS parent FROM m GROUP BY 1, 2")
 def prefix_parent(spark, sf_dir):
-    return ln.prefix_parent(_prints(_entries(spark, sf_dir).where("idx < 40")))
-
-
-@query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records WHERE record_index < 40), {_RUNS}, m AS (SELECT a.scope, a.idx, b.idx AS c, len(b.p) AS n FROM x a JOIN x b ON a.scope = b.scope AND b.idx > a.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_min(c, (n, c)) AS child FROM m GROUP BY 1, 2")
-def prefix_child(spark, sf_dir):
-    return ln.prefix_child(_prints(_entries(spark, sf_dir).where("idx < 40")))
-
-
-# Over all records; the SQL of the two before is a self-join, which holds the first 40 of a session against the operators
-
-
-@query()
-def prefix_parent_all(spark, sf_dir):
     return ln.prefix_parent(_prints(_entries(spark, sf_dir)))
 
 
-@query()
-def prefix_child_all(spark, sf_dir):
+@query(f"WITH {S}, {R}, r0 AS (SELECT session_id AS scope, record_index AS idx FROM records), {_RUNS}, m AS (SELECT a.scope, a.idx, b.idx AS c, len(b.p) AS n FROM x a JOIN x b ON a.scope = b.scope AND b.idx > a.idx AND len(a.p) <= len(b.p) AND b.p[1:len(a.p)] = a.p) SELECT scope, idx, arg_min(c, (n, c)) AS child FROM m GROUP BY 1, 2")
+def prefix_child(spark, sf_dir):
     return ln.prefix_child(_prints(_entries(spark, sf_dir)))
 
 
@@ -592,11 +567,11 @@ def turn_numbers(spark, sf_dir):
     return vw.turn_numbers(tb.records(spark, sf_dir)).select("session_id", "record_index", F.col("number").cast("long").alias("number"))
 
 
-@query(f"WITH {M}, s AS (SELECT session_id, record_index, text FROM messages WHERE role = 'assistant') SELECT session_id, record_index FROM s WHERE contains(lower(text), 'the ')")
+@query(f"WITH {M}, s AS (SELECT session_id, record_index, text FROM messages WHERE role = 'assistant'), q AS (SELECT session_id, record_index, text FROM messages WHERE role <> 'system') SELECT session_id, record_index FROM s WHERE contains(lower(text), 'the ') OR EXISTS (SELECT 1 FROM q WHERE q.session_id = s.session_id AND q.record_index < s.record_index AND contains(lower(q.text), 'the '))")
 def viewer_search(spark, sf_dir):
     r = _conversation_records(spark, sf_dir)
     d = rc.described(r).join(r, ["session_id", "record_index"])
-    return vw.filter_records(d.withColumns({"payload": F.lit(""), "latest_user": F.lit("")}), paths=["/v1/messages"], search="the ").select("session_id", "record_index")
+    return vw.filter_records(d, paths=["/v1/messages"], search="the ").select("session_id", "record_index")
 
 
 @query(f"WITH {M} SELECT session_id, record_index AS turn_index_of, CAST(1 AS BIGINT) AS turns FROM messages WHERE role = 'assistant'")
@@ -605,7 +580,7 @@ def expanded_turns(spark, sf_dir):
     return t.select("session_id", F.get_json_object("payload", "$.turn").cast("long").alias("turn_index_of"), F.lit(1).cast("long").alias("turns"))
 
 
-@query(f"WITH {M}, f AS (SELECT session_id, record_index, role, text FROM messages) SELECT session_id, record_index, role FROM f WHERE role = 'assistant' AND length(trim(text)) >= 20 AND length(text) <= 2000")
+@query(f"WITH {M}, f AS (SELECT session_id, record_index, role, text FROM messages) SELECT session_id, record_index, role FROM f WHERE role = 'assistant' AND length(trim(text)) >= 20")
 def indexed_answers(spark, sf_dir):
     m = rc.messages(_conversation_records(spark, sf_dir)).where("role = 'assistant'")
     return m.select("session_id", "record_index", "role").distinct()  # a row for each answer, whatever its number of pieces

@@ -32,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset, a local one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local session (as in tests)
+    gets a folder of its machine; on a cluster, whose machines would not share it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spanmill-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
@@ -68,7 +71,8 @@ TEXT_BATCH_BYTES = 8 << 20
 
 
 def text_batches(spark: SparkSession, most: int = TEXT_BATCH_BYTES) -> None:
-    """Bound the session's Arrow batches by bytes, unless they are bound lower already."""
+    """Bound the session's Arrow batches by bytes, unless they are bound lower already. The setting stays with the session, as its
+    lazy results are computed later; it changes how rows travel, not what they are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
         spark.conf.set(key, str(most))

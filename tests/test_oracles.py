@@ -8,13 +8,16 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from spanmill.plans import catalogue
+from spanmill.plans import catalogue, traffic
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
+assert traffic.query is catalogue.query  # it adds its queries to the catalogue
+
+
 def plain(value):
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
