@@ -16,9 +16,9 @@ def seed(spark):
     return sessions(
         spark,
         [
-            {"id": "a", "client": "claude", "cwd": "/proj/x", "date_key": "2026-08-04", "status": "complete", "record_count": 2, "updated_at": "2026-08-04T10:00:00+02:00", "started_at": "2026-08-04T09:00:00Z", "summary": json.dumps({"input_tokens": 300, "output_tokens": 110, "cache_read_tokens": 1000, "models_used": {"opus": 2}})},
-            {"id": "b", "client": "kimi", "cwd": "/proj/y", "date_key": "2026-08-05", "status": "complete", "record_count": 1, "updated_at": "2026-08-04T09:30:00Z", "started_at": "2026-08-04T09:00:00Z", "summary": json.dumps({"input_tokens": 300, "output_tokens": 70, "model": "k2", "has_error": True})},
-            {"id": "c", "client": "claude", "cwd": None, "date_key": "2026-08-05", "status": "active", "record_count": 0, "updated_at": "never", "started_at": None, "summary": "not json"},
+            {"id": "a", "client": "codex", "cwd": "/home/ana", "date_key": "2026-03-10", "status": "complete", "record_count": 5, "updated_at": "2026-03-10T23:30:00+05:00", "started_at": "2026-03-10T08:00:00Z", "summary": json.dumps({"input_tokens": 40, "output_tokens": 12, "cache_read_tokens": 7, "models_used": {"o-x": 5}})},
+            {"id": "b", "client": "qoder", "cwd": "/home/bo", "date_key": "2026-03-11", "status": "complete", "record_count": 2, "updated_at": "2026-03-10T19:00:00Z", "started_at": "2026-03-10T18:00:00Z", "summary": json.dumps({"input_tokens": 9, "output_tokens": 4, "model": "q1", "has_error": True})},
+            {"id": "c", "client": "codex", "cwd": None, "date_key": "2026-03-11", "status": "active", "record_count": 0, "updated_at": "never", "started_at": None, "summary": "not json"},
         ],
     )
 
@@ -26,12 +26,12 @@ def seed(spark):
 def test_stats(spark, seed):
     s = st.with_summary(seed)
     t = st.totals(s).first().asDict()
-    assert (t["sessions"], t["records"], t["input_tokens"], t["output_tokens"], t["cache_read_tokens"], t["errors"]) == (3, 3, 600, 180, 1000, 1)
-    assert [tuple(r) for r in st.by_day(s).collect()] == [("2026-08-04", 1, 1410), ("2026-08-05", 2, 370)]
-    assert [tuple(r) for r in st.by(s, "client", "client").collect()] == [("claude", 2, 1410), ("kimi", 1, 370)]
+    assert (t["sessions"], t["records"], t["input_tokens"], t["output_tokens"], t["cache_read_tokens"], t["errors"]) == (3, 7, 49, 16, 7, 1)
+    assert [tuple(r) for r in st.by_day(s).collect()] == [("2026-03-10", 1, 59), ("2026-03-11", 2, 13)]
+    assert [tuple(r) for r in st.by(s, "client", "client").collect()] == [("codex", 2, 59), ("qoder", 1, 13)]
     assert ("", 1, 0) in [tuple(r) for r in st.by(s, "cwd", "project").collect()]
-    assert [tuple(r)[::2] for r in st.by_model(s).collect()] == [("opus", 1410), ("k2", 370)]
-    assert [st.in_dates(s, a, b).count() for a, b in (("2026-08-04", "2026-08-04"), ("2026-08-05", None), (None, "2026-08-04"))] == [1, 2, 1]
+    assert [tuple(r)[::2] for r in st.by_model(s).collect()] == [("o-x", 59), ("q1", 13)]
+    assert [st.in_dates(s, a, b).count() for a, b in (("2026-03-10", "2026-03-10"), ("2026-03-11", None), (None, "2026-03-10"))] == [1, 2, 1]
     empty = st.totals(s.where("false")).first()
     assert empty["sessions"] == 0 and empty["input_tokens"] == 0
 
@@ -41,14 +41,14 @@ def test_listing(spark, seed):
     assert [r["id"] for r in ss.page(seed, 1, 1).collect()] == ["a"]
     assert ss.clamp_page("x", -3) == (100, 0) and ss.clamp_page(9999, "2") == (500, 2) and ss.clamp_page(0) == (1, 0)
     assert ss.filter_sessions(seed, ss.build_query(date="nonsense", status="odd")).count() == 3
-    assert [r["id"] for r in ss.filter_sessions(seed, ss.build_query(search="K2")).collect()] == ["b"]
-    assert {r["id"] for r in ss.filter_sessions(seed, ss.build_query(agent="claude-code")).collect()} == {"a", "c"}
-    assert ss.resolve_agent("my-tool", ["My Tool"]) == (("My Tool",), ("My Tool",)) and ss.resolve_agent("all") == ((), ())
-    assert [tuple(r) for r in st.fold_buckets(st.agent_buckets(seed), rec.CLIENT_LABELS).orderBy("key").collect()] == [("claude-code", "Claude Code", 2), ("kimi", "Kimi", 1)]
+    assert [r["id"] for r in ss.filter_sessions(seed, ss.build_query(search="Q1")).collect()] == ["b"]
+    assert {r["id"] for r in ss.filter_sessions(seed, ss.build_query(agent="codex")).collect()} == {"a", "c"}
+    assert ss.resolve_agent("blue-bird", ["Blue Bird"]) == (("Blue Bird",), ("Blue Bird",)) and ss.resolve_agent("all") == ((), ())
+    assert [tuple(r) for r in st.fold_buckets(st.agent_buckets(seed), rec.CLIENT_LABELS).orderBy("key").collect()] == [("codex", "Codex", 2), ("qoder", "Qoder", 1)]
 
 
 def test_liveness(spark, seed):
-    as_of = F.lit("2026-08-04T09:40:00Z").cast("timestamp")
+    as_of = F.lit("2026-03-10T20:00:00Z").cast("timestamp")
     status = lambda df: {r["id"]: r["status"] for r in df.collect()}
     assert status(ss.finalize_stale(seed, as_of))["c"] == "empty"
     assert status(ss.finalize_stale(seed, as_of, protected=["c"]))["c"] == "active"
@@ -86,14 +86,14 @@ def test_messages(spark):
 
 
 def test_retrieval(spark):
-    docs = spark.createDataFrame([(1, "sandbox shell command runner"), (2, "write elegant prose"), (3, "Shell élan aaaa snake_case"), (4, None)], "id long, text string")
-    assert rt.match_expression('怎么取消 "cron" (定时任务)?') == "怎么取消 OR cron OR 定时任务" and rt.match_expression("!!!") == ""
-    assert {r["id"] for r in rt.bm25_words(docs, "shell sandbox").collect()} == {1, 3}
-    assert rt.bm25_words(docs, "snake_case").count() == 1 and rt.bm25_words(docs, "elan").count() == 1 and rt.bm25_words(docs, "élan").count() == 0
-    assert rt.bm25_trigrams(docs, "elan").count() == 0 and rt.bm25_trigrams(docs, "sh").count() == 0 and rt.bm25_trigrams(docs, "hell").count() == 2
-    assert rt.bm25_words(docs, "shell AND prose").count() == 0 and rt.bm25_words(docs, "shell and").count() == 2
-    overlapping = rt.bm25_trigrams(docs, "aaa").first()["score"]
-    n, dl, avg, tf = 4, 24, (26 + 17 + 24 + 0) / 4, 2
+    docs = spark.createDataFrame([(1, "river delta gauge station"), (2, "paint quiet rooms"), (3, "Delta élan oooo green_house"), (4, None)], "id long, text string")
+    assert rt.match_expression('如何更新 "index" (每日备份)!') == "如何更新 OR index OR 每日备份" and rt.match_expression("?? --") == ""
+    assert {r["id"] for r in rt.bm25_words(docs, "delta river").collect()} == {1, 3}
+    assert rt.bm25_words(docs, "green_house").count() == 1 and rt.bm25_words(docs, "elan").count() == 1 and rt.bm25_words(docs, "élan").count() == 0
+    assert rt.bm25_trigrams(docs, "elan").count() == 0 and rt.bm25_trigrams(docs, "de").count() == 0 and rt.bm25_trigrams(docs, "elta").count() == 2
+    assert rt.bm25_words(docs, "delta AND quiet").count() == 0 and rt.bm25_words(docs, "delta and").count() == 2
+    overlapping = rt.bm25_trigrams(docs, "ooo").first()["score"]
+    n, dl, avg, tf = 4, 25, (23 + 15 + 25 + 0) / 4, 2
     import math
 
     assert overlapping == pytest.approx(math.log((n - 1 + 0.5) / 1.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)))
@@ -102,15 +102,15 @@ def test_retrieval(spark):
     assert [r["id"] for r in rt.rrf([("a", a, 0.0), ("b", b, 1.0)]).collect()] == [2, 3]
     assert rt.parse_weights("1,2,0") == (1, 2, 0) and rt.parse_weights("1,-2,0") == (1, 1, 1) and rt.parse_weights(None) == (1, 1, 1)
     vectors = rt.embed(docs.fillna("")).select("id", "embedding")
-    probe = rt.hash_embedder(["shell sandbox"])[0].tolist()
+    probe = rt.hash_embedder(["delta river"])[0].tolist()
     assert rt.vector_topk(vectors, probe).first()["id"] == 1
-    found = rt.search(docs.withColumn("client", F.lit("x")), vectors, "shell sandbox", probe, "client").collect()
+    found = rt.search(docs.withColumn("client", F.lit("x")), vectors, "delta river", probe, "client").collect()
     assert found[0]["id"] == 1 and found[0]["score"] > 0.5 and found[0]["reranked"]
 
     def broken(query, texts):
         raise RuntimeError("no model")
 
-    assert not rt.search(docs.withColumn("client", F.lit("x")), vectors, "shell", probe, "client", reranker=broken).first()["reranked"]
+    assert not rt.search(docs.withColumn("client", F.lit("x")), vectors, "delta", probe, "client", reranker=broken).first()["reranked"]
     assert rt.search(docs.withColumn("client", F.lit("x")), vectors, "  ", probe, "client").count() == 0
     assert rt.embed(docs, embedder=broken.__get__(1)).where("state = 'failed'").count() == 4
     with pytest.raises(ValueError):
@@ -120,6 +120,42 @@ def test_retrieval(spark):
     assert [r["id"] for r in rt.relative_floor(hits, 0.3).collect()] == [1]
 
 
+def test_search_folds_and_floors(spark):
+    """Equal chunks of several versions are one hit, whose group counts the others' sessions; each kind of score has its floor."""
+    rows = [
+        (1, "amber gate", "v1", "k", "T", 5, 3), (2, "amber gate", "v2", "k", "T", 9, 4), (3, "amber", "v2", "k", "U", 9, 4),
+        (4, "gate of stone", "v3", "k", "V", 1, 2), (5, "unrelated words", "v4", "k", "W", 1, 1),
+    ]
+    docs = spark.createDataFrame(rows, "id long, text string, version string, kind string, title string, last_seen long, session_count long")
+    vectors = rt.embed(docs).select("id", "embedding")
+    probe = rt.hash_embedder(["amber gate"])[0].tolist()
+    found = {r["id"]: r for r in rt.search(docs, vectors, "amber gate", probe, "version", min_score=0.5).collect()}
+    assert set(found) == {2} and found[2]["session_count"] == 4 + 3 and found[2]["reranked"]  # 0.5 itself does not exceed the floor
+    found = {r["id"]: r for r in rt.search(docs, vectors, "amber gate", probe, "version", min_score=0.4).collect()}
+    assert set(found) == {2, 3, 4} and found[3]["session_count"] == 7 and found[4]["session_count"] == 2
+    assert {r["id"] for r in rt.search(docs, vectors, "amber gate", probe, "version", min_score=0.4, fold=False).collect()} == {1, 2, 3, 4}
+
+    def broken(query, texts):
+        raise RuntimeError("no model")
+
+    for reranker in (None, broken):
+        found = rt.search(docs, vectors, "amber gate", probe, "version", reranker=reranker).collect()
+        assert {r["id"] for r in found} == {2} and not found[0]["reranked"]
+        assert len(rt.search(docs, vectors, "amber gate", probe, "version", reranker=reranker, delta=1.0).collect()) >= 3
+    one = rt.search(docs, vectors, "amber gate", probe, "version", min_score=0.4, within=F.col("version") == "v1").collect()
+    assert [r["id"] for r in one] == [1]
+
+
+def test_stored_index_agrees_with_the_scan(spark, tmp_path):
+    texts = ["Thin ice, thin_ice", "thick ice aaaa", None, "", "the ice is thin; ICE thin ice", "élan ice", "aaa"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = rt.build_index(docs, str(tmp_path / "index"), parts=2)
+    near = lambda frame: sorted((r["id"], round(r["score"], 9)) for r in frame.collect())
+    for q in ("thin ice", "thin_ice aaa", "elan", "zzz", "", "ice AND thin", "aaaa"):
+        assert near(rt.indexed_words(index, q)) == near(rt.bm25_words(docs, q)), q
+        assert near(rt.indexed_trigrams(index, q)) == near(rt.bm25_trigrams(docs, q)), q
+
+
 def brute_prefix(rows):
     out = {}
     for i, r in enumerate(rows):
@@ -144,8 +180,8 @@ def test_prefixes_of_all_records(spark, tmp_path):
         after = [(len(p[j]), j) for j in range(i + 1, n) if p[j][: len(p[i])] == p[i]]
         parent |= {i: max(before)[1]} if before else {}
         child |= {i: min(after)[1]} if after else {}
-    assert {r["idx"]: r["parent"] for r in catalogue.QUERIES["prefix_parent_all"](spark, str(tmp_path)).collect()} == parent
-    assert {r["idx"]: r["child"] for r in catalogue.QUERIES["prefix_child_all"](spark, str(tmp_path)).collect()} == child
+    assert {r["idx"]: r["parent"] for r in catalogue.QUERIES["prefix_parent"](spark, str(tmp_path)).collect()} == parent
+    assert {r["idx"]: r["child"] for r in catalogue.QUERIES["prefix_child"](spark, str(tmp_path)).collect()} == child
 
 
 def test_indexed_answers_keeps_long_ones(spark, tmp_path):
@@ -256,7 +292,7 @@ def test_appends_and_lookups(spark, seed):
     assert [r["record_index"] for r in ss.record_page(records, "a", 1, 1).collect()] == [1]
     with pytest.raises(ValueError):
         ss.records_of_date(records, seed, "yesterday")
-    assert ss.records_of_date(records, seed, "2026-08-04").count() == 2
+    assert ss.records_of_date(records, seed, "2026-03-10").count() == 2
     assert ss.non_partial(spark.createDataFrame([("xcodexZappYpartialx",), ("fine",), (None,)], "payload string")).count() == 1
     logs = spark.createDataFrame([("a", 1, "t", "i", "x")], "session_id string, line_no long, logged_at string, level string, message string")
     more = log_lines(logs, spark.createDataFrame([("a", "u", "i", "y")], "session_id string, logged_at string, level string, message string"))
