@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spanmill.functions import records as rc
-from spanmill.operators import api, knowledge as kb, retrieval as rt
+from spanmill.operators import api, knowledge as kb, models, retrieval as rt
 from spanmill.session import build_session
 from spanmill.sources import readers, sinks
 
@@ -37,8 +39,23 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("query")
     q.add_argument("--limit", type=int, default=10)
     q.add_argument("--min-score", type=float)
+    q.add_argument("--client")
     t = sub.add_parser("status", help="how much of an index is ready")
     t.add_argument("store")
+    r = sub.add_parser("reindex", help="all vectors of an index anew")
+    r.add_argument("store")
+    d = sub.add_parser("purge", help="take a text out of an index for good, or let it in again")
+    d.add_argument("store")
+    d.add_argument("content_hash")
+    d.add_argument("--client")
+    d.add_argument("--role")
+    d.add_argument("--undo", action="store_true")
+    v = sub.add_parser("timeline", help="prompt versions of trace files in order of appearance")
+    v.add_argument("source")
+    v.add_argument("--client")
+    v.add_argument("--model")
+    for command in (i, q, r):
+        command.add_argument("--settings", help="a TOML file that names embedder and reranker")
     return p
 
 
@@ -48,7 +65,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except SystemExit as stop:
         return 0 if stop.code in (0, None) else 2
     spark = spark or build_session("spanmill")
-    return {"export": export, "export-prompt": export_prompt, "stats": stats, "index": index, "search": search, "status": status}[args.command](spark, args)
+    commands = {"export": export, "export-prompt": export_prompt, "stats": stats, "index": index, "search": search, "status": status, "reindex": reindex, "purge": purge, "timeline": timeline}
+    try:
+        return commands[args.command](spark, args)
+    except models.Unavailable as missing:
+        print(missing, file=sys.stderr)
+        return 2
 
 
 def _records(spark, source: str):
@@ -85,24 +107,93 @@ def stats(spark, args) -> int:
     return 0
 
 
+def _table(spark, path: str, schema: str):
+    """A table, or no rows where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _replace(spark, frame, path: str) -> None:
+    """Write frame, which may read path, and put it in its place."""
+    jvm, fresh = spark.sparkContext._jvm, f"{path}-{uuid.uuid4().hex}"
+    frame.write.parquet(fresh)
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)
+    spark.catalog.refreshByPath(path)
+
+
+STONES = "content_hash string, client string, role string"
+
+
 def index(spark, args) -> int:
-    """Writes messages with ids and vectors; the store says which embedder made them."""
+    """Writes messages with ids and vectors, without purged ones; the store says which embedder made them."""
+    embedder = models.make_embedder(models.read_settings(args.settings))
     messages = rc.messages(_records(spark, args.source)).withColumn("client", F.lit(""))
+    messages = kb.without_purged(messages, _table(spark, args.store + "-purged", STONES))
     unique = kb.unique_messages(messages.withColumn("seen_at", F.col("timestamp")), ["seen_at", "session_id", "record_index", "message_index"])
-    numbered = unique.withColumn("id", F.xxhash64(*kb.KEY))
-    rt.embed(numbered).withColumn("embedder", F.lit("hash-16")).write.mode("overwrite").parquet(args.store)
+    rows = unique.withColumns({"id": F.xxhash64(*kb.KEY), "embedding": F.lit(None).cast("array<float>"), "state": F.lit("pending"), "attempts": F.lit(0)})
+    models.index_pending(rows, embedder).withColumn("embedder", F.lit(embedder.name)).write.mode("overwrite").parquet(args.store)
+    return 0
+
+
+def reindex(spark, args) -> int:
+    embedder = models.make_embedder(models.read_settings(args.settings))
+    rows = spark.read.parquet(args.store)
+    _replace(spark, models.reindex(rows, embedder).withColumn("embedder", F.lit(embedder.name)), args.store)
+    counts = {r["state"]: r["count"] for r in spark.read.parquet(args.store).groupBy("state").count().collect()}
+    print(f"indexed={counts.get('indexed', 0)} failed={counts.get('failed', 0)}")
+    return 0
+
+
+def purge(spark, args) -> int:
+    """Takes a text's variants (or the one named) out of the store and remembers that; with --undo it may come in again."""
+    stones = _table(spark, args.store + "-purged", STONES)
+    if args.undo:
+        left = kb.unpurge(stones, args.content_hash)
+        gone = stones.count() - left.count()
+        if gone:
+            _replace(spark, left, args.store + "-purged")
+        print(f"unpurged={gone}")
+        return 0 if gone else 1
+    rows = spark.read.parquet(args.store)
+    kept, after = kb.purge(rows, stones, args.content_hash, args.client, args.role)
+    gone = rows.count() - kept.count()
+    if not gone and not (args.client is not None and args.role is not None):
+        print(f"{args.content_hash} is not in the store; with --client and --role it is kept out for the future", file=sys.stderr)
+        return 1
+    _replace(spark, after, args.store + "-purged")
+    if gone:
+        _replace(spark, kept, args.store)
+    print(f"purged={gone}")
     return 0
 
 
+def timeline(spark, args) -> int:
+    found = rc.snapshots(_records(spark, args.source)).withColumnRenamed("provider", "client")
+    rows = kb.timeline(kb.versions(found, ["seen_at", "session_id"]), args.client, args.model).orderBy("client", "model", "version").collect()
+    for r in rows:
+        print(f"{r['client']}  {r['model']}  v{r['version']}  {r['first_seen']}  {r['last_seen']}  {r['session_count']}  {r['content_hash'][:12]}")
+    return 0 if rows else 1
+
+
 def search(spark, args) -> int:
     rows = spark.read.parquet(args.store)
+    settings = models.read_settings(args.settings)
+    embedder = models.make_embedder(settings)
     try:
-        rt.check_identity((rows.select("embedder").first() or ["hash-16"])[0], "hash-16")
+        rt.check_identity((rows.select("embedder").first() or [embedder.name])[0], embedder.name)
     except ValueError as wrong:
         print(wrong, file=sys.stderr)
         return 3
     ready = rows.where("state = 'indexed'")
-    hits = api.kb_search(ready.select("id", "text", "session_id", "client"), ready.select("id", "embedding"), args.query, group="session_id", limit=args.limit, min_score=args.min_score).collect()
+    found = api.kb_search(ready.select("id", "text", "session_id", "client"), ready.select("id", "embedding"), args.query, embedder.queries, group="session_id", client=args.client, limit=args.limit, min_score=args.min_score, reranker=models.make_reranker(settings), weights=settings.rrf_weights)
+    hits = found.orderBy(F.desc("group_score"), "session_id", "place").collect()
     for r in hits:
         print(f"{r['score']:.3f}  {r['session_id']}  {r['text'][:200]}")
     return 0 if hits else 1
