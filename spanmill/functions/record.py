@@ -61,6 +61,11 @@ def string(value: Any) -> str:
     return value if isinstance(value, str) else ""
 
 
+def first_flag(*values: Any) -> bool | None:
+    """The first value that is true or false itself, not something that merely counts as such."""
+    return next((v for v in values if isinstance(v, bool)), None)
+
+
 def parse(text: Any) -> Any:
     """The JSON value of a text, None if it is none."""
     try:

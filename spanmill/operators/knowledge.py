@@ -94,6 +94,24 @@ def pending(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where(F.col("state") == "pending").orderBy("id").limit(limit)
 
 
+def indexed_chunks(chunks: DataFrame, version_table: DataFrame, client: str | None = None, kind: str | None = None) -> DataFrame:
+    """Indexed chunks (snapshot, kind, title, text, state) with what is known of their prompt version (content_hash, client, model,
+    first_seen, last_seen, session_count)."""
+    ready = chunks.where(F.col("state") == "indexed")
+    ready = ready if kind is None else ready.where(F.col("kind") == kind)
+    of = version_table if client is None else version_table.where(F.col("client") == client)
+    return ready.join(of.withColumnRenamed("content_hash", "snapshot"), "snapshot")
+
+
+def indexed_messages(messages: DataFrame, client: str | None = None) -> DataFrame:
+    ready = messages.where(F.col("state") == "indexed")
+    return ready if client is None else ready.where(F.col("client") == client)
+
+
+def version_of(version_table: DataFrame, content_hash: str) -> DataFrame:
+    return version_table.where(F.col("content_hash") == content_hash)
+
+
 def replace_chunks(chunks: DataFrame, fresh: DataFrame, key: str = "snapshot") -> DataFrame:
     """chunks with those of fresh's snapshots replaced by fresh."""
     return chunks.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)

@@ -95,17 +95,25 @@ def read_directory(spark: SparkSession, root: str, source_key: str, imported: Da
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """rel_path, client, created_at of the files that a manifest lists; back slashes become slashes. No manifest, no rows."""
+    """rel_path, client, created_at of the files that manifests list; back slashes become slashes. No manifest, no rows.
+
+    A manifest is one small document, often with a hidden name, which Spark's readers pass over: it is read through the file
+    system."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(path)
+    files = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    texts = []
+    for status in files.globStatus(glob) or ():
+        stream = files.open(status.getPath())
+        try:
+            texts.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),))
+        finally:
+            stream.close()
     schema = "traces array<struct<client:string,created_at:string,metadata:struct<client:string>,files:array<string>>>"
-    try:
-        whole = spark.read.schema(schema).option("multiLine", "true").json(path)
-    except Exception as error:  # noqa: BLE001  the file is optional
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        whole = spark.createDataFrame([], schema)
-    traces = whole.select(F.explode("traces").alias("t"))
-    files = traces.select(F.explode("t.files").alias("f"), F.coalesce("t.client", "t.metadata.client").alias("client"), F.col("t.created_at").alias("created_at"))
-    return files.select(F.translate("f", "\\", "/").alias("rel_path"), "client", "created_at").dropDuplicates(["rel_path"])
+    whole = spark.createDataFrame(texts, "value string").select(F.from_json("value", schema).alias("m"))
+    traces = whole.select(F.explode("m.traces").alias("t"))
+    files_ = traces.select(F.explode("t.files").alias("f"), F.coalesce("t.client", "t.metadata.client").alias("client"), F.col("t.created_at").alias("created_at"))
+    return files_.select(F.translate("f", "\\", "/").alias("rel_path"), "client", "created_at").dropDuplicates(["rel_path"])
 
 
 def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:

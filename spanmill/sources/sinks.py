@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
+import time
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import record as rec
@@ -121,3 +123,20 @@ def log_lines(logs: DataFrame, fresh: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("logged_at", "message")
     numbered = fresh.join(last, "session_id", "left").withColumn("line_no", F.coalesce("_last", F.lit(0)) + F.row_number().over(w))
     return logs.unionByName(numbered.drop("_last"), allowMissingColumns=True)
+
+
+class LogRows(logging.Handler):
+    """Keeps what a program logs as log rows of a session, until drain() makes a table of them; the oldest go beyond a bound."""
+
+    def __init__(self, session_id: str, most: int = 10_000):
+        super().__init__()
+        self.session_id, self.most, self.rows = session_id, most, []
+
+    def emit(self, record: logging.LogRecord) -> None:
+        at = time.strftime("%H:%M:%S", time.gmtime(record.created))
+        self.rows.append((self.session_id, at, record.levelname, self.format(record)))
+        del self.rows[: -self.most]
+
+    def drain(self, spark: SparkSession) -> DataFrame:
+        rows, self.rows = self.rows, []
+        return spark.createDataFrame(rows, "session_id string, logged_at string, level string, message string")

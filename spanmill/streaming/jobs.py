@@ -133,18 +133,36 @@ def tail(records: DataFrame, publish: Callable[[DataFrame, int], None], checkpoi
     return records.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(publish)
 
 
+#: Parts that known keys are kept in; a batch reads those that its own keys fall in.
+KEY_PARTS = 64
+
+
 def merge_new(path: str, keys: list[str], done: str) -> Callable[[DataFrame, int], None]:
-    """A publisher that appends rows whose keys are not at path yet; a batch number that is written already is passed over."""
+    """A publisher that appends rows whose keys are not at path yet; a batch number that is written already is passed over.
+
+    Keys are kept beside the rows, dealt by hash: a batch reads the parts that its keys fall in, and no rows. Where keys may be
+    forgotten after a time, once_within() does without."""
+    known = f"{path}_keys"
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/batch={number}"
         jvm = spark.sparkContext._jvm
-        if jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")):
+
+        def there(name: str) -> bool:
+            target = jvm.org.apache.hadoop.fs.Path(name)
+            return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+        target = f"{path}/batch={number}"
+        if there(f"{target}/_SUCCESS"):
             return
-        fresh = batch.dropDuplicates(keys)
-        if number > 0:
-            fresh = fresh.join(spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(path).select(*keys).distinct(), keys, "left_anti")
-        fresh.withColumn(done, F.lit(number)).write.mode("overwrite").parquet(target)
+        fresh = batch.dropDuplicates(keys).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).cast("int"))
+        if there(known):
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema if f.name in keys) + ", batch long, _part int"
+            parts = [r["_part"] for r in fresh.select("_part").distinct().collect()]  # at most KEY_PARTS
+            # Keys that this batch itself left behind before a failure are no reason to leave its rows out.
+            held = spark.read.schema(schema).parquet(known).where(F.col("_part").isin(*parts) & (F.col("batch") < number))
+            fresh = fresh.join(held.select(*keys), keys, "left_anti")
+        fresh.withColumn("batch", F.lit(number).cast("long")).select(*keys, "batch", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "_part").parquet(known)
+        fresh.drop("_part").withColumn(done, F.lit(number)).write.mode("overwrite").parquet(target)
 
     return publish
