@@ -1,4 +1,8 @@
-"""A training corpus from documents: good ones, one of each group of copies, mixed to target weights, encoded."""
+"""A training corpus from documents: good ones, one of each group of copies, mixed to target weights, encoded.
+
+Every stage judges rows, not ids: rows that repeat an id, or have none, go through each on their own. Texts of any length are
+read whole, extra columns are kept up to the last stage, and no rows give no rows.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +16,27 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source; null texts go."""
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that of the smallest id, rows without an id last; null counts as empty."""
     return exact_dedup.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: that of the smallest id, rows without an id last; rows without words stay."""
     return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; null sources are one source, ties and repeated rows are told apart by number."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document."""
+    """Token counts and digests of every document; null counts as empty."""
     return bpe.encode_documents(docs)
 
 
