@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.session import broadcast_small, cut, text_batches
+from spanmill.session import SMALL_ROWS, cut, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -205,18 +205,23 @@ def _gather(frame: DataFrame, keys: list[str], col: str = "m") -> DataFrame:
     return frame.groupBy(*keys).agg(*_sums(col)).select(*keys, F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("m"))
 
 
-def _judge(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """stats with d2, the squared distance by their group's estimate."""
-    joined = stats.join(broadcast_small(params.select("lang", "source", "mean", "inverse")), ["lang", "source"])
+def _sent(by_group: DataFrame, few: bool) -> DataFrame:
+    """A table of a row for each group, with a broadcast hint if they are few."""
+    return F.broadcast(by_group) if few else by_group
+
+
+def _judge(stats: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """stats with d2, the squared distance by their group's estimate; few says that the groups are few enough to broadcast."""
+    joined = stats.join(_sent(params.select("lang", "source", "mean", "inverse"), few), ["lang", "source"])
     d = [F.element_at("x", i + 1) - F.element_at("mean", i + 1) for i in range(P)]
     terms = [F.element_at("inverse", k + 1) * d[i] * d[j] for k, (i, j) in enumerate(PAIRS)]
     return joined.withColumn("d2", sum(terms[1:], terms[0])).drop("mean", "inverse")
 
 
-def _inner(stats: DataFrame, params: DataFrame, within: float | None) -> DataFrame:
+def _inner(stats: DataFrame, params: DataFrame, within: float | None, few: bool) -> DataFrame:
     """The moments of each group's rows near its estimate, summed where the rows are before they are shuffled: of those within a
     squared distance, or without one of the nearer half."""
-    judged = _judge(stats, params)
+    judged = _judge(stats, params, few)
     if within is None:
         # Halves by counts of distances in fine bins, which add up; a bin spans 0.1 % of its distance.
         judged = judged.withColumn("_bin", F.round(F.log1p("d2") * 1000).cast("int"))
@@ -224,7 +229,7 @@ def _inner(stats: DataFrame, params: DataFrame, within: float | None) -> DataFra
         w = Window.partitionBy("lang", "source")
         upto = bins.withColumns({"_upto": F.sum("_n").over(w.orderBy("_bin")), "_all": F.sum("_n").over(w)})
         half = cut(upto.where(f"_upto >= least(_all, ceil((_all + {P + 1}) / 2.0))").groupBy("lang", "source").agg(F.min("_bin").alias("_edge")))
-        judged = judged.join(broadcast_small(half), ["lang", "source"]).where("_bin <= _edge")
+        judged = judged.join(_sent(half, few), ["lang", "source"]).where("_bin <= _edge")
     else:
         judged = judged.where(F.col("d2") <= within)
 
@@ -282,13 +287,14 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     good = stats.where(~F.col("base_failed")).select("lang", "source", "doc_id", "n_words", "x")
     counts = cut(good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")))
     # A shuffle by group alone would satisfy the grouping by chunk below and bring a hot group to one task.
-    chunked = good.join(broadcast_small(counts), ["lang", "source"])
+    few = counts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS  # every table by group has these groups or fewer
+    chunked = good.join(_sent(counts, few), ["lang", "source"])
     chunk = F.pmod(F.xxhash64("doc_id", "n_words", "x"), F.ceil(F.col("rows") / chunk_rows))
     halves = chunked.select("lang", "source", chunk.alias("_chunk"), "x").groupBy("lang", "source", "_chunk").applyInPandas(_chunk, "lang string, source string, m array<double>")
     params = cut(_drawn(_gather(halves, ["lang", "source"]), prior_rows, MEDIAN))
     vectors = good.select("lang", "source", "x")
     for _ in range(passes):
-        after = cut(_drawn(_inner(vectors, params, None), prior_rows, MEDIAN))
+        after = cut(_drawn(_inner(vectors, params, None, few), prior_rows, MEDIAN))
         old = params.select("lang", "source", F.col("det").alias("_det"))
         fall = after.join(old, ["lang", "source"]).agg(F.max(F.col("_det") - F.col("det"))).first()[0]
         if fall is None or fall <= LEAST_FALL:
@@ -296,10 +302,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         params = after
     else:
         warnings.warn(f"concentration steps have not settled after {passes} passes: determinants still fall by {fall:.4f}", stacklevel=2)
-    params = cut(_drawn(_inner(vectors, params, WITHIN), prior_rows, WITHIN))
+    params = cut(_drawn(_inner(vectors, params, WITHIN, few), prior_rows, WITHIN))
     fields = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keyed = stats.select("lang", "source", *fields, "base_failed", "x")
-    passed = _judge(keyed.where(~F.col("base_failed")), params)
+    passed = _judge(keyed.where(~F.col("base_failed")), params, few)
     rest = keyed.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return passed.unionByName(rest).select(*fields, "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d2").alias("distance"))
 
