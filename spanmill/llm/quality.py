@@ -228,32 +228,21 @@ def _inner(stats: DataFrame, params: DataFrame, within: float | None, few: bool)
         bins = judged.groupBy("lang", "source", "_bin").agg(F.count(F.lit(1)).alias("_n"))
         w = Window.partitionBy("lang", "source")
         upto = bins.withColumns({"_upto": F.sum("_n").over(w.orderBy("_bin")), "_all": F.sum("_n").over(w)})
-        half = cut(upto.where(f"_upto >= least(_all, ceil((_all + {P + 1}) / 2.0))").groupBy("lang", "source").agg(F.min("_bin").alias("_edge")))
+        half = upto.where(f"_upto >= least(_all, ceil((_all + {P + 1}) / 2.0))").groupBy("lang", "source").agg(F.min("_bin").alias("_edge"))
         judged = judged.join(_sent(half, few), ["lang", "source"]).where("_bin <= _edge")
     else:
         judged = judged.where(F.col("d2") <= within)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            langs, sources = (batch.column(i).dictionary_encode() for i in (0, 1))
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, P)
-            codes = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            first = np.flatnonzero(np.append(True, codes[order[1:]] != codes[order[:-1]])) if len(codes) else []
-            for at in np.split(order, first[1:]) if len(codes) else []:
-                key = (langs[int(at[0])].as_py(), sources[int(at[0])].as_py())
-                sums[key] = sums.get(key, 0) + moments(x[at])
-        keys = list(sums)
-        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([sums[k].tolist() for k in keys], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "m"])
-
-    return _gather(judged.select("lang", "source", "x").mapInArrow(run, "lang string, source string, m array<double>"), ["lang", "source"])
+    x = [F.element_at("x", i + 1) for i in range(P)]
+    sums = [F.count(F.lit(1)).cast("double"), *map(F.sum, x), *(F.sum(x[i] * x[j]) for i, j in PAIRS)]
+    summed = judged.groupBy("lang", "source").agg(*[v.alias(f"_m{k}") for k, v in enumerate(sums)])
+    return summed.select("lang", "source", F.array(*[f"_m{k}" for k in range(MOMENTS)]).alias("m"))
 
 
 def _drawn(groups: DataFrame, prior_rows: float, within: float) -> DataFrame:
     """lang, source, and the estimate from the moments of each group, with prior_rows rows of its language's and in those as many
-    of all: det (logarithm of the scatter's determinant), mean, and inverse (of the scatter, its upper half, pairs doubled)."""
+    of all: det (logarithm of the scatter's determinant), mean, and inverse (of the scatter, its upper half, pairs doubled).
+    The moments are computed once, as three queries read them."""
+    groups = cut(groups)
     by_lang = _gather(groups, ["lang"]).withColumnRenamed("m", "_ml")
     overall = groups.groupBy().agg(*_sums("m")).select(F.array(*[f"_m{i}" for i in range(MOMENTS)]).alias("_mo"))
 
