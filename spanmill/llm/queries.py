@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmill.llm import bpe, exact_dedup, html_extract, licenses, minhash, mixing, quality, secrets, suffix_dedup, toxicity
+from spanmill.llm import bpe, exact_dedup, html_extract, licenses, minhash, mixing, ngram_join, phrases, quality, secrets, suffix_dedup, toxicity
 from spanmill.session import table
 
 
@@ -48,5 +48,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_licenses, op4_exact_dedup, op5_minhash, op6_suffix_dedup, op7_quality, op8_bpe, op9_html, op10_secrets)}
-ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_licenses, op4_exact_dedup, op5_minhash, op6_suffix_dedup, op7_quality, op8_bpe, op9_html, op10_secrets, op11_phrases, op12_ngram_join)}
+ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op11_phrases": phrases.OP11_SQL, "op12_ngram_join": ngram_join.OP12_SQL}
