@@ -11,11 +11,11 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import text as tx
+from spanmill.operators.index import Index
 from spanmill.session import cut
 
 #: Fixed values.
@@ -242,53 +242,15 @@ def top_per_group(hits: DataFrame, group: str, n: int = HITS_PER_GROUP) -> DataF
     return hits.withColumns({"place": F.row_number().over(w), "group_score": best}).where(F.col("place") <= n).orderBy(F.desc("group_score"), group, "place")
 
 
-class Index:
-    """Stored postings of words and trigrams, each sorted by term, and what ranking needs of each document and of all."""
-
-    def __init__(self, folder: str, spark: SparkSession):
-        postings_ = spark.read.parquet(f"{folder}/postings")
-        self.words, self.trigrams = (postings_.where(F.col("kind") == kind).drop("kind") for kind in ("words", "trigrams"))
-        self.lengths, self.totals = spark.read.parquet(f"{folder}/lengths"), spark.read.parquet(f"{folder}/totals").first()
-
-
-def build_index(docs: DataFrame, folder: str, parts: int = 16) -> Index:
-    """Write the postings of docs (id, text) below folder, replacing what is there: a term's postings lie together, in files sorted
-    by term, so a query's terms are found by the files' statistics. Positions let phrases be checked from the postings alone. A
-    document is one row of work, its places are gathered where it is; only postings are shuffled, by ranges of terms."""
-    read = docs.select("id", tx.token_words(F.coalesce("text", F.lit(""))).alias("words"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    id_type = docs.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            kinds, terms, owners, places = [], [], [], []
-            for i, (words, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for kind, tokens in (("words", words), ("trigrams", [low[k : k + 3] for k in range(len(low) - 2)])):
-                    held: dict[str, list[int]] = {}
-                    for at, term in enumerate(tokens):
-                        held.setdefault(term, []).append(at)
-                    kinds += [kind] * len(held)
-                    terms += held
-                    owners += [i] * len(held)
-                    places += held.values()
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(terms, pa.string()), batch.column(0).take(pa.array(owners, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["kind", "term", "id", "places"])
-
-    found = read.mapInArrow(run, f"kind string, term string, id {id_type}, places array<int>")
-    found.repartitionByRange(parts, "kind", "term").sortWithinPartitions("kind", "term", "id").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/postings")
-    read.select("id", F.size("words").alias("words"), F.greatest(F.length("low") - 2, F.lit(0)).alias("trigrams")).write.mode("overwrite").parquet(f"{folder}/lengths")
-    spark = docs.sparkSession
-    held = spark.read.parquet(f"{folder}/lengths")
-    held.agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("words"), F.avg("trigrams").alias("trigrams")).write.mode("overwrite").parquet(f"{folder}/totals")
-    return Index(folder, spark)
-
-
 def _from_postings(index: Index, kind: str, phrases: Sequence[Sequence[str]]) -> DataFrame:
     """id, score: each phrase is a row of terms that follow one another (words) or overlap (trigrams)."""
-    if not phrases or not index.totals["n"]:
+    if not phrases or not index.totals["documents"]:
         return index.lengths.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     mine = index.words if kind == "words" else index.trigrams
     terms = sorted({t for p in phrases for t in p})
+    lengths = index.lengths.select("doc", "segment", "id", "rows", F.col(kind).alias("dl"))
     # A document's places of each wanted term, beside one another: a phrase occurs where its terms' places, shifted back, meet.
-    rows = mine.where(F.col("term").isin(*terms)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_at"))
+    rows = mine.where(F.col("term").isin(*terms)).groupBy("doc", "segment").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_at"))
     counts = []
     for i, phrase in enumerate(phrases):
         shifted = [_back(F.coalesce(F.element_at("_at", F.lit(t)), F.array().cast("array<int>")), k) for k, t in enumerate(phrase)]
@@ -296,14 +258,15 @@ def _from_postings(index: Index, kind: str, phrases: Sequence[Sequence[str]]) ->
         for s in shifted[1:]:
             met = F.array_intersect(met, s)
         counts.append(F.size(met).alias(f"tf{i}"))
-    found = cut(rows.select("id", *counts))
-    df = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).first()
-    hits = found.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(index.lengths.select("id", F.col(kind).alias("dl")), "id")
+    # Documents as the state has them; rows of equal id and text count each.
+    found = cut(rows.select("doc", "segment", *counts).where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(lengths, ["doc", "segment"]))
+    df = found.agg(*[F.coalesce(F.sum(F.when(F.col(f"tf{i}") > 0, F.col("rows"))), F.lit(0)).alias(f"df{i}") for i in range(len(phrases))]).first()
     score = F.lit(0.0)
     for i in range(len(phrases)):
         tf = F.col(f"tf{i}")
-        score = score + _idf(F.lit(float(index.totals["n"])), F.lit(float(df[i]))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.totals[kind]))))
-    return hits.select("id", score.alias("score"))
+        score = score + _idf(F.lit(float(index.totals["documents"])), F.lit(float(df[i]))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(index.totals[kind]))))
+    scored = found.select("id", "rows", score.alias("score"))
+    return scored.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("id", "score")
 
 
 def _back(places: Column, steps: int) -> Column:
@@ -348,7 +311,7 @@ def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: Sequen
     equal chunks of several groups are one hit before reranking: the best by cosine, then the newest; its group's session_count
     takes in the others'. Reranked scores must exceed the floor; others must reach it (0 unless given) and, whether the reranker is
     missing or fails, stay within delta of the best. within keeps candidates of some rows only: vectors are compared among
-    these, keywords rank over all docs. With an index (see build_index) only the query terms' postings are read. A blank query
+    these, keywords rank over all docs. With an index (see operators.index) only the query terms' postings are read. A blank query
     finds nothing.
     """
     names = ["id", "text", group, "score", "reranked", "place", "group_score", "session_count"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import records as rc
 from spanmill.functions import text as tx
-from spanmill.operators import api, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st, viewer as vw
+from spanmill.operators import api, index as ix, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st, viewer as vw
 from spanmill.plans import catalogue as ct, tables as tb
 from spanmill.plans.catalogue import query
 from spanmill.session import cut, shared_dir, table
@@ -481,14 +481,14 @@ def search_without_reranker(spark, sf_dir):
     return found.select("id", "source", "reranked", F.round("score", 6).alias("score"))
 
 
-_INDEXES: dict[tuple[str, str], rt.Index] = {}
+_INDEXES: dict[tuple[str, str], ix.Index] = {}
 
 
-def index_of(spark, sf_dir) -> rt.Index:
+def index_of(spark, sf_dir) -> ix.Index:
     """The documents' postings, written once for a Spark application and table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = rt.build_index(ct._docs(spark, sf_dir), _shared(spark, "index"))
+        _INDEXES[key] = ix.build_index(ct._docs(spark, sf_dir), _shared(spark, "index"))
     return _INDEXES[key]
 
 

@@ -1,0 +1,88 @@
+"""The jobs as queries: each runs twice into a new folder of the shared one, then its whole output is read back. And stored
+indexes: upkeep, and search by lists of vectors."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from jobs import search_index, usage_ledger
+from spanmill.operators import index, ledger, vectors
+from spanmill.operators import retrieval as rt
+from spanmill.plans import catalogue as ct
+from spanmill.plans.catalogue import query
+from spanmill.session import shared_dir
+
+JOB1_SQL = """
+WITH e AS (
+  SELECT coalesce(strftime(ts, '%Y-%m-%d'), 'undated') AS date, CAST(user_id AS VARCHAR) AS session_id, event_id, ts, event_type, CAST(floor(value) AS BIGINT) AS tokens FROM events
+),
+days AS (
+  SELECT date, session_id, count(*) AS records,
+    CAST(coalesce(sum(tokens) FILTER (event_type = 'view'), 0) AS BIGINT) AS input_tokens,
+    CAST(coalesce(sum(tokens) FILTER (event_type = 'click'), 0) AS BIGINT) AS output_tokens,
+    CAST(coalesce(sum(tokens) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS cache_read_tokens,
+    CAST(coalesce(sum(tokens) FILTER (event_type = 'signup'), 0) AS BIGINT) AS cache_create_tokens,
+    count(*) FILTER (event_type = 'error') AS errors,
+    arg_min(event_type, (ts, event_id)) AS first_kind, arg_max(event_type, (ts, event_id)) AS last_kind, min(ts) AS first_ts, max(ts) AS last_ts
+  FROM e GROUP BY date, session_id
+)
+SELECT session_id, records, input_tokens, output_tokens, cache_read_tokens, cache_create_tokens, errors,
+  input_tokens + output_tokens + cache_read_tokens + cache_create_tokens AS total_tokens, first_kind, last_kind,
+  strftime(first_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS started_at, strftime(last_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS updated_at,
+  CASE WHEN errors > 0 THEN 'error' ELSE 'complete' END AS status, date
+FROM days
+"""
+
+
+@query(JOB1_SQL)
+def job1_usage_ledger(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/usage-ledger-{uuid.uuid4().hex}"
+    for _ in range(2):
+        usage_ledger.run(spark, f"{sf_dir}/events*.parquet", folder)
+    return ledger.read_ledger(spark, folder)
+
+
+JOB2_SQL = r"""
+WITH words AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+') AS w FROM documents
+),
+tokens AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS place FROM words)
+SELECT term, id, count(*) AS tf, min(place) AS first_place, max(place) AS last_place FROM tokens GROUP BY term, id
+"""
+
+
+@query(JOB2_SQL)
+def job2_search_index(spark, sf_dir):
+    """Words only, with how often and where they stand."""
+    folder = f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}"
+    for _ in range(2):
+        search_index.run(spark, f"{sf_dir}/documents.parquet", folder, kinds=["words"])
+    found = index.Index(folder, spark)
+    live = found.lengths.select("doc", "segment", "id")
+    return found.words.join(live, ["doc", "segment"]).select("term", "id", F.size("places").cast("long").alias("tf"), F.array_min("places").cast("long").alias("first_place"), F.array_max("places").cast("long").alias("last_place"))
+
+
+@query(f"WITH {ct.WORDS_SQL} SELECT id, round(score, 6) AS score FROM words")
+def index_upkeep(spark, sf_dir):
+    """An index of older documents (some not there yet, some with another text, some that will go) brought up to date in two
+    steps, by the changes and by taking out what is gone: what a scan over the documents finds."""
+    folder = f"{shared_dir(spark)}/index-upkeep-{uuid.uuid4().hex}"
+    docs = ct._docs(spark, sf_dir)
+    number = F.col("id")
+    going = docs.where(number % 11 == 3).withColumn("id", -1 - number)
+    late, changed = number % 5 == 0, number % 7 == 0
+    older = docs.where(~late).withColumn("text", F.when(changed, F.concat(F.lit("then there "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    index.refresh(older.unionByName(going), folder, ["words"])
+    index.upsert(docs.where(late | changed), folder, kinds=["words"])
+    index.upsert(docs.limit(0), folder, going.select("id"), ["words"])
+    return rt.indexed_words(index.Index(folder, spark), ct.QUERY).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {ct.VEC_SQL} SELECT id, round(score, 6) AS score FROM vec WHERE score > 0 ORDER BY vec.score DESC, id LIMIT 20")
+def vector_lists(spark, sf_dir):
+    """The nearest vectors from inverted lists, those ruled out by their reach not read."""
+    folder = f"{shared_dir(spark)}/vector-lists-{uuid.uuid4().hex}"
+    vectors.build_lists(ct._vectors(spark, sf_dir), folder)
+    return vectors.search_lists(spark, folder, ct._probe(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import record as rec
 from spanmill.functions import records as rc
-from spanmill.operators import blobs, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st
+from spanmill.operators import blobs, index as ix, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st
 from spanmill.schemas import MESSAGES
 from tests_support import entries, sessions
 
@@ -149,7 +149,7 @@ def test_search_folds_and_floors(spark):
 def test_stored_index_agrees_with_the_scan(spark, tmp_path):
     texts = ["Thin ice, thin_ice", "thick ice aaaa", None, "", "the ice is thin; ICE thin ice", "élan ice", "aaa"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    index = rt.build_index(docs, str(tmp_path / "index"), parts=2)
+    index = ix.build_index(docs, str(tmp_path / "index"))
     near = lambda frame: sorted((r["id"], round(r["score"], 9)) for r in frame.collect())
     for q in ("thin ice", "thin_ice aaa", "elan", "zzz", "", "ice AND thin", "aaaa"):
         assert near(rt.indexed_words(index, q)) == near(rt.bm25_words(docs, q)), q

@@ -8,14 +8,14 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from spanmill.plans import catalogue, flows, traffic
+from spanmill.plans import catalogue, flows, traffic, works
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
-assert traffic.query is flows.query is catalogue.query  # they add their queries to the catalogue
+assert traffic.query is flows.query is works.query is catalogue.query  # they add their queries to the catalogue
 
 
 def plain(value):
