@@ -2,11 +2,11 @@ r"""Phrase collocations by contiguous pattern growth.
 
 Texts are lower-cased (A-Z only) and split at [.,;:!?\x0A-\x0D] into pieces, pieces into words [^\x20\x09]+; a phrase is a run of
 words of a piece. As in PrefixSpan every frequent prefix has a projection: what follows each of its occurrences, as far as the
-longest phrase reaches. A prefix of two words is the unit of work. Its occurrences are projected where a text is read, equal
-projections counted there, so a prefix of very many occurrences leaves a task as its different continuations; all that belongs to
-one prefix then lies in one task, sorted. There the pattern grows to the right, depth first: continuations that share their
-first words lie together, so a scan that keeps one open count for each depth sees every extension of a prefix next to it and
-holds no projection in memory, however large.
+longest phrase reaches. Occurrences are projected where a text is read, and equal ones counted there, so a prefix of very many
+occurrences leaves a task as its different continuations, packed by columns. All that belongs to a prefix of two words is in one
+part, and parts are dealt out over tasks. There patterns grow to the right: a prefix is counted, and only if it is frequent its
+projection is extended by the next word, down to the longest phrase, before the task goes on to its next part. A worker holds one
+part at a time; parts are made in proportion to the texts.
 
 Counts of single words and of all words travel in the same way, as projections without continuation. Everything is per language.
 """
@@ -14,7 +14,7 @@ Counts of single words and of all words travel in the same way, as projections w
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +29,8 @@ PIECES = re.compile(r"[.,;:!?\x0A-\x0D]")
 LEAST, MAX_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 #: Words that a task counts before it hands its counts on, and words looked at in one step.
 HELD_WORDS, STEP_WORDS = 400_000, 100_000
+#: Code points of texts whose occurrences make a part, about, and rows that a worker holds before it adds up equal ones.
+PART_CHARS, HELD_ROWS = 6_000_000, 2_000_000
 #: Sub-groups in which the best of a language are chosen before the last choice.
 SALTS = 64
 
@@ -39,115 +41,151 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in PIECES.sub(" \n ", low).replace("\t", " ").split(" ") if w]
 
 
-def project(docs: DataFrame, text_col: str, lang_col: str, max_words: int) -> DataFrame:
-    """lang, head, t3.. (the words after it, empty behind a piece's end), n. Heads are two words; one, for its occurrences; and the
-    empty one, for all words."""
-    tails = [f"t{i}" for i in range(3, max_words + 1)]
-
-    def rows(lang: str, windows: Counter, singles: Counter) -> pa.RecordBatch:
-        heads, rest, counts = [""], [[""] for _ in tails], [sum(singles.values())]
-        heads += singles
-        counts += singles.values()
-        for t in rest:
-            t += [""] * len(singles)
-        for window, n in windows.items():
-            if window[0] == "\n" or window[1] == "\n":
-                continue
-            heads.append(f"{window[0]} {window[1]}")
-            counts.append(n)
-            ended = False
-            for word, t in zip(window[2:], rest):
-                ended = ended or word == "\n"
-                t.append("" if ended else word)
-        arrays = [pa.array([lang] * len(heads), pa.string()), pa.array(heads, pa.string()), *(pa.array(t, pa.string()) for t in rest), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "head", *tails, "n"])
+class _Numbers(dict):
+    """Word -> its number in a task's vocabulary; 0 stands between pieces."""
+
+    def __init__(self):
+        self["\n"] = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _packed(lang: str, numbers: np.ndarray, begins: np.ndarray, words: np.ndarray, hashes: np.ndarray, max_words: int, parts: int) -> pa.RecordBatch:
+    """Rows of project() for occurrences of one language: numbered words with a 0 behind each piece, and which of them begin a
+    run. The columns of a row are its words, a line each, and behind a piece's end empty lines."""
+    starts = np.flatnonzero(begins & (numbers > 0))
+    columns, code = [numbers[starts]], numbers[starts]
+    for k in range(1, max_words):
+        columns.append(np.where(columns[-1] > 0, numbers[starts + k], 0))
+        code = (code if k < 3 else np.unique(code, return_inverse=True)[1]) * len(words) + columns[-1]
+    first, counts = np.unique(code, return_index=True, return_counts=True)[1:]
+    longer = columns[1][first] > 0 if max_words > 1 else np.zeros(len(first), dtype=bool)
+    single, times = np.unique(columns[0], return_counts=True)
+    none = np.zeros(len(single) + 1, dtype=np.int64)
+    columns = [np.concatenate([c[first][longer], none if k else np.append(single, 0)]) for k, c in enumerate(columns)]
+    counts = np.concatenate([counts[longer], times, [len(starts)]])  # occurrences, those of single words, all words
+    part = (hashes[columns[0]] * 31 + hashes[columns[1]]) % parts
+    order = np.argsort(part, kind="stable")
+    own, at = np.unique(part[order], return_index=True)
+    ends = [*at[1:].tolist(), len(order)]
+    texts, counts = [words[c[order]].tolist() for c in columns], counts[order].astype("<i8")
+    lines, numbers_ = [], []
+    for i, j in zip(at.tolist(), ends):
+        lines.append(_zip("\n".join("\n".join(t[i:j]) for t in texts).encode("utf-8", "surrogatepass")))
+        numbers_.append(_zip(counts[i:j].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([lang] * len(own), pa.string()), pa.array(lines, pa.binary()), pa.array(numbers_, pa.binary())], names=["part", "lang", "words", "counts"])
+
+
+def _zip(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unzip(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def project(docs: DataFrame, text_col: str, lang_col: str, max_words: int, parts: int) -> DataFrame:
+    """part, lang, words, counts: what a task hands on to each part, packed by columns: runs of max_words words with the number of
+    their occurrences, shorter at a piece's end; single words with theirs; and no word with the number of all. A prefix of two
+    words is always in the same part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Counter, Counter]] = {}
-        total = 0
+        vocabulary, held, total = _Numbers(), {}, 0
+        end = max_words * [0]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = np.array(["", *list(vocabulary)[1:]], dtype=object)
+            hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.int64)
+            for lang, runs in held.items():
+                yield _packed(lang, *(np.concatenate(x) for x in zip(*runs)), words, hashes, max_words, parts)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
-                windows, singles = held.setdefault(lang, (Counter(), Counter()))
-                for at in range(0, len(words), STEP_WORDS):
-                    some = words[at : at + STEP_WORDS + max_words - 1]
-                    some += ["\n"] * (min(len(words) - at, STEP_WORDS) + max_words - 1 - len(some))
-                    windows.update(zip(*(some[k : len(some) - max_words + 1 + k] for k in range(max_words))))
-                    singles.update(some[: len(some) - max_words + 1])
-                    del singles["\n"]
+                for at in range(0, max(1, len(words)), STEP_WORDS):
+                    some = [vocabulary[w] for w in words[at : at + STEP_WORDS + max_words - 1]] + end
+                    held.setdefault(lang, []).append((np.array(some, dtype=np.int64), np.arange(len(some)) < STEP_WORDS))
                     total += len(some)
                     if total >= HELD_WORDS:
-                        yield from (rows(k, *v) for k, v in held.items())
-                        held, total = {lang: (Counter(), Counter())}, 0
-                        windows, singles = held[lang]
-        yield from (rows(k, *v) for k, v in held.items())
+                        yield from flush()
+                        vocabulary, held, total = _Numbers(), {}, 0
+        yield from flush()
 
     read = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, f"lang string, head string, {''.join(f'{t} string, ' for t in tails)}n long")
+    return read.mapInArrow(run, "part long, lang string, words binary, counts binary")
 
 
-def grow(projected: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, words, f: phrases of f >= least, and the empty one with the number of all words. From projections that lie
-    together by head and are sorted."""
-    tails = [c for c in projected.columns if c not in ("lang", "head", "n")]
-    names = ["lang", "head", *tails]
+def unpacked(lang: str, words: bytes, counts: bytes, max_words: int) -> pa.Table:
+    """lang, w1, w2.. and n of one row of project()."""
+    n = np.frombuffer(_unzip(counts), dtype="<i8")
+    lines = _unzip(words).decode("utf-8", "surrogatepass").split("\n")
+    columns = [pa.array(lines[k * len(n) : (k + 1) * len(n)], pa.string()) for k in range(max_words)]
+    return pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), dtype=np.int64))), *columns, pa.array(n)], names=["lang", *(f"w{k}" for k in range(1, max_words + 1)), "n"])
+
+
+def _sums(rows: pa.Table, keys: list[str]) -> pa.Table:
+    return rows.group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[tuple[tuple, int] | None] = [None] * (len(tails) + 1)  # by depth: what is being counted
 
-        def found(runs: list[tuple[tuple, int]]) -> list[tuple[str, str, int, int]]:
-            out = []
-            for key, f in runs:
-                head = key[1]
-                if (f >= least or not head) and (len(key) == 2 or key[-1]):
-                    phrase = " ".join(key[1:])
-                    out.append((key[0], phrase, phrase.count(" ") + 1 if phrase else 0, f))
-            return out
+def extensions(projection: pa.Table, depth: int, max_words: int, least: int) -> Iterator[pa.Table]:
+    """Frequent phrases (lang, phrase, words, f) of depth words and more that the occurrences of a projection begin with: counts them,
+    keeps the projection of the frequent ones, and goes on to the right."""
+    keys = ["lang", *(f"w{k}" for k in range(1, depth + 1))]
+    here = projection.filter(pc.not_equal(projection[keys[-1]], ""))
+    found = _sums(here, keys)
+    found = found.filter(pc.greater_equal(found["n"], least))
+    if not len(found):
+        return
+    phrase = pc.binary_join_element_wise(*(found[k].combine_chunks() for k in keys[1:]), " ")
+    yield pa.table([found["lang"], phrase, pa.array(np.full(len(found), depth, dtype=np.int32)), found["n"]], names=["lang", "phrase", "words", "f"])
+    if depth < max_words:
+        yield from extensions(here.join(found.select(keys), keys, join_type="left semi", use_threads=False), depth + 1, max_words, least)
 
-        def table(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "f"])
 
+def grow(projected: DataFrame, least: int, max_words: int) -> DataFrame:
+    """lang, phrase, words, f: phrases of f >= least, and the empty one with the number of all words. From rows of project() of
+    which those of a part follow one another; a worker holds one part, and less once it has added up equal rows."""
+    names = ["lang", *(f"w{k}" for k in range(1, max_words + 1))]
+
+    def found(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = _sums(pa.concat_tables(rows), names)
+        none = whole.filter(pc.equal(whole["w1"], ""))
+        total = pa.table([none["lang"], none["w1"], pa.array(np.zeros(len(none), dtype=np.int32)), none["n"]], names=["lang", "phrase", "words", "f"])
+        single = whole.filter(pc.and_(pc.equal(whole["w2"], ""), pc.not_equal(whole["w1"], "")))
+        tables = [total, *extensions(single, 1, 1, least), *extensions(whole.filter(pc.not_equal(whole["w2"], "")), 2, max_words, least)]
+        for t in tables:
+            yield from t.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rows = None, [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            n = batch.column(batch.schema.get_field_index("n")).to_numpy()
-            changed = np.zeros(len(n), dtype=bool)
-            changed[0] = True
-            rows: list = []
-            for depth in range(len(tails) + 1):
-                for c in columns[: 2] if depth == 0 else columns[depth + 1 : depth + 2]:
-                    changed[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(n) - 1)).to_numpy(zero_copy_only=False)
-                at = np.flatnonzero(changed)
-                sums = np.add.reduceat(n, at)
-                # Only runs that may be reported are looked at by themselves: large ones, the first and the last.
-                worth = sums >= least
-                worth[[0, -1]] = True
-                if depth == 0:
-                    worth |= pc.equal(columns[1].take(pa.array(at)), "").to_numpy(zero_copy_only=False)
-                pick = np.flatnonzero(worth)
-                keys = list(zip(*(c.take(pa.array(at[pick])).to_pylist() for c in columns[: depth + 2])))
-                runs = list(zip(keys, sums[pick].tolist()))
-                if open_[depth] is not None:
-                    if open_[depth][0] == runs[0][0]:
-                        runs[0] = (runs[0][0], runs[0][1] + open_[depth][1])
-                    else:
-                        runs.insert(0, open_[depth])
-                open_[depth] = runs.pop()
-                rows += found(runs)
-            yield table(rows)
-        yield table(found([x for x in open_ if x is not None]))
-
-    return projected.select(*names, "n").mapInArrow(run, "lang string, phrase string, words int, f long")
+            for own, lang, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != part and held:
+                    yield from found(held)
+                    held, rows = [], 0
+                part = own
+                held.append(unpacked(lang, words, counts, max_words))
+                rows += len(held[-1])
+                if rows > HELD_ROWS:
+                    held = [_sums(pa.concat_tables(held), names)]
+                    rows = len(held[0]) // 2  # what has been added up counts half, so that it is not added up again and again
+        if held:
+            yield from found(held)
+
+    return projected.select("part", "lang", "words", "counts").mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, max_words: int = MAX_WORDS) -> DataFrame:
     """lang, phrase, words, f of all phrases of up to max_words (two or more) words with f >= least; the empty phrase has all words."""
-    text_batches(docs.sparkSession)
-    projected = project(docs, text_col, lang_col, max_words)
-    tails = [c for c in projected.columns if c not in ("lang", "head", "n")]
-    return grow(projected.repartition("lang", "head").sortWithinPartitions("lang", "head", *tails), least)
+    spark = docs.sparkSession
+    text_batches(spark)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = docs.agg(F.coalesce(F.sum(F.length(F.col(text_col))), F.lit(0))).first()[0]
+    parts = tasks * max(1, -(-chars // (tasks * PART_CHARS)))  # a task takes several parts, one after another
+    dealt = project(docs, text_col, lang_col, max_words, parts).repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+    return grow(dealt.sortWithinPartitions("part"), least, max_words)
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, max_words: int = MAX_WORDS, top: int = TOP, inside_percent: int = INSIDE_PERCENT, salts: int = SALTS) -> DataFrame:

@@ -56,6 +56,8 @@ def prose(seed=3, n=40):
 def test_phrases(spark, monkeypatch, least, longest, top):
     monkeypatch.setattr(phrases, "HELD_WORDS", 50)
     monkeypatch.setattr(phrases, "STEP_WORDS", 17)
+    monkeypatch.setattr(phrases, "PART_CHARS", 300)
+    monkeypatch.setattr(phrases, "HELD_ROWS", 40)
     rows = prose()
     got = phrases.collocations(table(spark, rows).repartition(5), least=least, max_words=longest, top=top, salts=3).collect()
     assert sorted(map(tuple, got)) == brute_phrases(rows, least, longest, top)
