@@ -6,8 +6,8 @@ one of the first ``size - need + 1`` columns of each in any one order of columns
 
 * rows of equal sets are one row, known by a 128-bit digest,
 * columns go by hash, but for those that more than HOT_ROWS rows hold, which go last, most frequent ones after others. A row first
-  takes its columns by hash; rows that thereby hold a column of too many rows are read anew with all their columns, which are
-  counted, until no other row holds one of these,
+  takes a quarter more columns by hash than it needs; the frequent ones among them are counted and set aside. Rows that have
+  too few others, as those of large groups, are read anew with all their columns, which are counted, until no row is short,
 * a block of columns is a task of the shuffle by column. It multiplies its columns, accumulating for each pair of rows that share
   some how many they share and where the last one stands. What is left in both rows behind that place bounds the overlap, and pairs
   whose bound is below the overlap that their sizes ask for are discarded; others are counted exactly,
@@ -18,6 +18,7 @@ one of the first ``size - need + 1`` columns of each in any one order of columns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.llm.minhash import components, mix, row_key
-from spanmill.session import broadcast_small, cut, text_batches
+from spanmill.session import broadcast_small, cut, delete_path, shared_dir, text_batches
 
 SHINGLE, PERCENT = 4, 85
 #: Rows from which on a column goes last, rows of a block there, and words whose hashes a worker keeps.
 HOT_ROWS, BLOCK_ROWS, KEPT_WORDS = 50, 1000, 400_000
+#: Frequent columns (8 bytes each) up to which they are broadcast.
+MOST_LISTED = 2_000_000
+#: Columns that a row takes beyond a quarter more than it needs, in case some are frequent.
+SPARE = 8
 
 _U = np.uint64
 
@@ -66,7 +71,8 @@ def need(size: int, percent: int) -> int:
 
 
 def read_rows(rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, row_key, set (a digest; null without words), node (its first half), size, cols (the row's first columns by hash)."""
+    """doc_id, row_key, set (a digest; null without words), node (its first half), size, cols (the row's first columns by hash, a
+    quarter more than are multiplied)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -78,7 +84,8 @@ def read_rows(rows: DataFrame, percent: int, width: int) -> DataFrame:
                 digests.append(digest)
                 nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
                 sizes.append(len(own))
-                columns.append(own[: len(own) - need(len(own), percent) + 1] if len(own) else None)
+                first = len(own) - need(len(own), percent) + 1
+                columns.append(own[: first + first // 4 + SPARE] if len(own) else None)
             arrays = [pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(columns, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["doc_id", "row_key", "set", "node", "size", "cols"])
 
@@ -86,18 +93,25 @@ def read_rows(rows: DataFrame, percent: int, width: int) -> DataFrame:
     return rows.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {id_type}, row_key string, set binary, node long, size long, cols array<long>")
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, to be deleted as soon as it is not needed."""
+    path = f"{shared_dir(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
 def distinct_rows(signed: DataFrame) -> DataFrame:
     """set, node (unique), size, cols and the row_key of one of the documents with this set."""
-    found = cut(signed.where("set IS NOT NULL").groupBy("set").agg(F.min("row_key").alias("row_key"), F.first("node").alias("node"), F.first("size").alias("size"), F.first("cols").alias("cols")))
-    clash = cut(found.groupBy("node").count().where("count > 1").select("node"))
+    found = signed.where("set IS NOT NULL").groupBy("set").agg(F.min("row_key").alias("row_key"), F.first("node").alias("node"), F.first("size").alias("size"), F.first("cols").alias("cols"))
+    clash = cut(signed.where("set IS NOT NULL").select("node", "set").distinct().groupBy("node").count().where("count > 1").select("node"))
     if clash.isEmpty():
         return found
     moved = found.join(clash, "node", "left_semi").withColumn("node", F.col("node") + F.row_number().over(Window.partitionBy("node").orderBy("set")) - 1)
-    return cut(found.join(clash, "node", "left_anti").unionByName(moved.select(*found.columns)))
+    return found.join(clash, "node", "left_anti").unionByName(moved.select(*found.columns))
 
 
-def whole_rows(rows: DataFrame, matrix: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, size, all: all columns of the given nodes, from their texts."""
+def whole_rows(rows: DataFrame, matrix: DataFrame, nodes: DataFrame, width: int, repeats: bool) -> DataFrame:
+    """node, size, all: all columns of the given nodes, from their texts. repeats: whether rows repeat id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -106,36 +120,77 @@ def whole_rows(rows: DataFrame, matrix: DataFrame, nodes: DataFrame, width: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "all"])
 
     keys = broadcast_small(cut(matrix.select("node", "row_key").join(nodes, "node", "left_semi")))
-    texts = rows.select("row_key", "text").join(keys, "row_key").groupBy("node").agg(F.min("text").alias("text"))
+    texts = rows.select("row_key", "text").join(keys, "row_key")
+    if repeats:
+        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     return cut(texts.select("node", "text").mapInArrow(run, "node long, size long, all array<long>"))
 
 
-def frequent_last(rows: DataFrame, matrix: DataFrame, hot_rows: int, percent: int, width: int) -> tuple[DataFrame, DataFrame | None]:
-    """The entries to multiply, (col, node, size, at, hot), with each row's columns in the final order; and the rows that were read
-    anew, with all their columns (None if there are none)."""
-    first = matrix.select("node", "size", F.posexplode("cols").alias("at", "col"))
-    hot = cut(first.groupBy("col").count().where(F.col("count") > hot_rows).select("col"))
-    plain = first.select("col", "node", "size", "at", F.lit(False).alias("hot"))
-    if hot.isEmpty():
-        return plain, None
-    fresh = cut(first.join(broadcast_small(hot), "col", "left_semi").select("node").distinct())
+def frequent_last(rows: DataFrame, matrix: DataFrame, hot_rows: int, percent: int, width: int, repeats: bool) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The entries to multiply, (col, node, size, at), of columns of few rows and of frequent ones, each row's columns in the final
+    order; and the rows that were read anew, with all their columns. The last two are None if there are no such rows."""
+    first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
+    held = matrix.select("node", "size", "cols")
+    hot = cut(_frequent(held.select(F.explode("cols").alias("col")), hot_rows))
     whole, read = None, None
     while True:
-        some = whole_rows(rows, matrix, fresh, width)
+        plain = without(held, hot.select("col"), percent)
+        short = cut(plain.where("short").select("node"))
+        fresh = short if read is None else cut(short.join(read, "node", "left_anti"))
+        if fresh.isEmpty():
+            break
+        some = whole_rows(rows, matrix, fresh, width, repeats)
         whole = some if whole is None else whole.unionByName(some)
         read = fresh if read is None else read.unionByName(fresh)
-        hot = cut(whole.select(F.explode("all").alias("col")).groupBy("col").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot_rows))
-        rest = first.join(read, "node", "left_anti")
-        fresh = cut(rest.join(broadcast_small(hot.select("col")), "col", "left_semi").select("node").distinct())
-        if fresh.isEmpty():
+        added = cut(_frequent(whole.select(F.explode("all").alias("col")), hot_rows).join(hot, "col", "left_anti"))
+        if added.isEmpty():
             break
-    own = whole.select("node", F.explode("all").alias("col")).join(broadcast_small(hot), "col").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "col"))).alias("_hot"))
+        hot = cut(hot.unionByName(added))
+    # Rows that are short stay so as more columns are frequent, so the others are those that were not read anew.
+    cold = plain.where("NOT short").select("node", "size", F.posexplode("cols").alias("at", "col")).select("col", "node", "size", "at")
+    if whole is None:
+        return cold, None, None
+    mine = whole.select("node", F.explode("all").alias("col")).join(broadcast_small(hot), "col").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "col"))).alias("_hot"))
     none = F.array().cast("array<struct<df: bigint, col: bigint>>")
-    held = whole.join(own, "node", "left").withColumn("_hot", F.coalesce("_hot", none))
-    cold = F.transform(F.array_except("all", F.transform("_hot", lambda x: x["col"])), lambda c: F.struct(F.lit(0).cast("long").alias("df"), c.alias("col")))
-    chosen = F.slice(F.concat(cold, F.col("_hot")), F.lit(1), F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)"))
-    again = held.select("node", "size", F.posexplode(chosen).alias("at", "_e")).select(F.col("_e.col").alias("col"), "node", "size", "at", (F.col("_e.df") > 0).alias("hot"))
-    return rest.select("col", "node", "size", "at", F.lit(False).alias("hot")).unionByName(again), whole
+    known = whole.join(mine, "node", "left").withColumn("_hot", F.coalesce("_hot", none))
+    rare = F.transform(F.array_except("all", F.transform("_hot", lambda x: x["col"])), lambda c: F.struct(F.lit(0).cast("long").alias("df"), c.alias("col")))
+    again = known.select("node", "size", F.posexplode(F.slice(F.concat(rare, F.col("_hot")), F.lit(1), first)).alias("at", "_e"))
+    again = cut(again.select(F.col("_e.col").alias("col"), "node", "size", "at", (F.col("_e.df") > 0).alias("hot")))
+    return cold.unionByName(again.where("NOT hot").drop("hot")), again.where("hot").drop("hot"), whole
+
+
+def without(held: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """node, size, cols, short: of each row (node, size, cols) the first columns that are not hot (col), as many as are multiplied;
+    short if there are fewer."""
+    if hot.limit(MOST_LISTED + 1).count() > MOST_LISTED:
+        first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
+        met = held.select("node", F.explode("cols").alias("col")).join(hot, "col").groupBy("node").agg(F.collect_list("col").alias("_hot"))
+        cold = F.array_except("cols", F.coalesce("_hot", F.array().cast("array<bigint>")))
+        return held.join(met, "node", "left").select("node", "size", cold.alias("cols"), first.alias("_first")).select("node", "size", F.slice("cols", F.lit(1), F.col("_first")).alias("cols"), (F.size("cols") < F.col("_first")).alias("short"))
+    listed = held.sparkSession.sparkContext.broadcast(np.append(np.sort(hot.toArrow()["col"].to_numpy()), np.iinfo(np.int64).max))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = listed.value
+        for batch in batches:
+            flat, lengths = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(2).offsets.to_numpy())
+            size = batch.column(1).to_numpy()
+            first = size - (size * percent + 99) // 100 + 1
+            owner = np.repeat(np.arange(len(size)), lengths)
+            at = np.searchsorted(known, flat)
+            cold = (known[at] != flat) | (at == len(known) - 1)
+            before = np.cumsum(cold) - cold  # cold columns up to here, of all rows
+            rows = np.bincount(owner[cold], minlength=len(size))
+            place = before - (np.cumsum(rows) - rows)[owner]
+            take = cold & (place < first[owner])
+            ends = np.append(0, np.cumsum(np.bincount(owner[take], minlength=len(size))))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[take], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(rows < first)], names=["node", "size", "cols", "short"])
+
+    return held.mapInArrow(run, "node long, size long, cols array<long>, short boolean")
+
+
+def _frequent(entries: DataFrame, hot_rows: int) -> DataFrame:
+    return entries.groupBy("col").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot_rows)
 
 
 def multiply(cold: DataFrame, percent: int) -> DataFrame:
@@ -178,8 +233,10 @@ def multiply(cold: DataFrame, percent: int) -> DataFrame:
 
 def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact overlap."""
-    a, b = (whole.select(F.col("node").alias(k), F.col("all").alias(f"_{k}")) for k in "ab")
-    overlap = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_both"), (F.size("_a") + F.size("_b")).alias("_sizes"))
+    # Of each side only the rows that are asked for, so that no others are shuffled.
+    asked = whole.join(broadcast_small(cut(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi")
+    a, b = (x.select(F.col("node").alias(k), F.col("all").alias(f"_{k}")) for k, x in (("a", asked), ("b", whole)))
+    overlap = b.join(broadcast_small(pairs), "b").join(a, "a").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_both"), (F.size("_a") + F.size("_b")).alias("_sizes"))
     return overlap.where((100 + percent) * F.col("_both") >= percent * F.col("_sizes")).select("a", "b")
 
 
@@ -218,7 +275,9 @@ def late_links(classed: DataFrame, whole: DataFrame, percent: int, block_rows: i
         a, b = p["node"].to_numpy(), q["node"].to_numpy()
         return pd.DataFrame([(min(a[i], b[j]), max(a[i], b[j])) for i, j in found], columns=["a", "b"]).astype("int64")
 
-    return asking.unionByName(asked).join(whole.select("node", "all"), "node").groupBy("col", "_i", "_j").applyInPandas(run, "a long, b long").distinct()
+    meet = asking.unionByName(asked)
+    some = broadcast_small(cut(meet.select("node").distinct()))
+    return meet.join(whole.select("node", "all").join(some, "node", "left_semi"), "node").groupBy("col", "_i", "_j").applyInPandas(run, "a long, b long").distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -229,30 +288,43 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component_id is null only where nothing reachable has one. Other columns are not read, whatever their names. No rows give no
     rows. N-grams are told apart by 64 bits, sets by 128.
     """
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    signed = cut(read_rows(rows, percent, width))
-    matrix = distinct_rows(signed)
-    entries, whole = frequent_last(rows, matrix, hot_rows, percent, width)
-    if whole is not None:
-        entries = cut(entries)
-    pairs, hot = multiply(entries.where("NOT hot"), percent), None
-    if whole is not None:
-        hot = entries.where("hot").select("col", "node", "size")
-        centre = hot.groupBy("col").agg(F.min(F.struct("node", "size")).alias("_c"))
-        star = hot.join(centre, "col").where("node <> _c.node")
+    read, read_at = stored(read_rows(rows, percent, width))
+    signed = cut(read.select("doc_id", "row_key", "set", "size"))
+    repeats = not signed.groupBy("row_key").count().where("count > 1").isEmpty()
+    wide, wide_at = stored(distinct_rows(read))
+    delete_path(spark, read_at)
+    matrix = cut(wide.select("set", "node", "row_key"))
+    cold, hot, whole = frequent_last(rows, wide, hot_rows, percent, width, repeats)
+    pairs = multiply(cold, percent)
+    if hot is not None:
+        centre = cut(hot.groupBy("col").agg(F.min(F.struct("node", "size")).alias("_c")))
         fits = 100 * F.least("size", "_c.size") >= percent * F.greatest("size", "_c.size")
-        pairs = pairs.unionByName(star.where(fits).select(F.col("_c.node").alias("a"), F.col("node").alias("b"))).distinct()
+        star = hot.join(broadcast_small(centre), "col").where("node <> _c.node").where(fits).select(F.col("_c.node").alias("a"), F.col("node").alias("b"))
+        pairs = pairs.unionByName(star).distinct()
     pairs = cut(pairs)
+    delete_path(spark, wide_at)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if whole is None:
-        whole = whole_rows(rows, matrix, wanted, width)
+        whole = whole_rows(rows, matrix, wanted, width, repeats)
     else:
-        whole = whole.unionByName(whole_rows(rows, matrix, wanted.join(whole.select("node"), "node", "left_anti"), width))
-    links = cut(linked(pairs, whole, percent))
+        whole = whole.unionByName(whole_rows(rows, matrix, wanted.join(whole.select("node"), "node", "left_anti"), width, repeats))
+    # A pair for each row first; of the other pairs those that this has not put into one class.
+    tried = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut(linked(tried, whole, percent))
     labels = components(links)
+    rest = pairs.join(tried, ["a", "b"], "left_anti")
+    for k in "ab":
+        rest = rest.join(broadcast_small(labels.select(F.col("node").alias(k), F.col("label").alias(f"_{k}"))), k, "left")
+    rest = cut(rest.where("NOT coalesce(_a, a) <=> coalesce(_b, b)").select("a", "b"))
+    if not rest.isEmpty():
+        more = cut(linked(rest, whole, percent))
+        links = links.unionByName(more)
+        labels = components(links)
     if hot is not None:
-        classed = hot.select("col", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classed = hot.select("col", "node").join(broadcast_small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         late = cut(late_links(classed, whole, percent, block_rows))
         if not late.isEmpty():
             labels = components(links.unionByName(late))

@@ -152,8 +152,9 @@ def near(seed=1):
     return rows + [(900, None, None), (901, "", "en"), (902, "\t \x0b", "en"), (903, "one", "en"), (904, "One", "en"), (905, "é É", "en"), (None, "own words", "en"), (907, "q " * 9, "en"), (906, "q " * 5000, "en")]
 
 
-@pytest.mark.parametrize("hot, block", [(50, 1000), (3, 4), (1, 1000), (10**9, 5)])
-def test_join(spark, hot, block):
+@pytest.mark.parametrize("hot, block, listed", [(50, 1000, 10**6), (3, 4, 10**6), (3, 4, 0), (1, 1000, 10**6), (10**9, 5, 10**6)])
+def test_join(spark, monkeypatch, hot, block, listed):
+    monkeypatch.setattr(ngram_join, "MOST_LISTED", listed)
     rows = near()
     got = ngram_join.similar_sets(table(spark, rows).repartition(4), hot_rows=hot, block_rows=block)
     assert sorted(map(tuple, got.collect()), key=repr) == brute_join(rows)
