@@ -3,8 +3,10 @@
 Every element subtree of a page is hashed (tag, attributes that name its part of the page, and all it holds). Spark
 counts, for each host, on how many different pages a subtree occurs; those on many of a host's pages are template and
 go, with all they hold, inside the main element as well. The article itself is no template: main elements are not
-counted, what they hold counts once for all pages that have an equal one, and an article of which hardly anything
-would remain stays whole. Rules remove the parts that need no second page to be known: menus, headers, footers, sidebars, notices, adverts,
+counted, what they hold counts once for all pages of the same headline (of an equal main element, if pages have none), and only together with its place there (the
+elements around it, and whether it is among the first or last of their children), what repeats the page's title or first
+heading is article on that page, plain paragraphs are never template, and an article of which hardly anything would remain
+stays whole. Rules remove the parts that need no second page to be known: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments of readers, by tag, role and the words of class and id.
 """
 
@@ -54,22 +56,25 @@ WHOLE = frozenset("address aside blockquote center details dialog dir div dl fie
 MIN_CHARS = 3
 
 
+#: Inside a main element only these, and elements with a class or id, are parts that may be template: sentences that articles have in
+#: common stand in plain paragraphs, list items and cells, and stay.
+BOXES = frozenset("address aside center details div dl fieldset figure footer form header hgroup menu nav section".split())
 #: Inside a main element templates hold so many; of a main element's text so large a part remains, or all of it stays.
 MIN_INNER_CHARS, MIN_REMAINS = 8, 0.1
 
 
-#: Template subtrees of all hosts (8 bytes each) up to which their lists are broadcast; beyond, pages meet them by a join that
-#: Spark may split.
-MAX_LISTED = 2_000_000
+#: Template subtrees of all hosts (8 bytes each) up to which their lists are broadcast; beyond, each CHUNK_PAGES pages of a host
+#: are dealt out together with its list.
+MAX_LISTED, CHUNK_PAGES = 500_000, 1000
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "kids", "hash", "chars")
+    __slots__ = ("tag", "names", "role", "kids", "hash", "chars", "key")
 
     def __init__(self, tag: str, names: str = "", role: str = ""):
         self.tag, self.names, self.role = tag, names, role
         self.kids: list = []
-        self.hash = 0
+        self.hash = self.key = 0
         self.chars = 0
 
 
@@ -150,6 +155,49 @@ def digest(root: Node) -> None:
                 parts.append(text)
                 chars += len(text)
         node.hash, node.chars = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")), chars
+        node.key = node.hash
+
+
+def place(main: Node) -> None:
+    """What elements inside a main element are known by: their hash and their place, which is that of their parent, its tag and
+    names, and whether they are first, second, last, last but one or in between."""
+    todo = [(main, 0)]
+    while todo:
+        node, above = todo.pop()
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        for i, k in enumerate(kids):
+            at = i if i < 2 else max(i - len(kids), -3)
+            own = xxhash.xxh3_64_intdigest(f"{above:x}/{node.tag}/{node.names}/{at}".encode("utf-8", "surrogatepass"))
+            k.key = xxhash.xxh3_64_intdigest(f"{k.hash:x}@{own:x}")
+            todo.append((k, own))
+
+
+def text_of(node: Node) -> str:
+    """All text below node, runs of white space as one space."""
+    parts, todo = [], [node]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            parts.append(item)
+        else:
+            todo += reversed(item.kids)
+    return SPACE.sub(" ", " ".join(parts)).strip()
+
+
+def headline(root: Node) -> frozenset[str]:
+    """The page's title, the parts of it around bars and dashes, and its first heading, in small letters without an end mark."""
+    found, todo = {}, [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("title", "h1") and node.tag not in found:
+            found[node.tag] = text_of(node)
+        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    parts = [*found.values(), *re.split(r"\s+[-|\u2013\u2014\u00b7:]\s+", found.get("title", ""))]
+    return frozenset(_bare(x) for x in parts if _bare(x))
+
+
+def _bare(text: str) -> str:
+    return text.casefold().rstrip(".!?:\u2026 ")
 
 
 def is_part(node: Node) -> bool:
@@ -187,8 +235,9 @@ def main_nodes(root: Node) -> list[Node]:
     return [n for n in found if n.chars]
 
 
-def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = False) -> list[str]:
-    """Texts of the blocks under node in page order: white space within a block is one space, empty blocks go."""
+def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = False, said: frozenset[str] = frozenset()) -> list[str]:
+    """Texts of the blocks under node in page order: white space within a block is one space, empty blocks go. What repeats the
+    page's headline (said) is no template."""
     out: list[str] = []
     run: list[str] = []
 
@@ -207,7 +256,7 @@ def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = F
         if done:
             flush()
             continue
-        if item is not node and (is_part(item) and not (inside and _is_heading(item)) or item.hash in template):
+        if item is not node and (is_part(item) and not (inside and _is_heading(item)) or item.key in template and not (said and _bare(text_of(item)) in said)):
             if item.tag in BLOCK or item.tag == "template":
                 flush()
             continue
@@ -219,24 +268,33 @@ def blocks(node: Node, template: frozenset | set = frozenset(), inside: bool = F
     return out
 
 
-def main_blocks(node: Node, template: frozenset | set) -> list[str]:
+def main_blocks(node: Node, template: frozenset | set, said: frozenset[str] = frozenset()) -> list[str]:
     """Blocks of a main element without template, or all if that is nearly all: copies of an article that differ little."""
     all_of_it = blocks(node, inside=True)
-    left = blocks(node, template, inside=True) if template else all_of_it
+    left = blocks(node, template, inside=True, said=said) if template else all_of_it
     return left if sum(map(len, left)) >= MIN_REMAINS * sum(map(len, all_of_it)) else all_of_it
 
 
 def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
     mains = main_nodes(root)
+    said = headline(root) if template else frozenset()
     if mains:
-        return " ".join(x for m in mains for x in main_blocks(m, template))
-    return " ".join(blocks(root, template))
+        if template:
+            for m in mains:
+                place(m)
+        return " ".join(x for m in mains for x in main_blocks(m, template, said))
+    return " ".join(blocks(root, template, said=said))
 
 
 def subtrees(root: Node) -> set[tuple[int, int, bool]]:
-    """Hashes of the subtrees that hold text, each with that of what it is found in (the page or, inside one, the main
-    element) and whether it is a whole part of the page. Main elements are left out, and what rules remove inside them anyway."""
+    """Hashes of the subtrees that hold text, each with that of what it is found in (the page or, inside a main
+    element, the page's headline, else the element) and whether it is a whole part of the page. Main elements are left out, and what rules remove inside them anyway."""
     mains = main_nodes(root)
+    for m in mains:
+        place(m)
+    said = headline(root)
+    titled = xxhash.xxh3_64_intdigest("\x1f".join(sorted(said)).encode("utf-8", "surrogatepass")) if said else None
+    longest = max(map(len, said), default=0) + 4  # with end marks
     found: set[tuple[int, int, bool]] = set()
     keep = {id(n) for n in mains}
     todo: list = [(k, root.hash, MIN_CHARS, False) for k in root.kids]
@@ -245,12 +303,12 @@ def subtrees(root: Node) -> set[tuple[int, int, bool]]:
         if not isinstance(node, Node):
             continue
         if id(node) in keep:
-            todo += [(k, node.hash, MIN_INNER_CHARS, True) for k in node.kids]
+            todo += [(k, node.hash if titled is None else titled, MIN_INNER_CHARS, True) for k in node.kids]
             continue
         if inside and is_part(node) and not _is_heading(node):
             continue
-        if node.chars >= least and node.tag not in ("html", "body"):
-            found.add((node.hash, within, node.tag in WHOLE and node.chars >= MIN_INNER_CHARS))
+        if node.chars >= least and node.tag not in ("html", "body") and (not inside or node.tag in BOXES or node.names) and not (node.chars <= longest and _bare(text_of(node)) in said):
+            found.add((node.key, within, node.tag in WHOLE and node.chars >= MIN_INNER_CHARS))
         todo += [(k, within, least, inside) for k in node.kids]
     return found
 
@@ -259,7 +317,7 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, most_listed: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars.
 
     Null html counts as empty: no text. Pages of any length are read whole. Pages without a host (null or odd urls) share one
@@ -268,6 +326,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows give no rows.
     """
     spark = pages.sparkSession
+    most_listed = MAX_LISTED if most_listed is None else most_listed
     text_batches(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
 
@@ -294,23 +353,48 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     template = counts.where("h IS NOT NULL").join(totals, "host").where(F.col("count") >= F.when(F.col("whole"), F.least(F.sqrt("pages"), share * F.col("pages"))).otherwise(share * F.col("pages")))
     # At most the square root of its pages' number can pass at a page position, so a host's list grows slowly with them.
     lists = cut(template.groupBy("host").agg(F.collect_list("h").alias("template")))
+    listed = lists.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
+    id_type = pages.schema[id_col].dataType.simpleString()
+    schema = f"page_id {id_type}, url string, text string, n_chars long"
+    if listed <= most_listed:  # sent to each worker once
+        delete_path(spark, path)
+        known = spark.sparkContext.broadcast({r["host"]: frozenset(h % 2**64 for h in r["template"]) for r in lists.collect()})
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [_extracted(page.as_py(), known.value.get(host, frozenset())) for page, host in zip(batch.column(2), batch.column(3).to_pylist())]
+                yield _answer(batch, texts)
+
+        return rows.select("page_id", "url", "html", "host").mapInArrow(extract, schema)
+
+    # A host's pages in chunks; each chunk has the host's list once, before its pages.
+    chunks = F.ceil(F.col("pages") / CHUNK_PAGES).cast("int")
+    spread = totals.select("host", chunks.alias("_chunks"))
+    lists = lists.join(spread, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "template")
+    dealt = rows.join(broadcast_small(cut(spread)), "host").withColumn("_chunk", F.pmod(F.xxhash64("html", "url"), F.col("_chunks")).cast("int"))
+    both = dealt.select("page_id", "url", "html", "host", "_chunk", F.lit(None).cast("array<long>").alias("template"), F.lit(1).alias("_page"))
+    both = both.unionByName(lists.select(F.lit(None).cast(id_type).alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "_chunk", "template", F.lit(0).alias("_page")))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, frozenset())
+        for batch in batches:
+            keep, texts = [], []
+            for i, (host, chunk, is_page) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 6)))):
+                if not is_page:
+                    held = ((host, chunk), frozenset(h % 2**64 for h in batch.column(5)[i].as_py()))
+                    continue
+                keep.append(i)
+                texts.append(_extracted(batch.column(2)[i].as_py(), held[1] if held[0] == (host, chunk) else frozenset()))
+            yield _answer(batch.take(pa.array(keep, pa.int64())), texts)
 
-    delete_path(spark, path)
+    return both.repartition("host", "_chunk").sortWithinPartitions("host", "_chunk", "_page").mapInArrow(follow, schema)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, set())
-        for batch in batches:
-            texts = []
-            for page, template in zip(batch.column(2), batch.column(3)):
-                items = template.as_py() or []
-                if held[0] != items:
-                    held = (items, {h % 2**64 for h in items})
-                root = parse(page.as_py() or "")
-                digest(root)
-                texts.append(main_text(root, held[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    id_type = pages.schema[id_col].dataType.simpleString()
-    listed = lists.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    lists = broadcast_small(lists) if listed <= MAX_LISTED else lists
-    return rows.join(lists, "host", "left").select("page_id", "url", "html", "template").mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long")
+def _extracted(page: str | None, template: frozenset) -> str:
+    root = parse(page or "")
+    digest(root)
+    return main_text(root, template)
+
+
+def _answer(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
