@@ -69,11 +69,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever their names. No rows give no rows.
     """
     verdicts = cut(dedup_exact(docs, id_col, text_col))
-    keyed = docs.withColumns({"_row_id": F.col(id_col), "_row_sha": sha256_hex(normalise(F.col(text_col)))})
+    held = set_aside(docs)
+    keyed = held.withColumns({"_row_id": F.col(f"_k_{id_col}"), "_row_sha": sha256_hex(normalise(F.col(f"_k_{text_col}")))})
     named = lambda v: v.select(F.col("doc_id").alias("_row_id"), F.col("text_sha256").alias("_row_sha"))
     dropped = named(verdicts.where(~F.col("kept")))
     again = cut(named(verdicts.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")))
-    return one_row_each(keyed.join(dropped, _same_row(keyed, dropped), "left_anti"), again, ["_row_id", "_row_sha"], docs.schema, text_col)
+    kept = one_row_each(keyed.join(dropped, _same_row(keyed, dropped), "left_anti"), again, ["_row_id", "_row_sha"], held.schema, f"_k_{text_col}")
+    return brought_back(kept, docs)
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """docs with its columns under names that an operator's own cannot clash with."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_k_{c}") for c in docs.columns])
+
+
+def brought_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`_k_{c}`").alias(c) for c in docs.columns])
 
 
 def _same_row(left: DataFrame, right: DataFrame) -> Column:

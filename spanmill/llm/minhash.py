@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.exact_dedup import one_row_each
+from spanmill.llm.exact_dedup import brought_back, one_row_each, set_aside
 from spanmill.session import broadcast_small, cut, delete_path, shared_dir, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,19 +243,30 @@ def mixed_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     of them to join every two classes that any pair of a bucket links.
 
     Nodes of a bucket's most frequent label are looked up, the others look up. Sizes fall into classes that grow by
-    1 / similarity, so similar nodes are of the same or of neighbouring classes, and no others meet. Within a class both
-    sides are dealt into blocks of about BLOCK_DOCS, so no task holds a large bucket.
+    1 / similarity, so similar nodes are of the same or of neighbouring classes, and no others meet. Within a class each
+    side is dealt into blocks of about BLOCK_DOCS, so no task holds a large bucket, and what is looked up is sent once for each
+    block of those that look up, which are few beside a large class.
     """
     sized = rows.withColumn("_c", F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / similarity) + 1e-9)).cast("int"))
     major = sized.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max_by("label", F.struct("_n", "label")).alias("_major"))
-    parts = sized.groupBy("bucket", "_c").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("_n")).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_parts"))
-    dealt = sized.join(broadcast_small(cut(major.join(parts, "bucket"))), "bucket").withColumn("_mine", F.pmod(F.xxhash64("node"), F.element_at("_parts", F.col("_c"))).cast("int"))
-    near = F.filter(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1), lambda c: F.map_contains_key("_parts", c))
-    blocks = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.element_at("_parts", c) - 1), lambda j: F.struct(c.alias("c"), j.alias("j")))))
-    dealt = dealt.withColumn("_to", F.explode(blocks))
-    mine, other = F.struct(F.col("_c").alias("c"), F.col("_mine").alias("j")), F.col("_to")
-    built = dealt.select("bucket", mine.alias("_has"), other.alias("_asks"), "node", "label", F.lit(False).alias("probe"))
-    probes = dealt.where("label <> _major").select("bucket", other.alias("_has"), mine.alias("_asks"), "node", "label", F.lit(True).alias("probe"))
+    counted = sized.join(broadcast_small(cut(major)), "bucket").withColumn("_probes", F.col("label") != F.col("_major"))
+    blocks = lambda n: F.ceil(n / BLOCK_DOCS).cast("int")
+    parts = counted.groupBy("bucket", "_c").agg(blocks(F.count(F.lit(1))).alias("_n"), blocks(F.count_if("_probes")).alias("_p"))
+    listed = lambda n: F.map_from_entries(F.collect_list(F.when(F.col(n) > 0, F.struct("_c", n))))
+    parts = parts.groupBy("bucket").agg(listed("_n").alias("_built"), listed("_p").alias("_asking"))
+    dealt = counted.join(broadcast_small(cut(parts)), "bucket")
+    here, around = F.col("_c"), F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)
+
+    def side(own: str, others: str) -> tuple[Column, Column]:
+        """A node's block on its own side, and those of the other side that it meets."""
+        mine = F.struct(here.alias("c"), F.pmod(F.xxhash64("node"), F.element_at(own, here)).cast("int").alias("j"))
+        near = F.filter(around, lambda c: F.map_contains_key(others, c))
+        return mine, F.explode(F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.element_at(others, c) - 1), lambda j: F.struct(c.alias("c"), j.alias("j"))))))
+
+    has, asks = side("_built", "_asking")
+    built = dealt.select("bucket", has.alias("_has"), asks.alias("_asks"), "node", "label", F.lit(False).alias("probe"))
+    asks, has = side("_asking", "_built")
+    probes = dealt.where("_probes").select("bucket", has.alias("_has"), asks.alias("_asks"), "node", "label", F.lit(True).alias("probe"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, has = pdf[pdf["probe"]], pdf[~pdf["probe"]]
@@ -269,9 +280,7 @@ def mixed_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
         found = block_links([seen[d] for d in p], [seen[d] for d in q], ask["label"].to_numpy(), has["label"].to_numpy(), similarity)
         return pd.DataFrame([(min(p[i], q[j]), max(p[i], q[j]), s) for i, j, s in found], columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
 
-    # Blocks that nobody asks are left out before texts are fetched.
-    asked = broadcast_small(cut(probes.select("bucket", "_has", "_asks").distinct()))
-    wanted = built.join(asked, ["bucket", "_has", "_asks"], "left_semi").unionByName(probes)
+    wanted = built.unionByName(probes)
     return wanted.join(texts, "node").groupBy("bucket", "_has", "_asks").applyInPandas(run, "a long, b long, sim double").dropDuplicates(["a", "b"])
 
 
@@ -354,7 +363,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays. Texts of any length are read whole; extra columns are kept, whatever their names. No rows give no rows.
     """
     verdicts = cut(_verdicts(docs, id_col, text_col, SIMILARITY).select("row_key", "kept", "worded").groupBy("row_key", "kept", "worded").agg(F.count(F.lit(1)).alias("_rows")))
-    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    held = set_aside(docs)
+    keyed = held.withColumn("_row_key", row_key(f"_k_{id_col}", f"_k_{text_col}"))
     dropped = verdicts.where("NOT kept").select(F.col("row_key").alias("_row_key"))
     again = cut(verdicts.where("kept AND worded AND _rows > 1").select(F.col("row_key").alias("_row_key")))
-    return one_row_each(keyed.join(dropped, "_row_key", "left_anti"), again, ["_row_key"], docs.schema, text_col)
+    return brought_back(one_row_each(keyed.join(dropped, "_row_key", "left_anti"), again, ["_row_key"], held.schema, f"_k_{text_col}"), docs)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.llm.exact_dedup import brought_back, set_aside
 from spanmill.session import SMALL_ROWS, cut, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -306,7 +307,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     on, so other rows of a rejected row's id stay, and so do rows without an id. Null texts go, texts of any length are read
     whole, rows that repeat all these share a verdict. Extra columns are kept, whatever their names. No rows give no rows.
     """
-    fields = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(source_col).alias("s")))
-    keyed = docs.withColumn("_row_key", F.sha2(F.concat(fields, F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))), 256))
-    bad = judge_quality(keyed, "_row_key", text_col, lang_col, source_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_row_key"))
-    return keyed.join(bad, "_row_key", "left_anti").select(*docs.columns)
+    id_, text, lang, source = (f"_k_{c}" for c in (id_col, text_col, lang_col, source_col))
+    fields = F.to_json(F.struct(F.col(id_).alias("i"), F.col(lang).alias("l"), F.col(source).alias("s")))
+    keyed = set_aside(docs).withColumn("_row_key", F.sha2(F.concat(fields, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), 256))
+    bad = judge_quality(keyed, "_row_key", text, lang, source, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_row_key"))
+    return brought_back(keyed.join(bad, "_row_key", "left_anti"), docs)

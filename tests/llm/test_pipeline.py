@@ -140,3 +140,15 @@ def test_stages_keep_rows_of_shared_ids(spark, tmp_path):
     once = [("7", a), ("7", b), ("9", near), ("None", c), ("None", d)]
     assert seen[1] == sorted(once)
     assert seen[2] == sorted(x for x in once if x[1] != near)
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    """Columns that are named as an operator's own come out as they went in."""
+    names = ("_row_key", "_row_id", "_row_sha", "_norm", "_k_text", "words", "kept", "_n")
+    rows = [(i, t, la, so, n, *[f"{c}{i}" for c in names]) for i, (i_, t, la, so) in enumerate(documents()) for n in [len(t or "")]]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names), name
