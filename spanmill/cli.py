@@ -107,8 +107,16 @@ def stats(spark, args) -> int:
     return 0
 
 
+#: Where a table stands while another one takes its place.
+ASIDE = "-former"
+
+
 def _table(spark, path: str, schema: str):
     """A table, or no rows where there is none."""
+    held, aside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ASIDE))
+    files = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(aside) and not files.exists(held):
+        files.rename(aside, held)
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -118,13 +126,17 @@ def _table(spark, path: str, schema: str):
 
 
 def _replace(spark, frame, path: str) -> None:
-    """Write frame, which may read path, and put it in its place."""
+    """Write frame, which may read path, and put it in its place. The former table goes only once the new one is there; what an
+    interrupted call has set aside is taken back by _table."""
     jvm, fresh = spark.sparkContext._jvm, f"{path}-{uuid.uuid4().hex}"
     frame.write.parquet(fresh)
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, path + ASIDE))
     files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
+    if files.exists(old):
+        files.delete(aside, True)
+        files.rename(old, aside)
     files.rename(new, old)
+    files.delete(aside, True)
     spark.catalog.refreshByPath(path)
 
 

@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions.chunking import blob_payload
 from spanmill.functions.record import dig, parse
+from spanmill.session import cut
 
 #: Least size, fields stored whole, and lists whose items are stored each.
 MIN_BYTES, VERSION = 512, 1
@@ -151,6 +152,38 @@ def resolve_records(records: DataFrame, blobs: DataFrame) -> DataFrame:
     return plain.unionByName(packed.mapInPandas(rebuild, "session_id string, record_index long, payload string"))
 
 
+#: A reference as it stands in a payload's text.
+REF_TEXT = r'"__\w*blob_ref__"\s*:\s*\{[^{}]*?"hash"\s*:\s*"([^"\\]+)"'
+
+
+def references(payload: Column) -> Column:
+    """Hashes that a payload's text refers to, wherever they stand in it, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(REF_TEXT), F.lit(1)))
+
+
+def reached_blobs(records: DataFrame, blobs: DataFrame) -> DataFrame:
+    """session_id, record_index, hash, depth: all blobs that a record needs, those its blobs refer to included, with the fewest
+    steps to each. Hashes without a blob are reached as well, so what is missing can be seen.
+
+    References are found by text, at any place and without a list of them. A round joins what is new to the blobs' own
+    references; what a record has reached before is left out, so references in a circle end.
+    """
+    inner = cut(blobs.select("session_id", "hash", F.explode(references(F.col("payload"))).alias("_to")).distinct())
+    fresh = cut(records.select("session_id", F.col("record_index").cast("long").alias("record_index"), F.explode(references(F.col("payload"))).alias("hash")).distinct())
+    reached, depth = fresh.withColumn("depth", F.lit(1)), 1
+    while not fresh.isEmpty():
+        depth += 1
+        onward = fresh.join(inner, ["session_id", "hash"]).select("session_id", "record_index", F.col("_to").alias("hash")).distinct()
+        fresh = cut(onward.join(reached, ["session_id", "record_index", "hash"], "left_anti"))
+        reached = cut(reached.unionByName(fresh.withColumn("depth", F.lit(depth))))
+    return reached
+
+
+def orphan_blobs(records: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Blobs that no record needs, by way of other blobs neither."""
+    return blobs.join(reached_blobs(records, blobs).select("session_id", "hash").distinct(), ["session_id", "hash"], "left_anti")
+
+
 def text_blobs(texts: DataFrame, text: str = "text", least: int = MIN_BYTES) -> DataFrame:
     """Texts of least bytes and more once each, by hash: rows, size in bytes."""
     raw = F.col(text).cast("binary")

@@ -17,10 +17,16 @@ from spanmill.functions.record import message_text, parse
 from spanmill.session import cut
 
 
-def prefix_hashes(prints: Column) -> Column:
-    """The hash of every prefix of an array, shortest first."""
-    grown = F.aggregate(prints, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
-    return F.filter(grown, lambda x, i: i > 0)
+def prefix_rows(entries: DataFrame) -> DataFrame:
+    """scope, idx, _len, _key, _n: a row for each prefix of an entry's messages with a hash of it, and the entry's number of messages.
+
+    A message counts with its place in sums of hashes, two of them for 128 bits, so a prefix is one addition from the one before
+    it, and the work grows with the messages.
+    """
+    each = entries.select("scope", "idx", F.size("prints").alias("_n"), F.posexplode("prints").alias("_i", "_p")).where("_n > 0")
+    upto = Window.partitionBy("scope", "idx").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(F.xxhash64(F.lit(salt), "_i", "_p").cast("decimal(20, 0)")).over(upto).alias(f"_s{salt}") for salt in (0, 1)]
+    return each.select("scope", "idx", "_n", (F.col("_i") + 1).alias("_len"), *sums).select("scope", "idx", "_n", "_len", F.struct("_s0", "_s1").alias("_key"))
 
 
 def prefix_parent(entries: DataFrame) -> DataFrame:
@@ -28,9 +34,8 @@ def prefix_parent(entries: DataFrame) -> DataFrame:
 
     Linear in messages: each entry offers the hash of all its messages and asks for the hashes of its prefixes.
     """
-    hashed = entries.select("scope", "idx", prefix_hashes(F.col("prints")).alias("_h"))
-    offers = hashed.where(F.size("_h") > 0).select("scope", F.col("idx").alias("_p"), F.size("_h").alias("_len"), F.element_at("_h", -1).alias("_key"))
-    asks = hashed.select("scope", "idx", F.posexplode("_h").alias("_i", "_key")).withColumn("_len", F.col("_i") + 1)
+    asks = prefix_rows(entries)
+    offers = asks.where("_len = _n").select("scope", F.col("idx").alias("_p"), "_len", "_key")
     # An entry is offered once for each later one with the prefix: only the nearest earlier offer is needed, by a window.
     both = asks.select("scope", "_len", "_key", "idx", F.lit(None).cast("long").alias("_p")).unionByName(offers.select("scope", "_len", "_key", F.col("_p").cast("long").alias("idx"), F.col("_p").cast("long").alias("_p")))
     w = Window.partitionBy("scope", "_len", "_key").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
@@ -43,8 +48,7 @@ def prefix_child(entries: DataFrame) -> DataFrame:
 
     Linear in messages, as prefix_parent: a window over the entries with a prefix, latest first, no pairs.
     """
-    hashed = entries.select("scope", "idx", prefix_hashes(F.col("prints")).alias("_h"))
-    prefixes = hashed.select("scope", "idx", F.size("_h").alias("_n"), F.posexplode("_h").alias("_i", "_key")).withColumn("_len", F.col("_i") + 1)
+    prefixes = prefix_rows(entries)
     later = Window.partitionBy("scope", "_len", "_key").orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, -1)
     found = prefixes.withColumn("_best", F.min(F.struct("_n", F.col("idx").alias("child"))).over(later))
     return found.where("_len = _n AND _best IS NOT NULL").groupBy("scope", "idx").agg(F.min("_best.child").alias("child"))
@@ -118,36 +122,42 @@ def islands(entries: DataFrame, key: str, scope: str = "scope", order: str = "id
     return started.withColumn("group", F.sum("_new").over(w)).drop("_k", "_new")
 
 
+#: Turns that a request for a title may stand from the group it names, and what a group that begins later counts more.
+TITLE_REACH, LATER = 2, 0.25
+
+
+def title_groups(titles: DataFrame, starts: DataFrame, reach: int = TITLE_REACH) -> DataFrame:
+    """scope, at, start: for each request that names a conversation (scope, at) the nearest beginning of a group (scope, start), at
+    most reach turns away; one that comes later counts a quarter turn more. Those that none is near to are left out.
+
+    Each request looks at the places around it, so this is a join by equal places and no range join.
+    """
+    looks = titles.select("scope", "at", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)).alias("start"))
+    far = F.abs(F.col("start") - F.col("at")) + F.when(F.col("start") > F.col("at"), LATER).otherwise(0.0)
+    return looks.join(starts.select("scope", "start").distinct(), ["scope", "start"]).groupBy("scope", "at").agg(F.min_by("start", F.struct(far, "start")).alias("start"))
+
+
 def session_groups(entries: DataFrame) -> DataFrame:
     """scope, idx, group of a run's entries (user_text, user_at, messages, is_title, app_key), in capture order.
 
     An entry goes on with the group before it if it has no user text of its own, or the same text at the same place of a
     longer conversation; entries of one app session share a group wherever they stand. Requests that only name a
     conversation join the group at most two turns away, the nearest (a group that begins later counts a quarter more).
-    """
 
-    def run(pdf):
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        groups, apps, last, starts = [None] * len(pdf), {}, None, {}
-        for i, row in enumerate(pdf.itertuples()):
-            if row.is_title:
-                continue
-            if row.app_key:
-                g = apps.setdefault(row.app_key, i)
-            elif last is not None and (not row.user_text or (row.user_text == last[1] and row.messages > 1 and row.user_at == last[2])):
-                g = last[0]
-            else:
-                g = i
-            groups[i], last = g, (g, row.user_text, row.user_at) if row.user_text or last is None else (g, *last[1:])
-            starts.setdefault(g, i)
-        for i, row in enumerate(pdf.itertuples()):
-            if row.is_title:
-                near = [(abs(s - i) + (0.25 if s > i else 0), s) for s in starts.values() if abs(s - i) <= 2]
-                groups[i] = min(near)[1] if near else i
-        number = {g: n for n, g in enumerate(dict.fromkeys(sorted(groups)), 1)}
-        return pdf[["scope", "idx"]].assign(group=[number[g] for g in groups])
-
-    return entries.groupBy("scope").applyInPandas(run, "scope string, idx long, group long")
+    What an entry decides by is the last text before it, so all of it is windows, and a group is known by where it begins.
+    """
+    run = Window.partitionBy("scope").orderBy("idx")
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    rows = entries.select("scope", "idx", F.col("is_title").alias("_title"), F.nullif("user_text", F.lit("")).alias("_text"), "user_at", "messages", F.nullif("app_key", F.lit("")).alias("_app"), (F.row_number().over(run) - 1).alias("at"))
+    turns = rows.where("NOT _title").withColumn("_last", F.last(F.when(F.col("_text").isNotNull(), F.struct("_text", "user_at")), ignorenulls=True).over(before))
+    same = (F.col("_last._text") == F.col("_text")) & (F.col("messages") > 1) & F.col("_last.user_at").eqNullSafe(F.col("user_at"))
+    goes_on = (F.row_number().over(run) > 1) & (F.col("_text").isNull() | F.coalesce(same, F.lit(False)))
+    begins = F.when(F.col("_app").isNotNull(), F.min("at").over(Window.partitionBy("scope", "_app"))).when(~goes_on, F.col("at"))
+    turns = turns.withColumn("_begins", begins).select("scope", "idx", "at", F.last("_begins", ignorenulls=True).over(run).alias("start"))
+    titles = rows.where("_title").select("scope", "idx", "at")
+    named = titles.join(title_groups(titles, turns), ["scope", "at"], "left").select("scope", "idx", "at", F.coalesce("start", "at").alias("start"))
+    group = F.dense_rank().over(Window.partitionBy("scope").orderBy("start"))
+    return turns.unionByName(named).select("scope", "idx", group.cast("long").alias("group"))
 
 
 # Differences of two requests

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import records as rc
 from spanmill.functions import text as tx
-from spanmill.operators import api, index as ix, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st, viewer as vw
+from spanmill.operators import api, blobs as bl, index as ix, knowledge as kb, lineage as ln, retrieval as rt, sessions as ss, stats as st, viewer as vw
 from spanmill.plans import catalogue as ct, tables as tb
 from spanmill.plans.catalogue import query
 from spanmill.session import cut, shared_dir, table
@@ -355,10 +355,41 @@ def request_diffs(spark, sf_dir):
     return d.select("scope", "idx", "parent", (F.col("kept") - own).alias("kept"), "added", "changed", "dropped")
 
 
-@query(f"WITH {ct.S}, {ct.R}, x AS (SELECT session_id, record_index, CASE WHEN tokens % 3 = 0 THEN '' ELSE event_type END AS text FROM records), f AS (SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY record_index) AS held FROM x), g AS (SELECT *, lag(held) OVER (PARTITION BY session_id ORDER BY record_index) AS before FROM f) SELECT session_id AS scope, record_index AS idx, CAST(sum(CASE WHEN record_index = 0 OR coalesce(held, '') <> coalesce(before, '') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY record_index) AS BIGINT) AS \"group\" FROM g")
+_GROUPS_SQL = f"""
+WITH {ct.S}, {ct.R},
+x AS (
+  SELECT session_id AS scope, record_index AS idx, nullif(CASE WHEN tokens % 3 = 0 THEN '' ELSE event_type END, '') AS t, tokens % 2 AS user_at,
+    record_index % 4 AS messages, tokens % 5 = 4 AS is_title, CASE WHEN tokens % 11 = 1 THEN 'app' || CAST(tokens % 2 AS VARCHAR) END AS app
+  FROM records
+),
+held AS (
+  SELECT *, last_value(CASE WHEN t IS NOT NULL THEN {{'t': t, 'u': user_at}} END IGNORE NULLS) OVER (PARTITION BY scope ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h,
+    row_number() OVER (PARTITION BY scope ORDER BY idx) AS place, min(idx) OVER (PARTITION BY scope, app) AS first_of_app
+  FROM x WHERE NOT is_title
+),
+begun AS (
+  SELECT scope, idx, CASE WHEN app IS NOT NULL THEN first_of_app
+    WHEN place = 1 OR (t IS NOT NULL AND NOT coalesce(h.t = t AND messages > 1 AND h.u = user_at, false)) THEN idx END AS b FROM held
+),
+turns AS (SELECT scope, idx, last_value(b IGNORE NULLS) OVER (PARTITION BY scope ORDER BY idx) AS start FROM begun),
+titles AS (
+  SELECT x.scope, x.idx, coalesce(arg_min(s.start, abs(s.start - x.idx) + CASE WHEN s.start > x.idx THEN 0.25 ELSE 0 END), x.idx) AS start
+  FROM x LEFT JOIN (SELECT DISTINCT scope, start FROM turns) s ON s.scope = x.scope AND abs(s.start - x.idx) <= 2
+  WHERE x.is_title GROUP BY x.scope, x.idx
+)
+SELECT scope, idx, dense_rank() OVER (PARTITION BY scope ORDER BY start) AS "group" FROM (SELECT * FROM turns UNION ALL SELECT * FROM titles)
+"""
+
+
+@query(_GROUPS_SQL)
 def session_groups(spark, sf_dir):
+    """Groups with requests for titles before, in and after them, app sessions, and conversations that go on or begin anew."""
     r = tb.records(spark, sf_dir)
-    e = r.select(F.col("session_id").alias("scope"), F.col("record_index").alias("idx"), F.when(F.col("tokens") % 3 == 0, "").otherwise(F.col("event_type")).alias("user_text"), F.lit(0).cast("long").alias("user_at"), (F.col("record_index") + 1).alias("messages"), F.lit(False).alias("is_title"), F.lit("").alias("app_key"))
+    tokens = F.col("tokens")
+    e = r.select(
+        F.col("session_id").alias("scope"), F.col("record_index").alias("idx"), F.when(tokens % 3 == 0, "").otherwise(F.col("event_type")).alias("user_text"), (tokens % 2).alias("user_at"),
+        (F.col("record_index") % 4).alias("messages"), (tokens % 5 == 4).alias("is_title"), F.when(tokens % 11 == 1, F.concat(F.lit("app"), (tokens % 2).cast("string"))).otherwise("").alias("app_key"),
+    )
     return ln.session_groups(e)
 
 
@@ -553,3 +584,20 @@ def running_summaries(spark, sf_dir):
 
     d = rc.described(traffic(spark, sf_dir)).select("session_id", "record_index", "turn", "model", F.col("usage.input_tokens").alias("input_tokens"), F.col("usage.output_tokens").alias("output_tokens"), F.lit(False).alias("failed"), "timestamp", "first_user", "response_text")
     return running_summary(d).select("session_id", "record_count", "input_tokens", "output_tokens", "model_last")
+
+
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(0 AS BIGINT) AS record_index, sha256(CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)) AS hash,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS depth
+FROM (SELECT DISTINCT conv_id, turn FROM conversations)
+""")
+def blob_closure(spark, sf_dir):
+    """Each turn as a stored payload that refers to the next one, and the last to the first: all that a record of the first needs."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn").distinct()
+    name = lambda turn: F.sha2(F.concat("session_id", F.lit("/"), turn.cast("string")), 256)
+    w = Window.partitionBy("session_id").orderBy("turn")
+    after = F.coalesce(F.lead("turn").over(w), F.min("turn").over(Window.partitionBy("session_id")))
+    ref = lambda turn: F.concat(F.lit('{"a":[{"' + bl.OWN + 'blob_ref__":{"version":1,"kind":"json","hash":"'), name(turn), F.lit('","bytes":600}}]}'))
+    stored = c.select("session_id", name(F.col("turn")).alias("hash"), ref(after).alias("payload"))
+    records = c.groupBy("session_id").agg(F.min("turn").alias("turn")).select("session_id", F.lit(0).cast("long").alias("record_index"), ref(F.col("turn")).alias("payload"))
+    return bl.reached_blobs(records, stored)

@@ -38,3 +38,15 @@ def test_purge_and_timeline(spark, tmp_path, capsys):
     assert run("purge", store, digest, "--undo") == 0 and run("index", source, store) == 0 and spark.read.parquet(store).count() == 2
     (tmp_path / "s.toml").write_text('[retrieval]\nembedder = "api"\n')
     assert run("search", store, "door", "--settings", str(tmp_path / "s.toml")) == 2
+
+
+def test_replace_that_was_interrupted(spark, tmp_path):
+    """A table that was set aside before another took its place is there again."""
+    from spanmill import cli
+
+    path = str(tmp_path / "store")
+    spark.range(3).write.parquet(path + cli.ASIDE)
+    assert cli._table(spark, path, "id long").count() == 3
+    cli._replace(spark, spark.read.parquet(path).where("id > 0"), path)
+    assert cli._table(spark, path, "id long").count() == 2
+    assert cli._table(spark, str(tmp_path / "none"), "id long").count() == 0

@@ -298,3 +298,80 @@ def test_appends_and_lookups(spark, seed):
     more = log_lines(logs, spark.createDataFrame([("a", "u", "i", "y")], "session_id string, logged_at string, level string, message string"))
     assert [(r["line_no"], r["message"]) for r in ss.logs_of(more, "a").collect()] == [(1, "x"), (2, "y")]
     assert st.match_address(st.match_counts(spark.createDataFrame([(1, "aXa"), (2, "b"), (3, "a")], "id long, text string"), ["A"]), 2, "id").first()["id"] == 3
+
+
+def plain_groups(rows):
+    """Groups by walking through one run, entry by entry."""
+    rows = sorted(rows, key=lambda r: r[1])
+    groups, apps, last, starts = {}, {}, None, []
+    for at, (_, idx, text, place, messages, title, app) in enumerate(rows):
+        if title:
+            continue
+        if app:
+            g = apps.setdefault(app, at)
+        elif last and (not text or (text == last[1] and messages > 1 and place == last[2])):
+            g = last[0]
+        else:
+            g = at
+        groups[idx] = g
+        last = (g, text, place) if text or last is None else (g, last[1], last[2])
+        starts += [g] if g not in starts else []
+    for at, r in enumerate(rows):
+        if r[5]:
+            near = [(abs(s - at) + (0.25 if s > at else 0), s) for s in starts if abs(s - at) <= 2]
+            groups[r[1]] = min(near)[1] if near else at
+    number = {g: n for n, g in enumerate(sorted(set(groups.values())), 1)}
+    return {idx: number[g] for idx, g in groups.items()}
+
+
+def test_groups_against_a_walk(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"s{s}", i * 3, r.choice(("", "a", "b", None)), r.choice((0, 0, 1, None)), r.choice((1, 2, 5)), r.random() < 0.25, r.choice(("", "", "", "x", "y", None))) for s in range(12) for i in range(r.choice((1, 2, 40)))]
+    df = spark.createDataFrame(rows, "scope string, idx long, user_text string, user_at int, messages int, is_title boolean, app_key string").repartition(5)
+    got = {(x["scope"], x["idx"]): x["group"] for x in ln.session_groups(df).collect()}
+    want = {(s, i): g for s in {x[0] for x in rows} for i, g in plain_groups([x for x in rows if x[0] == s]).items()}
+    assert got == want
+
+
+def test_titles_before_between_and_after(spark):
+    titles = spark.createDataFrame([("s", 0), ("s", 5), ("s", 9), ("s", 20)], "scope string, at long")
+    starts = spark.createDataFrame([("s", 1), ("s", 3), ("s", 7), ("t", 20)], "scope string, start long")
+    got = {x["at"]: x["start"] for x in ln.title_groups(titles, starts).collect()}
+    assert got == {0: 1, 5: 3, 9: 7}  # 5 is as far from 3 as from 7, which begins later
+
+
+def test_blob_closure(spark):
+    ref = lambda *hashes, mark="__any_blob_ref__": json.dumps({"x": [{mark: {"version": 1, "kind": "json", "hash": h, "bytes": 9}} for h in hashes], "hash": "no"})
+    stored = spark.createDataFrame([("s", "a", ref("b", "c")), ("s", "b", ref("d")), ("s", "c", ref("a")), ("s", "d", "{}"), ("s", "e", ref("e")), ("t", "a", ref("z")), ("s", "n", None)], "session_id string, hash string, payload string")
+    records = spark.createDataFrame([("s", 1, ref("a")), ("s", 2, ref("d", "d")), ("t", 1, ref("a")), ("t", 2, "broken {"), ("t", 3, None)], "session_id string, record_index long, payload string")
+    got = sorted(tuple(x) for x in blobs.reached_blobs(records, stored).collect())
+    assert got == [("s", 1, "a", 1), ("s", 1, "b", 2), ("s", 1, "c", 2), ("s", 1, "d", 3), ("s", 2, "d", 1), ("t", 1, "a", 1), ("t", 1, "z", 2)]
+    assert sorted(tuple(x)[:2] for x in blobs.orphan_blobs(records, stored).collect()) == [("s", "e"), ("s", "n")]
+    assert blobs.reached_blobs(records.limit(0), stored).count() == 0
+
+
+def test_vector_lists(spark, tmp_path):
+    """Exact search by the reach of lists, and the recall of a few probes, against all vectors; nulls, zeros, ties and few rows."""
+    import numpy as np
+
+    from spanmill.operators import vectors as vx
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 16))
+    made = [(i, (centres[i % 12] + 0.35 * r.normal(size=16)).tolist()) for i in range(900)] + [(900, None), (901, [0.0] * 16), (3, centres[3].tolist())]
+    df = spark.createDataFrame(made, "id long, embedding array<float>")
+    folder = str(tmp_path / "lists")
+    vx.build_lists(df, folder)
+    queries = [made[i][1] for i in range(0, 900, 150)] + [r.normal(size=16).tolist()]
+    for q in queries:
+        want = [tuple(x) for x in rt.vector_topk(df, q, 15).collect()]
+        assert [tuple(x) for x in vx.search_lists(spark, folder, q, 15).collect()] == want
+    assert vx.recall(spark, folder, df, queries[:-1], probes=3, k=10) >= 0.9
+    few = str(tmp_path / "few")
+    vx.build_lists(df.limit(3), few)
+    assert vx.search_lists(spark, few, queries[0]).count() == rt.vector_topk(df.limit(3), queries[0]).count()
+    none = str(tmp_path / "none")
+    vx.build_lists(df.limit(0), none)
+    assert vx.search_lists(spark, none, queries[0]).count() == 0
