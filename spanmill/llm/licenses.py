@@ -1,7 +1,8 @@
 r"""License scans: phrases by place, and an exact set-similarity join against license templates.
 
-Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lowered. Blocks are windows of BLOCK_WORDS words,
-one starting every BLOCK_STEP words, so any run of BLOCK_STEP + 1 words lies whole in a block. A block matches a
+Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lowered. Blocks are windows of twice as many words as
+one starts after the other: BLOCK_STEP, or more where a template is longer, so any run of words as long as the longest template
+lies whole in a block. A block matches a
 template if it holds at least ``threshold`` of the template's distinct words. The join finds every such block:
 
 * words are ordered by document frequency over the whole corpus, rarest first,
@@ -27,7 +28,7 @@ from spanmill.session import cut
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Own wording of usual notices, by label; at most BLOCK_STEP + 1 words each.
+#: Own wording of usual notices, by label.
 TEMPLATES = {
     "apache": "licensed under the apache license version 2 0",
     "apache-notice": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
@@ -43,6 +44,7 @@ TEMPLATES = {
 }
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
+#: Words of a block, and from one to the next; more of both where a template is longer.
 BLOCK_WORDS, BLOCK_STEP = 64, 32
 
 
@@ -63,6 +65,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns are not read, whatever their names. No rows give no rows.
     """
     sets = {k: sorted(set(re.findall(r"[0-9a-z]+", v))) for k, v in templates.items()}
+    block_step = max(BLOCK_STEP, *(len(re.findall(r"[0-9a-z]+", v)) - 1 for v in templates.values()))  # repeated words count
     need = {k: max(1, -int(-threshold * len(v) // 1)) for k, v in sets.items()}
     vocabulary = sorted({w for v in sets.values() for w in v})
     raw = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,7 +104,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ranks = docs.sparkSession.createDataFrame([(w, r) for w, r in rank.items()], "_w string, _rank int")
     tokens = near_rows.join(F.broadcast(ranks), "_w")
-    step = F.floor(F.col("_at") / BLOCK_STEP)
+    step = F.floor(F.col("_at") / block_step)
     blocks = tokens.withColumn("_block", F.explode(F.array(step, step - 1))).where("_block >= 0 OR _at < 0")
     blocks = blocks.groupBy("_row", "_block").agg(F.array_sort(F.collect_set("_rank")).alias("_set")).where(F.size("_set") >= min(need.values()))
     plan = docs.sparkSession.createDataFrame(

@@ -595,3 +595,16 @@ def test_windows_cover_every_word():
         starts = toxicity.windows(n)
         seen = {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))}
         assert seen == set(range(n)) and len(starts) >= 1
+
+
+def test_licenses_longer_than_a_block(spark):
+    """A template of a hundred words and more is found wherever it stands."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    grant = [word() for _ in range(140)]
+    texts = [" ".join([*(word() for _ in range(n)), *grant, *(word() for _ in range(50))]) for n in (0, 7, 31, 32, 63, 100, 139, 141, 300)]
+    texts += [" ".join(grant[:60]), " ".join(word() for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["labels"], round(x["score"], 6)) for x in licenses.scan_licenses(df, templates={"grant": " ".join(grant)}).collect()}
+    assert all(got[i] == ("grant", 1.0) for i in range(9))
+    assert got[9] == got[10] == ("", 0.0)
