@@ -6,11 +6,12 @@ The folds are those of functions.folds, so a stream gives what a batch over the
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -133,6 +134,27 @@ def tail(records: DataFrame, publish: Callable[[DataFrame, int], None], checkpoi
     return records.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(publish)
 
 
+def follow(spark: SparkSession, log: str, schema: str, cursor: str, publish: Callable[[DataFrame, int], None], files: int = 100) -> int:
+    """One consumer of a log of Parquet files to which others append: hands publish(rows, number) what has come since its last call,
+    at most so many files at a time, and returns how many rows that were.
+
+    A consumer is known by its cursor, a checkpoint folder of its own, so a slow one holds nobody up, a late one begins at the
+    first file, and one that was interrupted gets its last batch again under the same number. The backlog is the log itself; what
+    a consumer holds of it is one batch.
+    """
+    seen: list[int] = []
+
+    def hand_on(batch: DataFrame, number: int) -> None:
+        counted = Observation(f"rows-{uuid.uuid4().hex}")
+        publish(batch.observe(counted, F.count(F.lit(1)).alias("n")), number)
+        seen.append(counted.get["n"])
+
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    query = reader.parquet(log).writeStream.option("checkpointLocation", cursor).trigger(availableNow=True).foreachBatch(hand_on).start()
+    query.awaitTermination()
+    return sum(seen)
+
+
 #: Parts that known keys are kept in; a batch reads those that its own keys fall in.
 KEY_PARTS = 64
 

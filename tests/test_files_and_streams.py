@@ -104,3 +104,35 @@ def test_liveness_and_merge(spark, tmp_path):
     assert sorted(r["session_id"] for r in spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "kb")).collect()) == ["x", "z"]
     body = spark.createDataFrame([("k", 'data: {"candidates":[]}\n\n')], "request_id string, body string")
     assert jobs.sse_events(body).first()["event"] == "message"
+
+
+def test_consumers_of_one_log(spark, tmp_path):
+    """A steady, a slow and a late consumer each see every row once; one that fails sees its batch again under the same number."""
+    log, made = str(tmp_path / "log"), 0
+    got = {name: {} for name in ("steady", "slow", "late", "failing")}
+    calls = {"failing": 0}
+
+    def consumer(name, files=100):
+        def publish(batch, number):
+            calls["failing"] += name == "failing"
+            rows = [r["id"] for r in batch.collect()]
+            if name == "failing" and calls["failing"] == 1:
+                raise ValueError("down")
+            got[name][number] = rows
+
+        return jobs.follow(spark, log, "id long", str(tmp_path / name), publish, files)
+
+    for step in range(3):
+        spark.range(made, made + 40).repartition(4).write.mode("append").parquet(log)
+        made += 40
+        assert consumer("steady") == 40
+        if step == 1:
+            assert consumer("slow", files=1) == 80
+        if step == 0:
+            with pytest.raises(Exception):
+                consumer("failing")
+    assert consumer("late") == 120 and consumer("late") == 0
+    assert consumer("slow", files=3) == 40 and consumer("failing") == 120
+    for name, batches in got.items():
+        assert sorted(i for rows in batches.values() for i in rows) == list(range(120)), name
+    assert len(got["steady"]) == 3 and max(map(len, got["slow"].values())) <= 40 and 0 in got["failing"]
