@@ -7,7 +7,9 @@ network of two convolutions, max pooling and a dense layer, written in numpy, sa
 its shape's threshold is a finding of the kind model.
 
 It is trained on labelled findings made from a seed: keys, tokens, passwords and connection strings, against identifiers,
-paths, versions, long words, numbers and placeholders. One half of them trains, a quarter calibrates the scores
+paths, versions, long words, numbers and placeholders; and on findings of the documents themselves: values of base findings
+against look-alikes, the runs of letters or digits outside them, at most CORPUS_EXAMPLES different ones of each, those of the
+smallest hash. A quarter of these is used for nothing, so that it can be measured on. One half of them trains, a quarter calibrates the scores
 (Platt scaling), and the last quarter sets a threshold for each shape of a candidate (hex, digits, letters of one case, short,
 mixed): the largest that keeps RECALL of its secrets.
 """
@@ -23,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,9 @@ WINDOW_STEP = 24
 RECALL, TRAIN_EXAMPLES, SEED = 0.98, 8000, 11
 #: Shapes of a candidate with a threshold each; one with fewer held-out secrets takes that of all together.
 SHAPES, LEAST_SECRETS = ("hex", "digits", "letters", "short", "mixed"), 20
+#: Findings of the documents that the network is trained on, at most of each label, and shapes that count as look-alikes: others
+#: outside the base patterns may be secrets.
+CORPUS_EXAMPLES, ALIKE = 1000, (1, 2)
 CHANNELS, KERNEL, EMBED = 24, 5, 12
 
 
@@ -156,6 +162,36 @@ def labelled_findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray,
     return x, y, shapes
 
 
+def corpus_findings(docs: DataFrame, text_col: str = "text", most: int = CORPUS_EXAMPLES) -> tuple[bytes, bytes, bytes, bytes]:
+    """Examples of the documents: code points, labels, shapes and hashes of at most so many different ones of each label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                findings = base_findings(text)
+                values = {(begin, end) for _, _, end, begin in findings}
+                for a, b in candidates(text, findings):
+                    shape = shape_of(text[a:b])
+                    if (a, b) in values or shape in ALIKE:
+                        rows.add((int((a, b) in values), shape, code_points(text, a, b).tobytes()))
+            cols = list(zip(*rows)) or [(), (), ()]
+            hashes = [xxhash.xxh3_64_intdigest(x) >> 1 for x in cols[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*cols, hashes), (pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["label", "shape", "example", "h"])
+
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "label int, shape int, example binary, h long").dropDuplicates(["label", "example"])
+    found = each.where("label = 0").orderBy("h", "example").limit(most).unionByName(each.where("label = 1").orderBy("h", "example").limit(most)).collect()
+    packed = lambda name, kind: np.array([r[name] for r in found], dtype=kind).tobytes()
+    return b"".join(bytes(r["example"]) for r in found), packed("label", np.float64), packed("shape", np.int64), packed("h", np.int64)
+
+
+def unpacked_findings(corpus: tuple[bytes, bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Examples, labels, shapes, and to which quarter each belongs; quarter 0 is not trained on."""
+    x, y, shapes, h = (np.frombuffer(b, dtype=k) for b, k in zip(corpus, (np.uint8, np.float64, np.int64, np.int64)))
+    return x.reshape(len(y), WIDTH), y, shapes, h % 4
+
+
 class CharCnn:
     """Embedding, two convolutions with ReLU, max over places, dense sigmoid; Adam, plain numpy."""
 
@@ -254,15 +290,18 @@ class CharCnn:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-@lru_cache(maxsize=1)
-def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED) -> CharCnn:
-    """The network, trained on half of the labelled findings, calibrated on a quarter, its thresholds set on the last quarter."""
+@lru_cache(maxsize=4)
+def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED, corpus: tuple[bytes, bytes, bytes, bytes] | None = None) -> CharCnn:
+    """The network, trained on half of the labelled findings, calibrated on a quarter, its thresholds set on the last quarter. Of
+    those of a corpus two quarters train and one calibrates."""
     x, y, shapes = labelled_findings(examples, seed)
     order = np.random.default_rng(seed).permutation(examples)
     fit, scale, held = order[: examples // 2], order[examples // 2 : examples * 3 // 4], order[examples * 3 // 4 :]
     net = CharCnn(seed)
-    net.train(x[fit], y[fit])
-    net.calibrate(x[scale], y[scale])
+    more = unpacked_findings(corpus or (b"", b"", b"", b""))
+    own = lambda at, quarters: (np.concatenate([a[at], b[np.isin(more[3], quarters)]]) for a, b in ((x, more[0]), (y, more[1])))
+    net.train(*own(fit, (1, 2)))
+    net.calibrate(*own(scale, (3,)))
     net.constrain(x[held], y[held], shapes[held])
     return net
 
@@ -279,7 +318,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their own; other columns are not read, whatever their names. No rows give no rows.
     """
     text_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(net or trained())  # a few thousand numbers
+    net = net or trained(corpus=corpus_findings(docs, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

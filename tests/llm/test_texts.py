@@ -608,3 +608,26 @@ def test_licenses_longer_than_a_block(spark):
     got = {x["doc_id"]: (x["labels"], round(x["score"], 6)) for x in licenses.scan_licenses(df, templates={"grant": " ".join(grant)}).collect()}
     assert all(got[i] == ("grant", 1.0) for i in range(9))
     assert got[9] == got[10] == ("", 0.0)
+
+
+def test_secret_network_learns_from_the_documents(spark):
+    """Words and numbers that documents hold are no secrets to a network that was trained on others of them; their secrets are."""
+    r = random.Random(9)
+    rnd = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    rows = []
+    for i in range(400):
+        parts = [f"card {rnd('0123456789', 16)} paid", f"THE {rnd('ERSCHTBZ', 18)} SHOUT", f"api_key={rnd('abcdefgh0123456789XYZ', 24)} end", "plain words here"]
+        rows.append((i, " ".join(r.sample(parts, 3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    corpus = secrets.corpus_findings(df.repartition(3))
+    assert corpus == secrets.corpus_findings(df.coalesce(1))  # reruns agree, however the rows are dealt
+    few = secrets.unpacked_findings(secrets.corpus_findings(df, most=10))
+    assert len(few[1]) == 20 and few[1].sum() == 10
+    x, y, shapes, quarter = secrets.unpacked_findings(corpus)
+    net = secrets.trained(corpus=corpus)
+    held = quarter == 0
+    hit = net.score(x[held]) >= net.thresholds[shapes[held]]
+    assert hit[y[held] == 1].mean() >= 0.9 and hit[y[held] == 0].mean() <= 0.05
+    assert secrets.unpacked_findings(secrets.corpus_findings(df.limit(0)))[0].shape == (0, secrets.WIDTH)
+    fresh, py, ps = secrets.labelled_findings(2000, 78)
+    assert (net.score(fresh) >= net.thresholds[ps])[py == 1].mean() >= 0.95
