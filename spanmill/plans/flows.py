@@ -11,8 +11,8 @@ from spanmill.functions import records as rc
 from spanmill.operators import knowledge as kb, viewer as vw
 from spanmill.plans import catalogue as ct, tables as tb, traffic as tr
 from spanmill.plans.catalogue import query
-from spanmill.session import shared_dir, table
-from spanmill.sources import readers
+from spanmill.session import cut, shared_dir, table
+from spanmill.sources import readers, sockets
 from spanmill.streaming import jobs
 
 
@@ -116,6 +116,83 @@ def chained_turns(spark, sf_dir):
     return d.select("session_id", F.col("turn").alias("record_index"), F.col("message_count").alias("messages"), "response_text")
 
 
+# Sockets as captured: frames cut at any byte
+
+FRAMES_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+    coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)
+      OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+  FROM conversations WHERE role <> 'system'
+)
+SELECT CAST(conv_id AS VARCHAR) AS connection, CAST(part + 1 AS BIGINT) AS number,
+  count(*) FILTER (role <> 'assistant') AS asked_messages, 3 * count(*) FILTER (role = 'assistant') AS told_messages,
+  coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role <> 'assistant'), '') AS asked,
+  max('r' || conv_id || '-' || turn) FILTER (role = 'assistant') AS response_id,
+  max(text) FILTER (role = 'assistant') AS answer
+FROM c GROUP BY conv_id, part
+"""
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Conversations as frames of 37 bytes at most, with a ping after each; some responses are ended twice."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    ident = F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    said = F.coalesce("text", F.lit(""))
+    question = F.struct(F.lit("response.create").alias("type"), F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))).alias("input"))
+    part = F.struct(F.lit("message").alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), said.alias("text"))).alias("content"))
+    created = F.struct(F.lit("response.created").alias("type"), F.struct(ident.alias("id")).alias("response"))
+    item = F.struct(F.lit("response.output_item.done").alias("type"), F.lit(0).alias("output_index"), part.alias("item"))
+    done = F.struct(F.lit("response.completed").alias("type"), F.struct(ident.alias("id"), F.array(part).alias("output")).alias("response"))
+    answers = F.array(F.to_json(created), F.to_json(item), F.to_json(done))
+    again = F.when(F.col("turn") % 4 == 3, F.array(F.to_json(done))).otherwise(F.array().cast("array<string>"))
+    texts = F.when(F.col("role") == "assistant", F.concat(answers, again)).otherwise(F.array(F.to_json(question)))
+    sender = F.when(F.col("role") == "assistant", "server").otherwise("client")
+    told = c.select(F.col("conv_id").cast("string").alias("connection"), "turn", sender.alias("sender"), F.posexplode(texts).alias("place", "text"))
+    cuts = F.sequence(F.lit(1), F.greatest(F.octet_length("text"), F.lit(1)), F.lit(37))
+    pieces = told.select("connection", "turn", "sender", "place", F.encode("text", "UTF-8").alias("bytes"), F.posexplode(cuts).alias("at_piece", "start"))
+    last = F.col("start") + 37 > F.octet_length("bytes")
+    data = F.struct(F.when(F.col("at_piece") == 0, 1).otherwise(0).alias("opcode"), last.alias("fin"), F.substring("bytes", F.col("start"), F.lit(37)).alias("data"))
+    ping = F.struct(F.lit(9).alias("opcode"), F.lit(True).alias("fin"), F.encode(F.lit("ping"), "UTF-8").alias("data"))
+    both = pieces.select("connection", "turn", "sender", "place", "at_piece", F.posexplode(F.array(data, ping)).alias("kind", "f"))
+    seq = F.row_number().over(Window.partitionBy("connection").orderBy("turn", "place", "at_piece", "kind")).cast("long")
+    rows = both.withColumn("seq", seq)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
+    return rows.select("connection", "seq", at.alias("at"), "sender", "f.opcode", "f.fin", "f.data")
+
+
+def _read_frames(records: DataFrame) -> DataFrame:
+    event = "struct<input:array<struct<content:string>>>"
+    answer = "struct<id:string,output:array<struct<content:array<struct<text:string>>>>>"
+    read = F.from_json("payload", f"request struct<ws_events:array<{event}>>, response struct<body:{answer},ws_events:array<struct<type:string>>>")
+    r = records.select("connection", "number", read.alias("r"))
+    asked = F.array_join(F.flatten(F.transform("r.request.ws_events", lambda e: e["input"]["content"])), "|")
+    text = F.get(F.get(F.col("r.response.body.output"), F.lit(0))["content"], F.lit(0))["text"]
+    return r.select("connection", "number", F.size("r.request.ws_events").cast("long").alias("asked_messages"), F.size("r.response.ws_events").cast("long").alias("told_messages"), asked.alias("asked"), F.col("r.response.body.id").alias("response_id"), text.alias("answer"))
+
+
+@query(FRAMES_SQL)
+def socket_frames(spark, sf_dir):
+    """Frames to messages to records, in one batch."""
+    return _read_frames(sockets.records(_frames(spark, sf_dir)))
+
+
+@query(FRAMES_SQL)
+def socket_frame_stream(spark, sf_dir):
+    """The same frames in files of a growing log, so that messages and responses lie across batches; then each is closed."""
+    frames = cut(_frames(spark, sf_dir))
+    ends = frames.groupBy("connection").agg(F.max("seq").alias("seq"), F.max("at").alias("at"))
+    close = ends.select("connection", F.col("seq") + 1, "at", F.lit("client"), F.lit(8), F.lit(True), F.encode(F.lit(""), "UTF-8"))
+    folder = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    log, out, marks = (f"{folder}/{name}" for name in ("log", "records", "marks"))
+    steps = (frames.where("seq <= 10"), frames.where("seq > 10 AND seq <= 45"), frames.where("seq > 45").union(close))
+    for more in steps:
+        more.write.mode("append").parquet(log)
+        stream = sockets.record_stream(spark.readStream.schema(frames.schema).parquet(log))
+        stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    return _read_frames(spark.read.parquet(out))
+
+
 # Streams
 
 
