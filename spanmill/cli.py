@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spanmill.functions import records as rc
-from spanmill.operators import api, knowledge as kb, models, retrieval as rt
+from spanmill.operators import api, extract as ex, knowledge as kb, models, retrieval as rt
 from spanmill.session import build_session
 from spanmill.sources import readers, sinks
 
@@ -50,6 +50,11 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--client")
     d.add_argument("--role")
     d.add_argument("--undo", action="store_true")
+    x = sub.add_parser("extract", help="messages and prompts of trace files that a base does not hold yet")
+    x.add_argument("source")
+    x.add_argument("base")
+    x.add_argument("--client", default="")
+    x.add_argument("--limit", type=int, help="sessions at most")
     v = sub.add_parser("timeline", help="prompt versions of trace files in order of appearance")
     v.add_argument("source")
     v.add_argument("--client")
@@ -65,7 +70,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except SystemExit as stop:
         return 0 if stop.code in (0, None) else 2
     spark = spark or build_session("spanmill")
-    commands = {"export": export, "export-prompt": export_prompt, "stats": stats, "index": index, "search": search, "status": status, "reindex": reindex, "purge": purge, "timeline": timeline}
+    commands = {"export": export, "export-prompt": export_prompt, "stats": stats, "index": index, "search": search, "status": status, "reindex": reindex, "purge": purge, "extract": extract, "timeline": timeline}
     try:
         return commands[args.command](spark, args)
     except models.Unavailable as missing:
@@ -186,6 +191,15 @@ def purge(spark, args) -> int:
     return 0
 
 
+def extract(spark, args) -> int:
+    """Takes what is new, and leaves out what the base's purged texts name."""
+    records = _records(spark, args.source)
+    sessions = records.groupBy("session_id").agg(F.lit(args.client).alias("client")).withColumnRenamed("session_id", "id")
+    done = ex.extract(sessions, records, args.base, _table(spark, args.base + "-purged", STONES), args.limit)
+    print("  ".join(f"{k}={v}" for k, v in done.items()))
+    return 0 if done["sessions"] else 1
+
+
 def timeline(spark, args) -> int:
     found = rc.snapshots(_records(spark, args.source)).withColumnRenamed("provider", "client")
     rows = kb.timeline(kb.versions(found, ["seen_at", "session_id"]), args.client, args.model).orderBy("client", "model", "version").collect()

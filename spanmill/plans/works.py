@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from jobs import search_index, usage_ledger
-from spanmill.operators import index, ledger, vectors
-from spanmill.operators import retrieval as rt
-from spanmill.plans import catalogue as ct
+from spanmill.operators import extract, index, ledger, vectors
+from spanmill.operators import knowledge as kb, retrieval as rt
+from spanmill.plans import catalogue as ct, traffic as tr
 from spanmill.plans.catalogue import query
 from spanmill.session import shared_dir
 
@@ -86,3 +86,39 @@ def vector_lists(spark, sf_dir):
     folder = f"{shared_dir(spark)}/vector-lists-{uuid.uuid4().hex}"
     vectors.build_lists(ct._vectors(spark, sf_dir), folder)
     return vectors.search_lists(spark, folder, ct._probe(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+_SAID_SQL = f"""
+WITH {tr.TRAFFIC},
+said AS (
+  SELECT r.session_id, r.record_index, r.d, 'user' AS role, q.text,
+    row_number() OVER (PARTITION BY r.conv_id, r.turn ORDER BY q.turn) - 1 AS message_index
+  FROM r JOIN t q ON q.conv_id = r.conv_id AND q.turn < r.turn AND q.role = 'user'
+  WHERE trim(q.text) <> '' AND r.d <> 4
+  UNION ALL
+  SELECT session_id, record_index, d, 'assistant', answer, 0 FROM r WHERE length(answer) >= 20 AND r.d <> 4
+),
+m AS (
+  SELECT *, CASE d WHEN 0 THEN 'anthropic' WHEN 1 THEN 'chat' WHEN 2 THEN 'responses' ELSE 'gemini' END AS client,
+    sha256(regexp_replace(trim(text), '[ \\t]+\\n', chr(10), 'g')) AS content_hash
+  FROM said
+)
+SELECT content_hash, client, role, arg_min(session_id, (session_id, record_index, message_index)) AS session_id,
+  arg_min(record_index, (session_id, record_index, message_index)) AS record_index, any_value(text) AS text,
+  count(DISTINCT session_id) AS sessions
+FROM m GROUP BY content_hash, client, role
+"""
+
+
+@query(_SAID_SQL)
+def extracted_base(spark, sf_dir):
+    """Sessions taken a third at a time until none is left: the texts as one pass over all of them finds them."""
+    folder = f"{shared_dir(spark)}/message-base-{uuid.uuid4().hex}"
+    records = tr.traffic(spark, sf_dir)
+    sessions = records.select(F.col("session_id").alias("id"), F.col("dialect").alias("client")).distinct()
+    third = sessions.count() // 3 + 1
+    while extract.extract(sessions, records, folder, limit=third)["sessions"]:
+        pass
+    seen = extract.read(spark, folder, "seen").groupBy(*kb.KEY).agg(F.count(F.lit(1)).alias("sessions"))
+    held = extract.read(spark, folder, "messages").select(*kb.KEY, "session_id", "record_index", "text")
+    return held.join(seen, list(kb.KEY))
