@@ -485,7 +485,21 @@ def session_summaries(spark, sf_dir):
     return s.select("session_id", "record_count", "input_tokens", "output_tokens", "model", "status")
 
 
-@query()
+_EXTRACTED = """
+WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+m AS (
+  SELECT a.conv_id, a.turn, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY q.turn) - 1 AS message_index, 'user' AS role, q.text
+  FROM a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn < a.turn AND q.role = 'user' WHERE trim(q.text) <> ''
+  UNION ALL
+  SELECT conv_id, turn, 0, 'assistant', text FROM a WHERE length(trim(text)) >= 20
+)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS BIGINT) AS record_index, message_index, 'm1' AS model, role,
+  '2026-01-01T00:00:00Z' AS timestamp, sha256(regexp_replace(trim(text), '[ \\t]+\\n', chr(10), 'g')) AS content_hash, text
+FROM m
+"""
+
+
+@query(_EXTRACTED)
 def extracted_messages(spark, sf_dir):
     return rc.messages(_conversation_records(spark, sf_dir))
 

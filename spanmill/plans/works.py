@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from jobs import search_index, usage_ledger
+from spanmill.functions import records as rc
 from spanmill.operators import extract, index, ledger, vectors
 from spanmill.operators import knowledge as kb, retrieval as rt
 from spanmill.plans import catalogue as ct, traffic as tr
 from spanmill.plans.catalogue import query
-from spanmill.session import shared_dir
+from spanmill.session import shared_dir, table
 
 JOB1_SQL = """
 WITH e AS (
@@ -122,3 +123,57 @@ def extracted_base(spark, sf_dir):
     seen = extract.read(spark, folder, "seen").groupBy(*kb.KEY).agg(F.count(F.lit(1)).alias("sessions"))
     held = extract.read(spark, folder, "messages").select(*kb.KEY, "session_id", "record_index", "text")
     return held.join(seen, list(kb.KEY))
+
+
+_TITLE_SQL = "CASE WHEN turn % 4 = 2 THEN 'Environment' ELSE 'Turn ' || turn END"
+#: Sections of conversations: each turn under a heading, some of them boilerplate, after a line without one. Small ones join the
+#: large one before them (the first large one, at the start); long ones are packed by paragraphs, then cut.
+SECTIONS_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM conversations
+),
+s AS (
+  SELECT conv_id, turn AS n, {_TITLE_SQL} AS title, trim('## ' || {_TITLE_SQL} || chr(10) || text, ' ' || chr(10)) AS body
+  FROM c WHERE turn % 4 <> 2
+  UNION ALL
+  SELECT DISTINCT conv_id, -1, '', 'Talk ' || conv_id FROM c
+),
+marked AS (
+  SELECT *, sum(CASE WHEN length(body) >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS larges,
+    sum(CASE WHEN length(body) >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS of
+  FROM s
+),
+grouped AS (SELECT *, CASE WHEN of = 0 THEN n ELSE greatest(larges, 1) END AS g FROM marked),
+paragraphs AS (
+  SELECT conv_id, g, body, row_number() OVER (PARTITION BY conv_id, g ORDER BY n) AS j,
+    first_value(title) OVER (PARTITION BY conv_id, g ORDER BY CASE WHEN length(body) >= 200 THEN 0 ELSE 1 END, n) AS title,
+    sum(length(body) + 2) OVER (PARTITION BY conv_id, g) - 2 AS total
+  FROM grouped
+),
+packed AS (
+  SELECT conv_id, g, body, j, title, total, 0 AS pack, 2000 - (length(body) + 2) AS room FROM paragraphs WHERE j = 1
+  UNION ALL
+  SELECT p.conv_id, p.g, p.body, p.j, p.title, p.total,
+    k.pack + CASE WHEN p.total > 2000 AND length(p.body) + 2 > k.room THEN 1 ELSE 0 END,
+    CASE WHEN length(p.body) + 2 > k.room THEN 2000 ELSE k.room END - (length(p.body) + 2)
+  FROM packed k JOIN paragraphs p ON p.conv_id = k.conv_id AND p.g = k.g AND p.j = k.j + 1
+),
+joined AS (
+  SELECT conv_id, g, pack, title, string_agg(body, chr(10) || chr(10) ORDER BY j) AS body FROM packed GROUP BY conv_id, g, pack, title
+),
+pieces AS (SELECT conv_id, g, pack, title, body, unnest(range(0, length(body), 2000)) AS start FROM joined)
+SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY g, pack, start) - 1 AS place, title,
+  substr(body, start + 1, 2000) AS text
+FROM pieces
+"""
+
+
+@query(SECTIONS_SQL)
+def prompt_sections(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\r\\n]+", " "))
+    title = F.when(F.col("turn") % 4 == 2, "Environment").otherwise(F.concat(F.lit("Turn "), F.col("turn").cast("string")))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), title, F.lit("\n"), text).alias("text")))).alias("m"))
+    head = F.concat(F.lit("Talk "), F.col("conv_id").cast("string"), F.lit("\n"))
+    prompts = turns.select("conv_id", F.concat(head, F.array_join(F.transform("m", lambda m: m["text"]), "\n")).alias("text"))
+    return rc.sections(prompts, "conv_id").withColumn("place", F.col("place").cast("long"))
