@@ -177,6 +177,32 @@ def capture_only(path: Column, body: Column) -> Column:
     return F.when(allowed_path(bare, OTHER_PATHS), False).when(vertex | allowed_path(bare, MODEL_PATHS), True).when(internal, F.lower(bare).contains("generatecontent")).otherwise(prompt | nested)
 
 
+def prompt_bearing(body: Column) -> Column:
+    """Bodies of socket requests (JSON text, at most one level inside a request field) that hold a prompt: a prompt field that is
+    not empty, a text as input, or an input item that is no call's result. False for what is no JSON object."""
+    value = F.try_parse_json(body)
+
+    def given(path: str) -> Column:
+        kind, text = F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.try_variant_get(value, path, "string")
+        return F.when(kind == "STRING", text != "").otherwise(~text.isin("[]", "{}", "false", "0"))
+
+    def says(item: Column) -> Column:
+        part = lambda path: F.try_variant_get(item, path, "string")
+        held = [F.schema_of_variant(F.try_variant_get(item, f"$.{k}", "variant")).isNotNull() for k in ("content", "text", "input_text")]
+        told = part("$.role").isin("user", "developer", "system") | held[0] | held[1] | held[2]
+        no_result = F.coalesce(part("$.type") != "function_call_output", F.lit(True))
+        return F.coalesce(F.when(F.schema_of_variant(item) == "STRING", part("$").rlike(r"\S")).otherwise(told & no_result), F.lit(False))
+
+    def bears(at: str) -> Column:
+        fields = ("system", "instructions", "system_instruction", "systemInstruction", "messages", "contents", "prompt")
+        asked = F.try_variant_get(value, f"{at}.input", "variant")
+        whole = (F.schema_of_variant(asked) == "STRING") & F.try_variant_get(asked, "$", "string").rlike(r"\S")
+        items = F.exists(F.try_variant_get(value, f"{at}.input", "array<variant>"), says)
+        return F.coalesce(F.greatest(*[F.coalesce(c, F.lit(False)) for c in (*[given(f"{at}.{k}") for k in fields], whole, items)]), F.lit(False))
+
+    return F.coalesce(capture_only(F.lit(""), body) & (bears("$") | bears("$.request")), F.lit(False))
+
+
 def continues(body: Column) -> Column:
     """The five fields of a request that goes on from a response without a user's message, null for others."""
     fields = {k: F.get_json_object(body, f"$.{k}") for k in ("previous_response_id", "prompt_cache_key", "model", "store", "instructions")}

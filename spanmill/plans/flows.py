@@ -193,6 +193,29 @@ def socket_frame_stream(spark, sf_dir):
     return _read_frames(spark.read.parquet(out))
 
 
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn,
+  CASE turn % 6 WHEN 1 THEN false WHEN 3 THEN false ELSE regexp_matches(coalesce(text, ''), '\\S') END AS bearing
+FROM conversations
+""")
+def prompt_bearing_requests(spark, sf_dir):
+    """Which requests of a socket hold a prompt, in six shapes."""
+    said = F.coalesce("text", F.lit(""))
+    shapes = [
+        F.struct(F.array(F.when(said.rlike(r"\S"), F.struct(F.lit("user").alias("role"), said.alias("content"))).otherwise(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content")))).alias("input")),
+        F.struct(F.array(F.struct(F.lit("function_call_output").alias("type"), said.alias("text"))).alias("input")),
+        F.struct(said.alias("input")),
+        F.struct(F.array().cast("array<string>").alias("messages"), F.lit("m").alias("model")),
+        F.struct(F.struct(F.array(said).alias("input")).alias("request")),
+        F.struct(F.trim(F.regexp_replace(said, r"^\s+$", "")).alias("instructions"), F.array().cast("array<string>").alias("input")),
+    ]
+    body = F.lit(None).cast("string")
+    for n, shape in enumerate(shapes):
+        body = F.when(F.col("turn") % 6 == n, F.to_json(shape)).otherwise(body)
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("session_id"), "turn", vw.prompt_bearing(body).alias("bearing"))
+
+
 # Streams
 
 

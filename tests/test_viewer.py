@@ -93,3 +93,15 @@ def test_images(spark):
     rows = [{"request": {"path": "/v1/messages", "body": {"messages": [{"role": "user", "content": content}]}}}] * 2
     df = spark.createDataFrame([("s", i, json.dumps(r)) for i, r in enumerate(rows)], "session_id string, record_index long, payload string")
     assert [tuple(r) for r in vw.image_registry(df).collect()] == [("s", "look here", ["data:image/png;base64,AAA"])]
+
+
+def test_prompt_bearing(spark):
+    from pyspark.sql import functions as F
+
+    from spanmill.operators import viewer as vw
+
+    yes = ['{"input":"hi"}', '{"input":["hi"]}', '{"input":[{"role":"developer"}]}', '{"input":[{"type":"message","content":null}]}', '{"request":{"messages":[1]}}', '{"system":"false"}', '{"input":[1,{"text":"x"}]}']
+    no = [None, "", "broken {", "[]", '"text"', "{}", '{"input":" "}', '{"input":[]}', '{"input":[" ",3,null]}', '{"messages":[]}', '{"system":null}', '{"prompt":"alone"}', '{"input":[{"type":"function_call_output","role":"user"}]}', '{"type":"response.cancel"}']
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(yes + no)], "i int, body string")
+    got = [r[0] for r in rows.orderBy("i").select(vw.prompt_bearing(F.col("body"))).collect()]
+    assert got == [True] * len(yes) + [False] * len(no)
