@@ -23,7 +23,7 @@ def _files(spark):
 
 
 def _place(spark, rows: DataFrame, key: str, target) -> str:
-    """Rows (key, value), in order, as one text file for each key at target(root, key); the root."""
+    """Rows (key, value), in order, the rows of a key in one partition, as one text file for each key at target(root, key); the root."""
     root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     rows.select(key, "value").write.partitionBy(key).text(f"{root}-parts")
     path, files = _files(spark)
@@ -57,7 +57,7 @@ def _legacy(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Events as a directory of daily runs with a manifest; one day has been imported before."""
     e = tb.events(spark, sf_dir)
     line = F.to_json(F.struct(tb.iso(F.col("ts")).alias("timestamp"), F.struct(F.col("event_type").alias("client")).alias("capture")))
-    rows = e.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "ts", "event_id", line.alias("value")).repartition(1).sortWithinPartitions("date", "ts", "event_id")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "ts", "event_id", line.alias("value")).repartition("date").sortWithinPartitions("date", "ts", "event_id")
     root = _place(spark, rows, "date", lambda r, date: f"{r}/{date}/trace_0.jsonl")
     manifest = '{"traces":[{"client":"listed","created_at":"2020-01-01T00:00:00Z","files":["2024-01-02\\\\trace_0.jsonl"]}]}'
     held = _place(spark, spark.createDataFrame([("m", manifest)], "k string, value string"), "k", lambda r, k: f"{r}/manifest.json")
@@ -71,7 +71,7 @@ def _legacy(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def transcript_steps(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     line = F.to_json(F.struct("role", F.struct(F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("<user_query>"), "text", F.lit("</user_query>")).alias("text"))).alias("content")).alias("message")))
-    rows = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv"), "turn", line.alias("value")).repartition(1).sortWithinPartitions("conv", "turn")
+    rows = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv"), "turn", line.alias("value")).repartition("conv").sortWithinPartitions("conv", "turn")
     root = _place(spark, rows, "conv", lambda r, conv: f"{r}/project/agent-transcripts/{conv}/{conv}.jsonl")
     return readers.read_transcripts(spark, root).select("turn", "step", "role", "text", "record_path")
 

@@ -155,10 +155,22 @@ def viewer_tasks(spark, sf_dir):
     return vw.tasks(traffic(spark, sf_dir))
 
 
-@query(f"WITH {TRAFFIC} SELECT session_id, record_index, prior > 1 OR true AS main, false AS title FROM r")
+_MAIN_SQL = f"""
+WITH {TRAFFIC},
+x AS (SELECT session_id, record_index, d = 0 AND conv_id % 2 = 0 AS bare, conv_id % 3 = 0 AS asks, prior + CASE WHEN d = 2 AND users > 0 THEN 1 ELSE 0 END AS messages FROM r)
+SELECT session_id, record_index, NOT bare OR messages > 1 AS main, asks AND NOT bare AS title FROM x
+"""
+
+
+@query(_MAIN_SQL)
 def main_turns(spark, sf_dir):
-    d = rc.described(traffic(spark, sf_dir))
-    return d.select("session_id", "record_index", vw.is_main_turn().alias("main"), vw.is_title_request(F.col("system_hint")).alias("title"))
+    """Traffic of which some asks for a title in its system text, and some (of one dialect) has no system text."""
+    number = F.col("session_id").cast("long")
+    asking = F.replace("payload", F.lit("Be brief."), F.lit('Generate a concise name in a single \\"title\\" field.'))
+    asks = F.when(number % 3 == 0, asking).otherwise(F.col("payload"))
+    bare = (F.col("dialect") == "anthropic") & (number % 2 == 0)
+    r = traffic(spark, sf_dir).withColumn("payload", F.when(bare, F.replace(asks, F.lit('"system":'), F.lit('"former":'))).otherwise(asks))
+    return rc.described(r).select("session_id", "record_index", vw.is_main_turn().alias("main"), vw.is_title_request(F.col("system_hint")).alias("title"))
 
 
 @query(f"WITH {TRAFFIC}, c AS (SELECT session_id, record_index, (length(lower(answer)) - length(replace(lower(answer), 'the', ''))) // 3 AS matches FROM r), o AS (SELECT *, sum(matches) OVER (ORDER BY session_id, record_index ROWS UNBOUNDED PRECEDING) AS upto FROM c WHERE matches > 0) SELECT session_id, record_index, CAST(matches AS BIGINT) AS matches, CAST(25 - upto + matches AS BIGINT) AS local FROM o WHERE upto > 25 AND upto - matches <= 25")
@@ -345,11 +357,31 @@ def parent_by_response(spark, sf_dir):
     return ln.by_response(_lineage(spark, sf_dir))
 
 
-@query(f"WITH {TRAFFIC}, l AS (SELECT session_id AS scope, record_index AS idx, prior, lag(record_index) OVER w AS parent, lag(prior) OVER w AS had FROM r WHERE d IN (0, 1) WINDOW w AS (PARTITION BY session_id ORDER BY record_index)) SELECT scope, idx, parent, CAST(had + 0 AS INT) AS kept, CAST(prior - had AS INT) AS added, CAST(0 AS INT) AS changed, CAST(0 AS INT) AS dropped FROM l WHERE parent IS NOT NULL")
+_DIFFS_SQL = f"""
+WITH {TRAFFIC},
+l AS (
+  SELECT session_id AS scope, record_index AS idx, prior, lag(record_index) OVER w AS parent, lag(prior) OVER w AS had, d = 1 AND conv_id % 3 = 1 AS edits, d = 1 AND conv_id % 3 = 2 AS drops
+  FROM r WHERE d IN (0, 1) WINDOW w AS (PARTITION BY session_id ORDER BY record_index)
+),
+c AS (SELECT *, CASE WHEN edits AND had > 0 THEN 1 ELSE 0 END AS edited FROM l WHERE parent IS NOT NULL)
+SELECT scope, idx, parent, CAST(had - edited AS INT) AS kept, CAST(prior - had AS INT) AS added, CAST(edited AS INT) AS changed, CAST(CASE WHEN drops THEN 1 ELSE 0 END AS INT) AS dropped FROM c
+"""
+
+
+@query(_DIFFS_SQL)
 def request_diffs(spark, sf_dir):
+    """Requests against those before them: some of these had another last message, some one more, of a tool, at their end."""
     r = traffic(spark, sf_dir).where("dialect IN ('anthropic', 'chat')").select(F.col("session_id").alias("scope"), F.col("record_index").alias("idx"), F.get_json_object("payload", "$.request.body").alias("new"), F.col("dialect"))
     w = Window.partitionBy("scope").orderBy("idx")
     pairs = r.withColumns({"old": F.lag("new").over(w), "parent": F.lag("idx").over(w)}).where("parent IS NOT NULL")
+    chat = F.from_json("old", "model string, messages array<struct<role:string,content:string>>")
+    said = chat["messages"]
+    last = F.element_at(said, -1)
+    edited = F.concat(F.slice(said, 1, F.size(said) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["content"], F.lit(" (as it was)")).alias("content"))))
+    longer = F.concat(said, F.array(F.struct(F.lit("tool").alias("role"), F.lit("found nothing").alias("content"))))
+    number = F.col("scope").cast("long")
+    was = F.when((number % 3 == 1) & (F.size(said) > 1), edited).when(number % 3 == 2, longer).otherwise(said)  # the first one is the system's
+    pairs = pairs.withColumn("old", F.when(F.col("dialect") == "chat", F.to_json(F.struct(chat["model"].alias("model"), was.alias("messages")))).otherwise(F.col("old")))
     d = ln.diff_pairs(pairs).join(pairs.select("scope", "idx", "dialect"), ["scope", "idx"])
     own = F.when(F.col("dialect") == "chat", 1).otherwise(0)  # this dialect's system message is one of the messages
     return d.select("scope", "idx", "parent", (F.col("kept") - own).alias("kept"), "added", "changed", "dropped")
