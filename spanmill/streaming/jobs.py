@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanmill.functions.folds import TERMINAL, finished, fold_event, fold_events, parse_sse
+from spanmill.functions.folds import TERMINAL, finished, fold_event, parse_sse
 from spanmill.operators.sessions import STALE_ACTIVE, STALE_EMPTY
 
 #: Seconds without events after which an unfinished stream is given out as it is.
@@ -24,15 +24,32 @@ QUIET_SECONDS = 900
 
 
 def fold_batch(events: DataFrame, key: str = "request_id", order: str = "seq") -> DataFrame:
-    """key, document (JSON text, null if the events never begin one) of event rows (key, order, event, data)."""
+    """key, document (JSON text, null if the events never begin one) of event rows (key, order, event, data).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        document = fold_events((n, _json(d)) for n, d in zip(pdf["event"], pdf["data"]))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "document": [None if document is None else json.dumps(document, ensure_ascii=False)]})
+    Events come by request and in order; a task holds one document and one Arrow batch, however many events a request has.
+    Among events of one place the order is that of their texts; events without a key are one request.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, held = None, None
+
+        def document() -> tuple:
+            whole = finished(held)
+            return open_key, None if whole is None else json.dumps(whole, ensure_ascii=False)
+
+        for pdf in batches:
+            ended = []
+            for request, name, data in zip(pdf["key"], pdf["event"], pdf["data"]):
+                if held is None or request != open_key:
+                    ended += [] if held is None else [document()]
+                    open_key, held = request, {}
+                fold_event(held, name, _json(data))
+            yield pd.DataFrame(ended, columns=["key", "document"])
+        if held is not None:
+            yield pd.DataFrame([document()], columns=["key", "document"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).alias("seq"), "event", "data")
-    return rows.groupBy("key").applyInPandas(run, "key string, document string")
+    return rows.repartition("key").sortWithinPartitions("key", "seq", "event", "data").select("key", "event", "data").mapInPandas(run, "key string, document string")
 
 
 def _json(text: Any) -> Any:

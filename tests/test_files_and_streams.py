@@ -1,9 +1,11 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanmill.functions import folds
 from spanmill.sources import readers, sinks
 from spanmill.streaming import jobs
 
@@ -88,6 +90,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert batch["a"]["content"] == [{"type": "text", "text": "hello"}]
 
 
+def test_folds_of_many_requests_in_small_batches(spark):
+    """Requests that go over several Arrow batches and tasks, with and without a document, one without a key."""
+    text = lambda k, i: f'{{"index":0,"delta":{{"type":"text_delta","text":"{k}{i} "}}}}'
+    sizes = {f"k{n}": n % 23 for n in range(60)} | {"long": 500, None: 4}
+    rows = [(k, i + 1, "content_block_delta", text(k, i)) for k, size in sizes.items() for i in range(size)] + [(k, 0, "message_start", '{"message":{"content":[]}}') for k in sizes if k != "k7"]
+    random.Random(5).shuffle(rows)
+    events = spark.createDataFrame(rows, "request_id string, seq long, event string, data string").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["key"]: r["document"] and json.loads(r["document"]) for r in jobs.fold_batch(events).collect()}
+        assert jobs.fold_batch(events.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == set(sizes)
+    for k, size in sizes.items():
+        want = folds.fold_events([("message_start", {"message": {"content": []}})] * (k != "k7") + [("content_block_delta", json.loads(text(k, i))) for i in range(size)])
+        assert got[k] == want
+
+
 def test_liveness_and_merge(spark, tmp_path):
     schema = "session_id string, payload string, failed boolean"
     spark.createDataFrame([("x", "p", False), ("x", "q", False), ("y", None, False)], schema).write.json(str(tmp_path / "in"))
