@@ -2,9 +2,12 @@
 
 Below a folder:
 
-* ``postings/segment=N/kind=K``: term, doc, places, sorted by term in files by ranges of terms. A segment is written once.
-* ``state/run=N``: the documents as of a run: doc, id, rows (equal ones), segment, and their lengths. What a segment holds of
-  documents that have changed or gone since is passed over, because reading joins it with the state, which it needs for the
+* ``postings/segment=N/kind=K``: packed postings, one row for each term of a block of documents: term, block, slots (of the block's
+  documents that have it), sizes (how many places each), places; the last three as gaps in bytes (see pack). Each file is sorted by
+  term, so a query's terms are a few pages of it. Documents are indexed where they are read, so nothing is shuffled. ``kind=docs``
+  names a block's documents. A segment is written once.
+* ``state/run=N``: the documents as of a run: doc, id, rows (equal ones), segment, block, slot, and their lengths. What a segment
+  holds of documents that have changed or gone since is passed over, because reading joins it with the state, which it needs for the
   lengths anyway.
 * ``runs/run=N``: one row, written last: corpus figures and the segments in use. The highest run counts; a run that was
   interrupted before it is done anew, over the same folders.
@@ -20,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +33,10 @@ from spanmill.session import broadcast_small, cut, delete_path, text_batches
 
 KINDS = ("words", "trigrams")
 RUN = "documents long, words double, trigrams double, segments array<struct<segment: int, documents: bigint>>, dropped array<int>, run int"
-#: Code points of texts whose places are gathered at once.
-CHUNK_CHARS = 1_000_000
+#: What a segment's files hold; segment and kind come from their folders.
+PACKED = "term string, block long, slots binary, sizes binary, places binary"
+#: Code points of texts of a block (one text at least), and bytes of places that are unpacked at once.
+BLOCK_CHARS, UNPACK_BYTES = 2_000_000, 1 << 20
 
 
 def doc_key(ident: Column, text: Column) -> Column:
@@ -38,60 +44,192 @@ def doc_key(ident: Column, text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(ident.cast("string"), F.lit("\u0000")), F.lit("\u001f"), text), 256), 1, 32))
 
 
-def _grouped(rows: np.ndarray, codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of tokens (document, code, place): document, code and list of places of each distinct pair."""
-    order = np.lexsort((codes, rows))  # stable, so places stay in order
-    rows, codes, places = rows[order], codes[order], places[order]
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
-    at = np.flatnonzero(new)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(rows)), pa.int32()), pa.array(places, pa.int32()))
-    return rows[at], codes[at], lists
+def pack(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Values from 0 on as bytes of seven bits, the last one of each below 128; a row from each of begins on."""
+    widths = np.ones(len(values), dtype=np.int64)
+    for bits in (7, 14, 21, 28):
+        widths += values >= 1 << bits
+    ends = np.cumsum(widths)
+    out = np.zeros(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    for k in range(5):
+        at = np.flatnonzero(widths > k)
+        out[ends[at] - widths[at] + k] = values[at] >> 7 * k & 127 | np.where(widths[at] > k + 1, 128, 0)
+    offsets = np.append((ends - widths)[begins], len(out)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
-def _word_rows(words: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values that pack took, and how many of them each row has."""
+    rows = rows.cast(pa.binary())
+    offsets = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data = np.frombuffer(rows.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    last = data < 128
+    ends = np.flatnonzero(last) + 1
+    widths = np.diff(ends, prepend=0)
+    values = np.zeros(len(ends), dtype=np.int64)
+    for k in range(5):
+        at = np.flatnonzero(widths > k)
+        values[at] |= (data[ends[at] - widths[at] + k] & 127).astype(np.int64) << 7 * k
+    return values, np.diff(np.append(0, np.cumsum(last))[offsets - offsets[0]])
+
+
+def _begins(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def _gaps(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    out = np.diff(values, prepend=0)
+    out[begins] = values[begins]
+    return out
+
+
+def _sums(gaps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    upto = np.append(0, np.cumsum(gaps))
+    return upto[1:] - np.repeat(upto[_begins(counts)], counts)
+
+
+def _packed(slots: np.ndarray, codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of tokens (slot, code, place), by slot and place: the distinct codes, and slots, sizes and places of each, packed."""
+    order = np.argsort(codes.astype(np.uint16) if codes.max(initial=0) < 1 << 16 else codes, kind="stable")
+    slots, codes, places = slots[order], codes[order], places[order]
+    terms = np.ones(len(codes), dtype=bool)
+    terms[1:] = codes[1:] != codes[:-1]
+    docs = terms.copy()
+    docs[1:] |= slots[1:] != slots[:-1]
+    at_term, at_doc = np.flatnonzero(terms), np.flatnonzero(docs)
+    first = np.searchsorted(at_doc, at_term)
+    return codes[at_term], [pack(_gaps(slots[at_doc], first), first), pack(np.diff(np.append(at_doc, len(codes))), first), pack(_gaps(places, at_doc), at_term)]
+
+
+def _flat(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and place of each of the elements of lists of these lengths."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return owner, np.arange(len(owner)) - np.repeat(_begins(lengths), lengths)
+
+
+def _word_rows(words: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
     flat = words.flatten().dictionary_encode()
-    lengths = np.diff(words.offsets.to_numpy())
-    owner = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    rows, codes, lists = _grouped(owner, flat.indices.to_numpy(zero_copy_only=False), place)
-    return rows, flat.dictionary.take(pa.array(codes)), lists
+    owner, place = _flat(np.diff(words.offsets.to_numpy()).astype(np.int64))
+    codes, columns = _packed(owner, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), place)
+    return flat.dictionary.take(pa.array(codes)), columns
 
 
-def _trigram_rows(texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+def _trigram_rows(texts: list[str]) -> tuple[pa.Array, list[pa.Array]]:
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    begins = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(points)) - np.repeat(begins, lengths)
+    owner, place = _flat(lengths)
     whole = np.flatnonzero(place + 2 < np.repeat(lengths, lengths))
-    codes = points[whole] << 42 | points[np.minimum(whole + 1, len(points) - 1)] << 21 | points[np.minimum(whole + 2, len(points) - 1)]
-    rows, codes, lists = _grouped(owner[whole], codes, place[whole])
+    coded = pa.array(points[whole] << 42 | points[whole + 1] << 21 | points[whole + 2]).dictionary_encode()
+    found, columns = _packed(owner[whole], coded.indices.to_numpy(zero_copy_only=False), place[whole])
+    codes = coded.dictionary.to_numpy()[found]
     chars = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
-    return rows, pa.array(np.ascontiguousarray(chars).view("<U3").ravel().tolist(), pa.string()), lists
+    return pa.array(np.ascontiguousarray(chars).view("<U3").ravel().tolist(), pa.string()), columns
 
 
-def postings_of(texts: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """kind, term, doc, places of rows (doc, text). A document's places are gathered where it is."""
+def postings_of(texts: DataFrame, kinds: Sequence[str] = KINDS, run: int = 0) -> DataFrame:
+    """kind and PACKED of rows (doc, text), each doc once, in blocks of the order they come in. Rows of kind docs hold a block's
+    docs one after another in slots, and their numbers of words and trigrams in sizes and places."""
     nothing = F.array().cast("array<string>")
-    read = texts.select("doc", (tx.token_words(F.col("text")) if "words" in kinds else nothing).alias("words"), (F.lower("text") if "trigrams" in kinds else F.lit("")).alias("low"))
+    words, low = tx.token_words(F.col("text")), F.lower("text")
+    lengths = (F.size(words).alias("n_words"), F.greatest(F.length(low) - 2, F.lit(0)).alias("n_trigrams"))
+    read = texts.select("doc", (words if "words" in kinds else nothing).alias("words"), (low if "trigrams" in kinds else F.lit("")).alias("low"), (F.length(low) + 16).alias("chars"), *lengths)
+
+    def rows(kind: str, block: int, terms: pa.Array, columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(terms), pa.string()), terms, pa.array([block] * len(terms), pa.int64()), *columns], names=["kind", "term", "block", "slots", "sizes", "places"])
+
+    def of_block(block: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = held.combine_chunks().to_batches()[0]
+        lengths = [pack(held.column(n).to_numpy(zero_copy_only=False).astype(np.int64), np.array([0])) for n in ("n_words", "n_trigrams")]
+        yield rows("docs", block, pa.nulls(1, pa.string()), [pa.array([b"".join(held.column("doc").to_pylist())], pa.binary()), *lengths])
+        for kind, (terms, columns) in (("words", _word_rows(held.column("words"))), ("trigrams", _trigram_rows(held.column("low").to_pylist()))):
+            if len(terms):
+                yield rows(kind, block, terms, columns)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = run << 40 | TaskContext.get().partitionId() << 20
+        held, chars = [], 0
+        for batch in batches:
+            begin = 0
+            for at, more in enumerate(batch.column("chars").to_pylist()):
+                if chars and chars + more > BLOCK_CHARS:
+                    yield from of_block(block, pa.Table.from_batches([*held, batch.slice(begin, at - begin)]))
+                    block, held, chars, begin = block + 1, [], 0, at
+                chars += more
+            held.append(batch.slice(begin))
+        if sum(len(h) for h in held):
+            yield from of_block(block, pa.Table.from_batches(held))
+
+    return read.mapInArrow(index, "kind string, " + PACKED)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Packed rows, some at a time: rows, documents of each, slots, places of each document, places."""
+    bytes_ = np.cumsum([len(p.as_buffer()) for p in batch.column("places")])
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(bytes_, (bytes_[begin - 1] if begin else 0) + UNPACK_BYTES, "right")))
+        part = batch.slice(begin, end - begin)
+        sizes, docs = unpack(part.column("sizes"))
+        yield part, docs, _sums(unpack(part.column("slots"))[0], docs), sizes, _sums(unpack(part.column("places"))[0], sizes)
+        begin = end
+
+
+def unpacked(postings: DataFrame) -> DataFrame:
+    """term, block, slot, places of packed postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin = 0
-            while begin < batch.num_rows:
-                end, chars = begin, 0
-                while end < batch.num_rows and (end == begin or chars < CHUNK_CHARS):
-                    chars += len(batch.column(2)[end].as_py())
-                    end += 1
-                docs = batch.column(0).slice(begin, end - begin)
-                words = pa.array(batch.column(1).slice(begin, end - begin).to_pylist(), pa.list_(pa.string()))
-                for kind, (rows, terms, places) in (("words", _word_rows(words)), ("trigrams", _trigram_rows(batch.column(2).slice(begin, end - begin).to_pylist()))):
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), terms, docs.take(pa.array(rows)), places], names=["kind", "term", "doc", "places"])
-                begin = end
+            for part, docs, slots, sizes, places in _parts(batch):
+                row = pa.array(np.repeat(np.arange(len(docs)), docs))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(_begins(sizes), len(places)), pa.int32()), pa.array(places, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("term").take(row), part.column("block").take(row), pa.array(slots, pa.int32()), lists], names=["term", "block", "slot", "places"])
 
-    return read.mapInArrow(run, "kind string, term string, doc binary, places array<int>")
+    return postings.select(*[c.split(" ")[0] for c in PACKED.split(", ")]).mapInArrow(run, "term string, block long, slot int, places array<int>")
+
+
+def _left_of(postings: DataFrame, live: DataFrame) -> DataFrame:
+    """Packed postings (kind, PACKED) without documents other than live ones (block, slot)."""
+    blocks = live.groupBy("block").agg(F.collect_set("slot").alias("_live"), F.max("slot").alias("top"))
+    blocks = cut(blocks.select("block", "top", F.array_except(F.sequence(F.lit(0), "top"), "_live").alias("dead")))
+    names = ["kind", *(c.split(" ")[0] for c in PACKED.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, docs, slots, sizes, places in _parts(batch):
+                row = np.repeat(np.arange(len(docs)), docs)
+                dead, tops = part.column("dead"), part.column("top").to_numpy(zero_copy_only=False)
+                dead_keys = np.repeat(np.arange(len(docs)), np.diff(dead.offsets.to_numpy())) << 32 | dead.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                keep = (slots <= tops[row]) & ~np.isin(row << 32 | slots, dead_keys)
+                if not keep.any():
+                    continue
+                kept_rows, docs_left = np.unique(row[keep], return_counts=True)
+                places, sizes, slots = places[np.repeat(keep, sizes)], sizes[keep], slots[keep]
+                first, at_doc = _begins(docs_left), _begins(sizes)
+                columns = [pack(_gaps(slots, first), first), pack(sizes, first), pack(_gaps(places, at_doc), at_doc[first])]
+                yield pa.RecordBatch.from_arrays([part.column(n).take(pa.array(kept_rows)) for n in ("kind", "term", "block")] + columns, names=names)
+
+    joined = postings.where("kind <> 'docs'").join(broadcast_small(blocks, 10_000), "block")
+    return joined.select(*names, "top", "dead").mapInArrow(run, "kind string, " + PACKED)
+
+
+def _documents_of(postings: DataFrame) -> DataFrame:
+    """doc, block, slot, words, trigrams of packed rows of kind docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, docs in enumerate(batch.column("slots").to_pylist()):
+                words, trigrams = (unpack(batch.column(n).slice(i, 1))[0] for n in ("sizes", "places"))
+                each = pa.array([docs[k : k + 16] for k in range(0, len(docs), 16)], pa.binary())
+                yield pa.RecordBatch.from_arrays([each, pa.array([batch.column("block")[i].as_py()] * len(each), pa.int64()), pa.array(np.arange(len(each)), pa.int32()), pa.array(words), pa.array(trigrams)], names=["doc", "block", "slot", "words", "trigrams"])
+
+    return postings.select("block", "slots", "sizes", "places").mapInArrow(run, "doc binary, block long, slot int, words long, trigrams long")
+
+
+def _segments(spark: SparkSession, folder: str, segments: Sequence[int]) -> DataFrame:
+    schema = f"{PACKED}, segment int, kind string"
+    if not segments:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{folder}/postings").parquet(*[f"{folder}/postings/segment={s}" for s in segments])
 
 
 def last_run(spark: SparkSession, folder: str) -> Row | None:
@@ -105,21 +243,20 @@ def last_run(spark: SparkSession, folder: str) -> Row | None:
 
 
 class Index:
-    """An index as of its last run: words and trigrams (term, doc, places, segment), lengths (doc, id, rows, segment, words,
-    trigrams) and totals (documents, and their average lengths)."""
+    """An index as of its last run: postings of a kind (term, block, slot, places), lengths (doc, id, rows, segment, block, slot,
+    words, trigrams) and totals (documents, and their average lengths)."""
 
     def __init__(self, folder: str, spark: SparkSession):
         self.totals = last_run(spark, folder)
         if self.totals is None:
             raise ValueError(f"no index at {folder}")
         self.lengths = spark.read.parquet(f"{folder}/state/run={self.totals['run']}")
-        segments = [s["segment"] for s in self.totals["segments"]]
-        schema = "term string, doc binary, places array<int>, segment int, kind string"
-        if segments:
-            found = spark.read.schema(schema).option("basePath", f"{folder}/postings").parquet(*[f"{folder}/postings/segment={s}" for s in segments])
-        else:
-            found = spark.createDataFrame([], schema)
-        self.words, self.trigrams = (found.where(F.col("kind") == kind).drop("kind") for kind in KINDS)
+        self.packed = _segments(spark, folder, [s["segment"] for s in self.totals["segments"]])
+
+    def postings(self, kind: str, terms: Sequence[str] | None = None) -> DataFrame:
+        """The postings of some terms, or of all; those of documents that are not in lengths any more as well."""
+        mine = self.packed.where(F.col("kind") == kind)
+        return unpacked(mine if terms is None else mine.where(F.col("term").isin(*terms)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -156,6 +293,19 @@ def upsert(added: DataFrame, folder: str, removed: DataFrame | None = None, kind
     return _run(spark, folder, keyed, cut(fresh), kinds)
 
 
+def _once(keyed: DataFrame, fresh: DataFrame, whole: bool) -> DataFrame:
+    """doc, text of the documents of fresh (doc, rows), each once; whole: those are all of keyed. Only rows of documents that repeat
+    are shuffled, or if fresh is too many to be sent to all."""
+    texts = keyed.select("doc", "text")
+    if not whole:
+        texts = texts.join(broadcast_small(fresh.select("doc")), "doc", "left_semi")
+    repeats = fresh.where("rows > 1").select("doc")
+    if repeats.isEmpty():
+        return texts
+    repeats = broadcast_small(repeats)
+    return texts.join(repeats, "doc", "left_anti").unionByName(texts.join(repeats, "doc", "left_semi").dropDuplicates(["doc"]))
+
+
 def _run(spark: SparkSession, folder: str, keyed: DataFrame, current: DataFrame, kinds: Sequence[str]) -> dict:
     """Make the state's documents those of current (doc, id, rows); texts of new ones are in keyed."""
     text_batches(spark)
@@ -182,23 +332,19 @@ def _run(spark: SparkSession, folder: str, keyed: DataFrame, current: DataFrame,
                 break
             fold.append(segment)
             size += left[segment]
-        texts = keyed.join(broadcast_small(fresh.select("doc")), "doc").dropDuplicates(["doc"])
-        found = postings_of(texts, kinds)
+        found = postings_of(_once(keyed, fresh, last is None), kinds, run)
         if fold:
-            live = kept.where(F.col("segment").isin(*fold)).select("doc", "segment")
-            old = spark.read.schema("term string, doc binary, places array<int>, segment int, kind string").option("basePath", f"{folder}/postings").parquet(*[f"{folder}/postings/segment={s}" for s in fold])
-            found = found.unionByName(old.join(live, ["doc", "segment"], "left_semi").select("kind", "term", "doc", "places"))
-        found.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term", "doc").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/postings/segment={run}")
-        words, chars = F.size(tx.token_words(F.col("text"))), F.greatest(F.length(F.lower("text")) - 2, F.lit(0))
-        measured = texts.select("doc", words.cast("long").alias("words"), chars.cast("long").alias("trigrams"))
-        after = fresh.join(measured, "doc").select("doc", "id", "rows", F.lit(run).alias("segment"), "words", "trigrams")
+            found = found.unionByName(_left_of(_segments(spark, folder, fold), kept.where(F.col("segment").isin(*fold))))
+        found.sortWithinPartitions("kind", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/postings/segment={run}")
+        read = _documents_of(_segments(spark, folder, [run]).where("kind = 'docs'"))
+        after = fresh.join(read, "doc").select("doc", "id", "rows", F.lit(run).alias("segment"), "block", "slot", "words", "trigrams")
         if kept is not None:
             moved = F.when(F.col("segment").isin(*fold), F.lit(run)).otherwise(F.col("segment")) if fold else F.col("segment")
             after = after.unionByName(kept.withColumn("segment", moved).select(*after.columns))
     elif kept is None:
-        after = current.select("doc", "id", "rows", F.lit(run).alias("segment"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("trigrams"))
+        after = current.select("doc", "id", "rows", F.lit(run).alias("segment"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("trigrams"))
     else:
-        after = kept.select("doc", "id", "rows", "segment", "words", "trigrams")
+        after = kept.select("doc", "id", "rows", "segment", "block", "slot", "words", "trigrams")
     after.write.mode("overwrite").parquet(f"{folder}/state/run={run}")
 
     held = spark.read.parquet(f"{folder}/state/run={run}")

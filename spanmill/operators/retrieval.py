@@ -246,11 +246,10 @@ def _from_postings(index: Index, kind: str, phrases: Sequence[Sequence[str]]) ->
     """id, score: each phrase is a row of terms that follow one another (words) or overlap (trigrams)."""
     if not phrases or not index.totals["documents"]:
         return index.lengths.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    mine = index.words if kind == "words" else index.trigrams
     terms = sorted({t for p in phrases for t in p})
-    lengths = index.lengths.select("doc", "segment", "id", "rows", F.col(kind).alias("dl"))
+    lengths = index.lengths.select("block", "slot", "id", "rows", F.col(kind).alias("dl"))
     # A document's places of each wanted term, beside one another: a phrase occurs where its terms' places, shifted back, meet.
-    rows = mine.where(F.col("term").isin(*terms)).groupBy("doc", "segment").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_at"))
+    rows = index.postings(kind, terms).groupBy("block", "slot").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_at"))
     counts = []
     for i, phrase in enumerate(phrases):
         shifted = [_back(F.coalesce(F.element_at("_at", F.lit(t)), F.array().cast("array<int>")), k) for k, t in enumerate(phrase)]
@@ -259,7 +258,7 @@ def _from_postings(index: Index, kind: str, phrases: Sequence[Sequence[str]]) ->
             met = F.array_intersect(met, s)
         counts.append(F.size(met).alias(f"tf{i}"))
     # Documents as the state has them; rows of equal id and text count each.
-    found = cut(rows.select("doc", "segment", *counts).where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(lengths, ["doc", "segment"]))
+    found = cut(rows.select("block", "slot", *counts).where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).join(lengths, ["block", "slot"]))
     df = found.agg(*[F.coalesce(F.sum(F.when(F.col(f"tf{i}") > 0, F.col("rows"))), F.lit(0)).alias(f"df{i}") for i in range(len(phrases))]).first()
     score = F.lit(0.0)
     for i in range(len(phrases)):
