@@ -219,7 +219,7 @@ def rerank(top: DataFrame, query: str, reranker: Callable | None = lexical_overl
                 scores, ok = pdf[fallback].tolist(), False
             yield pdf.assign(score=scores, reranked=ok)
 
-    base = top.drop("score", "reranked")
+    base = cut(top.drop("score", "reranked"))  # the rows as they are found, in parallel; only then one task has them
     return base.coalesce(1).mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", score double, reranked boolean")
 
 
