@@ -63,8 +63,8 @@ def eventstream_rows(bodies: DataFrame, key: str = "request_id", text: str = "bo
     return bodies.select(F.col(key).cast("string").alias("key"), F.col(text).alias("body")).mapInPandas(run, "request_id string, seq long, event string, data string")
 
 
-def messages(records: DataFrame) -> DataFrame:
-    """The user and assistant messages of records that are worth indexing, long ones in pieces."""
+def messages(records: DataFrame, most: int | None = chunking.MAX_CHARS) -> DataFrame:
+    """The user and assistant messages of records that are worth indexing, in pieces of at most most characters; whole with None."""
     schema = "session_id string, record_index long, message_index long, model string, role string, timestamp string, content_hash string, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +76,7 @@ def messages(records: DataFrame) -> DataFrame:
                     continue
                 said = rec.assistant_message(r)
                 for role, texts in (("user", rec.user_messages(r)), ("assistant", [said] if said else [])):
-                    parts = [p for t in texts for p in chunking.pieces(t)]
+                    parts = [p for t in texts for p in (chunking.pieces(t, most) if most else [t])]
                     out += [(session, index, n, rec.model(r), role, rec.string(r.get("timestamp")), chunking.message_hash(p), p) for n, p in enumerate(parts)]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
