@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.functions import records as rc
+from spanmill.functions.chunking import MAX_CHARS
 from spanmill.operators import knowledge as kb
 from spanmill.session import broadcast_small, cut
 
@@ -54,11 +55,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.groupBy(*kb.KEY, "session_id").agg(F.min("seen_at").alias("seen_at"), F.min("run").alias("run"))
 
 
-def extract(sessions: DataFrame, records: DataFrame, folder: str, purged: DataFrame | None = None, limit: int | None = None) -> dict:
+def extract(sessions: DataFrame, records: DataFrame, folder: str, purged: DataFrame | None = None, limit: int | None = None, most: int | None = MAX_CHARS) -> dict:
     """Take at most limit sessions (id, client) that are not taken yet, in order of their ids, with their records (session_id,
     record_index, payload); how many sessions there were, and how many texts by role and prompt versions are new.
 
-    Texts in purged (KEY) stay out. Sessions without records are taken as well. Sessions that come with several rows count once,
+    Texts of more than most characters are taken in pieces, with None whole. Texts in purged (KEY) stay out. Sessions without records are taken as well. Sessions that come with several rows count once,
     with the least client; those without an id are left out, a client that is null or empty is called unknown. Without sessions
     to take, nothing is written.
     """
@@ -79,7 +80,7 @@ def extract(sessions: DataFrame, records: DataFrame, folder: str, purged: DataFr
         frame.select(*columns).write.mode("overwrite").parquet(path)
         return spark.read.schema(TABLES[name]).parquet(path)
 
-    said = of(rc.messages(mine)).withColumn("seen_at", F.col("timestamp"))
+    said = of(rc.messages(mine, most)).withColumn("seen_at", F.col("timestamp"))
     said = cut(kb.without_purged(said, purged) if purged is not None else said)
     before = _all_runs(spark, folder, "messages").where(F.col("run") <= held).select(*kb.KEY)
     fresh = kb.unique_messages(said, ORDER).join(before, list(kb.KEY), "left_anti")
