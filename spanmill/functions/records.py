@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions import chunking, record as rec, redact
+from spanmill.session import JSON_BATCH_BYTES, text_batches
 
 DESCRIBED = (
     "session_id string, record_index long, turn long, turn_label string, timestamp string, request_id string, duration_ms long, method string, path string, host string, status long, transport string, provider string, model string, agent string, "
@@ -49,6 +50,7 @@ def described(records: DataFrame) -> DataFrame:
             rows = [{"session_id": s, "record_index": i, **describe(p)} for s, i, p in zip(pdf["session_id"], pdf["record_index"], pdf["payload"])]
             yield pd.DataFrame(rows, columns=_NAMES).astype({"turn": "Int64", "duration_ms": "Int64"})
 
+    text_batches(records.sparkSession, JSON_BATCH_BYTES)
     return records.select("session_id", F.col("record_index").cast("long").alias("record_index"), "payload").mapInPandas(run, DESCRIBED)
 
 
@@ -60,6 +62,7 @@ def eventstream_rows(bodies: DataFrame, key: str = "request_id", text: str = "bo
             out = [(k, i, e["event"], json.dumps(e["data"], ensure_ascii=False)) for k, t in zip(pdf["key"], pdf["body"]) for i, e in enumerate(rec.eventstream(t))]
             yield pd.DataFrame(out, columns=["request_id", "seq", "event", "data"])
 
+    text_batches(bodies.sparkSession, JSON_BATCH_BYTES)
     return bodies.select(F.col(key).cast("string").alias("key"), F.col(text).alias("body")).mapInPandas(run, "request_id string, seq long, event string, data string")
 
 
@@ -80,6 +83,7 @@ def messages(records: DataFrame, most: int | None = chunking.MAX_CHARS) -> DataF
                     out += [(session, index, n, rec.model(r), role, rec.string(r.get("timestamp")), chunking.message_hash(p), p) for n, p in enumerate(parts)]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
+    text_batches(records.sparkSession, JSON_BATCH_BYTES)
     return records.select("session_id", F.col("record_index").cast("long").alias("record_index"), "payload").mapInPandas(run, schema)
 
 
@@ -114,6 +118,7 @@ def chunks(versions: DataFrame) -> DataFrame:
                 out += [(h, i, *c) for i, c in enumerate(chunking.snapshot_chunks(system, developer, rec.parse(tools) or []))]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
+    text_batches(versions.sparkSession, JSON_BATCH_BYTES)
     return versions.select("content_hash", "system_prompt", "developer_prompt", "tools").mapInPandas(run, schema)
 
 
@@ -126,6 +131,7 @@ def sections(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
             out = [(i, n, *c) for i, t in zip(pdf["id"], pdf["text"]) for n, c in enumerate(chunking.prompt_chunks(t or ""))]
             yield pd.DataFrame(out, columns=["id", "place", "title", "text"])
 
+    text_batches(texts.sparkSession, JSON_BATCH_BYTES)
     return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 

@@ -70,6 +70,10 @@ def broadcast_small(kept: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 TEXT_BATCH_BYTES = 8 << 20
 
 
+#: The same for functions that read JSON: what it becomes in Python takes several times its bytes.
+JSON_BATCH_BYTES = 2 << 20
+
+
 def text_batches(spark: SparkSession, most: int = TEXT_BATCH_BYTES) -> None:
     """Bound the session's Arrow batches by bytes, unless they are bound lower already. The setting stays with the session, as its
     lazy results are computed later; it changes how rows travel, not what they are."""
