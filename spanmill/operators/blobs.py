@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.chunking import blob_payload
 from spanmill.functions.record import dig, parse
-from spanmill.session import cut
+from spanmill.session import JSON_BATCH_BYTES, cut, text_batches
 
 #: Least size, fields stored whole, and lists whose items are stored each.
 MIN_BYTES, VERSION = 512, 1
@@ -108,6 +108,7 @@ def compact_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out.append((session, index, payload if not found else json.dumps(small, ensure_ascii=False, separators=(",", ":")), [{"hash": h, "payload": t, "size_bytes": n} for h, t, n in {b[0]: b for b in found}.values()]))
             yield pd.DataFrame(out, columns=["session_id", "record_index", "payload", "blobs"])
 
+    text_batches(records.sparkSession, JSON_BATCH_BYTES)
     both = records.select("session_id", F.col("record_index").cast("long").alias("record_index"), "payload").mapInPandas(run, "session_id string, record_index long, payload string, blobs array<struct<hash:string,payload:string,size_bytes:long>>")
     blobs = both.select("session_id", F.explode("blobs").alias("b")).select("session_id", "b.hash", F.lit("json").alias("kind"), "b.payload", "b.size_bytes").dropDuplicates(["session_id", "hash"])
     return both.drop("blobs"), blobs
@@ -144,6 +145,7 @@ def resolve_records(records: DataFrame, blobs: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["session_id", "record_index", "payload"])
 
+    text_batches(records.sparkSession, JSON_BATCH_BYTES)
     listed = records.select("session_id", "record_index", "payload", F.pandas_udf(hashes, "array<string>")("payload").alias("_refs"))
     refs = listed.select("session_id", "record_index", F.explode("_refs").alias("hash"))
     held = refs.join(blobs.where("kind = 'json'").select("session_id", "hash", F.col("payload").alias("_p")), ["session_id", "hash"]).groupBy("session_id", "record_index").agg(F.collect_list(F.struct("hash", F.col("_p").alias("payload"))).alias("held"))
