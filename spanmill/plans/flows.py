@@ -71,9 +71,10 @@ def _legacy(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def transcript_steps(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     line = F.to_json(F.struct("role", F.struct(F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("<user_query>"), "text", F.lit("</user_query>")).alias("text"))).alias("content")).alias("message")))
-    rows = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv"), "turn", line.alias("value")).repartition("conv").sortWithinPartitions("conv", "turn")
-    root = _place(spark, rows, "conv", lambda r, conv: f"{r}/project/agent-transcripts/{conv}/{conv}.jsonl")
-    return readers.read_transcripts(spark, root).select("turn", "step", "role", "text", "record_path")
+    rows = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv"), "turn", line.alias("value")).repartition("conv").sortWithinPartitions("conv", "turn").select("conv", "value")
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"  # a file a conversation, written by the tasks
+    rows.write.partitionBy("conv").text(f"{root}/project/agent-transcripts")
+    return readers.read_transcripts(spark, root, glob="*.txt").select("turn", "step", "role", "text", "record_path")
 
 
 # Sockets: several responses in a record, each with its history

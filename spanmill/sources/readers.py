@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions.record import dig, dicts, parse, string
+from spanmill.session import JSON_BATCH_BYTES, text_batches
 from spanmill.operators.blobs import TRACE_MARK, MissingBlob, marked, materialize
 
 RECORDS = "path string, record_index long, payload string"
@@ -63,6 +64,7 @@ def read_traces(spark: SparkSession, path: str | list[str]) -> DataFrame:
             out = [(p, i, json.dumps(r, ensure_ascii=False, separators=(",", ":"))) for p, t in zip(pdf["path"], pdf["value"]) for i, r in enumerate(_records_of(t))]
             yield pd.DataFrame(out, columns=["path", "record_index", "payload"])
 
+    text_batches(spark, JSON_BATCH_BYTES)
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, RECORDS)
 
 
@@ -130,16 +132,19 @@ def _spoken(content) -> tuple[str, list[str]]:
     return text, [string(b.get("name")) for b in blocks if b.get("type") == "tool_use"]
 
 
-def read_transcripts(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
+def read_transcripts(spark: SparkSession, root: str, since: str | None = None, glob: str = "*.jsonl") -> DataFrame:
     """Steps of editor transcripts (*/agent-transcripts/*/*.jsonl): path, turn, step, role, text, tools, record_path.
 
     A user line begins a turn; assistant lines are its steps. Assistant lines before any user line are dropped. since (a
-    time such as 2026-01-01T00:00:00) leaves older files out.
+    time such as 2026-01-01T00:00:00) leaves older files out, glob is a pattern for their names. Folders may be named key=value, as
+    Spark's writers do.
     """
     reader = spark.read
     if since:
         reader = reader.option("modifiedAfter", since)
-    lines = reader.text(f"{root.rstrip('/')}/*/agent-transcripts/*/*.jsonl").select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    # Folders are listed by tasks, not one after another by the driver, as with a pattern for each level.
+    found = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(f"{root.rstrip('/')}/*/agent-transcripts")
+    lines = found.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value").where(F.col("path").rlike("/agent-transcripts/[^/]+/[^/]+$"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,5 +161,5 @@ def read_transcripts(spark: SparkSession, root: str, since: str | None = None) -
     w = Window.partitionBy("path").orderBy("at")
     turns = said.withColumn("turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).where("turn > 0")
     steps = turns.withColumn("step", F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).over(Window.partitionBy("path", "turn").orderBy("at")))
-    session: Column = F.regexp_extract("path", r"agent-transcripts/([^/]+)/", 1)
+    session: Column = F.regexp_extract("path", r"agent-transcripts/(?:[^/=]+=)?([^/]+)/", 1)
     return steps.select("path", "turn", "step", "role", "text", "tools", F.concat(F.lit("/cursor/transcript/"), session, F.lit("/turn/"), F.col("turn").cast("string"), F.lit("/step/"), F.col("step").cast("string")).alias("record_path"))
