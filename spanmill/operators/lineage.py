@@ -26,7 +26,8 @@ def prefix_rows(entries: DataFrame) -> DataFrame:
     each = entries.select("scope", "idx", F.size("prints").alias("_n"), F.posexplode("prints").alias("_i", "_p")).where("_n > 0")
     upto = Window.partitionBy("scope", "idx").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = [F.sum(F.xxhash64(F.lit(salt), "_i", "_p").cast("decimal(20, 0)")).over(upto).alias(f"_s{salt}") for salt in (0, 1)]
-    return each.select("scope", "idx", "_n", (F.col("_i") + 1).alias("_len"), *sums).select("scope", "idx", "_n", "_len", F.struct("_s0", "_s1").alias("_key"))
+    summed = each.select("scope", "idx", "_n", (F.col("_i") + 1).alias("_len"), *sums)
+    return summed.select("scope", "idx", "_n", "_len", F.struct(*[F.xxhash64(F.lit(salt), f"_s{salt}").alias(f"_k{salt}") for salt in (0, 1)]).alias("_key"))
 
 
 def prefix_parent(entries: DataFrame) -> DataFrame:
