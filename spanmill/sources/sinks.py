@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import logging
 import time
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import record as rec
 from spanmill.operators.blobs import OWN, compact
+from spanmill.session import JSON_BATCH_BYTES, text_batches
 
 FORMATS = ("compact", "jsonl", "json", "markdown", "logs")
 #: Characters of a user's text, an answer and a tool's input that a Markdown export shows.
@@ -23,20 +26,25 @@ def as_jsonl(records: DataFrame) -> DataFrame:
     return records.orderBy("session_id", "record_index").select(F.col("payload").alias("value"))
 
 
-def _ordered(pdf: pd.DataFrame, by_turn: bool) -> list[dict]:
-    rows = [(i, rec.parse(p)) for i, p in zip(pdf["record_index"], pdf["payload"])]
+def _ordered(held: list[tuple], by_turn: bool) -> list[dict]:
+    rows = [(i, rec.parse(p)) for i, p in held]
     rows = [(i, r) for i, r in rows if isinstance(r, dict)]
     turn = lambda r: r["turn"] if isinstance(r.get("turn"), int) else 0
     return [r for _, r in sorted(rows, key=lambda x: (turn(x[1]) if by_turn else 0, x[0]))]
 
 
 def _per_session(records: DataFrame, build, by_turn: bool = True) -> DataFrame:
-    """session_id, value: build(records of the session). A session is one document and so is held whole."""
+    """session_id, value: build(records of the session). A session is one document and so is held whole; partitions are sorted by
+    session, so a task holds one at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "value": [build(_ordered(pdf, by_turn))]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((s, i, p) for pdf in batches for s, i, p in zip(pdf["session_id"], pdf["record_index"], pdf["payload"]))
+        for session, group in groupby(rows, key=lambda row: row[0]):
+            yield pd.DataFrame({"session_id": [session], "value": [build(_ordered([row[1:] for row in group], by_turn))]})
 
-    return records.select("session_id", "record_index", "payload").groupBy("session_id").applyInPandas(run, "session_id string, value string")
+    text_batches(records.sparkSession, JSON_BATCH_BYTES)
+    placed = records.select("session_id", "record_index", "payload").repartition("session_id").sortWithinPartitions("session_id")
+    return placed.mapInPandas(run, "session_id string, value string")
 
 
 def compact_bundle(records: list[dict]) -> str:
