@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanmill.functions.folds import fold_events, fold_ws_request
-from spanmill.session import cut
+from spanmill.session import JSON_BATCH_BYTES, cut, text_batches
 
 #: Opcodes of the protocol, and the server's messages that end a response.
 MORE, TEXT, BINARY, CLOSE = 0, 1, 2, 8
@@ -82,6 +82,7 @@ def records(frames: DataFrame, path: str = PATH, span: int = SPAN) -> DataFrame:
 
     Places are worked out on rows without texts; texts travel twice, from fragments to messages and from messages to records.
     """
+    text_batches(frames.sparkSession, JSON_BATCH_BYTES)
     held = cut(messages(frames, span).withColumn("_key", F.when(F.col("sender") == "server", _end_key(F.col("text")))))
     ends = held.where(F.col("_key").isNotNull())
     first = F.row_number().over(Window.partitionBy("connection", "_key").orderBy("seq")) == 1
@@ -200,11 +201,11 @@ def record_stream(frames: DataFrame, path: str = PATH, quiet_seconds: int = QUIE
         connection = Connection(group[0], path, state.get[0] if state.exists else None)
         out, closed = [], state.hasTimedOut
         if not closed:
-            rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-            for seq, sender, opcode, fin, data in rows[["seq", "sender", "opcode", "fin", "data"]].itertuples(index=False):
+            rows = [row for pdf in batches for row in zip(*(pdf[c].tolist() for c in ("seq", "sender", "opcode", "fin", "data", "ms")))]
+            for seq, sender, opcode, fin, data, _ in sorted(rows, key=lambda row: row[0]):
                 out += connection.take(int(seq), sender, int(opcode), bool(fin), bytes(data))
                 closed = closed or opcode == CLOSE
-            last = max(connection.held["at"], int(rows["ms"].max()), state.getCurrentWatermarkMs() + 1)
+            last = max(connection.held["at"], max(int(row[-1]) for row in rows), state.getCurrentWatermarkMs() + 1)
             connection.held["at"] = last
         if closed:
             out += connection.end()
