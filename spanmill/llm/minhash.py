@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.llm.exact_dedup import brought_back, one_row_each, set_aside
-from spanmill.session import broadcast_small, cut, delete_path, shared_dir, text_batches
+from spanmill.session import broadcast_small, cut, delete_path, shared_dir, shuffles_released, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SIMILARITY = 5, 0.8
@@ -326,7 +326,8 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
 
     where = f"{shared_dir(spark)}/near-texts-{uuid.uuid4().hex}"
     involved = copies.select("node", "first.row_key").join(members.select(F.col("b").alias("node")).distinct(), "node")
-    rows.select("row_key", "text").join(involved, "row_key").groupBy("node").agg(F.min("text").alias("text")).write.parquet(where)
+    with shuffles_released(spark):
+        rows.select("row_key", "text").join(involved, "row_key").groupBy("node").agg(F.min("text").alias("text")).write.parquet(where)
     texts = spark.read.parquet(where)
 
     checked = cut(verify(members.where("a <> b").select("a", "b").distinct(), texts))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What is planned and computed within drops its shuffle files when it ends; they would else stay until the driver happens to
+    collect its garbage. Frames that were made before are planned before: begin with a new one, as cut does."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation. Its shuffle files go."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

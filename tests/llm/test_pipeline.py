@@ -4,12 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from spanmill.llm import bpe
+from spanmill.session import cut
 from test_phrases_join import brute_join, brute_phrases
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -156,3 +158,17 @@ def test_stages_keep_columns_of_clashing_names(spark):
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names), name
+
+
+def test_shuffles_go_with_their_checkpoint(spark):
+    """Shuffle files of a step are dropped when it has been kept, not when the driver collects its garbage."""
+    held = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, setting = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counted = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    kept = cut(counted)
+    end = time.time() + 20
+    while (left := held() - before) and time.time() < end:  # files are removed behind the step
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, counted.collect()))
