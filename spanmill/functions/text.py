@@ -146,7 +146,11 @@ def gap_label(seconds: Column) -> Column:
     return F.when(seconds < 3600, F.concat(F.floor(seconds / 60 + 0.5).cast("string"), F.lit("m"))).otherwise(F.concat(F.format_number(seconds / 3600, 1), F.lit("h")))
 
 
+#: Letters that lose their accents in words, what they become, and the characters of words.
+ACCENTED, PLAIN, WORD_CHARS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy", r"[\p{L}\p{N}]"
+
+
 def token_words(text: Column) -> Column:
     """Words of a keyword index: lower case, accents of Latin letters folded, everything else separates."""
-    folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    folded = F.translate(F.lower(text), ACCENTED, PLAIN)
+    return F.regexp_extract_all(folded, F.lit(WORD_CHARS + "+"), F.lit(0))

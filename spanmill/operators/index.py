@@ -20,6 +20,7 @@ often at most. All of it is plain Parquet below explicit paths; one writer at a
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,9 @@ RUN = "documents long, words double, trigrams double, segments array<struct<segm
 PACKED = "term string, block long, slots binary, sizes binary, places binary"
 #: Code points of texts of a block (one text at least), and bytes of places that are unpacked at once.
 BLOCK_CHARS, UNPACK_BYTES = 2_000_000, 1 << 20
+#: Letters of Latin-1 without their accents, as token_words folds them, by code point.
+FOLDED = np.arange(256)
+FOLDED[[ord(c) for c in tx.ACCENTED]] = [ord(c) for c in tx.PLAIN]
 
 
 def doc_key(ident: Column, text: Column) -> Column:
@@ -107,16 +111,36 @@ def _flat(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(_begins(lengths), lengths)
 
 
-def _word_rows(words: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
-    flat = words.flatten().dictionary_encode()
-    owner, place = _flat(np.diff(words.offsets.to_numpy()).astype(np.int64))
-    codes, columns = _packed(owner, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), place)
-    return flat.dictionary.take(pa.array(codes)), columns
+@cache
+def word_chars() -> bytes:
+    """Bits of the code points that words consist of, as Spark's regular expressions have them (see token_words)."""
+    points = SparkSession.active().range(0x110000).where("id < 55296 OR id > 57343")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    bits = np.zeros(0x110000, dtype=np.uint8)
+    bits[points.where(char.rlike(f"^{tx.WORD_CHARS}$")).agg(F.collect_list("id")).first()[0]] = 1
+    return np.packbits(bits).tobytes()
 
 
-def _trigram_rows(texts: list[str]) -> tuple[pa.Array, list[pa.Array]]:
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+def _words(points: np.ndarray, owner: np.ndarray, chars: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-case texts, given as code points and their texts' numbers: words, and their texts' numbers."""
+    folded = np.where(points < len(FOLDED), FOLDED[np.minimum(points, len(FOLDED) - 1)], points)
+    inside = chars[folded]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | (owner[1:] != owner[:-1])
+    held = folded[inside]
+    widths = 1 + (held >= 0x80) + (held >= 0x800) + (held >= 0x10000)
+    offsets = np.append(_begins(widths)[starts[inside]], widths.sum()).astype(np.int32)
+    data = held.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)), owner[starts]
+
+
+def _word_rows(words: pa.Array, owner: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    coded = words.dictionary_encode()
+    codes, columns = _packed(owner, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.arange(len(owner)) - np.repeat(_begins(counts), counts))
+    return coded.dictionary.take(pa.array(codes)), columns
+
+
+def _trigram_rows(points: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
     owner, place = _flat(lengths)
     whole = np.flatnonzero(place + 2 < np.repeat(lengths, lengths))
     coded = pa.array(points[whole] << 42 | points[whole + 1] << 21 | points[whole + 2]).dictionary_encode()
@@ -129,21 +153,26 @@ def _trigram_rows(texts: list[str]) -> tuple[pa.Array, list[pa.Array]]:
 def postings_of(texts: DataFrame, kinds: Sequence[str] = KINDS, run: int = 0) -> DataFrame:
     """kind and PACKED of rows (doc, text), each doc once, in blocks of the order they come in. Rows of kind docs hold a block's
     docs one after another in slots, and their numbers of words and trigrams in sizes and places."""
-    nothing = F.array().cast("array<string>")
-    words, low = tx.token_words(F.col("text")), F.lower("text")
-    lengths = (F.size(words).alias("n_words"), F.greatest(F.length(low) - 2, F.lit(0)).alias("n_trigrams"))
-    read = texts.select("doc", (words if "words" in kinds else nothing).alias("words"), (low if "trigrams" in kinds else F.lit("")).alias("low"), (F.length(low) + 16).alias("chars"), *lengths)
+    low = F.lower("text")
+    read = texts.select("doc", low.alias("low"), (F.length(low) + 16).alias("chars"))
+    bits = word_chars()
 
     def rows(kind: str, block: int, terms: pa.Array, columns: list[pa.Array]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(terms), pa.string()), terms, pa.array([block] * len(terms), pa.int64()), *columns], names=["kind", "term", "block", "slots", "sizes", "places"])
 
     def of_block(block: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
         held = held.combine_chunks().to_batches()[0]
-        lengths = [pack(held.column(n).to_numpy(zero_copy_only=False).astype(np.int64), np.array([0])) for n in ("n_words", "n_trigrams")]
-        yield rows("docs", block, pa.nulls(1, pa.string()), [pa.array([b"".join(held.column("doc").to_pylist())], pa.binary()), *lengths])
-        for kind, (terms, columns) in (("words", _word_rows(held.column("words"))), ("trigrams", _trigram_rows(held.column("low").to_pylist()))):
-            if len(terms):
-                yield rows(kind, block, terms, columns)
+        low = held.column("low").to_pylist()
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        lengths = np.array([len(t) for t in low], dtype=np.int64)
+        words, owner = _words(points, np.repeat(np.arange(len(low)), lengths), np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool))
+        n_words = np.bincount(owner, minlength=len(low))
+        sizes = [pack(n, np.array([0])) for n in (n_words, np.maximum(lengths - 2, 0))]
+        yield rows("docs", block, pa.nulls(1, pa.string()), [pa.array([b"".join(held.column("doc").to_pylist())], pa.binary()), *sizes])
+        if "words" in kinds and len(words):
+            yield rows("words", block, *_word_rows(words, owner, n_words))
+        if "trigrams" in kinds and lengths.max() > 2:
+            yield rows("trigrams", block, *_trigram_rows(points, lengths))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = run << 40 | TaskContext.get().partitionId() << 20
@@ -187,6 +216,19 @@ def unpacked(postings: DataFrame) -> DataFrame:
     return postings.select(*[c.split(" ")[0] for c in PACKED.split(", ")]).mapInArrow(run, "term string, block long, slot int, places array<int>")
 
 
+def occurrences(postings: DataFrame) -> DataFrame:
+    """term, block, slot, tf, first_place, last_place of packed postings: how often, and where first and last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, docs, slots, sizes, places in _parts(batch):
+                row, first = pa.array(np.repeat(np.arange(len(docs)), docs)), _begins(sizes)
+                columns = [pa.array(slots, pa.int32()), pa.array(sizes), pa.array(places[first]), pa.array(places[first + sizes - 1])]
+                yield pa.RecordBatch.from_arrays([part.column("term").take(row), part.column("block").take(row), *columns], names=["term", "block", "slot", "tf", "first_place", "last_place"])
+
+    return postings.select(*[c.split(" ")[0] for c in PACKED.split(", ")]).mapInArrow(run, "term string, block long, slot int, tf long, first_place long, last_place long")
+
+
 def _left_of(postings: DataFrame, live: DataFrame) -> DataFrame:
     """Packed postings (kind, PACKED) without documents other than live ones (block, slot)."""
     blocks = live.groupBy("block").agg(F.collect_set("slot").alias("_live"), F.max("slot").alias("top"))
@@ -258,6 +300,10 @@ class Index:
         mine = self.packed.where(F.col("kind") == kind)
         return unpacked(mine if terms is None else mine.where(F.col("term").isin(*terms)))
 
+    def occurrences(self, kind: str) -> DataFrame:
+        """The same without the places: of all terms, how often and where first and last they stand."""
+        return occurrences(self.packed.where(F.col("kind") == kind))
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -275,7 +321,8 @@ def refresh(docs: DataFrame, folder: str, kinds: Sequence[str] = KINDS) -> dict:
     Returns what was done; a run that finds nothing to do writes nothing.
     """
     keyed = _keyed(docs)
-    return _run(docs.sparkSession, folder, keyed, cut(_counted(keyed)), kinds)
+    current = cut(_counted(keyed))
+    return _run(docs.sparkSession, folder, keyed, current, current.count(), kinds)
 
 
 def upsert(added: DataFrame, folder: str, removed: DataFrame | None = None, kinds: Sequence[str] = KINDS) -> dict:
@@ -283,14 +330,15 @@ def upsert(added: DataFrame, folder: str, removed: DataFrame | None = None, kind
     but the state."""
     spark = added.sparkSession
     keyed = _keyed(added)
-    fresh = _counted(keyed)
+    fresh = cut(_counted(keyed))
+    named = fresh.count()
     last = last_run(spark, folder)
     if last is not None:
         touched = added.select("id") if removed is None else added.select("id").unionByName(removed.select("id"))
         state = spark.read.parquet(f"{folder}/state/run={last['run']}")
         touched = touched.distinct().withColumnRenamed("id", "_id")
         fresh = state.join(touched, F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("doc", "id", "rows").unionByName(fresh)
-    return _run(spark, folder, keyed, cut(fresh), kinds)
+    return _run(spark, folder, keyed, cut(fresh), named, kinds)
 
 
 def _once(keyed: DataFrame, fresh: DataFrame, whole: bool) -> DataFrame:
@@ -306,8 +354,8 @@ def _once(keyed: DataFrame, fresh: DataFrame, whole: bool) -> DataFrame:
     return texts.join(repeats, "doc", "left_anti").unionByName(texts.join(repeats, "doc", "left_semi").dropDuplicates(["doc"]))
 
 
-def _run(spark: SparkSession, folder: str, keyed: DataFrame, current: DataFrame, kinds: Sequence[str]) -> dict:
-    """Make the state's documents those of current (doc, id, rows); texts of new ones are in keyed."""
+def _run(spark: SparkSession, folder: str, keyed: DataFrame, current: DataFrame, named: int, kinds: Sequence[str]) -> dict:
+    """Make the state's documents those of current (doc, id, rows); texts of new ones are in keyed, which has so many documents."""
     text_batches(spark)
     last = last_run(spark, folder)
     run = 0 if last is None else last["run"] + 1
@@ -332,7 +380,7 @@ def _run(spark: SparkSession, folder: str, keyed: DataFrame, current: DataFrame,
                 break
             fold.append(segment)
             size += left[segment]
-        found = postings_of(_once(keyed, fresh, last is None), kinds, run)
+        found = postings_of(_once(keyed, fresh, arrived == named), kinds, run)
         if fold:
             found = found.unionByName(_left_of(_segments(spark, folder, fold), kept.where(F.col("segment").isin(*fold))))
         found.sortWithinPartitions("kind", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/postings/segment={run}")
